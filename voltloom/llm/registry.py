@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.llm import mixing, sharding, token_counts
+from voltloom.llm import html_text, mixing, packing, sharding, token_counts
 
 #: Shards of op1.
 SHARDS = 40
@@ -35,9 +35,18 @@ def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_targets(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_along_curve(_table(spark, sf_dir, "documents"), tokenizer())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.bpe_token_counts(_table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hypergeometric_shards, op4_mix_to_targets, op9_bpe_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hypergeometric_shards, op4_mix_to_targets, op6_line_block_text, op7_hilbert_packing, op9_bpe_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op4_mix_to_targets": mixing.SQL}
