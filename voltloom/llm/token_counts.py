@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 _SHIFT = 17
 _POS = (1 << 32) - 1
 #: Entries of a worker's word memory before it is emptied (bounds memory, not results).
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 1_000_000
 #: Characters outside these ranges send a text through the library's normaliser:
 #: ASCII white space and printables, Latin letters without U+0130, dashes, quotes, euro.
 PLAIN_ONLY = re.compile("[^\t\n\x0b\x0c\r -~\xa1-\xac\xae-įı-ɏ‐-‧‰-⁞€]")
@@ -69,8 +69,10 @@ class MergeCounter:
         self.special_split = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.by_words = steps == ["NFC", "Replace", "Lowercase"] and pre[0].get("type") == "Split" and r"[^\s" in str(pre[0].get("pattern"))
-        self.pattern = regex.compile(pre[0]["pattern"]["Regex"]) if self.by_words else None
+        split = pre[0].get("pattern", {}).get("Regex", "")
+        # white space, removed by the pattern, parts the text into words that are split alike alone
+        self.by_words = steps == ["NFC", "Replace", "Lowercase"] and pre[0].get("invert") is True and r"[^\s" in split
+        self.pattern = regex.compile(split) if self.by_words else None
         self.words: dict[str, int] = {}
         self.parts: dict[str, int] = {}
 
