@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.llm import html_text, mixing, packing, sharding, token_counts
+from voltloom.llm import html_text, mixing, packing, sharding, token_counts, toxicity
 
 #: Shards of op1.
 SHARDS = 40
@@ -31,6 +31,11 @@ def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(documents, toxicity.fit_on_labels(documents, _table(spark, sf_dir, "labels")))
+
+
 def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_targets(_table(spark, sf_dir, "documents"))
 
@@ -48,5 +53,5 @@ def op9_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.bpe_token_counts(_table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hypergeometric_shards, op4_mix_to_targets, op6_line_block_text, op7_hilbert_packing, op9_bpe_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hypergeometric_shards, op2_classifier_chain, op4_mix_to_targets, op6_line_block_text, op7_hilbert_packing, op9_bpe_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op4_mix_to_targets": mixing.SQL}
