@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.llm import html_text, mixing, packing, sharding, token_counts, toxicity
+from voltloom.llm import html_text, mixing, ngram_join, packing, sharding, token_counts, toxicity
 
 #: Shards of op1.
 SHARDS = 40
@@ -49,9 +49,13 @@ def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.bpe_token_counts(_table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hypergeometric_shards, op2_classifier_chain, op4_mix_to_targets, op6_line_block_text, op7_hilbert_packing, op9_bpe_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op4_mix_to_targets": mixing.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hypergeometric_shards, op2_classifier_chain, op4_mix_to_targets, op6_line_block_text, op7_hilbert_packing, op8_token_group_join, op9_bpe_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op4_mix_to_targets": mixing.SQL, "op8_token_group_join": ngram_join.SQL}
