@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.llm import html_text, mixing, ngram_join, packing, sharding, token_counts, toxicity
+from voltloom.llm import embedding_dedup, html_text, mixing, nearest, ngram_join, packing, sharding, token_counts, toxicity
 
 #: Shards of op1.
 SHARDS = 40
@@ -36,6 +36,10 @@ def op2_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents, toxicity.fit_on_labels(documents, _table(spark, sf_dir, "labels")))
 
 
+def op3_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_targets(_table(spark, sf_dir, "documents"))
 
@@ -57,5 +61,9 @@ def op9_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.bpe_token_counts(_table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hypergeometric_shards, op2_classifier_chain, op4_mix_to_targets, op6_line_block_text, op7_hilbert_packing, op8_token_group_join, op9_bpe_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op4_mix_to_targets": mixing.SQL, "op8_token_group_join": ngram_join.SQL}
+def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_by_product(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hypergeometric_shards, op2_classifier_chain, op3_projection_passes, op4_mix_to_targets, op6_line_block_text, op7_hilbert_packing, op8_token_group_join, op9_bpe_token_counts, op10_projection_forest)}
+ORACLE_SQL: dict[str, str] = {"op3_projection_passes": embedding_dedup.SQL, "op4_mix_to_targets": mixing.SQL, "op8_token_group_join": ngram_join.SQL}
