@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltloom.llm.durable import Workspace
-from voltloom.llm.token_counts import MEMORY_WORDS, PLAIN_ONLY, MergeCounter
+from voltloom.llm.token_counts import PLAIN_ONLY, MergeCounter
 
 SEQUENCE = 2048
 END_ID = 1
 #: Size of the hashed vector, dimensions it is projected to, and bits of each on the curve.
 HASHED, DIMS, BITS = 256, 3, 16
+#: Entries of a worker's memories of words and of their parts before they are emptied (bounds memory, not results).
+MEMORY_WORDS, MEMORY_PARTS = 200_000, 400_000
 #: Rows of a range of the curve, about: bounds what one task sorts.
 ROWS_PER_RANGE = 65_536
 
@@ -47,7 +49,7 @@ class WordEncoder:
         for part in self.pattern.findall(word):
             got = self.parts.get(part)
             if got is None:
-                if len(self.parts) >= MEMORY_WORDS:
+                if len(self.parts) >= MEMORY_PARTS:
                     self.parts.clear()
                 letters = part if part.isascii() and part.isalnum() else "".join([self.letters[b] for b in part.encode()])
                 got = self.parts[part] = np.array([t.id for t in self.model.tokenize(letters)], "<u2").tobytes()
