@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows used for training at most (the documented bound of the sample).
-MAX_TRAINING = 20_000
+MAX_TRAINING = 8_000
 #: Words and beginnings kept for a category at most, and lengths of beginnings.
 MAX_WORDS = 1_024
 STEMS = (4, 5, 6)
@@ -207,9 +207,10 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(hashed, pa.binary()), pa.array(ratios, pa.list_(pa.float64())), pa.array(same, pa.int64()), *batch.columns[2:]], names=["words", "ratios", "same", *batch.schema.names[2:]])
 
     known = ", ".join(f"__y{k} double" for k in range(len(chain)))
-    sample = rows.mapInArrow(features, f"words binary, ratios array<double>, same long, {known}").dropDuplicates(["same"]).toPandas().sort_values("same")
-    labelled = sample[[f"__y{k}" for k in range(len(chain))]].to_numpy(float).reshape(len(sample), len(chain))
-    return train_chain([(np.frombuffer(w, np.uint64), tuple(r)) for w, r in zip(sample["words"], sample["ratios"], strict=True)], labelled, tuple(n for n, _ in chain))
+    sample = rows.mapInArrow(features, f"words binary, ratios array<double>, same long, {known}").dropDuplicates(["same"]).toArrow().sort_by("same")
+    labelled = np.array([sample.column(f"__y{k}").to_numpy() for k in range(len(chain))], float).reshape(len(chain), sample.num_rows).T
+    found = [(np.frombuffer(w.as_py(), np.uint64), tuple(r.as_py())) for w, r in zip(sample.column("words"), sample.column("ratios"), strict=True)]
+    return train_chain(found, labelled, tuple(n for n, _ in chain))
 
 
 def score_toxicity(docs: DataFrame, model: Chain, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
