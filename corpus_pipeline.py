@@ -1,15 +1,45 @@
-"""A corpus pipeline of four stages."""
+"""A corpus pipeline: drop toxic documents, keep one of each group of near copies, mix sources, pack sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from voltloom.llm import mixing, ngram_join, packing, toxicity
+from voltloom.llm.durable import Workspace
+from voltloom.llm.registry import tokenizer
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, trained on the labelled ones, does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.fit_on_labels(docs, labels))
+
+
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by shingle similarity."""
+    return ngram_join.drop_similar(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's budget takes it."""
+    return mixing.apply_mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full sequences, with their token ids."""
+    return packing.pack_along_curve(docs, tokenizer())
+
+
+#: Stages in order; each takes (spark, docs, sf_dir), and its result is written and read again for the next.
+STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_similar), ("mixing", mix_sources), ("packing", pack)]
+#: Models and token ids have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    space = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = space.settle(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -248,6 +248,26 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return rows.select("doc_id", *carry, F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that a class's smallest id stands for.
+
+    Of rows that repeat an id one stays. Documents without shingles or id are in
+    no class and all stay.
+    """
+    space = Workspace(docs.sparkSession, "drop-similar")
+    classes = space.settle(similar_documents(docs, id_col=id_col, text_col=text_col).filter("n_shingles > 0 and doc_id is not null"), "classes")
+    gone = space.settle(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    twice = space.settle(classes.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"), "twice")
+
+    def by_id(ids: DataFrame, how: str) -> DataFrame:
+        few = ids.count() <= BROADCAST_IDS
+        return docs.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long") == F.col("__id"), how)
+
+    if not twice.count():
+        return by_id(gone, "left_anti")
+    return by_id(gone.union(twice), "left_anti").unionByName(by_id(twice, "left_semi").dropDuplicates([id_col]))
+
+
 #: DuckDB SQL for the same rows, over the registered view ``documents``.
 SQL = r"""
 WITH RECURSIVE worded AS (

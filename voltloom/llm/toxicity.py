@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +34,8 @@ STEMS = (4, 5, 6)
 MAX_SHARED = 3
 #: Folds of the out-of-fold predictions.
 FOLDS = 3
+#: Probability of the last category from which a document is toxic.
+THRESHOLD = 0.5
 #: The categories in the order of the chain, with the labels they come from.
 CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 _WORD = re.compile(r"[^\W\d_]+")
@@ -156,7 +158,7 @@ def select_words(hashes: np.ndarray, rows: np.ndarray, labels: np.ndarray, max_w
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = 2 * (np.where(hits > 0, hits * np.log(hits / (docs * rate)), 0) + np.where(miss > 0, miss * np.log(miss / (docs * (1 - rate))), 0))
         ratio = np.where(docs > 0, ratio, 0)
-        ratio[ratio < 2 * np.log(10 * max(1, len(words)))] = 0
+        ratio[ratio < 2 * np.log(max(10, len(words)))] = 0
         best = np.argsort(-ratio, kind="stable")[:max_words]
         chosen.append(words[best[ratio[best] > 0]])
     return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.uint64)
@@ -213,57 +215,77 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     return train_chain(found, labelled, tuple(n for n, _ in chain))
 
 
-def score_toxicity(docs: DataFrame, model: Chain, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
+def judge(model: Chain) -> Callable[[list[str | None]], np.ndarray]:
+    """A function from whole texts to their probabilities, a column for each category; for one task."""
+    column, width = model.column, len(model.column)
+    known: dict[str, tuple[int, ...]] = {}  # a beginning's columns by the number of words that share it
+    memory: dict[str, tuple[int, tuple[tuple[int, ...], ...]]] = {}  # a word's column and its beginnings' columns
+
+    def look_up(word: str) -> tuple[int, tuple[tuple[int, ...], ...]]:
+        if len(memory) > 300_000:
+            memory.clear()
+            known.clear()
+        stems = []
+        for s in stems_of(word):
+            if s not in known:
+                known[s] = tuple(column.get(hash_of(f"{s}^{k}"), -1) for k in range(1, MAX_SHARED + 1))
+            if max(known[s]) >= 0:
+                stems.append(known[s])
+        memory[word] = (column.get(hash_of(word), -1), tuple(stems))
+        return memory[word]
+
+    def probabilities(texts: list[str | None]) -> np.ndarray:
+        rows, cols, dense = [], [], []
+        for k, text in enumerate(texts):
+            found, ratios = words_of(text or "")
+            dense.append(ratios)
+            mine: list[int] = []
+            shared: Counter[tuple[int, ...]] = Counter()
+            for word in found:
+                at, stems = memory.get(word) or look_up(word)
+                if at >= 0:
+                    mine.append(at)
+                if stems:
+                    shared.update(stems)
+            for stem, n in shared.items():
+                mine += [c for c in stem[:n] if c >= 0]
+            rows += [k] * len(mine)
+            cols += mine
+        if not texts:
+            return np.zeros((0, len(model.names)))
+        x = Rows(np.array(rows, int), np.array(cols, int), width, np.array(dense).reshape(-1, _DENSE))
+        return model.probabilities(x) * np.array([bool(t) for t in texts])[:, None]
+
+    return probabilities
+
+
+def score_toxicity(docs: DataFrame, model: Chain, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Score every whole text with the chain.
 
-    Returns ``id_col``, the columns named in ``keep``, ``p_<category>`` for each
-    category, and ``toxic``: whether the last category reaches ``threshold``.
-    Null and empty texts are never toxic and have probability 0 throughout.
-    Null ids and repeated rows are scored like any other; an empty table gives
-    an empty one; other columns are not read.
+    Returns ``id_col``, ``p_<category>`` for each category, and ``toxic``:
+    whether the last category reaches ``threshold``. Null and empty texts are
+    never toxic and have probability 0 throughout. Null ids and repeated rows
+    are scored like any other; an empty table gives an empty one; other columns
+    are not read.
     """
-    kinds = dict(docs.dtypes)
     names = [f"p_{n}" for n in model.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column, width = model.column, len(model.column)
-        known: dict[str, tuple[int, ...]] = {}  # a beginning's columns by the number of words that share it
-        memory: dict[str, tuple[int, tuple[tuple[int, ...], ...]]] = {}  # a word's column and its beginnings' columns
-
-        def look_up(word: str) -> tuple[int, tuple[tuple[int, ...], ...]]:
-            if len(memory) > 300_000:
-                memory.clear()
-                known.clear()
-            stems = []
-            for s in stems_of(word):
-                if s not in known:
-                    known[s] = tuple(column.get(hash_of(f"{s}^{k}"), -1) for k in range(1, MAX_SHARED + 1))
-                if max(known[s]) >= 0:
-                    stems.append(known[s])
-            memory[word] = (column.get(hash_of(word), -1), tuple(stems))
-            return memory[word]
+        probabilities = judge(model)
+        for batch in batches:
+            p = probabilities(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in p.T], pa.array(p[:, -1] >= threshold)], names=[id_col, *names, "toxic"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, " + ", ".join(f"{n} double" for n in names) + ", toxic boolean")
+
 
+def drop_toxic(docs: DataFrame, model: Chain, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text is not toxic; null and empty texts stay."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probabilities = judge(model)
         for batch in batches:
-            rows, cols, dense, there = [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                found, ratios = words_of(text or "")
-                dense.append(ratios)
-                there.append(bool(text))
-                mine: list[int] = []
-                shared: Counter[tuple[int, ...]] = Counter()
-                for word in found:
-                    at, stems = memory.get(word) or look_up(word)
-                    if at >= 0:
-                        mine.append(at)
-                    if stems:
-                        shared.update(stems)
-                for stem, n in shared.items():
-                    mine += [c for c in stem[:n] if c >= 0]
-                rows += [k] * len(mine)
-                cols += mine
-            x = Rows(np.array(rows, int), np.array(cols, int), width, np.array(dense).reshape(-1, _DENSE))
-            p = model.probabilities(x) * np.array(there)[:, None] if len(dense) else np.zeros((0, len(names)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *[pa.array(c) for c in p.T], pa.array(p[:, -1] >= threshold)], names=[id_col, *keep, *names, "toxic"])
-
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in (id_col, *keep)] + [f"{n} double" for n in names] + ["toxic boolean"])
-    return docs.select(id_col, text_col, *keep).mapInArrow(run, schema)
+            yield batch.filter(pa.array(probabilities(batch.column(at).to_pylist())[:, -1] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
