@@ -2,7 +2,8 @@
 
 1. Shingles are ordered by how common they are, then by hash. By the size of
    its set alone, a document can only link to one that shares one of its first
-   ``n - ceil(0.8 n) + 1`` shingles (its head), whichever order is used.
+   ``n - ceil(0.8 n) + 1`` shingles, and k of a few more (its head), whichever
+   order is used.
 2. Equal sets are one document from here on. Documents with an equal min-hash
    are put in one group and compared; what links there is one group.
 3. The matrix holds, for every group, the union of its members' heads with the
@@ -32,8 +33,10 @@ from voltloom.llm.shingles import mix, shingle_sequences, shingle_sets
 NUM, DEN = 80, 100
 #: Min-hashes that make groups, and members of a group compared in one task.
 ROUNDS, CHUNK = 2, 200
+#: A head is longer by 1 / EXTRA of the set than one common shingle needs, so that more must be in common.
+EXTRA = 25
 #: Common shingles whose order by frequency is kept (any order is exact; the bound is on memory).
-COMMON = 1 << 16
+COMMON = 1 << 20
 #: Documents' ids that are broadcast to the texts at most (16 bytes each); above, a join is shuffled.
 BROADCAST_IDS = 2_000_000
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
@@ -44,6 +47,16 @@ def needed(n: int | np.ndarray) -> int | np.ndarray:
     return -(-NUM * n // DEN)
 
 
+def head_size(n: int) -> tuple[int, int]:
+    """Length of a set's head, and how many of the head's shingles any set it links to has in its own.
+
+    Of n shingles at most ``n - needed(n)`` are missing from the other set; the
+    k-th of those in common is within so many and k more.
+    """
+    k = min(1 + n // EXTRA, int(needed(n)))
+    return n - int(needed(n)) + k, k
+
+
 def links(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two ascending sets reach the threshold."""
     if min(len(x), len(y)) * DEN < NUM * max(len(x), len(y)):
@@ -52,32 +65,50 @@ def links(x: np.ndarray, y: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(x) + len(y) - both)
 
 
-def common_shingles(docs: DataFrame, text: str, keep: int = COMMON) -> np.ndarray:
+def common_shingles(docs: DataFrame, text: str, space: Workspace, keep: int = COMMON) -> np.ndarray:
     """The most common shingles, the commonest last: counted over all documents, chunk by chunk.
 
-    A shingle that is rare in every chunk is not common; chunks that see it
-    often report their counts, which are then added.
+    Chunks report the shingles they see more than once, equal texts counted
+    once, and the counts are added: what many documents share is sure to meet
+    itself in some chunk. Of these, as many of the commonest as ``keep`` allows.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        seen: set[int] = set()
+        size = 0
 
         def flush() -> pa.RecordBatch:
             token, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = times >= 4
-            held.clear()
+            often = times > 1
+            held.clear(), seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(times[often])], names=["token", "times"])
 
         for batch in batches:
-            for hashes, _ in shingle_sequences(batch.column(0).to_pylist()):
-                held.append(hashes)
-                if sum(map(len, held)) > 2_000_000:
+            for hashes, per_text in shingle_sequences(batch.column(0).to_pylist()):
+                per_text = per_text[per_text > 0]
+                if not len(per_text):
+                    continue
+                marks = np.add.reduceat(mix(hashes), np.cumsum(per_text) - per_text).tolist()
+                fresh = [m not in seen and not seen.add(m) for m in marks]
+                held.append(hashes[np.repeat(fresh, per_text)])
+                size += len(held[-1])
+                if size > 4_000_000:
                     yield flush()
+                    size = 0
         yield flush()
 
-    counted = docs.select(text).mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    top = counted.orderBy(F.desc("times"), "token").limit(keep).collect()  # at most `keep` rows
-    return np.array([r["token"] for r in reversed(top)], np.int64).view(np.uint64)
+    counted = space.settle(docs.select(text).mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")), "counted")
+    # the least count for which no more than `keep` shingles have it or more; counts above 1000 are one class
+    classes = counted.groupBy(F.least("times", F.lit(1000)).alias("times")).count().orderBy(F.desc("times")).collect()
+    total, least = 0, 1 << 62
+    for c in classes:
+        total += c["count"]
+        if total > keep:
+            break
+        least = c["times"]
+    top = counted.filter(F.col("times") >= least).toArrow().sort_by([("times", "ascending"), ("token", "ascending")])  # at most `keep` rows
+    return top.column("token").to_numpy().view(np.uint64)
 
 
 def digest(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -95,7 +126,7 @@ def digest(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray, carr
                     continue
                 at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
                 hot = known[at] == s if len(known) else np.zeros(n, bool)
-                size = n - int(needed(n)) + 1
+                size = head_size(n)[0]
                 head = s[~hot][:size]
                 if len(head) < size:
                     rest = s[hot]
@@ -203,7 +234,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     are not read.
     """
     space = Workspace(docs.sparkSession, "ngram-join")
-    common = common_shingles(docs, text_col)
+    common = common_shingles(docs, text_col, space)
     known = space.settle(digest(docs, id_col, text_col, common, carry), "digest")
     # equal sets become one document, that of the smallest id
     linked = known.filter("n > 0 and doc_id is not null")
@@ -232,10 +263,11 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # a smaller group asks a larger one; between equals the larger id asks
     asks = (F.col("members") < F.col("group_members")) | ((F.col("members") == F.col("group_members")) & (F.col("of") > F.col("group")))
     fits = (F.col("n_max") * DEN >= F.col("n") * NUM) & (F.col("n") * DEN >= F.col("n_min") * NUM)
-    met = shared.join(matrix, "token").filter(asks & fits).groupBy("doc_id", "n", "group", "group_members").agg(F.min("place").alias("place"), F.min("n_min").alias("n_min"))
+    met = shared.join(matrix, "token").filter(asks & fits).groupBy("doc_id", "n", "group", "group_members").agg(F.min("place").alias("place"), F.min("n_min").alias("n_min"), F.count("*").alias("hits"))
+    least_hits = F.least(1 + F.floor(F.col("n") / EXTRA), F.ceil(F.col("n") * NUM / DEN))
     smallest = F.greatest(F.col("n_min"), F.ceil(F.col("n") * NUM / DEN))
     bound = (F.col("n") - F.col("place")) * (NUM + DEN) >= (F.col("n") + smallest) * NUM
-    asked = space.settle(met.filter(bound).select("doc_id", "group", F.ceil(F.col("group_members") / CHUNK).cast("long").alias("parts")), "asked")
+    asked = space.settle(met.filter(bound & (F.col("hits") >= least_hits)).select("doc_id", "group", F.ceil(F.col("group_members") / CHUNK).cast("long").alias("parts")), "asked")
     opened = asked.select("group", "parts").distinct()
     queries = asked.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "doc_id")
     inside = one.select("doc_id").distinct().join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group"))
