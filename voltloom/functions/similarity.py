@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def gestalt(left: str | None, right: str | None) -> float:
@@ -30,11 +31,11 @@ def _pairs(function, left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([known[p] if p in known else known.setdefault(p, function(*p)) for p in zip(left, right, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gestalt_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return _pairs(gestalt, left, right)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_set_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return _pairs(token_set, left, right)

@@ -15,10 +15,21 @@ from voltloom.operators.frames import value_counts
 OFF_PEAK_START = {11: 18, 12: 18, 1: 18, 10: 19, 2: 19, 9: 20, 4: 20}
 #: Month names as tables spell them (fixed values).
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-#: Patterns of unit names and the category each gives; the last that matches counts (fixed values).
-CATEGORY_PATTERNS = [(r"wind", "WIND"), (r"solar|pv", "PVGR"), (r"bess|battery|storage", "BESS"), (r"pv-bess|hybrid", "PVGR-BESS"), (r"gas|gt\b|ng\b", "OtherTech_NG")]
-#: Parent categories whose units are recoded (fixed values).
-RECODED = ("Base Expansion", "New Hybrid", "Expansion")
+#: Parent categories whose units are recoded, and patterns of unit names with the category
+#: each gives; of several that match the last counts (fixed values).
+RECODED = ("Base Expansion", "Historical Proxies", "Spark Spread Proxies")
+CATEGORY_PATTERNS = [
+    (r"\bwind\b", "WT_WND"),
+    (r"\bnuclear\b", "ST_NUC"),
+    (r"\bscct\b", "SCCT_NG"),
+    (r"\bsolar\b", "PV_SUN"),
+    (r"\bhybrid\s*pv[-\s]*bess\b", "PVGR-BESS"),
+    (r"\bccct\b", "CCCT_NG"),
+    (r"\bcgt\b|\bgt\b", "CCGT_NG"),
+    (r"\bcoal\b", "ST_COAL"),
+    (r"\bhydro\b", "HY_WAT"),
+    (r"\bgas\b", "OtherTech_NG"),
+]
 
 
 def heat_rates(wide: DataFrame, ids: Sequence[str], *, heat: str = "Elec_MMBtu", net: str = "Netgen") -> DataFrame:
@@ -36,7 +47,7 @@ def monthly_heat_rate(rates: DataFrame, fuel: str, scale: float = 1e6) -> DataFr
 def recode(rows: DataFrame, category: str, child: str, *, parents: Sequence[str] = RECODED, patterns: Sequence[tuple[str, str]] = tuple(CATEGORY_PATTERNS)) -> DataFrame:
     """Category by the child's name where the parent is one that is recoded; of several patterns the last counts."""
     made = last_pattern(child, list(patterns), F.col(category))
-    return rows.withColumn(category, F.when(F.col(category).isin(*parents), made).otherwise(F.col(category)))
+    return rows.withColumn(category, F.when(F.trim(category).isin(*parents), made).otherwise(F.col(category)))
 
 
 def category_summary(rows: DataFrame, category: str, value: str, excluded: Sequence[str] = ()) -> DataFrame:

@@ -108,14 +108,14 @@ def complete(df: DataFrame, domains: Sequence[DataFrame], fill: dict[str, object
 def domain(spark: SparkSession, name: str, values: Sequence[object]) -> DataFrame:
     """A one-column table of known values."""
     kind = "string" if isinstance(values[0], str) else "int"
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, values))).cast(kind).alias(name))
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v).cast(kind) for v in values])).alias(name))
 
 
 def calendar(df: DataFrame, ts: str, unit: str = "hour", keys: Sequence[str] = ()) -> DataFrame:
     """Every ``unit`` from the first to the last timestamp (of each key)."""
     low, high = (F.date_trunc(unit, f(ts)) for f in (F.min, F.max))
-    steps = F.explode(F.sequence("__low", "__high", F.expr(f"interval 1 {unit}")))
-    return df.groupBy(*keys).agg(low.alias("__low"), high.alias("__high")).select(*keys, steps.cast("timestamp_ntz").alias(ts))
+    steps = F.explode(F.sequence("__low", "__high", F.expr(f"interval 1 {unit}"))).alias(ts)
+    return df.groupBy(*keys).agg(low.alias("__low"), high.alias("__high")).select(*keys, steps).withColumn(ts, F.col(ts).cast("timestamp_ntz"))
 
 
 def overlay(df: DataFrame, overrides: DataFrame, key: str, columns: Sequence[str], order: str) -> DataFrame:

@@ -1,10 +1,684 @@
-"""The registered queries and their oracle SQL."""
+"""The registered queries and their oracle SQL.
+
+Each query applies an operator of this library to the tables at hand, which
+stand in for the domain's: ``events`` are five-minute values of resources,
+``lineitem`` (summed to unique keys) are offer curves, ``orders`` are prices of
+nodes, ``embeddings`` are clusters' curves, ``customer``, ``supplier`` and
+``part`` are units with attributes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voltloom.functions import names, values
+from voltloom.operators import clusters, curves, descriptive, frames, linkage, prices, summaries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with SQL for the same rows where there is any."""
+
+    def add(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("resource_name"), F.col("event_type").alias("resource_type"), "ts", "value", "event_id")
+
+
+def events_as_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("node"), "ts", F.col("value").alias("price"))
+
+
+def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("node"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("price"))
+
+
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    month = F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("ts")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("resource_type"), F.col("l_suppkey").alias("resource_name"), month, F.col("l_linenumber").alias("step"))
+    made = rows.agg(F.sum("l_quantity").alias("mw"), F.avg("l_extendedprice").alias("price"), F.sum(F.col("l_quantity") * (1 - F.col("l_discount"))).alias("__b"))
+    cell = frames.W.partitionBy("resource_type", "resource_name", "ts")
+    return made.withColumns({"hsl": F.sum("mw").over(cell), "bp": F.max("__b").over(cell)}).drop("__b")
+
+
+OFFERS = """
+WITH offers AS (
+  SELECT *, sum(mw) OVER cell AS hsl, max(b) OVER cell AS bp FROM (
+    SELECT l_returnflag AS resource_type, l_suppkey AS resource_name, date_trunc('month', l_shipdate) AS ts, l_linenumber AS step,
+           sum(l_quantity) AS mw, avg(l_extendedprice) AS price, sum(l_quantity * (1 - l_discount)) AS b
+    FROM lineitem GROUP BY ALL)
+  WINDOW cell AS (PARTITION BY resource_type, resource_name, ts))"""
+COMMON = """, stepped AS (
+  SELECT resource_type, count(DISTINCT step) AS n FROM offers GROUP BY 1),
+common AS (
+  SELECT o.* FROM offers o
+  SEMI JOIN (SELECT resource_type, resource_name FROM offers JOIN stepped USING (resource_type) GROUP BY 1, 2, n HAVING count(DISTINCT step) = n) u USING (resource_type, resource_name)
+  SEMI JOIN (SELECT resource_type, ts FROM offers JOIN stepped USING (resource_type) GROUP BY 1, 2, n HAVING count(DISTINCT step) = n) t USING (resource_type, ts))"""
+
+# --- prices ---
+
+
+@query("""
+SELECT node, month, hour, round(avg(price), 6) AS price FROM (
+  SELECT event_type AS node, month(ts)::INT AS month, (hour(ts) + 1)::INT AS hour, date_trunc('hour', ts) AS h, avg(value) AS price FROM events GROUP BY ALL)
+GROUP BY ALL""")
+def price_month_hour_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(prices.month_hour_means(events_as_prices(spark, sf_dir)), "price")
+
+
+@query("""
+SELECT year, round(min(price), 6) AS low, round(max(price), 6) AS high FROM (
+  SELECT node, year, month, hour, avg(price) AS price FROM (
+    SELECT o_orderpriority AS node, year(o_orderdate)::INT AS year, month(o_orderdate) AS month, hour(o_orderdate) AS hour, date_trunc('hour', o_orderdate) AS h, avg(o_totalprice) AS price
+    FROM orders GROUP BY ALL) GROUP BY ALL) GROUP BY ALL""")
+def price_yearly_heatmap_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(prices.value_range(prices.month_hour_means(order_prices(spark, sf_dir), by_year=True), ["year"]), "low", "high")
+
+
+@query("""
+WITH p AS (SELECT event_type AS node, date_trunc('hour', ts) AS ts, avg(value) AS price FROM events GROUP BY ALL)
+SELECT a.ts, round(a.price, 6) AS left_price, round(b.price, 6) AS right_price, round(a.price - b.price, 6) AS spread
+FROM p a JOIN p b USING (ts) WHERE a.node = 'click' AND b.node = 'view'""")
+def price_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = prices.spread(prices.hourly_means(events_as_prices(spark, sf_dir)), "click", "view")
+    return rounded(made, "left_price", "right_price", "spread")
+
+
+MONTHLY = """
+WITH hourly AS (SELECT o_orderpriority AS node, date_trunc('hour', o_orderdate) AS ts, avg(o_totalprice) AS price FROM orders GROUP BY ALL),
+monthly AS (SELECT node, date_trunc('month', ts) AS month, avg(price) AS price FROM hourly GROUP BY ALL),
+errors AS (
+  SELECT a.month, a.price AS left_price, b.price AS right_price, abs(a.price - b.price) AS mae,
+         CASE WHEN b.price <> 0 THEN abs(a.price - b.price) / abs(b.price) * 100 END AS mape
+  FROM monthly a JOIN monthly b USING (month) WHERE a.node = '1-URGENT' AND b.node = '2-HIGH')"""
+
+
+@query(MONTHLY + "SELECT node, month, round(price, 8) AS price FROM monthly")
+def price_monthly_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(prices.monthly_averages(order_prices(spark, sf_dir)), "price", digits=8).withColumn("month", F.col("month").cast("timestamp_ntz"))
+
+
+@query(MONTHLY + "SELECT month, round(left_price, 6) AS left_price, round(right_price, 6) AS right_price, round(mae, 6) AS mae, round(mape, 6) AS mape FROM errors")
+def price_mae_mape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = prices.monthly_errors(prices.monthly_averages(order_prices(spark, sf_dir)), "1-URGENT", "2-HIGH")
+    return rounded(made, "left_price", "right_price", "mae", "mape").withColumn("month", F.col("month").cast("timestamp_ntz"))
+
+
+@query(MONTHLY + "SELECT year(month)::INT AS year, round(avg(mae), 6) AS mae, round(avg(mape), 6) AS mape, count(*) AS months FROM errors GROUP BY GROUPING SETS ((year(month)), ())")
+def price_mae_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = prices.monthly_errors(prices.monthly_averages(order_prices(spark, sf_dir)), "1-URGENT", "2-HIGH")
+    return rounded(prices.error_summary(errors), "mae", "mape")
+
+
+@query("""
+WITH p AS (SELECT event_type AS node, date_trunc('hour', ts) AS ts, round(avg(value), 6) AS price FROM events GROUP BY ALL)
+SELECT ts, any_value(price) FILTER (node = 'click') AS click, any_value(price) FILTER (node = 'view') AS view, any_value(price) FILTER (node = 'purchase') AS purchase FROM p GROUP BY ts""")
+def price_wide_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.outer_wide(rounded(prices.hourly_means(events_as_prices(spark, sf_dir)), "price"), "ts", "node", "price", ["click", "view", "purchase"])
+
+
+@query("""
+WITH m AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS value FROM events GROUP BY ALL)
+SELECT c.ts, round(m.value, 6) AS value FROM (SELECT unnest(generate_series((SELECT min(ts) FROM m), (SELECT max(ts) FROM m), INTERVAL 1 HOUR)) AS ts) c LEFT JOIN m USING (ts)""")
+def hourly_resample_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(prices.hourly_resample(series(spark, sf_dir), ["value"]), "value")
+
+
+@query("""
+WITH d AS (SELECT year(ts)::INT AS year, hour(ts)::INT AS hour, avg(value) AS price FROM events WHERE strftime(ts, '%m-%d') = '01-15' GROUP BY ALL)
+SELECT y.year, h.hour::INT AS hour, round(d.price, 6) AS price FROM (SELECT DISTINCT year FROM d) y CROSS JOIN (SELECT unnest(range(24)) AS hour) h LEFT JOIN d ON d.year = y.year AND d.hour = h.hour""")
+def day_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(prices.day_profile(events_as_prices(spark, sf_dir), "01-15"), "price")
+
+
+# --- summaries and slices ---
+
+
+SUMMARY = """
+SELECT user_id AS resource_name, event_type AS resource_type, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS row_count,
+       round(avg(value), 6) AS value_avg, round(min(value), 6) AS value_min, round(max(value), 6) AS value_max FROM events GROUP BY ALL"""
+
+
+@query(SUMMARY)
+def resource_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summaries.resource_summary(series(spark, sf_dir), ["value"]), "value_avg", "value_min", "value_max")
+
+
+@query(SUMMARY)
+def resource_summary_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = series(spark, sf_dir)
+    halves = [summaries.partial_summary(rows.filter(F.pmod("event_id", F.lit(2)) == k), ["value"]) for k in (0, 1)]
+    merged = summaries.merge_summaries(halves[0].unionByName(halves[1]), ["value"])
+    return rounded(summaries.finish_summary(merged, ["value"]), "value_avg", "value_min", "value_max")
+
+
+@query("SELECT p_brand AS resource_name, p_type AS resource_type, round(avg(p_retailprice), 6) AS price FROM part GROUP BY ALL")
+def unique_fuel_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("resource_name"), F.col("p_type").alias("resource_type"), F.col("p_retailprice").alias("price"))
+    return rounded(summaries.average_by(rows, ["resource_name", "resource_type"], "price"), "price")
+
+
+SLICE = "SELECT user_id AS resource_name, event_type AS resource_type, ts, value, event_id FROM events WHERE "
+
+
+@query(SLICE + "ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'")
+def slice_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.in_day(series(spark, sf_dir), "2024-01-10")
+
+
+@query(SLICE + "year(ts) = 2024 AND month(ts) = 1")
+def slice_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.in_month(series(spark, sf_dir), "2024-01-01")
+
+
+@query(SLICE + "date_trunc('hour', ts) = TIMESTAMP '2024-01-10 07:00:00'")
+def slice_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.in_hour(series(spark, sf_dir), "2024-01-10", 7)
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = series(spark, sf_dir).withColumns({"file_ord": F.pmod("event_id", F.lit(3)).cast("int"), "row_ord": F.col("event_id"), "ts": values.hour_start("ts")})
+    return rows.withColumn("value", F.when(F.pmod("event_id", F.lit(7)) != 0, F.col("value")))
+
+
+FILES = "WITH f AS (SELECT user_id AS resource_name, date_trunc('hour', ts) AS ts, CASE WHEN event_id % 7 <> 0 THEN value END AS value, event_id % 3 AS file_ord, event_id AS row_ord FROM events) "
+
+
+@query(FILES + "SELECT resource_name, ts, arg_min(value, file_ord * 10000000 + row_ord) FILTER (value IS NOT NULL) AS value FROM f GROUP BY ALL")
+def first_by_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.resolve_files(_files(spark, sf_dir), ["resource_name", "ts"], "value")
+
+
+@query(FILES + "SELECT resource_name, ts, arg_max(value, file_ord * 10000000 - row_ord) FILTER (value IS NOT NULL) AS value FROM f GROUP BY ALL")
+def last_by_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.resolve_files(_files(spark, sf_dir), ["resource_name", "ts"], "value", policy="overwrite")
+
+
+@query(FILES + ", m AS (SELECT resource_name, ts, file_ord, avg(value) AS value FROM f GROUP BY ALL) SELECT resource_name, ts, round(arg_max(value, file_ord) FILTER (value IS NOT NULL), 6) AS value FROM m GROUP BY ALL")
+def mean_then_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summaries.mean_then_last(_files(spark, sf_dir), ["resource_name", "ts"], "value"), "value")
+
+
+@query("""
+WITH n AS (SELECT c_custkey, nullif(trim(c_mktsegment), '') AS kind FROM customer WHERE c_custkey % 5 <> 0)
+SELECT c.c_custkey AS resource_name, c.c_acctbal, coalesce(n.kind, 'Unknown') AS resource_type FROM customer c LEFT JOIN n USING (c_custkey)""")
+def attached_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("resource_name"), "c_acctbal", F.col("c_mktsegment").alias("resource_type"))
+    return summaries.attach_type(units.drop("resource_type"), units.filter("resource_name % 5 <> 0"), order=["resource_type"])
+
+
+@query("""
+SELECT g.g AS "group", event_type AS resource_type, year(ts)::INT AS year, value FROM events JOIN (VALUES ('web', 'click'), ('web', 'view'), ('sale', 'purchase'), ('all', 'click')) g(g, k) ON k = event_type""")
+def box_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.box_rows(series(spark, sf_dir), {"web": ["click", "view"], "sale": ["purchase"], "all": ["click"]}, "value", ts="ts")
+
+
+@query("""
+WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v, 0 AS n FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_totalprice + 1, 1 FROM orders WHERE o_orderkey % 2 = 0)
+SELECT k, arg_max(v, n) AS v FROM a GROUP BY k""")
+def upsert_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    return summaries.upsert(rows.filter("k % 3 <> 0"), rows.filter("k % 2 = 0").withColumn("v", F.col("v") + 1), ["k"], "v", policy="overwrite")
+
+
+@query("""
+SELECT user_id AS resource_name, round(sum(value) FILTER (event_type = 'click'), 6) AS click, round(sum(value) FILTER (event_type = 'view'), 6) AS view, round(sum(value) FILTER (event_type = 'purchase'), 6) AS purchase FROM events GROUP BY 1""")
+def wide_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summaries.type_matrix(series(spark, sf_dir), ["click", "view", "purchase"], ["resource_name"], "resource_type", "value", agg="sum"), "click", "view", "purchase")
+
+
+@query("SELECT l_orderkey, l_linenumber, name, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) UNPIVOT (value FOR name IN (l_quantity, l_discount, l_tax))")
+def unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.to_long(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"), ["l_orderkey", "l_linenumber"])
+
+
+# --- curves ---
+
+
+@query(OFFERS + """
+SELECT month(ts)::INT AS month, hour(ts)::INT AS hour, step, resource_type, round(avg(CASE WHEN hsl > 0 THEN mw / hsl END), 6) AS mw_fraction, round(avg(price), 3) AS price, count(CASE WHEN hsl > 0 THEN mw / hsl END) AS n FROM offers GROUP BY ALL""")
+def mw_fraction_by_month_hour_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(curves.offer_profile(offers(spark, sf_dir)), "mw_fraction"), "price", digits=3)
+
+
+HOURLY = """
+WITH t AS (SELECT event_type AS resource_type, ts, sum(value) AS value FROM events GROUP BY ALL) SELECT resource_type, date_trunc('hour', ts) AS hour, """
+
+
+@query(HOURLY + "round(avg(value), 6) AS mw FROM t GROUP BY ALL")
+def hourly_mw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.hourly_by_type(series(spark, sf_dir)), "mw")
+
+
+@query(HOURLY + "round(sum(value) * 5 / 60, 6) AS mwh FROM t GROUP BY ALL")
+def hourly_mwh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.hourly_by_type(series(spark, sf_dir), mode="mwh"), "mwh")
+
+
+@query(OFFERS + "SELECT resource_type, resource_name, ts, round(hsl - bp, 6) AS error FROM (SELECT DISTINCT resource_type, resource_name, ts, hsl, bp FROM offers)")
+def dispatch_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = offers(spark, sf_dir).select(*curves.CELL, "hsl", "bp").distinct()
+    return rounded(curves.dispatch_error(cells.select(*curves.CELL, F.col("hsl").alias("value")), cells.select(*curves.CELL, F.col("bp").alias("value"))), "error")
+
+
+@query("""
+SELECT h.hour::INT AS hour, round(v.value, 6) AS value FROM (SELECT unnest(range(24)) AS hour) h LEFT JOIN (
+  SELECT hour(ts) AS hour, avg(value) AS value FROM (SELECT ts, sum(value) AS value FROM events WHERE event_type IN ('click', 'view') GROUP BY ts) GROUP BY 1) v USING (hour)""")
+def hour_of_day_mw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.hour_of_day(series(spark, sf_dir), ["Click", "VIEW"]), "value")
+
+
+REPRESENTATIVE = """, topped AS (SELECT *, max(mw) OVER (PARTITION BY resource_type, resource_name, ts) AS top FROM common)
+SELECT resource_type, step, round(avg(mw), 6) AS mw, round(avg(bp), 6) AS bp, round(avg(hsl), 6) AS hsl FROM (
+  SELECT resource_type, step, ts, avg(mw / nullif(top, 0)) * avg(top) AS mw, avg(bp / nullif(top, 0)) * avg(top) AS bp, avg(hsl / nullif(top, 0)) * avg(top) AS hsl FROM topped GROUP BY ALL) GROUP BY ALL"""
+
+
+@query(OFFERS + COMMON + REPRESENTATIVE)
+def representative_mw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.representative_quantities(offers(spark, sf_dir)), "mw", "bp", "hsl")
+
+
+def _idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offers(spark, sf_dir).withColumn("bp", F.when(F.pmod(F.col("resource_name") + F.month("ts"), F.lit(4)) == 0, 0.0).otherwise(F.col("bp")))
+
+
+MASKED = OFFERS.replace("WITH offers AS", "WITH raw_offers AS") + """, idle AS (
+  SELECT * REPLACE (CASE WHEN (resource_name + month(ts)) % 4 = 0 THEN 0.0 ELSE bp END AS bp) FROM raw_offers),
+offers AS (
+  SELECT * REPLACE (CASE WHEN bp <> 0 THEN mw END AS mw, CASE WHEN bp <> 0 THEN price END AS price, CASE WHEN bp <> 0 THEN hsl END AS hsl, nullif(bp, 0) AS bp) FROM idle WHERE bp <> 0)"""
+
+
+@query(MASKED + COMMON + REPRESENTATIVE)
+def representative_mw_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.representative_quantities(_idle(spark, sf_dir), masked=True), "mw", "bp", "hsl")
+
+
+@query(OFFERS + COMMON + "SELECT resource_type, step, round(avg(price), 6) AS price FROM (SELECT resource_type, step, ts, avg(price) AS price FROM common GROUP BY ALL) GROUP BY ALL")
+def representative_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.representative_prices(offers(spark, sf_dir)), "price")
+
+
+@query(OFFERS + """, q AS (SELECT resource_type, step, avg(mw) AS mw, avg(bp) AS bp, avg(hsl) AS hsl, avg(price) AS price FROM offers GROUP BY ALL)
+SELECT resource_type, round(avg(bp), 6) AS bp, round(avg(hsl), 6) AS hsl, round(arg_max(price, mw) FILTER (mw <= bp), 6) AS bid_price,
+       (SELECT round(avg(value), 6) FROM events) AS market_mean, (SELECT round(stddev_pop(value), 6) FROM events) AS market_std FROM q GROUP BY ALL""")
+def bid_vs_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = offers(spark, sf_dir).groupBy("resource_type", "step").agg(*[F.avg(c).alias(c) for c in ("mw", "bp", "hsl", "price")])
+    return rounded(curves.typical_bid(means.drop("price"), means.select("resource_type", "step", "price"), events_as_prices(spark, sf_dir)), "bp", "hsl", "bid_price", "market_mean", "market_std")
+
+
+@query(OFFERS + """, base AS (
+  SELECT resource_type, sum(bp) AS total_bp FROM (SELECT DISTINCT resource_type, resource_name, ts, bp FROM offers) GROUP BY 1),
+steps AS (
+  SELECT *, sum(step_mw) OVER (PARTITION BY resource_type ORDER BY step) AS until FROM (SELECT resource_type, step, sum(mw) AS step_mw FROM offers GROUP BY ALL)),
+target AS (
+  SELECT resource_type, total_bp, min(step) AS step, arg_min(until - step_mw, step) AS before_step FROM steps JOIN base USING (resource_type) WHERE until > total_bp + 0.000001 GROUP BY ALL),
+merit AS (
+  SELECT o.*, total_bp, before_step + sum(mw) OVER (PARTITION BY o.resource_type ORDER BY price, resource_name, ts ROWS UNBOUNDED PRECEDING) AS cumulative
+  FROM offers o JOIN target t ON o.resource_type = t.resource_type AND o.step = t.step)
+SELECT resource_type, round(total_bp, 6) AS total_bp, step, resource_name, ts, round(price, 6) AS price, mw, round(cumulative - mw, 6) AS cumulative_before
+FROM merit WHERE cumulative > total_bp + 0.000001 QUALIFY row_number() OVER (PARTITION BY resource_type ORDER BY cumulative, price, resource_name, ts) = 1""")
+def marginal_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.marginal_unit(offers(spark, sf_dir), tolerance=1e-6), "total_bp", "price", "cumulative_before")
+
+
+@query(OFFERS + """, c AS (SELECT *, sum(mw) OVER (PARTITION BY resource_type, resource_name, ts ORDER BY step ROWS UNBOUNDED PRECEDING) AS cum FROM offers)
+SELECT resource_type, (hour(ts) + 1)::INT AS hour, step, round(sum(cum), 6) AS mw, round(sum(price * cum) / sum(cum), 6) AS price FROM c GROUP BY ALL""")
+def hourly_supply_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.hourly_supply(offers(spark, sf_dir)), "mw", "price")
+
+
+@query(OFFERS + "SELECT resource_type, step, round(quantile_cont(price, 0.25), 6) AS q1, round(quantile_cont(price, 0.5), 6) AS median, round(quantile_cont(price, 0.75), 6) AS q3, count(price) AS n FROM offers GROUP BY ALL HAVING count(price) >= 5")
+def price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.price_quartiles(offers(spark, sf_dir)), "q1", "median", "q3")
+
+
+@query(OFFERS + """, t AS (SELECT *, nullif(greatest(max(mw) OVER (PARTITION BY resource_type, resource_name, ts), hsl, bp), 0) AS top FROM offers),
+s AS (SELECT resource_type, sum(top) AS scale FROM (SELECT resource_type, resource_name, avg(top) AS top FROM (SELECT resource_type, resource_name, ts, max(top) AS top FROM t GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)
+SELECT resource_type, step, round(avg(mw / top) * any_value(scale), 6) AS mean, round(quantile_cont(mw / top, 0.25) * any_value(scale), 6) AS q25, round(quantile_cont(mw / top, 0.75) * any_value(scale), 6) AS q75,
+       round(avg(hsl / top) * any_value(scale), 6) AS hsl, round(avg(bp / top) * any_value(scale), 6) AS bp FROM t JOIN s USING (resource_type) GROUP BY ALL""")
+def rowmax_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.normalised_levels(offers(spark, sf_dir)), "mean", "q25", "q75", "hsl", "bp")
+
+
+@query(OFFERS + "SELECT resource_type, step, round(avg(f), 6) AS fraction FROM (SELECT resource_type, resource_name, step, avg(mw / hsl) AS f FROM offers WHERE hsl > 0 GROUP BY ALL) GROUP BY ALL")
+def strict_mw_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = offers(spark, sf_dir)
+    return rounded(curves.strict_fraction(rows.select(*curves.CELL, "step", F.col("mw").alias("value")), rows.select(*curves.CELL, F.col("hsl").alias("value")).distinct()), "fraction")
+
+
+@query(OFFERS + "SELECT resource_type, round(avg(mw), 6) AS mw FROM offers o WHERE step > (SELECT min(step) FROM offers p WHERE p.resource_type = o.resource_type) GROUP BY ALL")
+def avg_mw_skip_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(curves.average_without_first(offers(spark, sf_dir)), "mw")
+
+
+@query(OFFERS + "SELECT resource_type, step, round(avg(mw), 6) AS mw, round(avg(price), 6) AS price FROM offers GROUP BY ALL")
+def price_vs_mw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = offers(spark, sf_dir).groupBy("resource_type", "step").agg(F.avg("mw").alias("mw"), F.avg("price").alias("price"))
+    return rounded(curves.price_against_mw(means, means), "mw", "price")
+
+
+@query(OFFERS + "SELECT resource_type, step, count(DISTINCT resource_name) AS active FROM offers WHERE mw IS NOT NULL GROUP BY ALL")
+def active_per_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.active_by_step(offers(spark, sf_dir)).withColumn("active", F.col("active").cast("long"))
+
+
+@query(OFFERS + "SELECT resource_type, count(*) AS rows, count(DISTINCT resource_name) AS resources, count(DISTINCT ts) AS timestamps FROM offers GROUP BY ALL")
+def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.coverage_counts(offers(spark, sf_dir))
+
+
+@query()
+def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.reservoir(offers(spark, sf_dir).select("resource_type", "step", "resource_name", "ts", "price"), ["resource_type", "step"], 100)
+
+
+# --- clusters ---
+
+
+@query("SELECT label, count(*) AS units, count(*) / sum(count(*)) OVER () AS share FROM embeddings GROUP BY label")
+def cluster_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.population(table(spark, sf_dir, "embeddings"), "label")
+
+
+@query("""
+SELECT c_mktsegment, count(*) AS units, round(sum(c_acctbal), 2) AS sum, round(avg(c_acctbal), 6) AS mean, round(median(c_acctbal), 6) AS median, round(stddev_samp(c_acctbal), 6) AS std,
+       min(c_acctbal) AS min, max(c_acctbal) AS max, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(quantile_cont(c_acctbal, 0.25), 6) AS q1, round(quantile_cont(c_acctbal, 0.75), 6) AS q3 FROM customer GROUP BY 1""")
+def cluster_capacity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = clusters.population(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal")
+    return rounded(rounded(rounded(made, "mean", "median", "std", "q1", "q3"), "sum", digits=2), "share", digits=6)
+
+
+ATTRIBUTES = """
+WITH a AS (SELECT c_mktsegment, 'nation' AS attribute, n_name AS category, count(*) AS units FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
+  UNION ALL SELECT c_mktsegment, 'region', r_name, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
+d AS (SELECT *, units / sum(units) OVER (PARTITION BY c_mktsegment, attribute) AS share FROM a)"""
+
+
+def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    units = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    units = units.select("c_mktsegment", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+    return clusters.attribute_distribution(units, "c_mktsegment", ["nation", "region"])
+
+
+@query(ATTRIBUTES + "SELECT c_mktsegment, attribute, category, units, round(share, 6) AS share FROM d")
+def attribute_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_attributed(spark, sf_dir), "share", digits=6)
+
+
+@query(ATTRIBUTES + "SELECT c_mktsegment, attribute, category, units, round(share, 6) AS share FROM d QUALIFY row_number() OVER (PARTITION BY c_mktsegment, attribute ORDER BY units DESC, category) = 1")
+def dominant_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(clusters.dominant(_attributed(spark, sf_dir), "c_mktsegment"), "share", digits=6)
+
+
+@query(ATTRIBUTES + """
+SELECT c_mktsegment, coalesce(sum(units) FILTER (category = 'ASIA'), 0)::BIGINT AS region_asia, coalesce(sum(units) FILTER (category = 'MIDDLE EAST'), 0)::BIGINT AS region_middle_east FROM d WHERE attribute = 'region' GROUP BY 1""")
+def wide_attribute_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.wide_distribution(_attributed(spark, sf_dir), "c_mktsegment", ["region_asia", "region_middle_east"])
+
+
+POINTS = """
+WITH p AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS value, unnest(range(len(embedding))) AS point FROM embeddings),
+c AS (SELECT label, point, avg(value) AS centre FROM p GROUP BY ALL)"""
+
+
+@query(POINTS + """, a AS (SELECT point, avg(value) AS whole FROM p GROUP BY ALL),
+f AS (SELECT label, vec_id, sqrt(avg((value - centre) ** 2)) AS distance FROM p JOIN c USING (label, point) GROUP BY ALL),
+o AS (SELECT label, sqrt(avg((centre - whole) ** 2)) AS distinctiveness FROM c JOIN a USING (point) GROUP BY ALL)
+SELECT label, round(avg(distance), 6) AS mean_distance, round(max(distance), 6) AS max_distance, count(*) AS units, round(any_value(distinctiveness), 6) AS distinctiveness FROM f JOIN o USING (label) GROUP BY label""")
+def curve_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(clusters.dispersion(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding"), "mean_distance", "max_distance", "distinctiveness")
+
+
+@query(POINTS + "SELECT label, round(arg_min(centre, point), 6) AS first, round(arg_max(centre, point), 6) AS last, arg_max(point, abs(centre))::INT AS peak_point, round((arg_max(centre, point) - arg_min(centre, point)) / max(point), 6) AS slope FROM c GROUP BY label")
+def curve_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(clusters.shape(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding"), "first", "last"), "slope", digits=6)
+
+
+@query("""
+SELECT p_type, feature, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3
+FROM (SELECT p_type, p_size::DOUBLE AS p_size, p_retailprice FROM part) UNPIVOT (value FOR feature IN (p_size, p_retailprice)) GROUP BY ALL""")
+def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(clusters.feature_statistics(table(spark, sf_dir, "part"), "p_type", ["p_size", "p_retailprice"]), "mean", "median", "std", "q1", "q3")
+
+
+@query("""
+WITH s AS (SELECT label, vec_id, list_sort(embedding::DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.label, a.vec_id, round(sum(list_sum(list_transform(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2]))) / len(a.v)), 9) AS total FROM s a JOIN s b USING (label) GROUP BY ALL)
+SELECT label, vec_id AS medoid, round(total, 6) AS total_distance FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY total, vec_id) = 1""")
+def cluster_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return rounded(clusters.medoids(vectors, "label", "vec_id", "embedding"), "total_distance")
+
+
+RANKED = "WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rank, count(*) OVER (PARTITION BY o_custkey) AS matches FROM orders) "
+
+
+@query(RANKED + "SELECT o_custkey, o_orderkey, o_totalprice, rank::INT AS rank, matches FROM r")
+def ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.rank_matches(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_totalprice", ["o_orderkey"])
+
+
+@query(RANKED + """
+SELECT c_custkey AS o_custkey, max(o_orderkey) FILTER (rank = 1) AS primary_match, string_agg(o_orderkey::VARCHAR, ' | ' ORDER BY rank) AS all_matches, count(o_orderkey) AS match_count,
+       CASE count(o_orderkey) WHEN 0 THEN 'unmatched' WHEN 1 THEN 'single_match' ELSE 'multiple_matches' END AS match_status FROM customer LEFT JOIN r ON o_custkey = c_custkey GROUP BY 1""")
+def primary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = clusters.rank_matches(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_totalprice", ["o_orderkey"])
+    return clusters.primary_matches(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")), ranked, "o_custkey", "o_orderkey")
+
+
+# --- descriptive ---
+
+
+@query("SELECT l_returnflag AS fuel, month(l_shipdate)::INT AS month, round(avg(l_extendedprice / nullif((l_quantity - 1) * 1000, 0)) * 1e6, 6) AS heat_rate FROM lineitem WHERE l_quantity <> 1 GROUP BY ALL")
+def heat_rate_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("fuel"), F.month("l_shipdate").alias("month"), values.ratio("l_extendedprice", (F.col("l_quantity") - 1) * 1000).alias("heat_rate"))
+    return rounded(descriptive.monthly_heat_rate(rows, "fuel"), "heat_rate")
+
+
+@query("""
+WITH r AS (SELECT CASE WHEN p_type NOT IN ('ECONOMY', 'STANDARD') THEN p_type WHEN p_name LIKE '%gear%' THEN 'GEAR' WHEN p_name LIKE '%red%' THEN 'RED' ELSE p_type END AS p_type, p_retailprice FROM part)
+SELECT p_type, count(p_retailprice) AS count, round(sum(p_retailprice), 2) AS sum, round(avg(p_retailprice), 6) AS mean, round(median(p_retailprice), 6) AS median, min(p_retailprice) AS min, max(p_retailprice) AS max FROM r WHERE p_type <> 'PROMO' GROUP BY 1""")
+def category_recode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = descriptive.recode(table(spark, sf_dir, "part"), "p_type", "p_name", parents=["ECONOMY", "STANDARD"], patterns=[("red", "RED"), ("gear", "GEAR")])
+    return rounded(rounded(descriptive.category_summary(rows, "p_type", "p_retailprice", ["PROMO"]), "mean", "median"), "sum", digits=2)
+
+
+@query("SELECT a.c AS p_brand, a.v AS left_value, b.v AS right_value FROM (SELECT p_brand AS c, min(p_size) AS v FROM part GROUP BY 1) a JOIN (SELECT p_brand AS c, max(p_size) AS v FROM part GROUP BY 1) b USING (c)")
+def property_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    rows = part.groupBy("p_brand").agg(F.min("p_size").alias("low"), F.max("p_size").alias("high")).unpivot(["p_brand"], ["low", "high"], "Property", "Value")
+    return descriptive.property_pairs(rows, "low", "high", child="p_brand")
+
+
+BUCKETS = "WITH b AS (SELECT split_part(p_name, ' ', 1) AS bucket, p_type FROM part), f AS (SELECT bucket, list_sort(list(DISTINCT p_type)) AS fuels FROM b GROUP BY 1) "
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", 1).alias("bucket"), "p_type")
+
+
+@query(BUCKETS + "SELECT array_to_string(fuels, '|') AS type, count(*) AS count FROM f GROUP BY 1")
+def bucket_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descriptive.bucket_types(_bucketed(spark, sf_dir), "bucket", "p_type")
+
+
+@query(BUCKETS + "SELECT p_type, count(*) AS count FROM b WHERE bucket IN (SELECT bucket FROM f WHERE list_contains(fuels, 'PROMO')) GROUP BY 1")
+def target_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descriptive.in_buckets_with(_bucketed(spark, sf_dir), "bucket", "p_type", "PROMO")
+
+
+@query("""
+WITH h AS (SELECT user_id AS resource_name, date_trunc('hour', ts) AS ts, round(sum(value), 6) AS value FROM events GROUP BY ALL),
+o AS (SELECT * FROM h WHERE hour(ts) >= CASE WHEN month(ts) IN (11, 12, 1) THEN 18 WHEN month(ts) IN (10, 2) THEN 19 WHEN month(ts) IN (9, 6) THEN 20 ELSE 21 END OR hour(ts) <= 6)
+SELECT a.* FROM o a SEMI JOIN o b ON a.resource_name = b.resource_name AND a.ts = b.ts + INTERVAL 1 HOUR SEMI JOIN o c ON a.resource_name = c.resource_name AND a.ts = c.ts - INTERVAL 1 HOUR""")
+def off_peak_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hourly = rounded(series(spark, sf_dir).groupBy("resource_name", values.hour_start("ts").alias("ts")).agg(F.sum("value").alias("value")), "value")
+    return descriptive.supported(descriptive.off_peak(hourly), "resource_name")
+
+
+@query("SELECT user_id AS resource_name, count(*) AS hours, round(sum(value), 6) AS total FROM events GROUP BY 1")
+def hour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(descriptive.hour_counts(series(spark, sf_dir), "resource_name", "value"), "total")
+
+
+@query("SELECT event_id, value, row_number() OVER (ORDER BY value DESC, event_id) AS position FROM events")
+def load_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.duration_curve(series(spark, sf_dir).select("event_id", "value"), "value", ["event_id"]).select("event_id", "value", F.col("position").cast("long"))
+
+
+def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*[e for y in (1996, 1997) for e in (F.count_if(F.year("o_orderdate") == y).alias(f"Number of Plants {y + 10}"), F.round(F.sum(F.when(F.year("o_orderdate") == y, F.col("o_totalprice"))), 2).alias(f"Dispatch (GWh) {y + 10}"))])
+
+
+@query("""
+SELECT o_orderpriority, (y.y + 10)::INT AS year, count(*) FILTER (year(o_orderdate) = y.y)::DOUBLE AS plants, round(sum(o_totalprice) FILTER (year(o_orderdate) = y.y), 2) AS dispatch FROM orders CROSS JOIN (VALUES (1996), (1997)) y(y) GROUP BY ALL""")
+def two_family_unpivot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names_ = [(f"Number of Plants {y}", f"Dispatch (GWh) {y}") for y in (2006, 2007)]
+    return descriptive.two_families(_years(spark, sf_dir), ["o_orderpriority"], [a for a, _ in names_], [b for _, b in names_], ("plants", "dispatch"))
+
+
+@query("SELECT event_type, count(*) AS count FROM events GROUP BY 1")
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.value_counts(table(spark, sf_dir, "events"), ["event_type"])
+
+
+@query("SELECT 'rows' AS metric, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'customers', count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'mean_price', round(avg(o_totalprice), 6) FROM orders")
+def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(frames.metric_table(table(spark, sf_dir, "orders"), {"rows": F.count("*"), "customers": F.countDistinct("o_custkey"), "mean_price": F.avg("o_totalprice")}), "value")
+
+
+@query("""
+WITH s AS (SELECT min(value) AS a, max(value) AS b, count(*) AS n, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS q FROM events),
+k AS (SELECT a, b, ceil((b - a) / least((b - a) / (log2(n) + 1), 2 * q / cbrt(n)))::INT AS bins FROM s)
+SELECT least(floor((value - a) / (b - a) * bins) + 1, bins)::INT AS bin, round(a + (least(floor((value - a) / (b - a) * bins) + 1, bins) - 1) * (b - a) / bins, 6) AS low, round(a + least(floor((value - a) / (b - a) * bins) + 1, bins) * (b - a) / bins, 6) AS high, count(*) AS count
+FROM events, k GROUP BY ALL""")
+def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(frames.histogram(series(spark, sf_dir), "value"), "low", "high")
+
+
+# --- linkage ---
+
+
+@query("""
+SELECT s_suppkey, regexp_replace(upper(trim(s_name)), '\\s+', ' ', 'g') AS clean, regexp_replace(upper(s_name), '[^A-Z0-9]+', '', 'g') AS key, regexp_extract(upper(trim(s_name)), '^[A-Z0-9]+') AS family, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '_') AS token FROM supplier""")
+def normalised_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select("s_suppkey", names.clean("s_name").alias("clean"), names.key("s_name").alias("key"), names.family("s_name").alias("family"), names.safe_token("s_name").alias("token"))
+
+
+@query("""
+SELECT s_suppkey, c_custkey, 'number_exact' AS method, 220 + CASE WHEN s_nationkey = c_nationkey THEN 10 ELSE 0 END + CASE WHEN abs(s_acctbal - c_acctbal) <= 1 THEN 8 WHEN abs(s_acctbal - c_acctbal) <= 5 THEN 5 WHEN abs(s_acctbal - c_acctbal) <= 20 THEN 2 ELSE 0 END AS score
+FROM supplier JOIN customer ON split_part(s_name, '#', 2) = split_part(c_name, '#', 2) WHERE split_part(s_name, '#', 2) <> ''""")
+def exact_key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("s_fuel"), "s_acctbal", F.split_part("s_name", F.lit("#"), F.lit(2)).alias("s_number"))
+    right = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("c_fuel"), "c_acctbal", F.split_part("c_name", F.lit("#"), F.lit(2)).alias("c_number"))
+    found = linkage.candidates(left, right, [linkage.Rule("number_exact", 220, "s_number", "c_number")])
+    score = F.col("score") + linkage.fuel_bonus("s_fuel", "c_fuel") + linkage.capacity_bonus("s_acctbal", "c_acctbal")
+    return found.select("s_suppkey", "c_custkey", "method", score.cast("int").alias("score"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'Y' ELSE 'N' END AS present FROM customer")
+def membership_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.flag_members(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders"), F.col("c_custkey").cast("string"), F.col("o_custkey").cast("string"), "present")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, l_suppkey::VARCHAR AS name, max(l_quantity) AS score FROM lineitem GROUP BY ALL),
+t AS (SELECT *, max(score) OVER (PARTITION BY l_orderkey) AS top, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, name DESC) AS n FROM c)
+SELECT l_orderkey, max(name) FILTER (n = 1) AS name, max(score) AS score, count(*) AS candidate_count, CASE WHEN count(*) FILTER (score = top) > 1 THEN 'ambiguous' ELSE 'matched' END AS status,
+       coalesce(string_agg(name, ' | ' ORDER BY n) FILTER (n BETWEEN 2 AND 6), '') AS alternatives FROM t GROUP BY 1""")
+def best_match_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_suppkey").cast("string").alias("name")).agg(F.max("l_quantity").alias("score"))
+    return linkage.decide(found, ["l_orderkey"], "name")
+
+
+@query("""
+WITH o AS (SELECT s_suppkey AS k, arg_max(nullif(trim(s_name), ''), s_nationkey * 100000 + s_suppkey) AS v FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1)
+SELECT c_custkey, coalesce(o.v, c_name) AS c_name FROM customer LEFT JOIN o ON k = c_custkey""")
+def override_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    overrides = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), "s_nationkey")
+    return frames.overlay(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), overrides, "c_custkey", ["c_name"], "s_nationkey")
+
+
+@query("""
+WITH m AS (SELECT c_mktsegment, CASE WHEN c_acctbal IS NULL THEN 'Unmatched' WHEN c_acctbal >= 5000 THEN 'High' WHEN c_acctbal >= 0 THEN 'Medium' ELSE 'Low' END AS band FROM customer),
+g AS (SELECT c_mktsegment, b.band, b.band_order FROM (SELECT DISTINCT c_mktsegment FROM m) CROSS JOIN (VALUES ('High', 1), ('Medium', 2), ('Low', 3), ('Unmatched', 4)) b(band, band_order)),
+n AS (SELECT g.*, coalesce(c.n, 0) AS n FROM g LEFT JOIN (SELECT c_mktsegment, band, count(*) AS n FROM m GROUP BY ALL) c USING (c_mktsegment, band))
+SELECT c_mktsegment, band, n, round(n / sum(n) OVER (PARTITION BY c_mktsegment), 6) AS share, band_order::BIGINT AS band_order FROM n""")
+def completed_share_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = table(spark, sf_dir, "customer").select("c_mktsegment", F.when(F.col("c_acctbal") >= 5000, 220).when(F.col("c_acctbal") >= 0, 165).otherwise(F.when(F.col("c_acctbal").isNotNull(), 0)).alias("score"))
+    return rounded(linkage.banded_counts(scored, "c_mktsegment", "score"), "share", digits=6)
+
+
+@query("""
+WITH d AS (SELECT c_mktsegment, c_custkey, count(o_orderkey) AS uses FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+s AS (SELECT c_mktsegment, count(*) AS resources, count(*) FILTER (uses > 0) AS used, count(*) FILTER (uses > 1) AS repeated FROM d GROUP BY 1 UNION ALL SELECT 'ALL', count(*), count(*) FILTER (uses > 0), count(*) FILTER (uses > 1) FROM d)
+SELECT *, used / resources AS part FROM s""")
+def coverage_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = table(spark, sf_dir, "customer").select("c_mktsegment", F.col("c_custkey").cast("string").alias("name"))
+    return linkage.used_resources(units, table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("matched")), "name", "matched", "c_mktsegment")["summary"]
+
+
+@query("""
+SELECT 'overall' AS section, 'ALL' AS value, count(*) AS n, round(avg(o_totalprice), 6) AS mean FROM orders
+UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*), round(avg(o_totalprice), 6) FROM orders GROUP BY 2
+UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*), round(avg(o_totalprice), 6) FROM orders GROUP BY 2""")
+def sectioned_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(frames.sectioned(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], [F.count("*").alias("n"), F.avg("o_totalprice").alias("mean")]), "mean")
+
+
+@query("""
+WITH c AS (SELECT p_brand AS plant, sum(p_size)::DOUBLE AS capacity, CASE WHEN count(*) FILTER (p_type IN ('PROMO', 'SMALL')) * 2 >= count(*) THEN 'SOLAR' ELSE 'WIND' END AS fuel, count(*) AS units FROM part GROUP BY 1),
+b AS (SELECT p_brand AS plant, sum(p_retailprice) / 60 AS base FROM part GROUP BY 1)
+SELECT plant, capacity, fuel, units, round(base, 6) AS base, round(base / capacity, 6) AS part, round(base - capacity, 6) AS over, base / capacity >= CASE fuel WHEN 'WIND' THEN 0.60 ELSE 0.50 END AS discrepancy FROM c JOIN b USING (plant)""")
+def capacity_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    capacity = part.select(F.col("p_brand").alias("plant"), F.when(F.col("p_type").isin("PROMO", "SMALL"), "SOLAR").otherwise("WIND").alias("fuel"), F.col("p_size").cast("double").alias("capacity"))
+    base = part.select(F.col("p_brand").alias("plant"), (F.col("p_retailprice") / 60).alias("base"))
+    return rounded(linkage.reconcile(capacity, base, "plant", "fuel"), "base", "part", "over")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN 'matched' WHEN o_totalprice < 0 THEN 'unmatched_cancelled' WHEN o_orderkey % 3 = 0 THEN 'unmatched_retired' WHEN o_orderkey % 5 = 0 THEN 'unmatched_inactive' WHEN o_orderkey % 7 = 0 THEN 'unmatched_in_progress' ELSE 'unmatched' END AS status FROM orders""")
+def status_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").withColumn("state", F.when(F.col("o_orderstatus") == "O", "unmatched").otherwise("matched"))
+    key = F.col("o_orderkey")
+    return rows.select("o_orderkey", linkage.unmatched_reason("state", F.col("o_totalprice") < 0, key % 3 == 0, key % 5 == 0, key % 7 == 0).alias("status"))
+
+
+@query()
+def fuzzy_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    left = part.select(names.clean("p_name").alias("a"), linkage.prefixes(names.clean("p_name")).alias("ab")).distinct()
+    right = table(spark, sf_dir, "supplier").select(names.clean("s_name").alias("b"), linkage.prefixes(names.clean("s_name")).alias("bb")).unionByName(part.select(names.clean(F.concat_ws(" ", F.substring_index("p_name", " ", 1), "p_brand")).alias("b"), linkage.prefixes(names.clean("p_name")).alias("bb")).distinct())
+    return linkage.close_matches(left, right, "a", "b", least=0.6, top=5, block=("ab", "bb"))
+
+
+@query()
+def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = F.col("s_nationkey").cast("string")
+    left = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("plant"), F.col("c_custkey").cast("string").alias("unit"), "c_acctbal")
+    right = table(spark, sf_dir, "supplier").select(nation.alias("plant"), F.col("s_suppkey").cast("string").alias("resource"), "s_acctbal")
+    pairs = left.join(right, "plant").withColumn("points", F.greatest(F.lit(0), F.floor(100 - F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 20)).cast("int"))
+    return linkage.assign_one_to_one(pairs, "plant", "unit", "resource", "points", "s_acctbal")
