@@ -32,7 +32,7 @@ from voltloom.llm.shingles import mix, shingle_sequences, shingle_sets
 #: Threshold as a ratio of whole numbers: link when DEN * both >= NUM * either.
 NUM, DEN = 80, 100
 #: Min-hashes that make groups, and members of a group compared in one task.
-ROUNDS, CHUNK = 2, 200
+ROUNDS, CHUNK = 4, 200
 #: A head is longer by 1 / EXTRA of the set than one common shingle needs, so that more must be in common.
 EXTRA = 25
 #: Common shingles whose order by frequency is kept (any order is exact; the bound is on memory).
@@ -254,11 +254,12 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # the token-group matrix over the heads' shingles that more than one group has
     sizes = stars.groupBy("component").agg(F.count("*").alias("members"))
-    grouped = one.join(stars.join(sizes, "component").withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    grouped = grouped.select("doc_id", "n", F.coalesce("component", "doc_id").alias("of"), F.coalesce("members", F.lit(1).cast("long")).alias("members"), F.posexplode("head").alias("place", "token"))
+    grouped = one.join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    grouped = grouped.select("doc_id", F.coalesce("component", "doc_id").alias("of"), F.posexplode("head").alias("place", "token"))
     by_token = W.partitionBy("token")
     shared = grouped.withColumn("least", F.min("of").over(by_token)).withColumn("most", F.max("of").over(by_token)).filter("least <> most").drop("least", "most")
-    shared = space.settle(shared, "shared")
+    shared = space.settle(shared, "heads").join(one.select("doc_id", "n").distinct(), "doc_id").join(sizes.withColumnRenamed("component", "of"), "of", "left")
+    shared = space.settle(shared.withColumn("members", F.coalesce("members", F.lit(1).cast("long"))), "shared")
     matrix = shared.groupBy("token", F.col("of").alias("group"), F.col("members").alias("group_members")).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
     # a smaller group asks a larger one; between equals the larger id asks
     asks = (F.col("members") < F.col("group_members")) | ((F.col("members") == F.col("group_members")) & (F.col("of") > F.col("group")))
