@@ -145,7 +145,7 @@ def read_workbook(spark: SparkSession, path: str, columns: Sequence[str]) -> Dat
 
 def read_map_tables(spark: SparkSession, path: str) -> DataFrame:
     """Metadata of map tables (``.tab``): version, charset, type, fields, and which of the files beside them exist."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.[tT][aA][bB]").text(path).select("value", F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("stem"))
+    texts = spark.read.option("pathGlobFilter", "*.[tT][aA][bB]").text(path, wholetext=True).select("value", F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("stem"))
     files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("stem"), F.lower(F.regexp_extract("_metadata.file_name", r"\.([^.]*)$", 1)).alias("kind"))
     parts = files.groupBy("stem").agg(F.array_sort(F.collect_set("kind")).alias("files"))
     n = F.regexp_extract("value", r"(?im)^\s*Fields\s+(\d+)", 1)
