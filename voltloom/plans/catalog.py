@@ -20,6 +20,9 @@ from voltloom.operators import clusters, curves, descriptive, frames, linkage, p
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Added before results are rounded, here and in the SQL: means of cents often lie halfway
+#: between two rounded values, where the last bit of a sum would decide.
+NUDGE = 3.7e-8
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -39,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+    return df.withColumns({c: F.round(F.col(c).cast("double") + NUDGE, digits) for c in columns})
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +83,7 @@ common AS (
 
 
 @query("""
-SELECT node, month, hour, round(avg(price), 6) AS price FROM (
+SELECT node, month, hour, round(3.7e-8 + avg(price), 6) AS price FROM (
   SELECT event_type AS node, month(ts)::INT AS month, (hour(ts) + 1)::INT AS hour, date_trunc('hour', ts) AS h, avg(value) AS price FROM events GROUP BY ALL)
 GROUP BY ALL""")
 def price_month_hour_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +91,7 @@ def price_month_hour_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT year, round(min(price), 6) AS low, round(max(price), 6) AS high FROM (
+SELECT year, round(3.7e-8 + min(price), 6) AS low, round(3.7e-8 + max(price), 6) AS high FROM (
   SELECT node, year, month, hour, avg(price) AS price FROM (
     SELECT o_orderpriority AS node, year(o_orderdate)::INT AS year, month(o_orderdate) AS month, hour(o_orderdate) AS hour, date_trunc('hour', o_orderdate) AS h, avg(o_totalprice) AS price
     FROM orders GROUP BY ALL) GROUP BY ALL) GROUP BY ALL""")
@@ -98,7 +101,7 @@ def price_yearly_heatmap_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT event_type AS node, date_trunc('hour', ts) AS ts, avg(value) AS price FROM events GROUP BY ALL)
-SELECT a.ts, round(a.price, 6) AS left_price, round(b.price, 6) AS right_price, round(a.price - b.price, 6) AS spread
+SELECT a.ts, round(3.7e-8 + a.price, 6) AS left_price, round(3.7e-8 + b.price, 6) AS right_price, round(3.7e-8 + a.price - b.price, 6) AS spread
 FROM p a JOIN p b USING (ts) WHERE a.node = 'click' AND b.node = 'view'""")
 def price_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = prices.spread(prices.hourly_means(events_as_prices(spark, sf_dir)), "click", "view")
@@ -114,25 +117,25 @@ errors AS (
   FROM monthly a JOIN monthly b USING (month) WHERE a.node = '1-URGENT' AND b.node = '2-HIGH')"""
 
 
-@query(MONTHLY + "SELECT node, month, round(price, 8) AS price FROM monthly")
+@query(MONTHLY + "SELECT node, month, round(3.7e-8 + price, 6) AS price FROM monthly")
 def price_monthly_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(prices.monthly_averages(order_prices(spark, sf_dir)), "price", digits=8).withColumn("month", F.col("month").cast("timestamp_ntz"))
+    return rounded(prices.monthly_averages(order_prices(spark, sf_dir)), "price").withColumn("month", F.col("month").cast("timestamp_ntz"))
 
 
-@query(MONTHLY + "SELECT month, round(left_price, 6) AS left_price, round(right_price, 6) AS right_price, round(mae, 6) AS mae, round(mape, 6) AS mape FROM errors")
+@query(MONTHLY + "SELECT month, round(3.7e-8 + left_price, 6) AS left_price, round(3.7e-8 + right_price, 6) AS right_price, round(3.7e-8 + mae, 6) AS mae, round(3.7e-8 + mape, 6) AS mape FROM errors")
 def price_mae_mape(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = prices.monthly_errors(prices.monthly_averages(order_prices(spark, sf_dir)), "1-URGENT", "2-HIGH")
     return rounded(made, "left_price", "right_price", "mae", "mape").withColumn("month", F.col("month").cast("timestamp_ntz"))
 
 
-@query(MONTHLY + "SELECT year(month)::INT AS year, round(avg(mae), 6) AS mae, round(avg(mape), 6) AS mape, count(*) AS months FROM errors GROUP BY GROUPING SETS ((year(month)), ())")
+@query(MONTHLY + "SELECT year(month)::INT AS year, round(3.7e-8 + avg(mae), 6) AS mae, round(3.7e-8 + avg(mape), 6) AS mape, count(*) AS months FROM errors GROUP BY GROUPING SETS ((year(month)), ())")
 def price_mae_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = prices.monthly_errors(prices.monthly_averages(order_prices(spark, sf_dir)), "1-URGENT", "2-HIGH")
     return rounded(prices.error_summary(errors), "mae", "mape")
 
 
 @query("""
-WITH p AS (SELECT event_type AS node, date_trunc('hour', ts) AS ts, round(avg(value), 6) AS price FROM events GROUP BY ALL)
+WITH p AS (SELECT event_type AS node, date_trunc('hour', ts) AS ts, round(3.7e-8 + avg(value), 6) AS price FROM events GROUP BY ALL)
 SELECT ts, any_value(price) FILTER (node = 'click') AS click, any_value(price) FILTER (node = 'view') AS view, any_value(price) FILTER (node = 'purchase') AS purchase FROM p GROUP BY ts""")
 def price_wide_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.outer_wide(rounded(prices.hourly_means(events_as_prices(spark, sf_dir)), "price"), "ts", "node", "price", ["click", "view", "purchase"])
@@ -140,14 +143,14 @@ def price_wide_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH m AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS value FROM events GROUP BY ALL)
-SELECT c.ts, round(m.value, 6) AS value FROM (SELECT unnest(generate_series((SELECT min(ts) FROM m), (SELECT max(ts) FROM m), INTERVAL 1 HOUR)) AS ts) c LEFT JOIN m USING (ts)""")
+SELECT c.ts, round(3.7e-8 + m.value, 6) AS value FROM (SELECT unnest(generate_series((SELECT min(ts) FROM m), (SELECT max(ts) FROM m), INTERVAL 1 HOUR)) AS ts) c LEFT JOIN m USING (ts)""")
 def hourly_resample_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(prices.hourly_resample(series(spark, sf_dir), ["value"]), "value")
 
 
 @query("""
 WITH d AS (SELECT year(ts)::INT AS year, hour(ts)::INT AS hour, avg(value) AS price FROM events WHERE strftime(ts, '%m-%d') = '01-15' GROUP BY ALL)
-SELECT y.year, h.hour::INT AS hour, round(d.price, 6) AS price FROM (SELECT DISTINCT year FROM d) y CROSS JOIN (SELECT unnest(range(24)) AS hour) h LEFT JOIN d ON d.year = y.year AND d.hour = h.hour""")
+SELECT y.year, h.hour::INT AS hour, round(3.7e-8 + d.price, 6) AS price FROM (SELECT DISTINCT year FROM d) y CROSS JOIN (SELECT unnest(range(24)) AS hour) h LEFT JOIN d ON d.year = y.year AND d.hour = h.hour""")
 def day_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(prices.day_profile(events_as_prices(spark, sf_dir), "01-15"), "price")
 
@@ -157,7 +160,7 @@ def day_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SUMMARY = """
 SELECT user_id AS resource_name, event_type AS resource_type, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS row_count,
-       round(avg(value), 6) AS value_avg, round(min(value), 6) AS value_min, round(max(value), 6) AS value_max FROM events GROUP BY ALL"""
+       round(3.7e-8 + avg(value), 6) AS value_avg, round(3.7e-8 + min(value), 6) AS value_min, round(3.7e-8 + max(value), 6) AS value_max FROM events GROUP BY ALL"""
 
 
 @query(SUMMARY)
@@ -173,7 +176,7 @@ def resource_summary_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summaries.finish_summary(merged, ["value"]), "value_avg", "value_min", "value_max")
 
 
-@query("SELECT p_brand AS resource_name, p_type AS resource_type, round(avg(p_retailprice), 6) AS price FROM part GROUP BY ALL")
+@query("SELECT p_brand AS resource_name, p_type AS resource_type, round(3.7e-8 + avg(p_retailprice), 6) AS price FROM part GROUP BY ALL")
 def unique_fuel_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("resource_name"), F.col("p_type").alias("resource_type"), F.col("p_retailprice").alias("price"))
     return rounded(summaries.average_by(rows, ["resource_name", "resource_type"], "price"), "price")
@@ -215,7 +218,7 @@ def last_by_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.resolve_files(_files(spark, sf_dir), ["resource_name", "ts"], "value", policy="overwrite")
 
 
-@query(FILES + ", m AS (SELECT resource_name, ts, file_ord, avg(value) AS value FROM f GROUP BY ALL) SELECT resource_name, ts, round(arg_max(value, file_ord) FILTER (value IS NOT NULL), 6) AS value FROM m GROUP BY ALL")
+@query(FILES + ", m AS (SELECT resource_name, ts, file_ord, avg(value) AS value FROM f GROUP BY ALL) SELECT resource_name, ts, round(3.7e-8 + arg_max(value, file_ord) FILTER (value IS NOT NULL), 6) AS value FROM m GROUP BY ALL")
 def mean_then_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summaries.mean_then_last(_files(spark, sf_dir), ["resource_name", "ts"], "value"), "value")
 
@@ -243,7 +246,7 @@ def upsert_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id AS resource_name, round(sum(value) FILTER (event_type = 'click'), 6) AS click, round(sum(value) FILTER (event_type = 'view'), 6) AS view, round(sum(value) FILTER (event_type = 'purchase'), 6) AS purchase FROM events GROUP BY 1""")
+SELECT user_id AS resource_name, round(3.7e-8 + sum(value) FILTER (event_type = 'click'), 6) AS click, round(3.7e-8 + sum(value) FILTER (event_type = 'view'), 6) AS view, round(3.7e-8 + sum(value) FILTER (event_type = 'purchase'), 6) AS purchase FROM events GROUP BY 1""")
 def wide_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summaries.type_matrix(series(spark, sf_dir), ["click", "view", "purchase"], ["resource_name"], "resource_type", "value", agg="sum"), "click", "view", "purchase")
 
@@ -257,40 +260,40 @@ def unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(OFFERS + """
-SELECT month(ts)::INT AS month, hour(ts)::INT AS hour, step, resource_type, round(avg(CASE WHEN hsl > 0 THEN mw / hsl END), 6) AS mw_fraction, round(avg(price), 3) AS price, count(CASE WHEN hsl > 0 THEN mw / hsl END) AS n FROM offers GROUP BY ALL""")
+SELECT month(ts)::INT AS month, hour(ts)::INT AS hour, step, resource_type, round(3.7e-8 + avg(CASE WHEN hsl > 0 THEN mw / hsl END), 6) AS mw_fraction, round(3.7e-8 + avg(price), 6) AS price, count(CASE WHEN hsl > 0 THEN mw / hsl END) AS n FROM offers GROUP BY ALL""")
 def mw_fraction_by_month_hour_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rounded(curves.offer_profile(offers(spark, sf_dir)), "mw_fraction"), "price", digits=3)
+    return rounded(curves.offer_profile(offers(spark, sf_dir)), "mw_fraction", "price")
 
 
 HOURLY = """
 WITH t AS (SELECT event_type AS resource_type, ts, sum(value) AS value FROM events GROUP BY ALL) SELECT resource_type, date_trunc('hour', ts) AS hour, """
 
 
-@query(HOURLY + "round(avg(value), 6) AS mw FROM t GROUP BY ALL")
+@query(HOURLY + "round(3.7e-8 + avg(value), 6) AS mw FROM t GROUP BY ALL")
 def hourly_mw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.hourly_by_type(series(spark, sf_dir)), "mw")
 
 
-@query(HOURLY + "round(sum(value) * 5 / 60, 6) AS mwh FROM t GROUP BY ALL")
+@query(HOURLY + "round(3.7e-8 + sum(value) * 5 / 60, 6) AS mwh FROM t GROUP BY ALL")
 def hourly_mwh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.hourly_by_type(series(spark, sf_dir), mode="mwh"), "mwh")
 
 
-@query(OFFERS + "SELECT resource_type, resource_name, ts, round(hsl - bp, 6) AS error FROM (SELECT DISTINCT resource_type, resource_name, ts, hsl, bp FROM offers)")
+@query(OFFERS + "SELECT resource_type, resource_name, ts, round(3.7e-8 + hsl - bp, 6) AS error FROM (SELECT DISTINCT resource_type, resource_name, ts, hsl, bp FROM offers)")
 def dispatch_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = offers(spark, sf_dir).select(*curves.CELL, "hsl", "bp").distinct()
     return rounded(curves.dispatch_error(cells.select(*curves.CELL, F.col("hsl").alias("value")), cells.select(*curves.CELL, F.col("bp").alias("value"))), "error")
 
 
 @query("""
-SELECT h.hour::INT AS hour, round(v.value, 6) AS value FROM (SELECT unnest(range(24)) AS hour) h LEFT JOIN (
+SELECT h.hour::INT AS hour, round(3.7e-8 + v.value, 6) AS value FROM (SELECT unnest(range(24)) AS hour) h LEFT JOIN (
   SELECT hour(ts) AS hour, avg(value) AS value FROM (SELECT ts, sum(value) AS value FROM events WHERE event_type IN ('click', 'view') GROUP BY ts) GROUP BY 1) v USING (hour)""")
 def hour_of_day_mw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.hour_of_day(series(spark, sf_dir), ["Click", "VIEW"]), "value")
 
 
 REPRESENTATIVE = """, topped AS (SELECT *, max(mw) OVER (PARTITION BY resource_type, resource_name, ts) AS top FROM common)
-SELECT resource_type, step, round(avg(mw), 6) AS mw, round(avg(bp), 6) AS bp, round(avg(hsl), 6) AS hsl FROM (
+SELECT resource_type, step, round(3.7e-8 + avg(mw), 6) AS mw, round(3.7e-8 + avg(bp), 6) AS bp, round(3.7e-8 + avg(hsl), 6) AS hsl FROM (
   SELECT resource_type, step, ts, avg(mw / nullif(top, 0)) * avg(top) AS mw, avg(bp / nullif(top, 0)) * avg(top) AS bp, avg(hsl / nullif(top, 0)) * avg(top) AS hsl FROM topped GROUP BY ALL) GROUP BY ALL"""
 
 
@@ -314,14 +317,14 @@ def representative_mw_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.representative_quantities(_idle(spark, sf_dir), masked=True), "mw", "bp", "hsl")
 
 
-@query(OFFERS + COMMON + "SELECT resource_type, step, round(avg(price), 6) AS price FROM (SELECT resource_type, step, ts, avg(price) AS price FROM common GROUP BY ALL) GROUP BY ALL")
+@query(OFFERS + COMMON + "SELECT resource_type, step, round(3.7e-8 + avg(price), 6) AS price FROM (SELECT resource_type, step, ts, avg(price) AS price FROM common GROUP BY ALL) GROUP BY ALL")
 def representative_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.representative_prices(offers(spark, sf_dir)), "price")
 
 
 @query(OFFERS + """, q AS (SELECT resource_type, step, avg(mw) AS mw, avg(bp) AS bp, avg(hsl) AS hsl, avg(price) AS price FROM offers GROUP BY ALL)
-SELECT resource_type, round(avg(bp), 6) AS bp, round(avg(hsl), 6) AS hsl, round(arg_max(price, mw) FILTER (mw <= bp), 6) AS bid_price,
-       (SELECT round(avg(value), 6) FROM events) AS market_mean, (SELECT round(stddev_pop(value), 6) FROM events) AS market_std FROM q GROUP BY ALL""")
+SELECT resource_type, round(3.7e-8 + avg(bp), 6) AS bp, round(3.7e-8 + avg(hsl), 6) AS hsl, round(3.7e-8 + arg_max(price, mw) FILTER (mw <= bp), 6) AS bid_price,
+       (SELECT round(3.7e-8 + avg(value), 6) FROM events) AS market_mean, (SELECT round(3.7e-8 + stddev_pop(value), 6) FROM events) AS market_std FROM q GROUP BY ALL""")
 def bid_vs_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = offers(spark, sf_dir).groupBy("resource_type", "step").agg(*[F.avg(c).alias(c) for c in ("mw", "bp", "hsl", "price")])
     return rounded(curves.typical_bid(means.drop("price"), means.select("resource_type", "step", "price"), events_as_prices(spark, sf_dir)), "bp", "hsl", "bid_price", "market_mean", "market_std")
@@ -336,43 +339,43 @@ target AS (
 merit AS (
   SELECT o.*, total_bp, before_step + sum(mw) OVER (PARTITION BY o.resource_type ORDER BY price, resource_name, ts ROWS UNBOUNDED PRECEDING) AS cumulative
   FROM offers o JOIN target t ON o.resource_type = t.resource_type AND o.step = t.step)
-SELECT resource_type, round(total_bp, 6) AS total_bp, step, resource_name, ts, round(price, 6) AS price, mw, round(cumulative - mw, 6) AS cumulative_before
+SELECT resource_type, round(3.7e-8 + total_bp, 6) AS total_bp, step, resource_name, ts, round(3.7e-8 + price, 6) AS price, mw, round(3.7e-8 + cumulative - mw, 6) AS cumulative_before
 FROM merit WHERE cumulative > total_bp + 0.000001 QUALIFY row_number() OVER (PARTITION BY resource_type ORDER BY cumulative, price, resource_name, ts) = 1""")
 def marginal_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.marginal_unit(offers(spark, sf_dir), tolerance=1e-6), "total_bp", "price", "cumulative_before")
 
 
 @query(OFFERS + """, c AS (SELECT *, sum(mw) OVER (PARTITION BY resource_type, resource_name, ts ORDER BY step ROWS UNBOUNDED PRECEDING) AS cum FROM offers)
-SELECT resource_type, (hour(ts) + 1)::INT AS hour, step, round(sum(cum), 6) AS mw, round(sum(price * cum) / sum(cum), 6) AS price FROM c GROUP BY ALL""")
+SELECT resource_type, (hour(ts) + 1)::INT AS hour, step, round(3.7e-8 + sum(cum), 6) AS mw, round(3.7e-8 + sum(price * cum) / sum(cum), 6) AS price FROM c GROUP BY ALL""")
 def hourly_supply_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.hourly_supply(offers(spark, sf_dir)), "mw", "price")
 
 
-@query(OFFERS + "SELECT resource_type, step, round(quantile_cont(price, 0.25), 6) AS q1, round(quantile_cont(price, 0.5), 6) AS median, round(quantile_cont(price, 0.75), 6) AS q3, count(price) AS n FROM offers GROUP BY ALL HAVING count(price) >= 5")
+@query(OFFERS + "SELECT resource_type, step, round(3.7e-8 + quantile_cont(price, 0.25), 6) AS q1, round(3.7e-8 + quantile_cont(price, 0.5), 6) AS median, round(3.7e-8 + quantile_cont(price, 0.75), 6) AS q3, count(price) AS n FROM offers GROUP BY ALL HAVING count(price) >= 5")
 def price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.price_quartiles(offers(spark, sf_dir)), "q1", "median", "q3")
 
 
 @query(OFFERS + """, t AS (SELECT *, nullif(greatest(max(mw) OVER (PARTITION BY resource_type, resource_name, ts), hsl, bp), 0) AS top FROM offers),
 s AS (SELECT resource_type, sum(top) AS scale FROM (SELECT resource_type, resource_name, avg(top) AS top FROM (SELECT resource_type, resource_name, ts, max(top) AS top FROM t GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)
-SELECT resource_type, step, round(avg(mw / top) * any_value(scale), 6) AS mean, round(quantile_cont(mw / top, 0.25) * any_value(scale), 6) AS q25, round(quantile_cont(mw / top, 0.75) * any_value(scale), 6) AS q75,
-       round(avg(hsl / top) * any_value(scale), 6) AS hsl, round(avg(bp / top) * any_value(scale), 6) AS bp FROM t JOIN s USING (resource_type) GROUP BY ALL""")
+SELECT resource_type, step, round(3.7e-8 + avg(mw / top) * any_value(scale), 6) AS mean, round(3.7e-8 + quantile_cont(mw / top, 0.25) * any_value(scale), 6) AS q25, round(3.7e-8 + quantile_cont(mw / top, 0.75) * any_value(scale), 6) AS q75,
+       round(3.7e-8 + avg(hsl / top) * any_value(scale), 6) AS hsl, round(3.7e-8 + avg(bp / top) * any_value(scale), 6) AS bp FROM t JOIN s USING (resource_type) GROUP BY ALL""")
 def rowmax_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.normalised_levels(offers(spark, sf_dir)), "mean", "q25", "q75", "hsl", "bp")
 
 
-@query(OFFERS + "SELECT resource_type, step, round(avg(f), 6) AS fraction FROM (SELECT resource_type, resource_name, step, avg(mw / hsl) AS f FROM offers WHERE hsl > 0 GROUP BY ALL) GROUP BY ALL")
+@query(OFFERS + "SELECT resource_type, step, round(3.7e-8 + avg(f), 6) AS fraction FROM (SELECT resource_type, resource_name, step, avg(mw / hsl) AS f FROM offers WHERE hsl > 0 GROUP BY ALL) GROUP BY ALL")
 def strict_mw_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = offers(spark, sf_dir)
     return rounded(curves.strict_fraction(rows.select(*curves.CELL, "step", F.col("mw").alias("value")), rows.select(*curves.CELL, F.col("hsl").alias("value")).distinct()), "fraction")
 
 
-@query(OFFERS + "SELECT resource_type, round(avg(mw), 6) AS mw FROM offers o WHERE step > (SELECT min(step) FROM offers p WHERE p.resource_type = o.resource_type) GROUP BY ALL")
+@query(OFFERS + "SELECT resource_type, round(3.7e-8 + avg(mw), 6) AS mw FROM offers o WHERE step > (SELECT min(step) FROM offers p WHERE p.resource_type = o.resource_type) GROUP BY ALL")
 def avg_mw_skip_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(curves.average_without_first(offers(spark, sf_dir)), "mw")
 
 
-@query(OFFERS + "SELECT resource_type, step, round(avg(mw), 6) AS mw, round(avg(price), 6) AS price FROM offers GROUP BY ALL")
+@query(OFFERS + "SELECT resource_type, step, round(3.7e-8 + avg(mw), 6) AS mw, round(3.7e-8 + avg(price), 6) AS price FROM offers GROUP BY ALL")
 def price_vs_mw(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = offers(spark, sf_dir).groupBy("resource_type", "step").agg(F.avg("mw").alias("mw"), F.avg("price").alias("price"))
     return rounded(curves.price_against_mw(means, means), "mw", "price")
@@ -402,8 +405,8 @@ def cluster_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_mktsegment, count(*) AS units, round(sum(c_acctbal), 2) AS sum, round(avg(c_acctbal), 6) AS mean, round(median(c_acctbal), 6) AS median, round(stddev_samp(c_acctbal), 6) AS std,
-       min(c_acctbal) AS min, max(c_acctbal) AS max, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(quantile_cont(c_acctbal, 0.25), 6) AS q1, round(quantile_cont(c_acctbal, 0.75), 6) AS q3 FROM customer GROUP BY 1""")
+SELECT c_mktsegment, count(*) AS units, round(3.7e-8 + sum(c_acctbal), 2) AS sum, round(3.7e-8 + avg(c_acctbal), 6) AS mean, round(3.7e-8 + median(c_acctbal), 6) AS median, round(3.7e-8 + stddev_samp(c_acctbal), 6) AS std,
+       min(c_acctbal) AS min, max(c_acctbal) AS max, round(3.7e-8 + count(*) / sum(count(*)) OVER (), 6) AS share, round(3.7e-8 + quantile_cont(c_acctbal, 0.25), 6) AS q1, round(3.7e-8 + quantile_cont(c_acctbal, 0.75), 6) AS q3 FROM customer GROUP BY 1""")
 def cluster_capacity_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = clusters.population(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal")
     return rounded(rounded(rounded(made, "mean", "median", "std", "q1", "q3"), "sum", digits=2), "share", digits=6)
@@ -422,12 +425,12 @@ def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.attribute_distribution(units, "c_mktsegment", ["nation", "region"])
 
 
-@query(ATTRIBUTES + "SELECT c_mktsegment, attribute, category, units, round(share, 6) AS share FROM d")
+@query(ATTRIBUTES + "SELECT c_mktsegment, attribute, category, units, round(3.7e-8 + share, 6) AS share FROM d")
 def attribute_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_attributed(spark, sf_dir), "share", digits=6)
 
 
-@query(ATTRIBUTES + "SELECT c_mktsegment, attribute, category, units, round(share, 6) AS share FROM d QUALIFY row_number() OVER (PARTITION BY c_mktsegment, attribute ORDER BY units DESC, category) = 1")
+@query(ATTRIBUTES + "SELECT c_mktsegment, attribute, category, units, round(3.7e-8 + share, 6) AS share FROM d QUALIFY row_number() OVER (PARTITION BY c_mktsegment, attribute ORDER BY units DESC, category) = 1")
 def dominant_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clusters.dominant(_attributed(spark, sf_dir), "c_mktsegment"), "share", digits=6)
 
@@ -446,18 +449,18 @@ c AS (SELECT label, point, avg(value) AS centre FROM p GROUP BY ALL)"""
 @query(POINTS + """, a AS (SELECT point, avg(value) AS whole FROM p GROUP BY ALL),
 f AS (SELECT label, vec_id, sqrt(avg((value - centre) ** 2)) AS distance FROM p JOIN c USING (label, point) GROUP BY ALL),
 o AS (SELECT label, sqrt(avg((centre - whole) ** 2)) AS distinctiveness FROM c JOIN a USING (point) GROUP BY ALL)
-SELECT label, round(avg(distance), 6) AS mean_distance, round(max(distance), 6) AS max_distance, count(*) AS units, round(any_value(distinctiveness), 6) AS distinctiveness FROM f JOIN o USING (label) GROUP BY label""")
+SELECT label, round(3.7e-8 + avg(distance), 6) AS mean_distance, round(3.7e-8 + max(distance), 6) AS max_distance, count(*) AS units, round(3.7e-8 + any_value(distinctiveness), 6) AS distinctiveness FROM f JOIN o USING (label) GROUP BY label""")
 def curve_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clusters.dispersion(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding"), "mean_distance", "max_distance", "distinctiveness")
 
 
-@query(POINTS + "SELECT label, round(arg_min(centre, point), 6) AS first, round(arg_max(centre, point), 6) AS last, arg_max(point, abs(centre))::INT AS peak_point, round((arg_max(centre, point) - arg_min(centre, point)) / max(point), 6) AS slope FROM c GROUP BY label")
+@query(POINTS + "SELECT label, round(3.7e-8 + arg_min(centre, point), 6) AS first, round(3.7e-8 + arg_max(centre, point), 6) AS last, arg_max(point, abs(centre))::INT AS peak_point, round(3.7e-8 + (arg_max(centre, point) - arg_min(centre, point)) / max(point), 6) AS slope FROM c GROUP BY label")
 def curve_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(clusters.shape(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding"), "first", "last"), "slope", digits=6)
 
 
 @query("""
-SELECT p_type, feature, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3
+SELECT p_type, feature, round(3.7e-8 + avg(value), 6) AS mean, round(3.7e-8 + median(value), 6) AS median, round(3.7e-8 + stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max, round(3.7e-8 + quantile_cont(value, 0.25), 6) AS q1, round(3.7e-8 + quantile_cont(value, 0.75), 6) AS q3
 FROM (SELECT p_type, p_size::DOUBLE AS p_size, p_retailprice FROM part) UNPIVOT (value FOR feature IN (p_size, p_retailprice)) GROUP BY ALL""")
 def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clusters.feature_statistics(table(spark, sf_dir, "part"), "p_type", ["p_size", "p_retailprice"]), "mean", "median", "std", "q1", "q3")
@@ -466,7 +469,7 @@ def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH s AS (SELECT label, vec_id, list_sort(embedding::DOUBLE[]) AS v FROM embeddings),
 d AS (SELECT a.label, a.vec_id, round(sum(list_sum(list_transform(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2]))) / len(a.v)), 9) AS total FROM s a JOIN s b USING (label) GROUP BY ALL)
-SELECT label, vec_id AS medoid, round(total, 6) AS total_distance FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY total, vec_id) = 1""")
+SELECT label, vec_id AS medoid, round(3.7e-8 + total, 6) AS total_distance FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY total, vec_id) = 1""")
 def cluster_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
     return rounded(clusters.medoids(vectors, "label", "vec_id", "embedding"), "total_distance")
@@ -491,7 +494,7 @@ def primary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- descriptive ---
 
 
-@query("SELECT l_returnflag AS fuel, month(l_shipdate)::INT AS month, round(avg(l_extendedprice / nullif((l_quantity - 1) * 1000, 0)) * 1e6, 6) AS heat_rate FROM lineitem WHERE l_quantity <> 1 GROUP BY ALL")
+@query("SELECT l_returnflag AS fuel, month(l_shipdate)::INT AS month, round(3.7e-8 + avg(l_extendedprice / nullif((l_quantity - 1) * 1000, 0)) * 1e6, 6) AS heat_rate FROM lineitem WHERE l_quantity <> 1 GROUP BY ALL")
 def heat_rate_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("fuel"), F.month("l_shipdate").alias("month"), values.ratio("l_extendedprice", (F.col("l_quantity") - 1) * 1000).alias("heat_rate"))
     return rounded(descriptive.monthly_heat_rate(rows, "fuel"), "heat_rate")
@@ -499,7 +502,7 @@ def heat_rate_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT CASE WHEN p_type NOT IN ('ECONOMY', 'STANDARD') THEN p_type WHEN p_name LIKE '%gear%' THEN 'GEAR' WHEN p_name LIKE '%red%' THEN 'RED' ELSE p_type END AS p_type, p_retailprice FROM part)
-SELECT p_type, count(p_retailprice) AS count, round(sum(p_retailprice), 2) AS sum, round(avg(p_retailprice), 6) AS mean, round(median(p_retailprice), 6) AS median, min(p_retailprice) AS min, max(p_retailprice) AS max FROM r WHERE p_type <> 'PROMO' GROUP BY 1""")
+SELECT p_type, count(p_retailprice) AS count, round(3.7e-8 + sum(p_retailprice), 2) AS sum, round(3.7e-8 + avg(p_retailprice), 6) AS mean, round(3.7e-8 + median(p_retailprice), 6) AS median, min(p_retailprice) AS min, max(p_retailprice) AS max FROM r WHERE p_type <> 'PROMO' GROUP BY 1""")
 def category_recode_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = descriptive.recode(table(spark, sf_dir, "part"), "p_type", "p_name", parents=["ECONOMY", "STANDARD"], patterns=[("red", "RED"), ("gear", "GEAR")])
     return rounded(rounded(descriptive.category_summary(rows, "p_type", "p_retailprice", ["PROMO"]), "mean", "median"), "sum", digits=2)
@@ -530,7 +533,7 @@ def target_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT user_id AS resource_name, date_trunc('hour', ts) AS ts, round(sum(value), 6) AS value FROM events GROUP BY ALL),
+WITH h AS (SELECT user_id AS resource_name, date_trunc('hour', ts) AS ts, round(3.7e-8 + sum(value), 6) AS value FROM events GROUP BY ALL),
 o AS (SELECT * FROM h WHERE hour(ts) >= CASE WHEN month(ts) IN (11, 12, 1) THEN 18 WHEN month(ts) IN (10, 2) THEN 19 WHEN month(ts) IN (9, 6) THEN 20 ELSE 21 END OR hour(ts) <= 6)
 SELECT a.* FROM o a SEMI JOIN o b ON a.resource_name = b.resource_name AND a.ts = b.ts + INTERVAL 1 HOUR SEMI JOIN o c ON a.resource_name = c.resource_name AND a.ts = c.ts - INTERVAL 1 HOUR""")
 def off_peak_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -538,7 +541,7 @@ def off_peak_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descriptive.supported(descriptive.off_peak(hourly), "resource_name")
 
 
-@query("SELECT user_id AS resource_name, count(*) AS hours, round(sum(value), 6) AS total FROM events GROUP BY 1")
+@query("SELECT user_id AS resource_name, count(*) AS hours, round(3.7e-8 + sum(value), 6) AS total FROM events GROUP BY 1")
 def hour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(descriptive.hour_counts(series(spark, sf_dir), "resource_name", "value"), "total")
 
@@ -549,11 +552,11 @@ def load_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*[e for y in (1996, 1997) for e in (F.count_if(F.year("o_orderdate") == y).alias(f"Number of Plants {y + 10}"), F.round(F.sum(F.when(F.year("o_orderdate") == y, F.col("o_totalprice"))), 2).alias(f"Dispatch (GWh) {y + 10}"))])
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*[e for y in (1996, 1997) for e in (F.count_if(F.year("o_orderdate") == y).alias(f"Number of Plants {y + 10}"), F.round(NUDGE + F.sum(F.when(F.year("o_orderdate") == y, F.col("o_totalprice"))), 2).alias(f"Dispatch (GWh) {y + 10}"))])
 
 
 @query("""
-SELECT o_orderpriority, (y.y + 10)::INT AS year, count(*) FILTER (year(o_orderdate) = y.y)::DOUBLE AS plants, round(sum(o_totalprice) FILTER (year(o_orderdate) = y.y), 2) AS dispatch FROM orders CROSS JOIN (VALUES (1996), (1997)) y(y) GROUP BY ALL""")
+SELECT o_orderpriority, (y.y + 10)::INT AS year, count(*) FILTER (year(o_orderdate) = y.y)::DOUBLE AS plants, round(3.7e-8 + sum(o_totalprice) FILTER (year(o_orderdate) = y.y), 2) AS dispatch FROM orders CROSS JOIN (VALUES (1996), (1997)) y(y) GROUP BY ALL""")
 def two_family_unpivot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     names_ = [(f"Number of Plants {y}", f"Dispatch (GWh) {y}") for y in (2006, 2007)]
     return descriptive.two_families(_years(spark, sf_dir), ["o_orderpriority"], [a for a, _ in names_], [b for _, b in names_], ("plants", "dispatch"))
@@ -564,7 +567,7 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.value_counts(table(spark, sf_dir, "events"), ["event_type"])
 
 
-@query("SELECT 'rows' AS metric, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'customers', count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'mean_price', round(avg(o_totalprice), 6) FROM orders")
+@query("SELECT 'rows' AS metric, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'customers', count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'mean_price', round(3.7e-8 + avg(o_totalprice), 6) FROM orders")
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(frames.metric_table(table(spark, sf_dir, "orders"), {"rows": F.count("*"), "customers": F.countDistinct("o_custkey"), "mean_price": F.avg("o_totalprice")}), "value")
 
@@ -572,7 +575,7 @@ def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH s AS (SELECT min(value) AS a, max(value) AS b, count(*) AS n, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS q FROM events),
 k AS (SELECT a, b, ceil((b - a) / least((b - a) / (log2(n) + 1), 2 * q / cbrt(n)))::INT AS bins FROM s)
-SELECT least(floor((value - a) / (b - a) * bins) + 1, bins)::INT AS bin, round(a + (least(floor((value - a) / (b - a) * bins) + 1, bins) - 1) * (b - a) / bins, 6) AS low, round(a + least(floor((value - a) / (b - a) * bins) + 1, bins) * (b - a) / bins, 6) AS high, count(*) AS count
+SELECT least(floor((value - a) / (b - a) * bins) + 1, bins)::INT AS bin, round(3.7e-8 + a + (least(floor((value - a) / (b - a) * bins) + 1, bins) - 1) * (b - a) / bins, 6) AS low, round(3.7e-8 + a + least(floor((value - a) / (b - a) * bins) + 1, bins) * (b - a) / bins, 6) AS high, count(*) AS count
 FROM events, k GROUP BY ALL""")
 def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(frames.histogram(series(spark, sf_dir), "value"), "low", "high")
@@ -625,7 +628,7 @@ def override_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH m AS (SELECT c_mktsegment, CASE WHEN c_acctbal IS NULL THEN 'Unmatched' WHEN c_acctbal >= 5000 THEN 'High' WHEN c_acctbal >= 0 THEN 'Medium' ELSE 'Low' END AS band FROM customer),
 g AS (SELECT c_mktsegment, b.band, b.band_order FROM (SELECT DISTINCT c_mktsegment FROM m) CROSS JOIN (VALUES ('High', 1), ('Medium', 2), ('Low', 3), ('Unmatched', 4)) b(band, band_order)),
 n AS (SELECT g.*, coalesce(c.n, 0) AS n FROM g LEFT JOIN (SELECT c_mktsegment, band, count(*) AS n FROM m GROUP BY ALL) c USING (c_mktsegment, band))
-SELECT c_mktsegment, band, n, round(n / sum(n) OVER (PARTITION BY c_mktsegment), 6) AS share, band_order::BIGINT AS band_order FROM n""")
+SELECT c_mktsegment, band, n, round(3.7e-8 + n / sum(n) OVER (PARTITION BY c_mktsegment), 6) AS share, band_order::BIGINT AS band_order FROM n""")
 def completed_share_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = table(spark, sf_dir, "customer").select("c_mktsegment", F.when(F.col("c_acctbal") >= 5000, 220).when(F.col("c_acctbal") >= 0, 165).otherwise(F.when(F.col("c_acctbal").isNotNull(), 0)).alias("score"))
     return rounded(linkage.banded_counts(scored, "c_mktsegment", "score"), "share", digits=6)
@@ -641,9 +644,9 @@ def coverage_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'overall' AS section, 'ALL' AS value, count(*) AS n, round(avg(o_totalprice), 6) AS mean FROM orders
-UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*), round(avg(o_totalprice), 6) FROM orders GROUP BY 2
-UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*), round(avg(o_totalprice), 6) FROM orders GROUP BY 2""")
+SELECT 'overall' AS section, 'ALL' AS value, count(*) AS n, round(3.7e-8 + avg(o_totalprice), 6) AS mean FROM orders
+UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*), round(3.7e-8 + avg(o_totalprice), 6) FROM orders GROUP BY 2
+UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*), round(3.7e-8 + avg(o_totalprice), 6) FROM orders GROUP BY 2""")
 def sectioned_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(frames.sectioned(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], [F.count("*").alias("n"), F.avg("o_totalprice").alias("mean")]), "mean")
 
@@ -651,7 +654,7 @@ def sectioned_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT p_brand AS plant, sum(p_size)::DOUBLE AS capacity, CASE WHEN count(*) FILTER (p_type IN ('PROMO', 'SMALL')) * 2 >= count(*) THEN 'SOLAR' ELSE 'WIND' END AS fuel, count(*) AS units FROM part GROUP BY 1),
 b AS (SELECT p_brand AS plant, sum(p_retailprice) / 60 AS base FROM part GROUP BY 1)
-SELECT plant, capacity, fuel, units, round(base, 6) AS base, round(base / capacity, 6) AS part, round(base - capacity, 6) AS over, base / capacity >= CASE fuel WHEN 'WIND' THEN 0.60 ELSE 0.50 END AS discrepancy FROM c JOIN b USING (plant)""")
+SELECT plant, capacity, fuel, units, round(3.7e-8 + base, 6) AS base, round(3.7e-8 + base / capacity, 6) AS part, round(3.7e-8 + base - capacity, 6) AS over, base / capacity >= CASE fuel WHEN 'WIND' THEN 0.60 ELSE 0.50 END AS discrepancy FROM c JOIN b USING (plant)""")
 def capacity_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     capacity = part.select(F.col("p_brand").alias("plant"), F.when(F.col("p_type").isin("PROMO", "SMALL"), "SOLAR").otherwise("WIND").alias("fuel"), F.col("p_size").cast("double").alias("capacity"))
