@@ -6,7 +6,7 @@ probabilities are out of fold: a row's come from a model that never saw it, so
 the later model learns from inputs as uncertain as the ones it will meet.
 
 Features are the document's distinct words and, for the beginnings of words,
-whether one, two or three distinct words share them (64-bit hashes, so that
+whether one, two or three distinct words share them (hashes, so that
 collisions do not matter), of which those most associated with a category are
 kept, and four ratios of the whole text. Shared beginnings let a stem count in
 forms that the labelled rows never show, and tell its repeated use from chance.
@@ -51,7 +51,7 @@ def words_of(text: str) -> tuple[set[str], tuple[float, ...]]:
 
 
 def hash_of(form: str) -> int:
-    return xxhash.xxh64_intdigest(form.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh32_intdigest(form.encode("utf-8", "surrogatepass"))
 
 
 def stems_of(word: str) -> list[str]:
@@ -62,7 +62,7 @@ def features_of(words: set[str]) -> np.ndarray:
     """Hashes of a document's words and shared beginnings, ascending."""
     shared = Counter(s for w in words for s in stems_of(w))
     forms = [*words, *[f"{s}^{k}" for s, n in shared.items() for k in range(1, min(n, MAX_SHARED) + 1)]]
-    return np.unique(np.array([hash_of(f) for f in forms], np.uint64))
+    return np.unique(np.array([hash_of(f) for f in forms], np.uint32))
 
 
 class Rows:
@@ -161,14 +161,14 @@ def select_words(hashes: np.ndarray, rows: np.ndarray, labels: np.ndarray, max_w
         ratio[ratio < 2 * np.log(max(10, len(words)))] = 0
         best = np.argsort(-ratio, kind="stable")[:max_words]
         chosen.append(words[best[ratio[best] > 0]])
-    return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.uint32)
 
 
 def train_chain(docs: list[tuple[np.ndarray, tuple[float, ...]]], labels: np.ndarray, names: tuple[str, ...], folds: int = FOLDS) -> Chain:
     """Train on documents given by word hashes and ratios; labels: rows x categories, NaN unknown."""
     n = len(docs)
     rows = np.repeat(np.arange(n), [len(h) for h, _ in docs]) if n else np.zeros(0, int)
-    hashes = np.concatenate([h for h, _ in docs]) if n else np.zeros(0, np.uint64)
+    hashes = np.concatenate([h for h, _ in docs]) if n else np.zeros(0, np.uint32)
     words = select_words(hashes, rows, labels)
     cols = np.searchsorted(words, hashes)
     kept = (cols < len(words)) & (words[np.minimum(cols, len(words) - 1)] == hashes) if len(words) else np.zeros(len(hashes), bool)
@@ -211,7 +211,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     known = ", ".join(f"__y{k} double" for k in range(len(chain)))
     sample = rows.mapInArrow(features, f"words binary, ratios array<double>, same long, {known}").dropDuplicates(["same"]).toArrow().sort_by("same")
     labelled = np.array([sample.column(f"__y{k}").to_numpy() for k in range(len(chain))], float).reshape(len(chain), sample.num_rows).T
-    found = [(np.frombuffer(w.as_py(), np.uint64), tuple(r.as_py())) for w, r in zip(sample.column("words"), sample.column("ratios"), strict=True)]
+    found = [(np.frombuffer(w.as_py(), np.uint32), tuple(r.as_py())) for w, r in zip(sample.column("words"), sample.column("ratios"), strict=True)]
     return train_chain(found, labelled, tuple(n for n, _ in chain))
 
 
