@@ -258,17 +258,24 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     grouped = grouped.select("doc_id", F.coalesce("component", "doc_id").alias("of"), F.posexplode("head").alias("place", "token"))
     by_token = W.partitionBy("token")
     shared = grouped.withColumn("least", F.min("of").over(by_token)).withColumn("most", F.max("of").over(by_token)).filter("least <> most").drop("least", "most")
-    shared = space.settle(shared, "heads").join(one.select("doc_id", "n").distinct(), "doc_id").join(sizes.withColumnRenamed("component", "of"), "of", "left")
+    heads = space.settle(shared, "heads")
+    # what stands before the k-th shared shingle of a head, the shared ones aside, is absent from every other group's sets
+    k = F.least(1 + F.floor(F.col("n") / EXTRA), F.ceil(F.col("n") * NUM / DEN)).cast("int")
+    able = heads.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places")).join(one.select("doc_id", "n").distinct(), "doc_id").withColumn("k", k)
+    able = able.filter(F.size("places") >= F.col("k")).select("doc_id", "n", "k", (F.element_at("places", F.col("k")) - F.col("k") + 1).alias("absent"))
+    shared = heads.join(able, "doc_id").join(sizes.withColumnRenamed("component", "of"), "of", "left")
     shared = space.settle(shared.withColumn("members", F.coalesce("members", F.lit(1).cast("long"))), "shared")
-    matrix = shared.groupBy("token", F.col("of").alias("group"), F.col("members").alias("group_members")).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
+    present = (F.col("n") - F.col("absent")) * (NUM + DEN)
+    matrix = shared.groupBy("token", F.col("of").alias("group"), F.col("members").alias("group_members")).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(present - F.col("n") * NUM).alias("reach"))
     # a smaller group asks a larger one; between equals the larger id asks
     asks = (F.col("members") < F.col("group_members")) | ((F.col("members") == F.col("group_members")) & (F.col("of") > F.col("group")))
     fits = (F.col("n_max") * DEN >= F.col("n") * NUM) & (F.col("n") * DEN >= F.col("n_min") * NUM)
-    met = shared.join(matrix, "token").filter(asks & fits).groupBy("doc_id", "n", "group", "group_members").agg(F.min("place").alias("place"), F.min("n_min").alias("n_min"), F.count("*").alias("hits"))
-    least_hits = F.least(1 + F.floor(F.col("n") / EXTRA), F.ceil(F.col("n") * NUM / DEN))
+    # and what is not absent must suffice, on both sides
     smallest = F.greatest(F.col("n_min"), F.ceil(F.col("n") * NUM / DEN))
+    fits = fits & (present >= (F.col("n") + smallest) * NUM) & (F.col("reach") >= F.col("n") * NUM)
+    met = shared.join(matrix, "token").filter(asks & fits).groupBy("doc_id", "n", "k", "group", "group_members").agg(F.min("place").alias("place"), F.min("n_min").alias("n_min"), F.count("*").alias("hits"))
     bound = (F.col("n") - F.col("place")) * (NUM + DEN) >= (F.col("n") + smallest) * NUM
-    asked = space.settle(met.filter(bound & (F.col("hits") >= least_hits)).select("doc_id", "group", F.ceil(F.col("group_members") / CHUNK).cast("long").alias("parts")), "asked")
+    asked = space.settle(met.filter(bound & (F.col("hits") >= F.col("k"))).select("doc_id", "group", F.ceil(F.col("group_members") / CHUNK).cast("long").alias("parts")), "asked")
     opened = asked.select("group", "parts").distinct()
     queries = asked.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "doc_id")
     inside = one.select("doc_id").distinct().join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("group"))
