@@ -37,7 +37,7 @@ _READERS = frozenset("comment comments commentlist commentary disqus reply repli
 _BOILER_WORDS = _READERS | frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promotion promos banner banners nav navbar navigation "
     "topnav menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside complementary widget widgets footer foot contentinfo header masthead topbar cookie cookies "
-    "consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup signin login register share sharing social related recommended "
+    "consent gdpr notice notices alert alerts announcement popup modal overlay newsletter subscribe subscription signup signin login register share sharing social related recommended "
     "recommendations trending pagination pager toolbar copyright legal disclaimer skip search searchbox searchform form paywall toc tags tagcloud".split()
 )
 
