@@ -243,3 +243,16 @@ def test_streaming_refresh(spark, tmp_path):
         refresh_summaries(spark, rows, str(tmp_path / "store"), str(tmp_path / "check"), ["value"]).awaitTermination()
     r = spark.read.parquet(str(tmp_path / "store/v2")).first()
     assert (r["row_count"], r["value_sum"]) == (2, 3.0)
+
+
+def test_yearly_files_and_counts(spark, tmp_path):
+    from voltloom.sources import sinks, tables
+
+    for year in (2023, 2024):
+        (tmp_path / f"{year}.csv").write_text(f"DATETIME,AVGVALUE\n{year}-01-02 03:00:00,{year - 2000}.5\n")
+    rows = tables.read_by_year(spark, {y: str(tmp_path / f"{y}.csv") for y in (2023, 2024)}, "DATETIME", "AVGVALUE")
+    counted, seen = sinks.observed(rows, "n", large="value > 24")
+    sinks.write(counted, str(tmp_path / "out"))
+    assert seen.get == {"rows": 2, "large": 1} and spark.read.parquet(str(tmp_path / "out")).count() == 2
+    with pytest.raises(ValueError, match="missing columns"):
+        tables.read_bundle(spark, {"a": str(tmp_path / "2023.csv")}, {"a": {"PRICE": []}})

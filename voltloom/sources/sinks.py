@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from voltloom.operators.summaries import upsert
@@ -48,3 +48,9 @@ def merge_and_save(new: DataFrame, path: str, keys: Sequence[str], value: str, *
 def write_summary(df: DataFrame, path: str) -> None:
     """Rows as JSON lines."""
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+def observed(df: DataFrame, name: str, **counts: str) -> tuple[DataFrame, Observation]:
+    """The table, and counts of rows for which conditions hold, known once it has been written; no pass of its own."""
+    seen = Observation(name)
+    return df.observe(seen, F.count("*").alias("rows"), *[F.count_if(F.expr(c)).alias(n) for n, c in counts.items()]), seen

@@ -157,3 +157,20 @@ def read_map_tables(spark: SparkSession, path: str) -> DataFrame:
     )
     need = F.array(*[F.lit(k) for k in ("dat", "id", "map", "tab")])
     return made.join(parts, "stem").withColumn("complete", F.size(F.array_except(need, "files")) == 0)
+
+
+def read_by_year(spark: SparkSession, files: dict[int, str], day: str, value: str) -> DataFrame:
+    """One table of ``year, ts, value`` from a file for each year; a file without the columns is an error."""
+    made = None
+    for year, path in sorted(files.items()):
+        rows = read_csv(spark, path, required={day: [], value: []})
+        part = rows.select(F.lit(year).alias("year"), timestamp(F.col(day)).alias("ts"), F.col(value).try_cast("double").alias("value"))
+        made = part if made is None else made.unionByName(part)
+    if made is None:
+        raise ValueError("no files")
+    return made
+
+
+def read_bundle(spark: SparkSession, paths: dict[str, str], required: dict[str, dict[str, Sequence[str]]] | None = None) -> dict[str, DataFrame]:
+    """Several CSV tables by name, each with its required columns."""
+    return {name: read_csv(spark, path, required=(required or {}).get(name)) for name, path in paths.items()}
