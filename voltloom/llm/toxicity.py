@@ -222,7 +222,7 @@ def judge(model: Chain) -> Callable[[list[str | None]], np.ndarray]:
     memory: dict[str, tuple[int, tuple[tuple[int, ...], ...]]] = {}  # a word's column and its beginnings' columns
 
     def look_up(word: str) -> tuple[int, tuple[tuple[int, ...], ...]]:
-        if len(memory) > 300_000:
+        if len(memory) > 100_000:
             memory.clear()
             known.clear()
         stems = []
