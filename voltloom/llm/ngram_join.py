@@ -93,7 +93,7 @@ def common_shingles(docs: DataFrame, text: str, space: Workspace, keep: int = CO
                 fresh = [m not in seen and not seen.add(m) for m in marks]
                 held.append(hashes[np.repeat(fresh, per_text)])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 3_000_000:
                     yield flush()
                     size = 0
         yield flush()
