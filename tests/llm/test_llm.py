@@ -234,6 +234,20 @@ def test_softmax_sums_to_one(spark):
     assert np.allclose((10.0 ** table[::977].astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_model_is_not_shrunk():
+    assert language_model.CLASSES >= 160 and language_model.ROUNDS >= 6
+    rows = language_model.feature_rows()
+    assert rows.shape == (3, language_model.CLASSES**2) and language_model.ending_class(b"word") < language_model.CLASSES
+
+
+def test_histories_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    cells = spark.createDataFrame([(int(c), int(n)) for c, n in zip(rng.integers(0, language_model.CLASSES**3, 300), rng.integers(1, 9, 300), strict=True)], "cell long, n long")
+    whole = language_model.fit_softmax(cells, rounds=2)
+    monkeypatch.setattr(language_model, "HISTORIES", 7)
+    assert np.allclose(whole, language_model.fit_softmax(cells, rounds=2), atol=1e-4)
+
+
 # --- op6
 
 
