@@ -151,6 +151,22 @@ def test_blocks_count_every_link(spark, monkeypatch):
     test_vector_dedup(spark)
 
 
+def test_pairs_in_a_dense_label(spark):
+    """Unrelated vectors have a cosine of 0.9; pairs at 0.981 among them are all found."""
+    rng = np.random.default_rng(11)
+    n, dims, pairs = 8000, 64, 300
+    noise = rng.standard_normal((n, dims)) / math.sqrt(dims)
+    x = math.sqrt(0.9) * np.eye(dims)[0] + math.sqrt(0.1) * noise
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.standard_normal((pairs, dims))
+    other -= (other * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    x = np.vstack([x, 0.981 * x[:pairs] + math.sqrt(1 - 0.981**2) * other]).astype(np.float32)
+    df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_duplicates(df).collect()}
+    assert [got[n + k] for k in range(pairs)] == [got[k] for k in range(pairs)] and len(set(got.values())) == n
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((1500, 24)).astype(np.float32)

@@ -3,7 +3,10 @@
 In each pass every vector gets a key of concatenated random hyperplane bits;
 vectors are sorted by label and key, each is compared with a bounded window of
 those before it, and pairs whose cosine reaches the threshold are united. Over
-enough passes, close vectors stand near each other in some order.
+enough passes, close vectors stand near each other in some order. How far a vector's
+window reaches is measured in every pass; vectors of dense places, whose
+windows leave too large a chance of a miss, are compared with their whole
+label in blocks.
 
 Equal vectors are one vector from the start. What passes unite is a component;
 every link lies inside one, so links are counted by comparing each component
@@ -28,19 +31,52 @@ from voltloom.llm.vectors import by_group, matrix, usable
 WINDOW, BITS = 64, 60
 #: Chance that a pair at the threshold is missed by all passes, by which their number is set.
 MISS = 1e-5
+#: Key bits beyond an even spread for which passes are made, so that few vectors of an even spread are left to blocks.
+SPARE = 2
 #: Vectors of a block in the count of links.
 BLOCK = 1_024
+#: Vectors of a block in the comparison with a whole label.
+WIDE = 8_192
 
 
 def passes_for(largest: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
     """Passes that keep the chance of missing a pair at the threshold below ``miss``.
 
     Two vectors are sure to be compared when they share so many leading bits
-    that no more than a window of the largest label's vectors do too.
+    that no more than a window of the largest label's vectors do too. This is
+    for keys that spread evenly; ``_depths`` measures how they do.
     """
-    same_bit = 1 - math.acos(threshold) / math.pi
-    bits = max(1.0, math.log2(max(2, largest) / window) + 1)
-    return max(4, math.ceil(math.log(miss) / math.log(1 - 0.95 * same_bit**bits)))
+    bits = max(1.0, math.log2(max(2, largest) / window) + 1 + SPARE)
+    return max(4, math.ceil(math.log(miss) / math.log(1 - 0.95 * same_bit(threshold) ** bits)))
+
+
+def same_bit(threshold: float) -> float:
+    """Chance that a bit is the same for two vectors at the threshold."""
+    return 1 - math.acos(threshold) / math.pi
+
+
+def _depths(group: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
+    """Leading bits that a vector must share with each sorted row, from ``window`` to ``-window``, to be in its window for sure; above ``BITS`` where no number is enough."""
+    mid = slice(window, len(key) - window)
+    depth = np.zeros(max(0, len(key) - 2 * window), np.int64)
+    for other in (slice(0, len(key) - 2 * window), slice(2 * window, len(key))):
+        x = key[mid] ^ key[other]
+        x &= ~(x >> 1)  # the highest bit stays and cannot be rounded up
+        depth = np.maximum(depth, np.where(group[mid] == group[other], BITS + 1 - np.frexp(x.astype(float))[1], 0))
+    return depth
+
+
+def _spanning(near: np.ndarray, rows: np.ndarray, columns: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Links that unite what ``near`` links (places in ``root`` of its rows and columns), and were not united in ``root`` before."""
+    found = []
+    for k in np.flatnonzero(near.any(axis=1)):
+        roots = np.unique(root[columns[near[k]]])
+        mine = root[rows[k]]
+        roots = roots[roots != mine]
+        if len(roots):
+            found += [(int(mine), int(r)) for r in roots]
+            root[np.isin(root, roots)] = mine
+    return found
 
 
 def _window_links(rows: pa.RecordBatch, tail: tuple[np.ndarray, np.ndarray, np.ndarray] | None, threshold: float, window: int) -> tuple[list[tuple[int, int]], tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -113,15 +149,61 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             edges = [0, *(np.flatnonzero(np.diff(batch.column(0).to_numpy())) + 1), batch.num_rows]
             for a, b in zip(edges, edges[1:], strict=False):
                 if b > a:
                     found, tail = _window_links(batch.slice(a, b - a), tail, threshold, WINDOW)
                     x, y = zip(*found, strict=True) if found else ([], [])
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(len(x), pa.int16())], names=["a", "b", "depth"])
+            # rows without a whole window on both sides in this task count as not compared
+            held = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+            if len(held[0]) > 2 * WINDOW:
+                depth = _depths(held[0], held[1], WINDOW)
+                known = depth <= BITS
+                ids = held[2][WINDOW:-WINDOW][known]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(depth[known].astype(np.int16))], names=["a", "b", "depth"])
+                held = [h[-2 * WINDOW :] for h in held]
+
+    passed = space.settle(ordered.mapInArrow(unite, "a long, b long, depth short"), "passed")
+    chance = F.lit(1.0) - F.pow(F.lit(same_bit(threshold)), F.col("depth"))
+    missed = F.sum(F.log(F.greatest(chance, F.lit(1e-300))))
+    sure = passed.filter("depth is not null").groupBy(F.col("a").alias("first")).agg(missed.alias("missed")).filter(F.col("missed") <= math.log(MISS))
+    dense = space.settle(single.join(sure, "first", "left_anti").select("group", "first", "vector"), "dense")
+
+    def wide(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("group").agg(F.ceil(F.count("*") / WIDE).cast("long").alias(name))
+
+    sizes = wide(dense, "asking").join(wide(single, "asked"), "group")
+
+    def side(df: DataFrame, mine: str, other: str, role: int) -> DataFrame:
+        placed = df.join(sizes, "group").withColumn("__m", F.pmod(F.xxhash64("first"), F.col(mine))).withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        return placed.select(F.xxhash64("group", *(("__m", "__o") if role else ("__o", "__m"))).alias("pair"), F.lit(role).alias("role"), "first", "vector")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+
+        def each(part: pa.Table) -> None:
+            asks = part.column(1).to_numpy() == 1
+            ids, at = np.unique(part.column(2).to_numpy(), return_inverse=True)
+            x = matrix(part.column(3).combine_chunks())
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            rows, columns, root = np.flatnonzero(asks), np.flatnonzero(~asks), np.arange(len(ids))
+            for a in range(0, len(rows), 512):
+                some = rows[a : a + 512]
+                united = _spanning(x[some] @ x[columns].T >= threshold, at[some], at[columns], root)
+                found.extend((int(ids[i]), int(ids[j])) for i, j in united)
+
+        for _ in by_group(batches, each):
+            i, j = zip(*found, strict=True) if found else ([], [])
+            found.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64())], names=["a", "b"])
 
-    stars = space.settle(connected_components(ordered.mapInArrow(unite, "a long, b long"), space), "components")
+    pairs = side(dense, "asking", "asked", 1).union(side(single.select("group", "first", "vector"), "asked", "asking", 0))
+    exact = pairs.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "a long, b long")
+    links = passed.filter("b is not null").select("a", "b").union(exact)
+    stars = space.settle(connected_components(links, space), "components")
     blocks = stars.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     members = stars.join(blocks, "component").join(single, stars["node"] == single["first"]).select("component", "blocks", "first", "copies", "vector")
     members = members.withColumn("mine", F.pmod(F.xxhash64("first"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
