@@ -282,6 +282,14 @@ def test_main_text(spark):
     assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_minor_parts_stay():
+    """A short part after a long one and a list of links is text of the page all the same."""
+    links = "<ul>" + "<li><a href=x>link</a></li>" * 4 + "</ul>"
+    long, short, late = ("plain words " * 170).strip(), ("short part " * 14).strip(), ("late part " * 12).strip()
+    page = f"<div id=content><p>{long}</p>{links}<p>{short}</p>{links}<p>{late}</p></div>"
+    assert html_text.main_text(page) == "\n".join([long, short, late])
+
+
 # --- op7 and op9
 
 

@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame
 #: Lines in a window, and characters a window needs for a surge.
 WINDOW = 3
 SURGE = 80
-#: A segment beside the largest one is kept from this share of its length.
-MINOR_SHARE = 0.1
 
 # Elements of HTML by their role.
 _DROPPED = "script|style|noscript|template|title|textarea|svg|iframe|object|select|button|canvas|audio|video|datalist"
@@ -183,8 +181,7 @@ def main_text(page: str, *, window: int = WINDOW, surge: int = SURGE) -> str:
             i += 1
     if not kept:
         return "" if any(inside for *_, inside in lines) else "\n".join(line for (line, w, _) in lines if w)
-    largest = max(until[b] - until[a] for a, b in kept)
-    return "\n".join(line for a, b in kept if until[b] - until[a] >= MINOR_SHARE * largest for (line, _, _), w in zip(lines[a:b], weights[a:b], strict=True) if w)
+    return "\n".join(line for a, b in kept for (line, _, _), w in zip(lines[a:b], weights[a:b], strict=True) if w)
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
