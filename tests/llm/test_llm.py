@@ -223,6 +223,19 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix_to_targets(empty).count() == 0 and mixing.apply_mix(empty).count() == 0
 
 
+def test_mix_takes_each_row_by_itself(spark):
+    """Rows without an id, or with one that repeats, get their own words and no others'."""
+    sizes = [1, 500, 3, 40, 1000, 7, 90, 2, 300, 12]
+    rows = [(None if k % 2 else 5, " ".join(f"t{k}w{i}" for i in range(n)), "abc"[k % 3]) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter()
+    for r in mixing.apply_mix(df).collect():
+        got[int(r["text"].split("w")[0][1:])] += len(words(r["text"]))
+    decided = Counter({(r["doc_id"], r["size"]): r["taken"] for r in mixing.mix_to_targets(df).collect()})
+    want = {k: decided[None if k % 2 else 5, n] for k, n in enumerate(sizes)}
+    assert got == Counter({k: n for k, n in want.items() if n}) and all(got[k] <= 3 * n for k, n in enumerate(sizes))
+
+
 # --- op5
 
 

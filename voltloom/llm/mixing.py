@@ -90,7 +90,7 @@ def mix_to_targets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return placed.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + partly).alias("taken"), *[F.col(f"kept_{c}").alias(c) for c in keep])
 
 
-#: Ids with their decision that are broadcast to the texts at most (24 bytes each); above, a join is shuffled.
+#: Rows with their decision that are broadcast to the texts at most (24 bytes each); above, a join is shuffled.
 BROADCAST_IDS = 2_000_000
 
 
@@ -100,15 +100,15 @@ def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     A document of which only a part is taken gives its first words, with the
     white space between them and ``chars_col`` counted anew. Documents of which
     nothing is taken, those without words among them, are not in the mix. Rows
-    that repeat an id share what is taken of them.
+    that repeat an id, or have none, are rows of their own.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "apply-mix")
-    decided = mix_to_targets(docs, id_col=id_col, text_col=text_col, source_col=source_col)
-    shares = decided.groupBy(F.col("doc_id").alias("__id")).agg(F.expr("sum(taken) div count(*)").alias("__taken")).filter("__taken > 0")
-    shares = space.settle(shares, "taken")
-    few = shares.count() <= BROADCAST_IDS
-    rows = docs.join(F.broadcast(shares) if few else shares, F.col(id_col).eqNullSafe(F.col("__id"))).withColumn("__size", word_count(text_col)).filter("__size > 0")
+    keyed = space.settle(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    decided = mix_to_targets(keyed, id_col=id_col, text_col=text_col, source_col=source_col, keep=("__row",))
+    taken = space.settle(decided.filter("taken > 0").select("__row", F.col("taken").alias("__taken")), "taken")
+    few = taken.count() <= BROADCAST_IDS
+    rows = keyed.join(F.broadcast(taken) if few else taken, "__row").withColumn("__size", word_count(text_col)).filter("__size > 0")
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__taken") / F.col("__size")).cast("long"))))
     part = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))  # words with the white space before them
