@@ -1,6 +1,6 @@
 """The composed linkages on small hand-made lists."""
 
-from voltloom.operators import matching
+from voltloom.operators import linkage, matching
 
 RESOURCE = "resource_name string, fuel_type string, station_code string, station_desc string, generator_type string, capacity_mw double"
 
@@ -27,3 +27,19 @@ def test_registry_units(spark):
     resources = spark.createDataFrame([("ALPHA_U1", "GAS", 90.0), ("GAMMA_G1", "WIND", 49.0), ("GAMMA_G2", "WIND", 19.0)], "resource_name string, resource_type string, avg_base_point double")
     got = {r["unit_id"]: (r["resource_name"], r["status"]) for r in matching.match_registry_units(registry, resources).collect()}
     assert got == {1: ("ALPHA_U1", "matched"), 2: ("GAMMA_G1", "matched"), 3: ("GAMMA_G2", "matched"), 4: (None, "unmatched")}
+
+
+def test_close_names_of_other_beginnings(spark):
+    left = spark.createDataFrame([("CEDAR CREEK",), ("",), ("XLPHA STATION",)], "a string")
+    right = spark.createDataFrame([("ALPHA STATION",), ("KEDAR CREEK",), ("BETA",), ("",), (None,)], "b string")
+    got = {(r["__a"], r["__b"]) for r in linkage.close_matches(left, right, "a", "b", least=0.8, top=5).collect()}
+    assert got == {("CEDAR CREEK", "KEDAR CREEK"), ("XLPHA STATION", "ALPHA STATION")}
+
+
+def test_mapping_compares_whole_lists(spark):
+    records = spark.createDataFrame([("CREEK CEDAR",), ("FARM WINDY",)], "name string")
+    units = spark.createDataFrame([("C1", "CEDAR CREEK"), ("W9", "FARM WINDX")], "code string, label string")
+    other = spark.createDataFrame([("W1", "WINDY FARM")], "code string, label string")
+    manual = spark.createDataFrame([], "name string, match string")
+    got = {r["name"]: (r["match"], r["vetoed"]) for r in linkage.map_units(records, units, manual=manual, other=other)["tracker"].collect()}
+    assert got == {"CREEK CEDAR": ("C1", False), "FARM WINDY": (None, True)}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from voltloom.operators.frames import complete, distinct_join, first_by, look_up
 
 #: Alternatives that a decision lists at most (fixed value).
 ALTERNATIVES = 5
+#: Texts of a block where whole lists are compared.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -24,7 +28,8 @@ class Rule:
     """An equi-join that yields candidates: columns of both sides, the method's name and its score.
 
     ``left`` may be an array, any element of which may match. ``least`` is a
-    cutoff: then the columns are compared by similarity, within ``block``.
+    cutoff: then the columns are compared by similarity, within ``block`` or,
+    without one, with the whole list.
     """
 
     method: str
@@ -42,13 +47,45 @@ def prefixes(text: str | Column, sizes: Sequence[int] = (3, 4, 5, 6)) -> Column:
     return F.filter(F.array(*[F.when(F.length(t) >= n, F.substring(t, 1, n)) for n in sizes]), lambda x: x.isNotNull())
 
 
-def close_matches(left: DataFrame, right: DataFrame, left_text: str, right_text: str, *, least: float, top: int, block: tuple[str, str]) -> DataFrame:
+def _close_in_blocks(left: DataFrame, right: DataFrame, left_text: str, right_text: str, least: float) -> DataFrame:
+    """All pairs ``__a, __b, ratio`` at or above the cutoff; no pair is left out but by a bound on its ratio."""
+
+    def listed(df: DataFrame, text: str, out: str) -> DataFrame:
+        texts = df.select(F.col(text).alias("__t")).filter("__t <> ''").distinct()
+        return texts.groupBy(F.pmod(F.xxhash64("__t"), F.lit(max(1, -(-texts.count() // BLOCK))))).agg(F.collect_list("__t").alias(out)).select(out)
+
+    def letters(texts: list[str]) -> np.ndarray:
+        return np.array([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64) for t in texts], np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1), strict=True):
+                mine, others = a.as_py(), b.as_py()
+                held, size = letters(others), np.array(list(map(len, others)))
+                found = []
+                for x, own in zip(mine, letters(mine), strict=True):
+                    # matching blocks cannot hold more than the letters both have
+                    for k in np.flatnonzero(np.minimum(own, held).sum(axis=1) * 2 >= least * (len(x) + size) - 1e-6):
+                        ratio = gestalt(others[k], x)
+                        if ratio >= least:
+                            found.append((x, others[k], ratio))
+                columns = zip(*found, strict=True) if found else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["__a", "__b", "ratio"])
+
+    pairs = listed(left, left_text, "a").crossJoin(listed(right, right_text, "b"))
+    return pairs.repartition(max(1, pairs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, "__a string, __b string, ratio double")
+
+
+def close_matches(left: DataFrame, right: DataFrame, left_text: str, right_text: str, *, least: float, top: int, block: tuple[str, str] | None = None) -> DataFrame:
     """The ``top`` texts of the right side most similar to each left text, at or above the cutoff.
 
-    Only texts of one block are compared (a block column may be an array of
+    Every left text is compared with the whole right list, or, where ``block``
+    is given, with the texts of its block (a block column may be an array of
     keys), each pair once; the right text is the first of the ratio's sides;
     ties go to the text that sorts last.
     """
+    if block is None:
+        return top_k(_close_in_blocks(left, right, left_text, right_text, least), ["__a"], [F.desc("ratio"), F.desc("__b")], top).select("__a", "__b", "ratio")
 
     def keyed(df: DataFrame, text: str, key: str, out: str) -> DataFrame:
         many = dict(df.dtypes)[key].startswith("array")
@@ -68,7 +105,7 @@ def candidates(left: DataFrame, right: DataFrame, rules: Sequence[Rule]) -> Data
             asked = left.withColumn("__key", F.explode(r.left) if many else F.col(r.left))
             made = asked.join(right, (F.col("__key") == right[r.right]) & (F.col("__key") != "")).drop("__key")
         else:
-            close = close_matches(left, right, r.left, r.right, least=r.least, top=r.top, block=r.block or (r.left, r.right)).drop("ratio")
+            close = close_matches(left, right, r.left, r.right, least=r.least, top=r.top, block=r.block).drop("ratio")
             made = left.join(close, left[r.left] == close["__a"]).join(right, F.col("__b") == right[r.right]).drop("__a", "__b")
         made = made.withColumns({"method": F.lit(r.method), "score": F.lit(r.score)}).dropDuplicates([c for c in (*left.columns, *right.columns) if not dict(made.dtypes)[c].startswith("map")])
         found = made if found is None else found.unionByName(made)
@@ -182,9 +219,9 @@ def map_units(records: DataFrame, units: DataFrame, *, manual: DataFrame, other:
     """
 
     def plain(df: DataFrame) -> DataFrame:
-        return df.withColumns({"__base": names.plant_base("label"), "__label": names.company_free("label"), "__numbers": names.unit_numbers("label"), "__block": F.substring(names.plant_base("label"), 1, 3)})
+        return df.withColumns({"__base": names.plant_base("label"), "__label": names.company_free("label"), "__numbers": names.unit_numbers("label")})
 
-    asked = records.select("name").distinct().withColumns({"__label": names.company_free("name"), "__base": names.plant_base("name"), "__numbers": names.unit_numbers("name"), "__block": F.substring(names.plant_base("name"), 1, 3)})
+    asked = records.select("name").distinct().withColumns({"__label": names.company_free("name"), "__base": names.plant_base("name"), "__numbers": names.unit_numbers("name")})
     units, other = plain(units), plain(other)
     exact = asked.join(units.select("code", names.key("code").alias("__k")), names.key("name") == F.col("__k")).groupBy("name").agg(F.min("code").alias("match"))
     alias = asked.join(unique_aliases(units, "code", "__base", "__numbers"), F.col("__label") == F.col("alias")).groupBy("name").agg(F.min("code").alias("match"))
@@ -193,7 +230,7 @@ def map_units(records: DataFrame, units: DataFrame, *, manual: DataFrame, other:
     by_number = by_number.groupBy("name").agg(F.countDistinct("code").alias("__n"), F.min("code").alias("match")).filter("__n = 1").drop("__n")
 
     def closest(corpus: DataFrame) -> DataFrame:
-        pairs = asked.select("name", "__label", "__block").join(corpus.select("code", F.col("__label").alias("__other"), "__block"), "__block")
+        pairs = asked.select("name", "__label").crossJoin(corpus.select("code", F.col("__label").alias("__other")))
         return top_k(pairs.withColumn("similarity", token_set_ratio("__label", "__other")), ["name"], [F.desc("similarity"), F.asc("code")], 1)
 
     vetoed = closest(other).filter(F.col("similarity") >= veto).select("name").union(asked.join(other.select("__label").distinct(), "__label").select("name")).distinct()

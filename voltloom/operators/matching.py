@@ -73,7 +73,7 @@ def price_node_candidates(resources: DataFrame, listed: DataFrame, nodes: DataFr
     yes = listed.select(names.clean("plantname").alias("plant"), F.col("nodename").alias("yes_nodename"), names.fuel("primaryfuel").alias("yes_fuel"), F.col("capacity").cast("double").alias("yes_capacity"), names.clean("nodename").alias("__node"), names.family("nodename").alias("__family"))
     keep = ["resource_name", "yes_nodename", "yes_fuel", "yes_capacity"]
     by_desc = res.join(yes, F.col("desc") == F.col("plant")).filter("desc <> ''").select(*keep, F.lit("desc_exact").alias("way"))
-    close = linkage.close_matches(res.withColumn("__p", linkage.prefixes("desc", (3,))), yes.withColumn("__p", linkage.prefixes("plant", (3,))), "desc", "plant", least=PLANT_CLOSE, top=3, block=("__p", "__p")).filter("__a <> __b")
+    close = linkage.close_matches(res, yes, "desc", "plant", least=PLANT_CLOSE, top=3).filter("__a <> __b")
     by_close = res.join(close, F.col("desc") == F.col("__a")).join(yes, F.col("__b") == F.col("plant")).select(*keep, F.lit("desc_fuzzy").alias("way"))
     forms = F.flatten(F.transform(F.concat(F.array("code"), "stems"), lambda x: F.array(x, F.concat(x, F.lit("_ALL")), F.concat(x, F.lit("_RN")))))
     patterns = res.select("resource_name", F.explode(F.array_distinct(forms)).alias("pattern")).filter("pattern not in ('', '_ALL', '_RN')")
@@ -98,10 +98,10 @@ def match_price_nodes(resources: DataFrame, listed: DataFrame, nodes: DataFrame,
 
     columns = ["rtlmp_name", "yes_nodename", "method", "score", "status", "candidate_count", "alternatives"]
     best = decided(price_node_candidates(resources, listed, nodes, mapping))
-    asked = resources.select("resource_name", names.clean("station_desc").alias("desc")).withColumn("__p", linkage.prefixes("desc", (3,)))
-    yes = listed.select(names.clean("plantname").alias("plant"), F.col("nodename").alias("yes_nodename"), names.fuel("primaryfuel").alias("yes_fuel"), F.col("capacity").cast("double").alias("yes_capacity")).withColumn("__p", linkage.prefixes("plant", (3,)))
-    close = linkage.close_matches(asked, yes, "desc", "plant", least=LATE_PLANT_CLOSE, top=3, block=("__p", "__p"))
-    pairs = asked.join(close, F.col("desc") == F.col("__a")).join(yes.drop("__p"), F.col("__b") == F.col("plant")).withColumn("way", F.when(F.col("desc") == F.col("plant"), "unmatched_desc_exact").otherwise("unmatched_desc_fuzzy"))
+    asked = resources.select("resource_name", names.clean("station_desc").alias("desc"))
+    yes = listed.select(names.clean("plantname").alias("plant"), F.col("nodename").alias("yes_nodename"), names.fuel("primaryfuel").alias("yes_fuel"), F.col("capacity").cast("double").alias("yes_capacity"))
+    close = linkage.close_matches(asked, yes, "desc", "plant", least=LATE_PLANT_CLOSE, top=3)
+    pairs = asked.join(close, F.col("desc") == F.col("__a")).join(yes, F.col("__b") == F.col("plant")).withColumn("way", F.when(F.col("desc") == F.col("plant"), "unmatched_desc_exact").otherwise("unmatched_desc_fuzzy"))
     worth = {k: first_rule(*[(F.col("way") == w, F.lit(v[k])) for w, v in FALLBACK_NODE.items()]) for k in (0, 1)}
     best = linkage.fall_back(best, decided(_by_listing(pairs, nodes, F.col("way"), worth[0], worth[1])), key, columns)
     if second_nodes is not None:
@@ -119,14 +119,13 @@ def match_model_units(model: DataFrame, resources: DataFrame) -> DataFrame:
     """
     parts = names.model_name_parts("name")
     m = model.withColumn("__parts", parts).select("unit_id", names.clean("unit_code").alias("m_code"), names.key("unit_code").alias("m_key"), names.clean("cdr_name").alias("m_cdr"), F.col("__parts.base").alias("m_base"), F.col("__parts.unit_hint").alias("m_hint"), names.clean("name").alias("m_name"), names.fuel("fuel").alias("m_fuel"), names.clean("county").alias("m_county"))
-    m = m.withColumns({f"{c}_p": linkage.prefixes(c, (3,)) for c in ("m_code", "m_cdr", "m_base")})
     r = resources.select("resource_name", names.clean("resource_name").alias("r_name"), names.key("resource_name").alias("r_key"), names.clean("station_desc").alias("r_desc"), names.clean("cdr_unit_name").alias("r_cdr"), names.fuel("fuel_type").alias("r_fuel"), names.clean("county").alias("r_county"), "price_code", names.unit_tokens("resource_name").alias("r_tokens"))
-    r = r.withColumns({f"{c}_p": linkage.prefixes(c, (3,)) for c in ("r_name", "r_desc", "r_cdr")}).withColumn("r_group", F.count("*").over(W.partitionBy("r_desc")))
+    r = r.withColumn("r_group", F.count("*").over(W.partitionBy("r_desc")))
     rules = [
-        Rule("ercot_unitcode_exact", 220, "m_code", "r_name"), Rule("ercot_unitcode_key_exact", 210, "m_key", "r_key"), Rule("ercot_unitcode_fuzzy", 165, "m_code", "r_name", 0.82, 5, ("m_code_p", "r_name_p")),
-        Rule("ercot_unitcode_fuzzy_late", 135, "m_code", "r_name", 0.72, 8, ("m_code_p", "r_name_p")), Rule("cdr_unit_name_exact", 185, "m_base", "r_cdr"), Rule("cdr_unit_name_fuzzy", 150, "m_base", "r_cdr", 0.84, 5, ("m_base_p", "r_cdr_p")),
-        Rule("name_base_exact_station_desc", 180, "m_base", "r_desc"), Rule("name_base_fuzzy_station_desc", 145, "m_base", "r_desc", 0.82, 5, ("m_base_p", "r_desc_p")),
-        Rule("cdr_name_exact_station_desc", 150, "m_cdr", "r_desc"), Rule("cdr_name_fuzzy_station_desc", 125, "m_cdr", "r_desc", 0.86, 5, ("m_cdr_p", "r_desc_p")),
+        Rule("ercot_unitcode_exact", 220, "m_code", "r_name"), Rule("ercot_unitcode_key_exact", 210, "m_key", "r_key"), Rule("ercot_unitcode_fuzzy", 165, "m_code", "r_name", 0.82, 5),
+        Rule("ercot_unitcode_fuzzy_late", 135, "m_code", "r_name", 0.72, 8), Rule("cdr_unit_name_exact", 185, "m_base", "r_cdr"), Rule("cdr_unit_name_fuzzy", 150, "m_base", "r_cdr", 0.84, 5),
+        Rule("name_base_exact_station_desc", 180, "m_base", "r_desc"), Rule("name_base_fuzzy_station_desc", 145, "m_base", "r_desc", 0.82, 5),
+        Rule("cdr_name_exact_station_desc", 150, "m_cdr", "r_desc"), Rule("cdr_name_fuzzy_station_desc", 125, "m_cdr", "r_desc", 0.86, 5),
     ]
     found = linkage.candidates(m, r, rules)
     # the late look at codes counts only where no other code rule found anything
@@ -149,10 +148,9 @@ def match_registry_units(registry: DataFrame, resources: DataFrame) -> DataFrame
     code = F.coalesce(F.get("codes", F.lit(0)), F.lit(""))
     s = registry.select("unit_id", names.clean("unit_name").alias("s_name"), names.key("unit_name").alias("s_name_key"), names.clean(code).alias("s_code"), names.key(code).alias("s_code_key"), F.transform("codes", names.clean).alias("s_codes"), F.transform("codes", names.key).alias("s_keys"), F.transform("codes", names.family).alias("s_families"), names.fuel("fuel", names.RESOURCE_FUELS).alias("s_fuel"), F.col("capacity").cast("double").alias("s_capacity"), F.array_distinct(F.concat(names.unit_tokens("unit_name"), names.unit_tokens(code))).alias("s_tokens"), names.key(names.plant_and_unit(F.when(code != "", code).otherwise(F.col("unit_name")))["plant"]).alias("s_plant"))
     r = resources.select("resource_name", names.clean("resource_name").alias("r_name"), names.key("resource_name").alias("r_key"), names.family("resource_name").alias("r_family"), names.fuel("resource_type", names.RESOURCE_FUELS).alias("r_fuel"), F.col("avg_base_point").cast("double").alias("r_base"), names.unit_tokens("resource_name").alias("r_tokens"), names.key(names.plant_and_unit("resource_name")["plant"]).alias("r_plant"))
-    s, r = s.withColumns({f"{c}_p": linkage.prefixes(c, (3,)) for c in ("s_name", "s_code", "s_plant")}), r.withColumns({f"{c}_p": linkage.prefixes(c, (3,)) for c in ("r_name", "r_plant")})
     rules = [
         Rule("code_exact", 230, "s_codes", "r_name"), Rule("code_key_exact", 220, "s_keys", "r_key"), Rule("unit_name_key_exact", 205, "s_name_key", "r_key"), Rule("resource_family", 120, "s_families", "r_family"),
-        Rule("cdr_unit_code_fuzzy", 165, "s_code", "r_name", 0.82, 5, ("s_code_p", "r_name_p")), Rule("unit_name_fuzzy", 135, "s_name", "r_name", 0.82, 5, ("s_name_p", "r_name_p")), Rule("unit_name_strong_fuzzy", 190, "s_name", "r_name", 0.94, 3, ("s_name_p", "r_name_p")),
+        Rule("cdr_unit_code_fuzzy", 165, "s_code", "r_name", 0.82, 5), Rule("unit_name_fuzzy", 135, "s_name", "r_name", 0.82, 5), Rule("unit_name_strong_fuzzy", 190, "s_name", "r_name", 0.94, 3),
     ]
     shared = F.arrays_overlap("s_tokens", "r_tokens")
     same_fuel = (F.col("s_fuel") != "") & (F.col("s_fuel") == F.col("r_fuel"))
@@ -162,7 +160,7 @@ def match_registry_units(registry: DataFrame, resources: DataFrame) -> DataFrame
     strong = best.filter(F.col("method").endswith("_exact") | ((F.col("method") == "unit_name_strong_fuzzy") & (F.col("score") >= 205)))
     # the plant of the same descriptor, or else the best of the closest three
     same = s.select("unit_id", "s_plant").join(r.select("r_plant").distinct(), F.col("s_plant") == F.col("r_plant")).filter("s_plant <> ''").select("unit_id", "s_plant", "r_plant", F.lit(180).alias("plant_score"))
-    close = linkage.close_matches(s, r, "s_plant", "r_plant", least=0.88, top=3, block=("s_plant_p", "r_plant_p")).filter("__a <> __b")
+    close = linkage.close_matches(s, r, "s_plant", "r_plant", least=0.88, top=3).filter("__a <> __b")
     near = s.select("unit_id", "s_plant").join(close, F.col("s_plant") == F.col("__a")).select("unit_id", "s_plant", F.col("__b").alias("r_plant"), F.lit(145).alias("plant_score"))
     plants = top_k(same.unionByName(near), ["unit_id"], [F.desc("plant_score"), F.asc("r_plant")], 1, "__r").drop("__r").join(strong.select("unit_id"), "unit_id", "left_anti")
     pairs = plants.join(s.drop("s_plant"), "unit_id").join(r, "r_plant")

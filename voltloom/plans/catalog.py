@@ -673,9 +673,9 @@ def status_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fuzzy_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    left = part.select(names.clean("p_name").alias("a"), linkage.prefixes(names.clean("p_name")).alias("ab")).distinct()
-    right = table(spark, sf_dir, "supplier").select(names.clean("s_name").alias("b"), linkage.prefixes(names.clean("s_name")).alias("bb")).unionByName(part.select(names.clean(F.concat_ws(" ", F.substring_index("p_name", " ", 1), "p_brand")).alias("b"), linkage.prefixes(names.clean("p_name")).alias("bb")).distinct())
-    return linkage.close_matches(left, right, "a", "b", least=0.6, top=5, block=("ab", "bb"))
+    left = part.select(names.clean("p_name").alias("a")).distinct()
+    right = table(spark, sf_dir, "supplier").select(names.clean("s_name").alias("b")).unionByName(part.select(names.clean(F.concat_ws(" ", F.substring_index("p_name", " ", 1), "p_brand")).alias("b")).distinct())
+    return linkage.close_matches(left, right, "a", "b", least=0.6, top=5)
 
 
 @query()
