@@ -17,36 +17,48 @@ _OPTIONS = {"compression": "zstd"}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session; a new temporary one only where none is named (tests)."""
+    """The folder named by the session; a new temporary one only where none is named on a single machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="voltloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 class Workspace:
-    """The tables of one operator call, under one folder of their own."""
+    """The tables of one operator call, under one folder of their own.
+
+    Results are lazy, so their tables must outlive the call; the folder goes
+    when the application ends, and tables that nothing reads any more with ``drop``.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/voltloom/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+
+    def _path(self, name: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def settle(self, df: DataFrame, label: str) -> DataFrame:
         """Write ``df`` and return the written table."""
         self._n += 1
-        path = f"{self.root}/{self._n:03d}-{label}"
-        df.write.options(**_OPTIONS).parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(back)] = path
-        back._settled_at = path  # noqa: SLF001
+        name = f"{self.root}/{self._n:03d}-{label}"
+        if self._n == 1:
+            files, root = self._path(self.root)
+            files.mkdirs(root)
+            files.deleteOnExit(root)
+        df.write.options(**_OPTIONS).parquet(name)
+        back = self.spark.read.schema(df.schema).parquet(name)
+        back._settled_at = name  # noqa: SLF001
         return back
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete settled tables nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._settled_at)  # noqa: SLF001
-            path.getFileSystem(conf).delete(path, True)
+            files, path = self._path(table._settled_at)  # noqa: SLF001
+            files.delete(path, True)
