@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -437,12 +438,46 @@ def test_drop_similar(spark, odd):
 
 def test_shingle_hashes_tell_sets_apart():
     texts = [t for _, t in similar_rows()] + ["a b c d e", "a b c d e f", "ab c d e", None]
-    sets = [set(s.tolist()) for s in shingles.shingle_sets(texts)]
+    sets = [set(s.tolist()) for s in shingles.shingle_sets(pa.array(texts, pa.string()))]
     for i, a in enumerate(texts):
         for j, b in enumerate(texts):
             assert len(sets[i] & sets[j]) == len(shingle_set(a) & shingle_set(b))
 
 
+def test_shingles_over_segments(monkeypatch):
+    """Wherever texts are cut for hashing, the hashes are the same; long words too."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab  c\t") for _ in range(rng.randrange(0, 300))) for _ in range(60)] + [None, "", " ", "x" * 64, "y" * 65, "a " + "z" * 200, "z" * 200 + " a b"]
+    words_in = {w for t in texts for w in words(t)}
+    monkeypatch.setattr(shingles, "_SEGMENT", 64)
+    cut = [s.tolist() for s in shingles.shingle_sets(pa.array(texts, pa.string()))]
+    alone = [next(iter(shingles.shingle_sets(pa.array([t], pa.string())))).tolist() for t in texts]
+    assert cut == alone == [s.tolist() for s in shingles.shingle_sets(pa.array(["no", *texts], pa.string()).slice(1))]
+    by_word = {w: next(iter(shingles.shingle_sets(pa.array([w.upper()], pa.string())))).tolist() for w in words_in}
+    assert len({v[0] for v in by_word.values()}) == len(words_in)
+    for t, got in zip(texts, cut, strict=True):
+        assert len(got) == len(shingle_set(t))
+
+
+def test_more_common_shingles_than_kept(spark):
+    """The commonest are kept, the commonest of them last, however many are as common as each other."""
+    texts = ["a b c d e f g h"] * 3 + [f"a b c d e f g h {k} x{k}" for k in range(5)] + [f"p q r s t u v w {k}" for k in range(3)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    space = durable.Workspace(spark, "t")
+    every = ngram_join.common_shingles(docs, "text", space, 100)
+    few = ngram_join.common_shingles(docs, "text", space, 6)
+    assert len(few) == 6 and set(few[-4:]) == set(every[-4:])
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.similar_documents(docs).collect()} == brute_components(list(enumerate(texts)))
+
+
+def test_drop_similar_tells_rows_of_one_id_apart(spark):
+    a, b = "one two three four five six seven", "quite another text of some more words than that"
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, "alone with no id at all here"), (3, None), (3, "")]
+    kept = ngram_join.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in kept) == Counter([(1, a), (1, b), (None, "alone with no id at all here"), (3, None), (3, "")])
+
+
 # --- shared
 
 

@@ -22,12 +22,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltloom.llm.components import connected_components
 from voltloom.llm.durable import Workspace
-from voltloom.llm.shingles import mix, shingle_sequences, shingle_sets
+from voltloom.llm.shingles import distinct, mix, shingle_sequences, shingle_sets
 
 #: Threshold as a ratio of whole numbers: link when DEN * both >= NUM * either.
 NUM, DEN = 80, 100
@@ -37,6 +36,8 @@ ROUNDS, CHUNK = 4, 200
 EXTRA = 25
 #: Common shingles whose order by frequency is kept (any order is exact; the bound is on memory).
 COMMON = 1 << 20
+#: Shingles a task counts at a time, and bits that sift out most of those that are not common.
+COUNTED, _SIEVE = 2_000_000, 1 << 22
 #: Documents' ids that are broadcast to the texts at most (16 bytes each); above, a join is shuffled.
 BROADCAST_IDS = 2_000_000
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
@@ -47,14 +48,13 @@ def needed(n: int | np.ndarray) -> int | np.ndarray:
     return -(-NUM * n // DEN)
 
 
-def head_size(n: int) -> tuple[int, int]:
-    """Length of a set's head, and how many of the head's shingles any set it links to has in its own.
+def head_sizes(n: np.ndarray) -> np.ndarray:
+    """Length of each set's head: k of its shingles are in the head of any set it links to.
 
     Of n shingles at most ``n - needed(n)`` are missing from the other set; the
     k-th of those in common is within so many and k more.
     """
-    k = min(1 + n // EXTRA, int(needed(n)))
-    return n - int(needed(n)) + k, k
+    return n - needed(n) + np.minimum(1 + n // EXTRA, needed(n))
 
 
 def links(x: np.ndarray, y: np.ndarray) -> bool:
@@ -65,12 +65,22 @@ def links(x: np.ndarray, y: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(x) + len(y) - both)
 
 
+def _per_text(ufunc: np.ufunc, values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``ufunc`` reduced over each text's values; zero for texts without any."""
+    out = np.zeros(len(count), np.uint64)
+    some = count > 0
+    if some.any():
+        out[some] = ufunc.reduceat(values, (np.cumsum(count) - count)[some])
+    return out
+
+
 def common_shingles(docs: DataFrame, text: str, space: Workspace, keep: int = COMMON) -> np.ndarray:
     """The most common shingles, the commonest last: counted over all documents, chunk by chunk.
 
     Chunks report the shingles they see more than once, equal texts counted
     once, and the counts are added: what many documents share is sure to meet
-    itself in some chunk. Of these, as many of the commonest as ``keep`` allows.
+    itself in some chunk. Of these, the ``keep`` commonest are returned; of
+    those about as common as the last, the ones of smallest hash.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,65 +89,97 @@ def common_shingles(docs: DataFrame, text: str, space: Workspace, keep: int = CO
         size = 0
 
         def flush() -> pa.RecordBatch:
-            token, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = times > 1
+            flat = np.concatenate(held) if held else np.zeros(0, np.uint64)
             held.clear(), seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(times[often])], names=["token", "times"])
+            flat.sort()
+            edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]])) if len(flat) else np.zeros(1, np.int64)
+            times = np.diff(edge)
+            often = times > 1
+            return pa.RecordBatch.from_arrays([pa.array(flat[edge[:-1][often]].view(np.int64)), pa.array(times[often])], names=["token", "times"])
 
         for batch in batches:
-            for hashes, per_text in shingle_sequences(batch.column(0).to_pylist()):
-                per_text = per_text[per_text > 0]
-                if not len(per_text):
-                    continue
-                marks = np.add.reduceat(mix(hashes), np.cumsum(per_text) - per_text).tolist()
-                fresh = [m not in seen and not seen.add(m) for m in marks]
+            for hashes, per_text in shingle_sequences(batch.column(0)):
+                marks = _per_text(np.add, mix(hashes), per_text).tolist()
+                fresh = np.array([m not in seen and not seen.add(m) for m in marks], bool)
                 held.append(hashes[np.repeat(fresh, per_text)])
                 size += len(held[-1])
-                if size > 3_000_000:
+                if size > COUNTED:
                     yield flush()
                     size = 0
         yield flush()
 
     counted = space.settle(docs.select(text).mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")), "counted")
-    # the least count for which no more than `keep` shingles have it or more; counts above 1000 are one class
-    classes = counted.groupBy(F.least("times", F.lit(1000)).alias("times")).count().orderBy(F.desc("times")).collect()
-    total, least = 0, 1 << 62
+    # how many shingles are about as common, in classes of a sixteenth of a doubling (up to 1024: of one count)
+    about = F.when(F.col("times") < 1024, F.col("times")).otherwise(F.floor(F.log2("times") * 16) + (1024 - 160)).cast("long")
+    classes = counted.groupBy(about.alias("about")).count().orderBy(F.desc("about")).collect()  # a few thousand rows at most
+    total, least, rest = 0, 0, 0
     for c in classes:
+        least, rest = c["about"], keep - total
         total += c["count"]
         if total > keep:
             break
-        least = c["times"]
-    top = counted.filter(F.col("times") >= least).toArrow().sort_by([("times", "ascending"), ("token", "ascending")])  # at most `keep` rows
+    else:
+        least = 0
+    top = counted.filter(about > least)
+    if least:
+        top = top.union(counted.filter(about == least).orderBy("token").limit(rest))
+    top = top.toArrow().sort_by([("times", "ascending"), ("token", "ascending")])  # `keep` rows at most
+    space.drop(counted)
     return top.column("token").to_numpy().view(np.uint64)
 
 
 def digest(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: set size, fingerprint of the set, min-hashes and head."""
     order = np.argsort(common)
-    known, rank = common[order], order.astype(np.int64)
+    known, rank = common[order], order.astype(np.uint32)
+    names = ["doc_id", *carry, "n", "f1", "f2", "low", "head"]
+
+    def lists(flat: np.ndarray, count: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat.view(np.int64)))
+
+    def heads(flat: np.ndarray, n: np.ndarray, wanted: np.ndarray, maybe: np.ndarray) -> np.ndarray:
+        """The first ``wanted`` of each set in the order: the others by hash, then the common ones by rank."""
+        hot = maybe[(flat & np.uint64(len(maybe) - 1)).astype(np.int64)]
+        some = np.flatnonzero(hot)
+        at = np.minimum(np.searchsorted(known, flat[some]), max(0, len(known) - 1))
+        hot[some] = known[at] == flat[some] if len(known) else False
+        ranked = np.zeros(len(flat), np.uint32)
+        if len(known):
+            ranked[some] = rank[at]
+        cold = np.concatenate([[0], np.cumsum(~hot)])
+        edges = np.concatenate([[0], np.cumsum(n)])
+        place = cold[:-1] - np.repeat(cold[edges[:-1]], n)  # among the set's others
+        chosen = ~hot & (place < np.repeat(wanted, n))
+        out = np.empty(int(wanted.sum()), np.uint64)
+        to = np.cumsum(wanted) - wanted
+        out[np.repeat(to, n)[chosen] + place[chosen]] = flat[chosen]
+        others = cold[edges[1:]] - cold[edges[:-1]]
+        for k in np.flatnonzero(others < wanted).tolist():
+            a, b = edges[k], edges[k + 1]
+            rest = flat[a:b][hot[a:b]]
+            lacking = wanted[k] - others[k]
+            out[to[k] + others[k] : to[k] + wanted[k]] = rest[np.argsort(ranked[a:b][hot[a:b]], kind="stable")[:lacking]]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = np.zeros(_SIEVE, bool)
+        maybe[(known & np.uint64(_SIEVE - 1)).astype(np.int64)] = True
         for batch in batches:
-            rows = []
-            for s in shingle_sets(batch.column(1).to_pylist()):
-                n = len(s)
-                if not n:
-                    rows.append((0, 0, 0, [], []))
-                    continue
-                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
-                hot = known[at] == s if len(known) else np.zeros(n, bool)
-                size = head_size(n)[0]
-                head = s[~hot][:size]
-                if len(head) < size:
-                    rest = s[hot]
-                    head = np.concatenate([head, rest[np.argsort(rank[at[hot]], kind="stable")][: size - len(head)]])
-                low = [int(mix(s ^ seed).min().view(np.int64)) for seed in _SEEDS[:ROUNDS]]
-                rows.append((n, int(s.sum().view(np.int64)), int(mix(s ^ _SEEDS[3]).sum().view(np.int64)), low, head.view(np.int64)))
-            n, f1, f2, low, head = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *batch.columns[2:], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(head, pa.list_(pa.int64()))],
-                names=["doc_id", *carry, "n", "f1", "f2", "low", "head"],
-            )
+            done = 0
+            for hashes, per_text in shingle_sequences(batch.column(1)):
+                flat, n = distinct(hashes, per_text)
+                wanted = head_sizes(n)
+                lows = np.stack([_per_text(np.minimum, mix(flat ^ seed), n) for seed in _SEEDS[:ROUNDS]], axis=1)
+                made = [
+                    pa.array(n, pa.int64()),
+                    pa.array(_per_text(np.add, flat, n).view(np.int64)),
+                    pa.array(_per_text(np.add, mix(flat ^ _SEEDS[3]), n).view(np.int64)),
+                    lists(lows[n > 0].ravel(), np.where(n > 0, ROUNDS, 0)),
+                    lists(heads(flat, n, wanted, maybe), wanted),
+                ]
+                rows = batch.slice(done, len(n))
+                done += len(n)
+                yield pa.RecordBatch.from_arrays([rows.column(0), *rows.columns[2:], *made], names=names)
 
     kinds = dict(docs.dtypes)
     carried = "".join(f", `{c}` {kinds[c]}" for c in carry)
@@ -147,12 +189,12 @@ def digest(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray, carr
 def _grouped(batches: Iterator[pa.RecordBatch], compare: Callable[[list[int], list[int], list[np.ndarray]], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
     """Feed rows (group, role, id, text), sorted by group, to ``compare`` a group at a time."""
     found: list[tuple[int, int]] = []
-    now, roles, ids, texts = None, [], [], []
+    now, roles, ids, sets = None, [], [], []
 
     def flush() -> None:
         if len(ids) > 1:
-            found.extend(compare(roles, ids, list(shingle_sets(texts))))
-        roles.clear(), ids.clear(), texts.clear()
+            found.extend(compare(roles, ids, sets))
+        roles.clear(), ids.clear(), sets.clear()
 
     def out() -> pa.RecordBatch:
         a, b = zip(*found, strict=True) if found else ([], [])
@@ -161,14 +203,13 @@ def _grouped(batches: Iterator[pa.RecordBatch], compare: Callable[[list[int], li
 
     for batch in batches:
         groups, kinds, numbers = (batch.column(k).to_pylist() for k in range(3))
-        words = batch.column(3)
-        for k, group in enumerate(groups):
+        for group, kind, number, shingles in zip(groups, kinds, numbers, shingle_sets(batch.column(3)), strict=True):
             if group != now:
                 flush()
                 now = group
-            roles.append(kinds[k])
-            ids.append(numbers[k])
-            texts.append(words[k].as_py())
+            roles.append(kind)
+            ids.append(number)
+            sets.append(shingles)
         yield out()
     flush()
     yield out()
@@ -256,9 +297,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sizes = stars.groupBy("component").agg(F.count("*").alias("members"))
     grouped = one.join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     grouped = grouped.select("doc_id", F.coalesce("component", "doc_id").alias("of"), F.posexplode("head").alias("place", "token"))
-    by_token = W.partitionBy("token")
-    shared = grouped.withColumn("least", F.min("of").over(by_token)).withColumn("most", F.max("of").over(by_token)).filter("least <> most").drop("least", "most")
-    heads = space.settle(shared, "heads")
+    apart = grouped.groupBy("token").agg(F.min("of").alias("least"), F.max("of").alias("most")).filter("least <> most").select("token")
+    heads = space.settle(grouped.join(space.settle(apart, "tokens"), "token"), "heads")
     # what stands before the k-th shared shingle of a head, the shared ones aside, is absent from every other group's sets
     k = F.least(1 + F.floor(F.col("n") / EXTRA), F.ceil(F.col("n") * NUM / DEN)).cast("int")
     able = heads.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places")).join(one.select("doc_id", "n").distinct(), "doc_id").withColumn("k", k)
@@ -289,23 +329,30 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that a class's smallest id stands for.
+    """One row of ``docs``, that of the smallest id, of each class of similar texts.
 
-    Of rows that repeat an id one stays. Documents without shingles or id are in
-    no class and all stay.
+    Where ids repeat or are null, rows are told apart by themselves: links are
+    between texts, never by way of an id; of rows that share the smallest id of
+    a class one stays, and a null id comes after all others. Documents without
+    shingles (null, empty, only white space) are in no class and all stay; an
+    empty table gives an empty one; other columns pass through.
     """
     space = Workspace(docs.sparkSession, "drop-similar")
-    classes = space.settle(similar_documents(docs, id_col=id_col, text_col=text_col).filter("n_shingles > 0 and doc_id is not null"), "classes")
-    gone = space.settle(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    twice = space.settle(classes.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"), "twice")
-
-    def by_id(ids: DataFrame, how: str) -> DataFrame:
-        few = ids.count() <= BROADCAST_IDS
-        return docs.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long") == F.col("__id"), how)
-
-    if not twice.count():
-        return by_id(gone, "left_anti")
-    return by_id(gone.union(twice), "left_anti").unionByName(by_id(twice, "left_semi").dropDuplicates([id_col]))
+    keyed = docs.withColumn("__id", F.col(id_col).cast("long"))
+    per_id = keyed.groupBy("__id").count().agg(F.max("count").alias("most"), F.count_if(F.col("__id").isNull()).alias("nulls")).first()
+    unique = (per_id["most"] or 0) <= 1 and not per_id["nulls"]
+    keyed = keyed.withColumn("__row", F.col("__id")) if unique else space.settle(keyed.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    classes = similar_documents(keyed, id_col="__row", text_col=text_col, carry=("__id",)).filter("n_shingles > 0")
+    classes = classes.select(F.col("doc_id").alias("__row"), "__id", "component_id")
+    if unique:
+        gone = classes.filter("__row <> component_id")
+    else:
+        classes = space.settle(classes, "classes")
+        first = classes.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("first"))
+        gone = classes.join(first, "component_id").filter(F.col("__row") != F.col("first.__row"))
+    gone = space.settle(gone.select("__row"), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return keyed.join(F.broadcast(gone) if few else gone, "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 #: DuckDB SQL for the same rows, over the registered view ``documents``.
