@@ -107,6 +107,36 @@ def test_toxicity(spark, odd, empty):
     assert not any(r["toxic"] for r in toxicity.score_toxicity(odd, nothing).collect())
 
 
+def test_toxicity_against_plain_sums(spark):
+    """Every probability equals the chain worked out word by word, and labels that contradict each other are settled."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=20) + (["vilezor"] if k % 3 == 0 else []) + (["junkword"] if k % 4 == 0 else []))) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(k, int(k % 4 != 0), int(k % 3 == 0)) for k, _ in rows]
+    model = toxicity.fit_on_labels(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    again = toxicity.fit_on_labels(docs.repartition(3), spark.createDataFrame([*labels, (3, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int").repartition(5))
+    assert again.column == model.column or len(again.column) > 0
+    for r in toxicity.score_toxicity(docs, model).collect():
+        found, ratios = toxicity.words_of(dict(rows)[r["doc_id"]])
+        held = {int(h) for h in toxicity.features_of(found)} & model.column.keys()
+        given = []
+        for w in model.weights:
+            z = sum(w[model.column[h]] for h in held) + sum(a * b for a, b in zip(w[len(model.column) :], [*ratios, *given, 1.0], strict=True))
+            given.append(1 / (1 + math.exp(-z)))
+        assert [r["p_low_quality"], r["p_toxic"]] == pytest.approx(given, abs=1e-9)
+        assert r["toxic"] == (given[-1] >= 0.5) == (r["doc_id"] % 3 == 0)
+
+
+def test_folds_choose_their_own_words(monkeypatch):
+    """A word that only one fold has is not among those that its out-of-fold probabilities come from."""
+    seen = []
+    chosen = toxicity.select_words
+    monkeypatch.setattr(toxicity, "select_words", lambda hashes, rows, labels: (seen.append((set(rows.tolist()), int((~np.isnan(labels)).sum()))), chosen(hashes, rows, labels))[1])
+    docs = [(np.array(sorted({k % 7, 100 + k % 2}), np.uint32), (0.0, 0.0, 0.0, 0.0)) for k in range(30)]
+    toxicity.train_chain(docs, np.array([[k % 2, k % 3 == 0] for k in range(30)], float), ("a", "b"))
+    assert seen == [(set(range(30)), 60)] + [({k for k in range(30) if k % 3 != fold}, 40) for fold in range(3)]
+
+
 # --- op3 and op10
 
 

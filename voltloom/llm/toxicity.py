@@ -38,6 +38,8 @@ FOLDS = 3
 THRESHOLD = 0.5
 #: The categories in the order of the chain, with the labels they come from.
 CHAIN = (("low_quality", "1 - quality"), ("toxic", "toxic"))
+#: Texts that a task takes apart at a time.
+SLICE = 256
 _WORD = re.compile(r"[^\W\d_]+")
 _DENSE = 4
 
@@ -50,6 +52,13 @@ def words_of(text: str) -> tuple[set[str], tuple[float, ...]]:
     return distinct, (np.log1p(n) / 10, len(distinct) / max(1, n), letters / max(1, len(text)), min(2.0, letters / max(1, n) / 10))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few texts, so that what a task holds as Python strings is bounded."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def hash_of(form: str) -> int:
     return xxhash.xxh32_intdigest(form.encode("utf-8", "surrogatepass"))
 
@@ -169,20 +178,28 @@ def train_chain(docs: list[tuple[np.ndarray, tuple[float, ...]]], labels: np.nda
     n = len(docs)
     rows = np.repeat(np.arange(n), [len(h) for h, _ in docs]) if n else np.zeros(0, int)
     hashes = np.concatenate([h for h, _ in docs]) if n else np.zeros(0, np.uint32)
+    dense = np.array([d for _, d in docs]).reshape(n, _DENSE)
+
+    def described(words: np.ndarray) -> Rows:
+        cols = np.searchsorted(words, hashes)
+        kept = (cols < len(words)) & (words[np.minimum(cols, len(words) - 1)] == hashes) if len(words) else np.zeros(len(hashes), bool)
+        return Rows(rows[kept], cols[kept], len(words), dense)
+
     words = select_words(hashes, rows, labels)
-    cols = np.searchsorted(words, hashes)
-    kept = (cols < len(words)) & (words[np.minimum(cols, len(words) - 1)] == hashes) if len(words) else np.zeros(len(hashes), bool)
-    x = Rows(rows[kept], cols[kept], len(words), np.array([d for _, d in docs]).reshape(n, _DENSE))
+    x = described(words)
     fold = np.arange(n) % folds
+    # a fold's rows take no part in choosing the words by which they are judged
+    parts = [described(select_words(hashes[fold[rows] != k], rows[fold[rows] != k], np.where((fold != k)[:, None], labels, np.nan))) for k in range(folds if labels.shape[1] > 1 else 0)]
     weights = []
-    for y in labels.T:
+    for at, y in enumerate(labels.T):
         known = ~np.isnan(y)
         weights.append(fit_linear(x.take(known), y[known]))
-        unseen = np.zeros(n)
-        for k in range(folds):
-            part = fit_linear(x.take(known & (fold != k)), y[known & (fold != k)])
-            unseen[fold == k] = sigmoid(x.dot(part))[fold == k]
-        x = x.beside(unseen)
+        if at + 1 < labels.shape[1]:
+            unseen = np.zeros(n)
+            for k, part in enumerate(parts):
+                model = fit_linear(part.take(known & (fold != k)), y[known & (fold != k)])
+                unseen[fold == k] = sigmoid(part.dot(model))[fold == k]
+            x, parts = x.beside(unseen), [part.beside(unseen) for part in parts]
     return Chain(names, {int(h): k for k, h in enumerate(words)}, weights)
 
 
@@ -190,16 +207,19 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """Train the chain on the labelled documents, on ``max_training`` rows of smallest id hash at most.
 
     The labels of the sample (its bound is the parameter) are broadcast to the
-    documents, so that no text is shuffled. Equal texts count once. Rows without
-    text, id or any label are left out.
+    documents, so that no text is shuffled. Equal texts count once. A document or
+    text that has several labels of a category has the largest of them. Rows
+    without text, id or any label are left out; without any rows the chain finds
+    nothing toxic.
     """
     wanted = labels.select(F.col(id_col).alias("__id"), *[F.expr(e).cast("double").alias(f"__y{k}") for k, (_, e) in enumerate(chain)])
-    wanted = wanted.filter(F.col("__id").isNotNull() & F.coalesce(*[F.col(f"__y{k}") for k in range(len(chain))]).isNotNull()).dropDuplicates(["__id"])
+    wanted = wanted.filter(F.col("__id").isNotNull() & F.coalesce(*[F.col(f"__y{k}") for k in range(len(chain))]).isNotNull())
+    wanted = wanted.groupBy("__id").agg(*[F.max(f"__y{k}").alias(f"__y{k}") for k in range(len(chain))])
     wanted = wanted.orderBy(F.xxhash64("__id"), "__id").limit(max_training)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull()).join(F.broadcast(wanted), "__id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashed, ratios, same = [], [], []
             for text in batch.column(1).to_pylist():
                 found, dense = words_of(text)
@@ -209,7 +229,9 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(hashed, pa.binary()), pa.array(ratios, pa.list_(pa.float64())), pa.array(same, pa.int64()), *batch.columns[2:]], names=["words", "ratios", "same", *batch.schema.names[2:]])
 
     known = ", ".join(f"__y{k} double" for k in range(len(chain)))
-    sample = rows.mapInArrow(features, f"words binary, ratios array<double>, same long, {known}").dropDuplicates(["same"]).toArrow().sort_by("same")
+    sample = rows.mapInArrow(features, f"words binary, ratios array<double>, same long, {known}")
+    sample = sample.groupBy("same").agg(F.first("words").alias("words"), F.first("ratios").alias("ratios"), *[F.max(f"__y{k}").alias(f"__y{k}") for k in range(len(chain))])
+    sample = sample.toArrow().sort_by("same")
     labelled = np.array([sample.column(f"__y{k}").to_numpy() for k in range(len(chain))], float).reshape(len(chain), sample.num_rows).T
     found = [(np.frombuffer(w.as_py(), np.uint32), tuple(r.as_py())) for w, r in zip(sample.column("words"), sample.column("ratios"), strict=True)]
     return train_chain(found, labelled, tuple(n for n, _ in chain))
@@ -272,7 +294,7 @@ def score_toxicity(docs: DataFrame, model: Chain, *, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probabilities = judge(model)
-        for batch in batches:
+        for batch in slices(batches):
             p = probabilities(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in p.T], pa.array(p[:, -1] >= threshold)], names=[id_col, *names, "toxic"])
 
@@ -280,12 +302,16 @@ def score_toxicity(docs: DataFrame, model: Chain, *, id_col: str = "doc_id", tex
 
 
 def drop_toxic(docs: DataFrame, model: Chain, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, as they are, whose text is not toxic; null and empty texts stay."""
+    """The rows of ``docs``, as they are, whose text is not toxic.
+
+    Null and empty texts stay; rows are judged one by one, so that repeated
+    rows and null ids fare like any other; an empty table gives an empty one.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probabilities = judge(model)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(probabilities(batch.column(at).to_pylist())[:, -1] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
