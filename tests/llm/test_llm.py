@@ -131,7 +131,7 @@ def test_folds_choose_their_own_words(monkeypatch):
     """A word that only one fold has is not among those that its out-of-fold probabilities come from."""
     seen = []
     chosen = toxicity.select_words
-    monkeypatch.setattr(toxicity, "select_words", lambda hashes, rows, labels: (seen.append((set(rows.tolist()), int((~np.isnan(labels)).sum()))), chosen(hashes, rows, labels))[1])
+    monkeypatch.setattr(toxicity, "select_words", lambda at, rows, n, labels: (seen.append((set(rows.tolist()), int((~np.isnan(labels)).sum()))), chosen(at, rows, n, labels))[1])
     docs = [(np.array(sorted({k % 7, 100 + k % 2}), np.uint32), (0.0, 0.0, 0.0, 0.0)) for k in range(30)]
     toxicity.train_chain(docs, np.array([[k % 2, k % 3 == 0] for k in range(30)], float), ("a", "b"))
     assert seen == [(set(range(30)), 60)] + [({k for k in range(30) if k % 3 != fold}, 40) for fold in range(3)]

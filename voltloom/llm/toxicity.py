@@ -147,60 +147,68 @@ class Chain:
         return np.array(found).T
 
 
-def select_words(hashes: np.ndarray, rows: np.ndarray, labels: np.ndarray, max_words: int = MAX_WORDS) -> np.ndarray:
-    """The words whose share of a category differs beyond chance; labels: rows x categories, NaN unknown.
+def select_words(at: np.ndarray, rows: np.ndarray, n_words: int, labels: np.ndarray, max_words: int = MAX_WORDS) -> np.ndarray:
+    """The words whose share of a category differs beyond chance.
 
-    A word is kept if its log-likelihood ratio against the category is above
-    what chance would reach among all the words tried, so that common words of
-    the training rows alone do not get in.
+    ``at`` and ``rows`` are the word and the row of each occurrence; labels:
+    rows x categories, NaN unknown. A word is kept if its log-likelihood ratio
+    against the category is above what chance would reach among all the words
+    tried, so that common words of the training rows alone do not get in.
     """
-    words, at = np.unique(hashes, return_inverse=True)
+    tried = max(10, int((np.bincount(at, minlength=n_words) > 0).sum()))
     chosen = []
     for y in labels.T:
         known = ~np.isnan(y)
         n, pos = known.sum(), np.nansum(y)
         if not n or pos in (0, n):
             continue
-        docs = np.bincount(at, known[rows].astype(float), len(words))
-        hits = np.bincount(at, np.nan_to_num(y)[rows], len(words))
+        hits, docs = (np.bincount(at[mask[rows]], minlength=n_words) for mask in (known & (y > 0), known))
         miss, rate = docs - hits, pos / n
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = 2 * (np.where(hits > 0, hits * np.log(hits / (docs * rate)), 0) + np.where(miss > 0, miss * np.log(miss / (docs * (1 - rate))), 0))
         ratio = np.where(docs > 0, ratio, 0)
-        ratio[ratio < 2 * np.log(max(10, len(words)))] = 0
+        ratio[ratio < 2 * np.log(tried)] = 0
         best = np.argsort(-ratio, kind="stable")[:max_words]
-        chosen.append(words[best[ratio[best] > 0]])
-    return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.uint32)
+        chosen.append(best[ratio[best] > 0])
+    return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
 
 
 def train_chain(docs: list[tuple[np.ndarray, tuple[float, ...]]], labels: np.ndarray, names: tuple[str, ...], folds: int = FOLDS) -> Chain:
-    """Train on documents given by word hashes and ratios; labels: rows x categories, NaN unknown."""
+    """Train on documents given by word hashes and ratios; labels: rows x categories, 0, 1 or NaN (unknown)."""
     n = len(docs)
-    rows = np.repeat(np.arange(n), [len(h) for h, _ in docs]) if n else np.zeros(0, int)
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(h) for h, _ in docs]) if n else np.zeros(0, np.int32)
     hashes = np.concatenate([h for h, _ in docs]) if n else np.zeros(0, np.uint32)
     dense = np.array([d for _, d in docs]).reshape(n, _DENSE)
+    docs.clear()  # what is left of them stands in the arrays
+    every = np.unique(hashes)
+    at = np.searchsorted(every, hashes).astype(np.int32)
+    del hashes
 
     def described(words: np.ndarray) -> Rows:
-        cols = np.searchsorted(words, hashes)
-        kept = (cols < len(words)) & (words[np.minimum(cols, len(words) - 1)] == hashes) if len(words) else np.zeros(len(hashes), bool)
-        return Rows(rows[kept], cols[kept], len(words), dense)
+        place = np.full(len(every), -1, np.int32)
+        place[words] = np.arange(len(words))
+        kept = np.flatnonzero(place[at] >= 0)
+        return Rows(rows[kept].astype(np.int64), place[at[kept]].astype(np.int64), len(words), dense)
 
-    words = select_words(hashes, rows, labels)
+    words = select_words(at, rows, len(every), labels)
     x = described(words)
     fold = np.arange(n) % folds
-    # a fold's rows take no part in choosing the words by which they are judged
-    parts = [described(select_words(hashes[fold[rows] != k], rows[fold[rows] != k], np.where((fold != k)[:, None], labels, np.nan))) for k in range(folds if labels.shape[1] > 1 else 0)]
+    parts = []
+    for k in range(folds if labels.shape[1] > 1 else 0):
+        # a fold's rows take no part in choosing the words by which they are judged
+        others = (fold != k)[rows]
+        parts.append(described(select_words(at[others], rows[others], len(every), np.where((fold != k)[:, None], labels, np.nan))))
     weights = []
-    for at, y in enumerate(labels.T):
+    for category, y in enumerate(labels.T):
         known = ~np.isnan(y)
         weights.append(fit_linear(x.take(known), y[known]))
-        if at + 1 < labels.shape[1]:
+        if category + 1 < labels.shape[1]:
             unseen = np.zeros(n)
             for k, part in enumerate(parts):
                 model = fit_linear(part.take(known & (fold != k)), y[known & (fold != k)])
                 unseen[fold == k] = sigmoid(part.dot(model))[fold == k]
-            x, parts = x.beside(unseen), [part.beside(unseen) for part in parts]
-    return Chain(names, {int(h): k for k, h in enumerate(words)}, weights)
+            x, parts = x.beside(unseen), [part.beside(unseen) for part in parts] if category + 2 < labels.shape[1] else []
+    return Chain(names, {int(every[w]): k for k, w in enumerate(words)}, weights)
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chain: tuple[tuple[str, str], ...] = CHAIN, max_training: int = MAX_TRAINING) -> Chain:
@@ -231,9 +239,10 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     known = ", ".join(f"__y{k} double" for k in range(len(chain)))
     sample = rows.mapInArrow(features, f"words binary, ratios array<double>, same long, {known}")
     sample = sample.groupBy("same").agg(F.first("words").alias("words"), F.first("ratios").alias("ratios"), *[F.max(f"__y{k}").alias(f"__y{k}") for k in range(len(chain))])
-    sample = sample.toArrow().sort_by("same")
+    sample = sample.toArrow().combine_chunks().sort_by("same")
     labelled = np.array([sample.column(f"__y{k}").to_numpy() for k in range(len(chain))], float).reshape(len(chain), sample.num_rows).T
-    found = [(np.frombuffer(w.as_py(), np.uint32), tuple(r.as_py())) for w, r in zip(sample.column("words"), sample.column("ratios"), strict=True)]
+    found = [(np.frombuffer(w.as_buffer(), np.uint32), tuple(r.as_py())) for w, r in zip(sample.column("words"), sample.column("ratios"), strict=True)]
+    del sample  # the hashes alone live on, until they are put into one array
     return train_chain(found, labelled, tuple(n for n, _ in chain))
 
 
