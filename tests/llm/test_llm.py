@@ -287,6 +287,61 @@ def test_language_model(spark, odd, empty):
     assert language_model.score_texts(odd).count() == len(ODD) and language_model.score_texts(empty).count() == 0
 
 
+def test_scores_against_a_plain_model(spark):
+    """Counts, gradients and scores worked out history by history give the same log-probabilities."""
+    lm, rng = language_model, random.Random(12)
+    names = ["the", "of", "a", "river", "stone", "Walking", "talking", "x", "yz", "über"]
+    docs = [(k, " ".join(rng.choices(names, weights=range(len(names), 0, -1), k=rng.randrange(0, 12)))) for k in range(60)] + [(60, None), (61, "never seen words")]
+    split = {k: lm.words_of(t) for k, t in docs}
+    held = {k for k, _ in docs if zlib.crc32(str(k).encode()) % 7 == 2}
+    counts = Counter(w for k, ws in split.items() if k not in held for w in ws)
+    order = sorted(counts, key=lambda w: (-counts[w], w.decode()))
+    own = {w: 1 + k for k, w in enumerate(order[: lm.OWN])}
+
+    def class_of(w):
+        return own.get(w) or lm.ending_class(w)
+
+    ends, mass = len(docs) - len(held), Counter()
+    for w, n in counts.items():
+        if w not in own:
+            mass[class_of(w)] += n + 1
+    rows_of = lm.feature_rows().T
+    seen = Counter()
+    for k, ws in split.items():
+        c = [0, 0, *map(class_of, ws), 0]
+        if k not in held:
+            seen.update(((x, y), z) for x, y, z in zip(c, c[1:], c[2:], strict=False))
+    observed = np.zeros((lm.HASHED, lm.CLASSES))
+    for ((x, y), z), n in seen.items():
+        for r in rows_of[x * lm.CLASSES + y]:
+            observed[r, z] += n
+    share = observed.sum(axis=0) / 3 + 0.5
+    bias = np.log(share / share.sum())
+    weights = 0.4 * (np.log((observed + lm.PRIOR * np.exp(bias)) / (observed.sum(axis=1, keepdims=True) + lm.PRIOR)) - bias)
+
+    def logs(x, y):
+        z = bias + sum(weights[r] for r in rows_of[x * lm.CLASSES + y])
+        return z - z.max() - np.log(np.exp(z - z.max()).sum())
+
+    for _ in range(lm.ROUNDS):
+        expected = np.zeros_like(observed)
+        for h in {h for h, _ in seen}:
+            times = sum(n for (g, _), n in seen.items() if g == h)
+            for r in rows_of[h[0] * lm.CLASSES + h[1]]:
+                expected[r] += times * np.exp(logs(*h))
+        weights += 0.5 * np.clip((observed - expected - lm.RIDGE * weights) / (np.minimum(observed, expected) + lm.PRIOR * np.exp(bias) + 0.1), -1.0, 1.0)
+    tokens, distinct = sum(counts.values()) + ends, len(counts) + 1
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for r in lm.score_texts(frame).collect():
+        ws = split[r["doc_id"]]
+        c = [0, 0, *map(class_of, ws), 0]
+        model = sum(logs(x, y)[z] / math.log(10) for x, y, z in zip(c, c[1:], c[2:], strict=False))
+        model += sum(math.log10((counts[w] + 1) / (mass[class_of(w)] + 1)) for w in ws if w not in own)
+        base = sum(math.log10((counts[w] + 1) / (tokens + distinct + 1)) for w in ws) + math.log10((ends + 1) / (tokens + distinct + 1))
+        assert r["held_out"] == (r["doc_id"] in held) and r["base_score"] == pytest.approx(base, abs=1e-9)
+        assert r["score"] == pytest.approx(model, abs=2e-3 * (1 + len(ws)))
+
+
 def test_softmax_sums_to_one(spark):
     rng = np.random.default_rng(2)
     cells = spark.createDataFrame([(int(c), int(n)) for c, n in zip(rng.integers(0, language_model.CLASSES**3, 500), rng.integers(1, 9, 500), strict=True)], "cell long, n long")
