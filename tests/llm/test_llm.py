@@ -222,6 +222,40 @@ def test_nearest(spark):
     assert [(r["query_id"], r["vec_id"]) for r in few.orderBy("rank").collect()] == [(0, 1), (0, 2)]
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_nearest_recall_on_the_tables(spark, sf):
+    """At least 0.95 of the true neighbours of every registered query, by exact search."""
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas()
+    table = table[[v is not None and np.isfinite(np.array(v, float)).all() and np.any(v) for v in table.embedding]].drop_duplicates("vec_id").reset_index(drop=True)
+    x, ids = np.stack(table.embedding.map(lambda v: np.asarray(v, float))), table.vec_id.to_numpy()
+    got = registry.op10_projection_forest(spark, f"/root/testdata/{sf}").toPandas().groupby("query_id").vec_id.agg(set)
+    hits = wanted = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[at]
+        order = [i for i in np.lexsort((ids, -score)) if i != at][:20]
+        hits, wanted = hits + len(got[ids[at]] & set(ids[order])), wanted + len(order)
+    assert hits / wanted >= 0.95
+
+
+def test_forest_opens_little_of_structured_vectors():
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 32)) * 6
+    x = np.repeat(centres, 100, axis=0) + rng.standard_normal((4000, 32))
+    x = x[rng.permutation(len(x))]
+    forest = nearest.fit_forest(x, len(x), float((x * x).sum(1).max()), leaf=64)
+    assert forest.share_for(x, 20, 0.95) < 0.35
+
+
+def test_nearest_in_blocks_with_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k % 300, [float(v) for v in np.float32(rng.standard_normal(8))]) for k in range(320)]
+    rows += rows[:7]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = nearest.nearest_by_product(df, "vec_id % 20 = 0", k=5, recall=1.0).collect()
+    parts = nearest.nearest_by_product(df, "vec_id % 20 = 0", k=5, recall=1.0, block=16).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, parts)) and {r["query_id"] for r in whole} == set(range(0, 300, 20))
+
+
 # --- op4
 
 

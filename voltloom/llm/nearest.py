@@ -6,6 +6,11 @@ nearest point; every row is put into one leaf of each tree. A query walks all
 trees through one priority queue, nearest half-spaces first, until the leaves
 it has opened hold a share of the sample, and the rows of those leaves are
 ranked by the exact measure.
+
+The share is measured, not given: probes from the sample are searched exactly,
+and the share is the one at which the queue has met the wanted part of their
+true neighbours. Vectors with structure need a small one; for vectors without
+any, no forest does with little.
 """
 
 from __future__ import annotations
@@ -22,10 +27,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltloom.llm.durable import Workspace
+from voltloom.llm.shingles import mix
 from voltloom.llm.vectors import by_group, matrix, usable
 
-#: Trees, rows of a leaf (about), share of the sample that a query's leaves hold.
-TREES, LEAF, SHARE = 8, 512, 0.72
+#: Trees, and rows of a leaf (about).
+TREES, LEAF = 8, 256
+#: Part of the true neighbours that the search is set to find, and probes of the sample by which it is set.
+RECALL, PROBES = 0.96, 192
+#: Rows and queries that meet in one group at most (about); larger leaves are compared in blocks.
+BLOCK = 8_192
 #: Rows the forest is fitted on at most (the documented bound of the sample).
 MAX_SAMPLE = 16_384
 #: Found rows a task holds before it drops what is no longer among the best.
@@ -56,28 +66,53 @@ class Forest:
             node = 2 * node + (side[:, level] > self.thresholds[tree][level][node])
         return node
 
-    def open(self, query: np.ndarray, share: float) -> list[tuple[int, int]]:
-        """Leaves to search for a query, through a queue that all trees share."""
+    def walk(self, query: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Leaves (tree, node) in the order of a queue that all trees share: the least squared margins on the way first."""
         side = self.directions @ np.append(query, 0.0)
         queue = [(0.0, tree, 0, 0) for tree in range(len(self.thresholds))]
-        seen, wanted, count = np.zeros(self.sample, bool), share * self.sample, 0
-        found = []
         while queue:
             far, tree, level, node = heapq.heappop(queue)
             if level == self.depth:
-                found.append((tree, node))
-                rows = self.leaves[tree][node]
-                count += len(rows) - int(seen[rows].sum())
-                seen[rows] = True
-                if count >= wanted:
-                    break
+                yield tree, node
                 continue
             margin = side[tree, level] - self.thresholds[tree][level][node]
             near = int(margin > 0)
             heapq.heappush(queue, (far, tree, level + 1, 2 * node + near))
-            heapq.heappush(queue, (max(far, abs(margin)), tree, level + 1, 2 * node + 1 - near))
+            heapq.heappush(queue, (far + margin * margin, tree, level + 1, 2 * node + 1 - near))
+
+    def open(self, query: np.ndarray, share: float) -> list[tuple[int, int]]:
+        """Leaves to search for a query: those walked until they hold ``share`` of the sample."""
+        seen, wanted, count = np.zeros(self.sample, bool), share * self.sample, 0
+        found = []
+        for tree, node in self.walk(query):
+            found.append((tree, node))
+            rows = self.leaves[tree][node]
+            count += len(rows) - int(seen[rows].sum())
+            seen[rows] = True
+            if count >= wanted:
+                break
         return found
 
+    def share_for(self, sample: np.ndarray, k: int, recall: float, probes: int = PROBES) -> float:
+        """The share of the sample that leaves must hold for ``recall`` of the probes' k nearest to be in them."""
+        met = []
+        for at in range(min(probes, len(sample))):
+            score = sample @ sample[at]
+            score[at] = -np.inf
+            best = np.argsort(-score, kind="stable")[: min(k, len(sample) - 1)]
+            when, count, seen = np.full(self.sample, np.nan), 0, np.zeros(self.sample, bool)
+            for tree, node in self.walk(sample[at]):
+                rows = self.leaves[tree][node]
+                fresh = rows[~seen[rows]]
+                seen[fresh] = True
+                count += len(fresh)
+                when[fresh] = count / self.sample
+                if seen[best].all():
+                    break
+            met.append(when[best])
+        found = np.sort(np.concatenate(met)) if met else np.ones(1)
+        return float(found[min(len(found) - 1, math.ceil(recall * len(found)))]) if len(found) else 1.0
+
 
 def fit_forest(sample: np.ndarray, rows: int, longest: float, *, trees: int = TREES, leaf: int = LEAF, seed: int = 3) -> Forest:
     """Fit the trees on the sample; their depth follows the number of rows, as far as the sample has any to split."""
@@ -101,12 +136,17 @@ def fit_forest(sample: np.ndarray, rows: int, longest: float, *, trees: int = TR
     return forest
 
 
+def spread(ids: np.ndarray, parts: int) -> np.ndarray:
+    """Ids dealt evenly into ``parts``."""
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
 def best_of(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best distinct rows of each query, ties to the smaller row."""
     order = np.lexsort((row, -score, query))
     query, row, score = query[order], row[order], score[order]
     if len(query):  # the same row, found in several trees, has the same score
-        again = np.concatenate([[False], (query[1:] == query[:-1]) & (row[1:] == row[:-1])])
+        again = np.concatenate([[False], (query[1:] == query[:-1]) & (row[1:] == row[:-1]) & (score[1:] == score[:-1])])
         query, row, score = query[~again], row[~again], score[~again]
         first = np.concatenate([[True], query[1:] != query[:-1]])
         start = np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
@@ -126,7 +166,7 @@ def score_leaf(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarra
     return i, j, (queries[i] * rows[j]).sum(axis=1)
 
 
-def nearest_by_product(vectors: DataFrame, queries: str, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, share: float = SHARE, seed: int = 3) -> DataFrame:
+def nearest_by_product(vectors: DataFrame, queries: str, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, recall: float = RECALL, block: int = BLOCK, seed: int = 3) -> DataFrame:
     """The ``k`` rows of largest inner product for each query row, itself left out.
 
     ``queries`` is a predicate on the input that names the query rows. Returns
@@ -134,9 +174,12 @@ def nearest_by_product(vectors: DataFrame, queries: str, *, k: int = 20, id_col:
     in double precision), nearest first, ties to the smaller id; all candidates
     if they are fewer. Vectors that are null, zero or hold null or non-finite
     components, vectors of another length than most, and null ids take no part;
-    of repeated ids each counts once; an empty table gives an empty one; other
+    equal rows count once, an id that repeats with another vector is one
+    candidate for each of them and none of its own queries'; an empty table gives an empty one; other
     columns are not read. Of equal vectors only the ``k + 1`` smallest ids can
-    ever be among a query's ``k`` nearest, so no more are stored.
+    ever be among a query's ``k`` nearest, so no more are stored. ``recall`` is
+    the part of the true neighbours that the search is set to find, by probes
+    among the sample; no group holds many more than ``block`` rows or queries.
     """
     spark = vectors.sparkSession
     space = Workspace(spark, "nearest")
@@ -154,25 +197,36 @@ def nearest_by_product(vectors: DataFrame, queries: str, *, k: int = 20, id_col:
     sample = indexed.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(MAX_SAMPLE).select("vector").toPandas()["vector"]
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    forest = fit_forest(np.stack([np.asarray(v, float) for v in sample]), stats["n"], stats["longest"], trees=trees, seed=seed)
+    points = np.stack([np.asarray(v, float) for v in sample])
+    forest = fit_forest(points, stats["n"], stats["longest"], trees=trees, seed=seed)
+    share = forest.share_for(points, k, recall)
     kind = dict(rows.dtypes)["vector"]
     leaves = 1 << forest.depth
+    # a leaf is compared with its queries in blocks: so many parts of its rows, so many of the queries
+    across, down = max(1, math.ceil(stats["n"] / leaves / block)), max(1, math.ceil(asking.count() / block))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = forest.extended(matrix(batch.column(1)))
+            part = spread(batch.column(0).to_numpy(), across)
             for tree in range(trees):
-                leaf = tree * leaves + forest.place(x, tree)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(np.zeros(len(leaf), np.int8)), batch.column(0), batch.column(1)], names=["leaf", "asks", "id", "vector"])
+                leaf = ((tree * leaves + forest.place(x, tree)) * across + part) * down
+                for d in range(down):
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf + d), pa.array(np.zeros(len(leaf), np.int8)), batch.column(0), batch.column(1)], names=["leaf", "asks", "id", "vector"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            opened = [forest.open(q, share) for q in matrix(batch.column(1))]
-            at = np.repeat(np.arange(len(opened)), [len(o) for o in opened])
-            leaf = np.array([tree * leaves + node for o in opened for tree, node in o], np.int64)
-            for a in range(0, len(at), 8192):
-                part = pa.array(at[a : a + 8192])
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[a : a + 8192]), pa.array(np.ones(len(part), np.int8)), batch.column(0).take(part), batch.column(1).take(part)], names=["leaf", "asks", "id", "vector"])
+            for start in range(0, batch.num_rows, 64):
+                rows = batch.slice(start, 64)
+                opened = [forest.open(q, share) for q in matrix(rows.column(1))]
+                at = np.repeat(np.arange(len(opened)), [len(o) for o in opened])
+                leaf = np.array([tree * leaves + node for o in opened for tree, node in o], np.int64)
+                mine = spread(rows.column(0).to_numpy(), down)[at]
+                for a in range(0, len(at), 8192):
+                    part = pa.array(at[a : a + 8192])
+                    for c in range(across):
+                        key = (leaf[a : a + 8192] * across + c) * down + mine[a : a + 8192]
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.ones(len(part), np.int8)), rows.column(0).take(part), rows.column(1).take(part)], names=["leaf", "asks", "id", "vector"])
 
     schema = f"leaf long, asks byte, id long, vector {kind}"
     met = indexed.select("id", "vector").mapInArrow(put, schema).union(asking.select(F.col("query").alias("id"), "vector").mapInArrow(route, schema))
