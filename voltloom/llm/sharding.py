@@ -64,19 +64,20 @@ def shuffle_into_shards(rows: DataFrame, n_shards: int, *, seed: int = 11, rows_
 
     Returns the input's columns with ``shard`` (int, from 0) and ``slot``
     (long, gapless from 0 in each shard); input columns of those two names are
-    replaced. Shard sizes differ by one at most. Rows are told apart by content
-    and place only, so nulls, ties and repeated rows need no care; with fewer
-    rows than shards some shards stay empty, and an empty table gives an empty
-    one. The driver holds one count per input partition.
+    replaced. Shard sizes differ by one at most. A row is dealt by its place in
+    its partition, not by what it holds, so nulls, ties and repeated rows are
+    dealt like any other; with fewer rows than shards some shards stay empty,
+    and an empty table gives an empty one. Reruns agree as long as partitions
+    hold the same rows in the same order, as those of a table do. The driver
+    holds one count per input partition.
     """
     spark = rows.sparkSession
     space = Workspace(spark, "sharding")
     rows = rows.drop("shard", "slot")
     names = rows.columns
-    # local permutation: a seeded hash of the whole row orders each partition
-    mixed = rows.withColumn("__order", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in names]))
-    dealt = mixed.sortWithinPartitions("__order", *[f"`{c}`" for c in names if dict(rows.dtypes)[c][:3] not in ("map", "var")])
-    dealt = space.settle(dealt.withColumn("__at", F.monotonically_increasing_id()), "permuted")
+    # local permutation: a seeded hash of partition and place orders each partition, equal rows apart from each other
+    mixed = rows.withColumn("__order", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
+    dealt = space.settle(mixed.sortWithinPartitions("__order").drop("__order").withColumn("__at", F.monotonically_increasing_id()), "permuted")
     found = {r["p"]: r["n"] for r in dealt.groupBy(F.shiftright("__at", _ROW_BITS).alias("p")).agg(F.count("*").alias("n")).collect()}
     counts = np.array([found.get(p, 0) for p in range(max(found, default=-1) + 1)], dtype=np.int64)
     shard_of, start_of, cells = cell_sizes(int(counts.sum()), n_shards, rows_per_cell)
