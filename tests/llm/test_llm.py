@@ -1,5 +1,6 @@
 """The operators against brute force, exact round trips and held-out accuracy, and their edge cases."""
 
+import html
 import math
 import random
 import re
@@ -68,6 +69,14 @@ def test_sharding(spark, odd, empty):
     assert sharding.shuffle_into_shards(empty, 3).count() == 0
 
 
+def test_repeated_rows_are_dealt_like_others(spark):
+    """Rows that are equal do not keep together: every shard has about its part of every value."""
+    rows = spark.createDataFrame([(k // 1000,) for k in range(4000)], "value int").repartition(4)
+    counts = Counter((r["shard"], r["value"]) for r in sharding.shuffle_into_shards(rows, 10, rows_per_cell=150).collect())
+    assert sum(counts.values()) == 4000 and len(counts) == 40
+    assert sum((n - 100) ** 2 / 100 for n in counts.values()) < 65  # chi-square, 27 degrees of freedom
+
+
 def test_matrix_is_exact_and_uniform():
     counts, cells = np.array([5, 0, 7, 3]), np.array([4, 4, 7])
     total = np.zeros((4, 3))
@@ -415,6 +424,41 @@ def test_main_text(spark):
     assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def article_lines(page):
+    """The blocks inside a page's article element, by splitting at block tags."""
+    inside = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = re.split(r"<(?:/?(?:p|h\d|br|li|ul|ol|div|table|tr|td|section|blockquote)\b)[^>]*>", inside)
+    return [t for t in (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks) if t]
+
+
+def test_articles_of_the_table(spark):
+    """On the table's pages the text is the article, and with their names taken away the windows still find it."""
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    more = found = 0
+    for page in pages:
+        wanted = article_lines(page)
+        assert html_text.main_text(page) == "\n".join(wanted)
+        bare = re.sub(r"<head>.*?</head>", "", page, flags=re.S)
+        bare = re.sub(r"<(/?)(?:article|main|nav|footer|aside|header)\b[^>]*>", r"<\1div>", re.sub(r'\s(?:class|id|role)="[^"]*"', "", bare))
+        if sum(map(len, wanted)) < html_text.SURGE:
+            continue  # without names, less text than a surge is nobody's article
+        got = html_text.main_text(bare).split("\n")
+        assert not Counter(wanted) - Counter(got)
+        found += len(wanted)
+        more += sum((Counter(got) - Counter(wanted)).values())
+    assert more <= len(pages) and more < 0.15 * found
+
+
+def test_windows_decide_and_names_only_weigh():
+    long, line = "running text of the page " * 40, ("running text of the page " * 40).strip()
+    assert html_text.main_text(f'<div><p class="register">{long}</p><p>{long}</p></div>') == f"{line}\n{line}"
+    assert html_text.main_text(f'<div id="toc-legal">Contents</div><div><p>{long}</p></div>') == line
+    links = "<nav><ul>" + '<li><a href="x">link</a></li>' * 5 + "</ul></nav>"
+    assert html_text.main_text(f"<article><h1>H</h1>{links}<p>{long}</p>{links}<p>End.</p></article><p>beside</p>") == f"H\n{line}\nEnd."
+    assert html_text.main_text(f"<div>stray</div><div><h1>Head</h1><p>{long}</p><p>End</p></div><div>stray</div>") == f"Head\n{line}\nEnd"
+    assert html_text.main_text(f"<article><p>{long}</p></article><div>{'unmarked words ' * 20}</div>") == line
+
+
 def test_minor_parts_stay():
     """A short part after a long one and a list of links is text of the page all the same."""
     links = "<ul>" + "<li><a href=x>link</a></li>" * 4 + "</ul>"

@@ -1,10 +1,17 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element. A line weighs as much
-as its text outside links; lines inside menus, footers, adverts and the like
-weigh nothing. Sums over a sliding window of lines rise steeply where running
-text begins (a surge point) and fall to nothing where it ends (a dive point);
-the text between surge and dive points is kept.
+as its text outside links. Names of elements and attributes only lower or raise
+that: lines inside menus, footers, adverts and the like weigh nothing, lines
+that are outside the article of a page that marks one, or in a block of an
+ambiguous name, weigh by what is beyond a passage of ``DOUBT`` characters, and
+each line inside a marked article by ``RAISE`` characters more.
+
+Sums over a sliding window of lines rise steeply where running text begins (a
+surge point) and fall to nothing where it ends (a dive point); the text between
+surge and dive points is kept. What stands in the same container as kept text
+belongs to it, however short; short lines of another container at a passage's
+ends do not.
 """
 
 from __future__ import annotations
@@ -20,6 +27,8 @@ from pyspark.sql import DataFrame
 #: Lines in a window, and characters a window needs for a surge.
 WINDOW = 3
 SURGE = 80
+#: Characters of a line in doubt that count for nothing, and that a line inside a marked article counts for more.
+DOUBT, RAISE = 400, 27
 
 # Elements of HTML by their role.
 _DROPPED = "script|style|noscript|template|title|textarea|svg|iframe|object|select|button|canvas|audio|video|datalist"
@@ -30,14 +39,17 @@ _BLOCKS = frozenset(
 )
 _BOILER_TAGS = frozenset("nav footer aside form dialog menu head".split())
 _BODY_TAGS = frozenset(("article", "main"))
-# Words of class, id and role that mark what is not the article.
+#: Elements that hold a passage's blocks together.
+_HOLDERS = frozenset("article body div form main section table td".split())
+# Words of class, id and role that mark what is not the article, and words that may.
 _READERS = frozenset("comment comments commentlist commentary disqus reply replies respond discussion responses".split())
 _BOILER_WORDS = _READERS | frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promotion promos banner banners nav navbar navigation "
-    "topnav menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside complementary widget widgets footer foot contentinfo header masthead topbar cookie cookies "
-    "consent gdpr notice notices alert alerts announcement popup modal overlay newsletter subscribe subscription signup signin login register share sharing social related recommended "
-    "recommendations trending pagination pager toolbar copyright legal disclaimer skip search searchbox searchform form paywall toc tags tagcloud".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored sponsors promo promotion promos nav navbar navigation "
+    "topnav menu menus submenu breadcrumb breadcrumbs sidebar sidebars aside complementary widget widgets footer foot contentinfo masthead topbar cookie cookies "
+    "consent gdpr notice notices alert alerts announcement popup modal overlay newsletter subscribe subscription signup signin sharing "
+    "recommendations pagination pager toolbar paywall tagcloud searchbox searchform".split()
 )
+_DOUBTFUL_WORDS = frozenset("banner banners header login register share social related recommended trending copyright legal disclaimer skip search form toc tags".split())
 
 _MARKUP = re.compile(
     rf"""<!--.*?(?:-->|\Z) | <!\[CDATA\[|\]\]> | <(?P<raw>{_DROPPED})\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)
@@ -51,42 +63,49 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _is_boiler(tag: str, attributes: str) -> bool:
+#: What the names say of an element: nothing, doubt, or that it is not the article.
+PLAIN, DOUBTFUL, BOILER = 0, 1, 2
+
+
+def _named(tag: str, attributes: str) -> int:
     if tag in _BOILER_TAGS:
-        return True
+        return BOILER
     if not attributes or tag in ("html", "body"):
-        return False
+        return PLAIN
     found = [(name, "".join(values), hidden) for name, *values, hidden in _ATTR.findall(attributes)]
     if any(name.lower() in ("id", "role") and value.lower() in ("content", "main", "article", "main-content") for name, value, _ in found):
-        return False
+        return PLAIN
+    said = PLAIN
     for name, value, hidden in found:
         if hidden or name.lower() == "aria-hidden" and value.lower() == "true" or name.lower() == "style" and _HIDDEN.search(value):
-            return True
+            return BOILER
         if name.lower() in ("class", "id", "role"):
             words = _WORDS.findall(_CAMEL.sub(" ", _NEGATED.sub(" ", value)).lower())
             if not (_READERS if tag in _BODY_TAGS else _BOILER_WORDS).isdisjoint(words):
-                return True
-    return False
+                return BOILER
+            if tag not in _BODY_TAGS and not _DOUBTFUL_WORDS.isdisjoint(words):
+                said = DOUBTFUL
+    return said
 
 
 class _Region:
-    __slots__ = ("tag", "boiler", "start", "length", "body", "closed")
+    __slots__ = ("tag", "said", "length", "body", "closed")
 
-    def __init__(self, tag: str, boiler: bool, start: int):
-        self.tag, self.boiler, self.start, self.length, self.body, self.closed = tag, boiler, start, 0, tag in _BODY_TAGS, False
+    def __init__(self, tag: str, said: int):
+        self.tag, self.said, self.length, self.body, self.closed = tag, said, 0, tag in _BODY_TAGS, False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: text, weight, and whether an article or main element holds it."""
-    runs: list[tuple[str, tuple[_Region, ...], bool]] = []  # text, open regions that matter, in a link; "" ends a line
+def lines_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
+    """The page's lines: text, characters outside links and boilerplate, container, whether a marked article holds it, whether in doubt."""
+    runs: list[tuple[str, tuple[_Region, ...], bool, int]] = []  # text, open regions that matter, in a link, container; "" ends a line
     stack: list[_Region] = []
-    open_tags: list[tuple[str, _Region | None]] = []
+    open_tags: list[tuple[str, _Region | None, int]] = []
     marked: tuple[_Region, ...] = ()
-    links, at, total = 0, 0, 0
+    links, at, total, holders, inmost = 0, 0, 0, 0, 0
     for m in _MARKUP.finditer(page):
         if m.start() > at:
             text = page[at : m.start()]
-            runs.append((text, marked, links > 0))
+            runs.append((text, marked, links > 0, inmost))
             total += len(text)
             for region in stack:
                 region.length += len(text)
@@ -96,7 +115,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         tag = tag.lower()
         if tag in _BLOCKS:
-            runs.append(("", (), False))
+            runs.append(("", (), False, 0))
             if tag != "br":
                 links = 0  # a link that was never closed ends with its block
         if m["end"]:
@@ -104,65 +123,79 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 links = 0
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == tag:
-                    gone = [r for _, r in open_tags[k:] if r is not None]
+                    gone = [r for _, r, _ in open_tags[k:] if r is not None]
                     if gone:
                         for r in gone if tag not in ("body", "html") else ():
                             r.closed = True
                         stack = [r for r in stack if r not in gone]
                         marked = tuple(stack)
+                    inmost = open_tags[k][2]
                     del open_tags[k:]
                     break
         elif tag == "a":
             links = 1
         elif tag not in _VOID and not m["attr"].endswith("/"):
-            boiler = _is_boiler(tag, m["attr"])
-            if tag == "header" and not boiler:
-                boiler = not any(r.body for r in stack)
+            said = _named(tag, m["attr"])
+            if tag == "header" and said != BOILER and not any(r.body for r in stack):
+                said = BOILER
             region = None
-            if boiler or tag in _BODY_TAGS:
-                region = _Region(tag, boiler, len(runs))
-                if tag in _BODY_TAGS and not boiler:
+            if said or tag in _BODY_TAGS:
+                region = _Region(tag, said)
+                if tag in _BODY_TAGS and said != BOILER:
                     for r in stack:
                         r.body = r.body or r.tag not in _BOILER_TAGS  # a wrapper of the article is no boilerplate, whatever its name
                 stack.append(region)
                 marked = tuple(stack)
-            open_tags.append((tag, region))
+            open_tags.append((tag, region, inmost))
+            # inside a marked article all is one container
+            if tag in _HOLDERS and (tag in _BODY_TAGS or not any(r.tag in _BODY_TAGS and r.said != BOILER for r in stack)):
+                holders += 1
+                inmost = holders
     if at < len(page):
-        runs.append((page[at:], marked, links > 0))
+        runs.append((page[at:], marked, links > 0, inmost))
         total += len(page) - at
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, int, bool, bool]] = []
     parts: list[str] = []
-    weight, inside = 0, False
+    weight, where, inside, doubt = 0, 0, False, False
 
-    def skipped(regions: tuple[_Region, ...]) -> bool:
+    def lowered(regions: tuple[_Region, ...]) -> int:
+        said = PLAIN
         for r in regions:
-            if r.boiler and (r.closed or r.tag == "footer") and not (r.body and r.tag not in _BODY_TAGS):
+            if r.said and (r.closed or r.tag == "footer") and not (r.body and r.tag not in _BODY_TAGS):
                 # a named wrapper around most of the page is its body
                 if r.tag in _BOILER_TAGS or r.tag == "header" or r.length <= 0.6 * total:
-                    return True
-        return False
+                    said = max(said, r.said)
+        return said
 
-    for text, regions, linked in [*runs, ("", (), False)]:
+    for text, regions, linked, container in [*runs, ("", (), False, 0)]:
         if text:
-            if not regions or not skipped(regions):
+            said = lowered(regions) if regions else PLAIN
+            if said != BOILER:
                 parts.append(text)
                 weight += 0 if linked else len(text.strip())
-                inside = inside or any(r.tag in _BODY_TAGS and not r.boiler for r in regions)
+                inside = inside or any(r.tag in _BODY_TAGS and r.said != BOILER for r in regions)
+                doubt = doubt or said == DOUBTFUL and not linked
+                where = container
         elif parts:
             line = " ".join(html.unescape("".join(parts)).split())
             if line:
-                lines.append((line, weight, inside))
-            parts, weight, inside = [], 0, False
+                lines.append((line, weight, where, inside, doubt))
+            parts, weight, inside, doubt = [], 0, False, False
     return lines
 
 
 def main_text(page: str, *, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text between surge and dive points, one line for each block."""
     lines = lines_of(page)
-    if any(inside for *_, inside in lines):  # the page says where its article is: nothing else weighs, and no line of it is short
-        weights = [max(surge, w) if inside else 0 for _, w, inside in lines]
-    else:
-        weights = [w for _, w, _ in lines]
+    article = any(inside for *_, inside, _ in lines)  # the page says where its article is
+
+    def weigh(chars: int, inside: bool, doubt: bool) -> int:
+        if doubt or article and not inside:
+            return max(0, chars - DOUBT)
+        return chars + RAISE if inside else chars
+
+    weights = [weigh(w, inside, doubt) for _, w, _, inside, doubt in lines]
+    where = [c for _, _, c, _, _ in lines]
     n = len(lines)
     until = [0, *accumulate(weights)]
     sums = [until[min(n, i + window)] - until[i] for i in range(n)]
@@ -180,8 +213,22 @@ def main_text(page: str, *, window: int = WINDOW, surge: int = SURGE) -> str:
         else:
             i += 1
     if not kept:
-        return "" if any(inside for *_, inside in lines) else "\n".join(line for (line, w, _) in lines if w)
-    return "\n".join(line for a, b in kept for (line, _, _), w in zip(lines[a:b], weights[a:b], strict=True) if w)
+        return "\n".join(line for (line, *_), w in zip(lines, weights, strict=True) if w)
+    held: dict[int, int] = {}
+    for c, w in zip(where, weights, strict=True):
+        held[c] = held.get(c, 0) + w
+    taken = [False] * n
+    homes = set()
+    for a, b in kept:
+        home = max(set(where[a:b]), key=lambda c: (sum(w for k, w in zip(where[a:b], weights[a:b], strict=True) if k == c), -c))
+        # short lines of other containers at the ends are not of the passage
+        while b - a > 1 and where[a] != home and held[where[a]] < surge:
+            a += 1
+        while b - a > 1 and where[b - 1] != home and held[where[b - 1]] < surge:
+            b -= 1
+        homes.add(home)
+        taken[a:b] = [True] * (b - a)
+    return "\n".join(line for (line, *_), w, c, t in zip(lines, weights, where, taken, strict=True) if w and (t or c in homes))
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
