@@ -75,19 +75,28 @@ def zipped_lines(spark: SparkSession, path: str, *, pattern: str = r"\.csv$", mi
     return rows.select("source", "line_no", "delimiter", "line")
 
 
+def _cells(line: str) -> F.Column:
+    """The cells of a CSV line; quoted ones may hold the delimiter and doubled quotes, but no line break."""
+    found = F.array().cast("array<string>")
+    for mark in DELIMITERS:
+        cell = re.escape(mark) + r'("(?:[^"]|"")*"|[^' + re.escape(mark) + "]*)"
+        found = F.when(F.col("delimiter") == mark, F.regexp_extract_all(F.concat("delimiter", line), F.lit(cell), F.lit(1))).otherwise(found)
+    quoted = r'^"(?:[^"]|"")*"$'
+    return F.transform(found, lambda c: F.when(c.rlike(quoted), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def zipped_table(lines: DataFrame, columns: list[str]) -> DataFrame:
     """Text columns of the zipped files, found by their headers, with ordinals of file and row.
 
     Files may have other columns and another order; what a file lacks is null.
     File ordinals follow the paths.
     """
-    header = lines.filter("line_no = 0").select("source", F.transform(F.split("line", F.concat(F.lit("\\Q"), "delimiter", F.lit("\\E"))), lambda c: F.lower(F.trim(F.regexp_replace(c, '^"|"$', "")))).alias("header"))
-    files = header.select("source").distinct().withColumn("file_ord", F.rank().over(W.orderBy("source")) - 1)
-    rows = lines.filter("line_no > 0").withColumn("cells", F.split("line", F.concat(F.lit("\\Q"), "delimiter", F.lit("\\E")))).join(F.broadcast(header), "source").join(F.broadcast(files), "source")
+    header = lines.filter("line_no = 0").select("source", F.transform(_cells("line"), lambda c: F.lower(F.trim(c))).alias("header"))
+    files = header.withColumn("file_ord", F.rank().over(W.orderBy("source")) - 1)
+    rows = lines.filter("line_no > 0").withColumn("cells", _cells("line")).join(files, "source")
 
     def cell(name: str) -> F.Column:
         at = F.array_position("header", F.lit(name.lower())).cast("int")
-        value = F.regexp_replace(F.trim(F.try_element_at("cells", F.when(at > 0, at))), '^"|"$', "")
-        return F.nullif(value, F.lit("")).alias(name)
+        return F.nullif(F.trim(F.try_element_at("cells", F.when(at > 0, at))), F.lit("")).alias(name)
 
     return rows.select(*[cell(c) for c in columns], "source", "file_ord", F.col("line_no").alias("row_ord"))
