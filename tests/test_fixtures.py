@@ -102,8 +102,12 @@ def test_names(spark):
     assert (r["a"], r["b"], r["c"], r["d"], r["n"]) == ("AB1", "ABC", "P_Q", "FOO", [2])
     assert r["e"] == ["ALPHA_BESS1", "ALPHA"] and tuple(r["pu"]) == ("ABC", "U1") and (r["f"], r["g"]) == ("GAS", "BESS")
     assert {"1", "U1", "UNIT1"} <= set(r["t"])
-    assert names.split_model_name("Base (U2) (ERCOT)") == ("BASE", "U2", "BASE (U2) (ERCOT)")
-    assert df.select(names.model_name_parts(F.lit("Plant CT 3")).alias("p")).first()["p"]["unit_hint"] == "CT3"
+    whole = {
+        "Base (U2) (ERCOT)": ("BASE", "U2"), "Plant CT 3": ("PLANT", "CT3"), "Alpha Beta (ERCOT)": ("ALPHA BETA", ""), "Alpha (West)": ("ALPHA (WEST)", ""), "Alpha (West) (B1)": ("ALPHA (WEST)", "B1"),
+        "Alpha (GT-4A)": ("ALPHA", "GT-4A"), "Alpha (U1) (X)": ("ALPHA", "X"), "Plant 12": ("PLANT", "12"), "Plant": ("PLANT", ""), "": ("", ""), "  Two  Words unit-7 ": ("TWO WORDS", "UNIT-7"),
+    }
+    got = spark.createDataFrame([(k,) for k in whole], "t string").select("t", names.model_name_parts("t").alias("p")).collect()
+    assert {r["t"]: (r["p"]["base"], r["p"]["unit_hint"]) for r in got} == whole
 
 
 def test_similarity(spark):
@@ -200,6 +204,16 @@ def test_nested_archives(spark, tmp_path):
     assert sorted((r["Resource Name"], r["Value"], r["Absent"]) for r in got) == [("A", "1", None), ("B", "2", None), ("C", "3", None)]
 
 
+def test_quoted_cells_in_archives(spark, tmp_path):
+    from voltloom.sources import archives
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("q.csv", 'Resource Name,"Fuel, type",MW\n"X, LLC",GAS,5\n"say ""hi""",WIND,\n')
+        z.writestr("p.csv", 'MW|Resource Name\n7|"Y|Z"\n')
+    got = archives.zipped_table(archives.zipped_lines(spark, str(tmp_path)), ["Resource Name", "Fuel, type", "MW"]).collect()
+    assert sorted((r[0], r[1] or "", r[2] or "") for r in got) == [("X, LLC", "GAS", "5"), ("Y|Z", "", "7"), ('say "hi"', "WIND", "")]
+
+
 def test_csv_sources(spark, tmp_path):
     from voltloom.sources import tables
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltloom.functions import names, values
-from voltloom.operators import clusters, curves, descriptive, frames, linkage, prices, summaries
+from voltloom.operators import clusters, coverage, curves, descriptive, frames, linkage, prices, summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -685,3 +685,64 @@ def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = table(spark, sf_dir, "supplier").select(nation.alias("plant"), F.col("s_suppkey").cast("string").alias("resource"), "s_acctbal")
     pairs = left.join(right, "plant").withColumn("points", F.greatest(F.lit(0), F.floor(100 - F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 20)).cast("int"))
     return linkage.assign_one_to_one(pairs, "plant", "unit", "resource", "points", "s_acctbal")
+
+
+@query("""
+WITH used AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'),
+d AS (SELECT c_custkey, c_mktsegment, c_nationkey AS plant, u.k IS NOT NULL AS is_used FROM customer LEFT JOIN used u ON u.k = c_custkey),
+p AS (SELECT plant, count(*) AS units FROM d GROUP BY 1),
+m AS (SELECT c_nationkey AS plant, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 7 = 0 GROUP BY 1),
+s AS (SELECT d.*, CASE WHEN is_used AND n IS NOT NULL THEN 'used' WHEN is_used THEN 'used' WHEN d.plant < 5 THEN 'missing_pun' WHEN coalesce(n, 0) > 0 AND units > n THEN 'missing_extra_sced' ELSE 'missing' END AS state
+  FROM d JOIN p USING (plant) LEFT JOIN m USING (plant))
+SELECT coalesce(c_mktsegment, 'ALL') AS c_mktsegment, count(*) AS total,
+  count(*) FILTER (state = 'used') AS used, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'missing_pun') AS missing_pun, count(*) FILTER (state = 'missing_extra_sced') AS missing_extra_sced
+FROM s GROUP BY GROUPING SETS ((c_mktsegment), ())""")
+def resource_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name"), "c_mktsegment", F.concat(F.lit("P-"), F.col("c_nationkey").cast("string")).alias("plant"))
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("other"), (F.col("o_orderkey") % 7 == 0).alias("main"))
+    named = units.select(F.col("name").alias("other"), F.col("plant").alias("at"))
+    matched = urgent.join(named, "other").select(F.when(F.col("main"), F.col("other")).alias("matched"), "other", "at")
+    excused = table(spark, sf_dir, "nation").filter("n_nationkey < 5").select(F.concat(F.lit("p "), F.col("n_nationkey").cast("string")).alias("at"))
+    made = coverage.resource_states(units, matched, excused, name="name", plant="plant", kind="c_mktsegment", matched=["matched", "other"], matched_plant="at", excused_plant="at")["summary"]
+    return made.select("c_mktsegment", "total", "used", "missing", "missing_pun", "missing_extra_sced")
+
+
+STATES = "CASE WHEN o_orderkey % 11 = 0 THEN 'unmatched_cancelled' WHEN o_orderkey % 5 = 0 THEN 'unmatched' WHEN o_orderkey % 3 = 0 THEN 'unmatched_in_progress' ELSE 'matched' END"
+
+
+@query(f"""
+WITH r AS (SELECT o_orderpriority AS fuel, {STATES} AS state FROM orders),
+g AS (SELECT fuel, state FROM (SELECT DISTINCT fuel FROM r) CROSS JOIN (SELECT unnest(['unmatched', 'unmatched_cancelled', 'unmatched_retired', 'unmatched_inactive', 'unmatched_in_progress']) AS state)),
+c AS (SELECT g.fuel, g.state, count(r.fuel) AS rows FROM g LEFT JOIN r USING (fuel, state) GROUP BY 1, 2)
+SELECT *, (sum(rows) OVER (PARTITION BY fuel))::BIGINT AS fuel_total FROM c""")
+def unmatched_by_fuel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", F.expr(STATES).alias("state"))
+    return coverage.unmatched_by_fuel(rows, "o_orderpriority", "state").select("fuel", "state", "rows", "fuel_total")
+
+
+@query("""
+WITH r AS (SELECT p_brand AS fuel, CASE WHEN p_size < 10 THEN 'Operating' WHEN p_size < 30 THEN 'Retired' ELSE 'In progress' END AS state, p_size::DOUBLE AS mw FROM part),
+g AS (SELECT fuel, state FROM (SELECT DISTINCT fuel FROM r) CROSS JOIN (SELECT unnest(['Operating', 'Cancelled', 'Retired', 'Inactive', 'In progress']) AS state)),
+c AS (SELECT g.fuel, g.state, count(r.fuel) AS rows, coalesce(sum(mw), 0) AS capacity FROM g LEFT JOIN r USING (fuel, state) GROUP BY 1, 2)
+SELECT *, sum(capacity) OVER (PARTITION BY fuel) AS fuel_total FROM c""")
+def lifecycle_by_fuel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("p_size") < 10, "Operating").when(F.col("p_size") < 30, "Retired").otherwise("In progress")
+    rows = table(spark, sf_dir, "part").withColumn("state", state)
+    return coverage.lifecycle_by_fuel(rows, "p_brand", "state", "p_size").select("fuel", "state", "rows", "capacity", "fuel_total")
+
+
+@query(f"""{OFFERS}
+SELECT resource_type, step, round(3.7e-8 + price, 6) AS price FROM offers
+QUALIFY count(price) OVER (PARTITION BY resource_type, step) >= 200""")
+def price_values_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(coverage.price_values(offers(spark, sf_dir), by_step=True, least=200), "price")
+
+
+@query("""
+WITH a AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1)
+SELECT o.o_orderkey, coalesce(CASE WHEN a.n > 1 THEN o.o_custkey || ' | avg_base_point=' || printf('%.6f', c.c_acctbal::DOUBLE) END, '') AS node_note
+FROM orders o LEFT JOIN a USING (o_custkey) LEFT JOIN customer c ON c.c_custkey = o.o_custkey""")
+def repeated_node_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("node"))
+    units = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("resource_name"), F.col("c_acctbal").alias("avg_base_point"))
+    return coverage.repeated_node_notes(rows, units, node="node").select("o_orderkey", "node_note")
