@@ -43,3 +43,25 @@ def test_mapping_compares_whole_lists(spark):
     manual = spark.createDataFrame([], "name string, match string")
     got = {r["name"]: (r["match"], r["vetoed"]) for r in linkage.map_units(records, units, manual=manual, other=other)["tracker"].collect()}
     assert got == {"CREEK CEDAR": ("C1", False), "FARM WINDY": (None, True)}
+
+
+def test_what_matching_leaves_behind(spark):
+    from voltloom.operators import coverage
+
+    matches = spark.createDataFrame(
+        [("A_U1", "GAS", "A", "Alpha", "GAS", None, "N_1", "listed", "matched", 7.0), ("B_U1", None, "B", None, "WIND", 3.0, "N_2", "listed", "unmatched", 9.0), ("C_1", "", "C", "", "SOLAR", 4.0, "N-3", "map", "ambiguous", None)],
+        "resource_name string, fuel_type string, station_code string, station_desc string, generator_type string, capacity_mw double, rtlmp_name string, price_node_source string, status string, yes_capacity_mw double",
+    )
+    simple = coverage.simple_matches(matches)
+    assert {r["resource_name"]: (r["price_code"], r["price_node_source"], r["capacity_mw"]) for r in simple.collect()} == {"A_U1": ("N_1", "listed", 7.0), "B_U1": ("", "", 3.0), "C_1": ("N-3", "map", 4.0)}
+    units = spark.createDataFrame([(" a_u1 ", "County"), ("", "none")], "unit_code string, county string")
+    got = {r["resource_name"]: r for r in coverage.reference_frame(matches, simple, units).collect()}
+    assert got["A_U1"]["county"] == "County" and got["A_U1"]["capacity_mw"] == 7.0 and got["C_1"]["price_code_key"] == "N3" and got["B_U1"]["fuel_norm"] == "WIND" and got["C_1"]["county"] is None
+    model = spark.createDataFrame([("m1", "A_U1", "unmatched", "x"), ("m2", "A_U1", "matched", "A_U1"), ("m3", None, "unmatched", "Zeta 9"), ("m4", "C_1", "unmatched", "none")], "Name string, node string, status string, code string")
+    resources = spark.createDataFrame([("A_U2", 2.0), ("A_U1", 1.5), ("A_U1", 1.5), ("C_1", None)], "resource_name string, avg_base_point double")
+    assert {r["Name"]: r["plant_units"] for r in coverage.plant_unit_lists(model, resources, node="node").collect()} == {"m1": "A_U1 | A_U2", "m2": "A_U1 | A_U2", "m3": "", "m4": "C_1"}
+    assert {r["Name"]: r["node_note"] for r in coverage.repeated_node_notes(model, resources, node="node").collect()} == {"m1": "A_U1 | avg_base_point=1.500000", "m2": "A_U1 | avg_base_point=1.500000", "m3": "", "m4": ""}
+    listed = spark.createDataFrame([(2, "ZETA9", "other"), (1, "Zeta-9", "m1"), (3, "CODE4", "M-4")], "row int, unit_code string, unit_name string")
+    codes = coverage.reference_codes(model, listed, status="status", code="code", name="Name", listed_code="unit_code", listed_name="unit_name", order="row")
+    assert {r["Name"]: r["reference_code"] for r in codes.collect()} == {"m1": "Zeta-9", "m2": "", "m3": "Zeta-9", "m4": "CODE4"}
+    assert [r["k"] for r in coverage.total_first(spark.createDataFrame([("b",), ("ALL",), ("a",)], "k string"), "k").collect()] == ["ALL", "a", "b"]
