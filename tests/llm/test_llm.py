@@ -191,6 +191,17 @@ def test_blocks_count_every_link(spark, monkeypatch):
     test_vector_dedup(spark)
 
 
+def test_links_with_empty_blocks_repeated_and_null_ids(spark, monkeypatch):
+    """Blocks that no vector falls into change no count; rows of one id are vectors of their own; null ids link with nothing."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 1)
+    rows = [(k, [1.0, 0.01 * k, 0.0], 0) for k in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert [(r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).orderBy("vec_id").collect()] == [(5, 0)] * 6
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (2, [1.0, 0.02], 0), (None, [1.0, 0.0], 0), (3, [0.0, 1.0], 0)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert Counter(tuple(r) for r in got) == Counter([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 0, None, True), (3, 0, 3, True)])
+
+
 def test_pairs_in_a_dense_label(spark):
     """Unrelated vectors have a cosine of 0.9; pairs at 0.981 among them are all found."""
     rng = np.random.default_rng(11)

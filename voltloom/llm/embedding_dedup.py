@@ -117,14 +117,17 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     ``kept`` (whether that is itself), a row for each input row. Vectors that
     are null, zero or hold null or non-finite components, and those of a null
     label or null id, link with nothing and are kept; vectors of different
-    lengths never link; equal vectors and repeated rows count as others; an
-    empty table gives an empty one; other columns are not read.
+    lengths never link; equal vectors and repeated rows count as others, rows
+    that repeat an id with another vector are vectors of their own; an empty
+    table gives an empty one; other columns are not read.
     """
     spark = vectors.sparkSession
     space = Workspace(spark, "embedding-dedup")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     rows = rows.withColumn("usable", usable("vector") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    single = space.settle(rows.filter("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")), "single")
+    single = rows.filter("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    # a vector's own number: ids may repeat with other vectors
+    single = space.settle(single.withColumn("first", F.monotonically_increasing_id()), "single")
     # a group is what is compared: one label, one length
     single = single.withColumn("group", F.xxhash64("label", F.size("vector")))
     largest = single.groupBy("group").count().agg(F.max("count")).first()[0] or 0
@@ -213,16 +216,16 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def each(group: pa.Table) -> None:
-            mine, ids, copies = (group.column(k).to_numpy() for k in (1, 3, 4))
+            mine, other, ids, copies = (group.column(k).to_numpy() for k in (1, 2, 3, 4))
             x = matrix(group.column(5).combine_chunks())
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            first = mine == mine.min()
-            a, b = np.flatnonzero(first), np.flatnonzero(~first)
-            if not len(b):  # a block with itself
+            if mine[0] == other[0]:  # a block with itself
                 near = x @ x.T >= threshold
                 np.fill_diagonal(near, False)
                 found.append((ids, near @ copies))
-            else:
+            else:  # either may be empty
+                first = mine == min(mine[0], other[0])
+                a, b = np.flatnonzero(first), np.flatnonzero(~first)
                 near = x[a] @ x[b].T >= threshold
                 found.append((ids[a], near @ copies[b]))
                 found.append((ids[b], copies[a] @ near))
@@ -233,8 +236,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64())], names=["first", "links"])
 
     counted = members.repartition("pair").sortWithinPartitions("pair").mapInArrow(count, "first long, links long").groupBy("first").agg(F.sum("links").alias("links"))
-    known = single.join(counted, "first", "left").join(stars.withColumnRenamed("node", "first"), "first", "left")
-    known = known.select(F.lit(True).alias("usable"), "label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "first").alias("component"))
+    stars = stars.withColumnRenamed("node", "first")
+    smallest = stars.join(single.select("first", "id"), "first").groupBy("component").agg(F.min("id").alias("smallest"))
+    known = single.join(counted, "first", "left").join(stars.join(smallest, "component"), "first", "left")
+    known = known.select(F.lit(True).alias("usable"), "label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("smallest", "id").alias("component"))
     out = rows.filter("usable").join(known, ["usable", "label", "vector"]).select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
     out = out.union(rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
