@@ -22,6 +22,31 @@ def test_model_units(spark):
     assert got == {1: ("ALPHA_U1", "matched"), 2: ("BETA_CT2", "matched"), 3: (None, "unmatched")}
 
 
+def test_model_units_by_listed_plants_and_registry(spark):
+    model = spark.createDataFrame(
+        [(1, "Alpha (U1)", "", "ALPHA_U1", "Bell", "GAS"), (2, "Gamma Ridge Wind", "", "", "", "WIND"), (3, "Omega Storage", "", "QZ-77", "", ""), (4, "Kappa Solar", "", "", "Hill", "SOLAR"), (5, "Kappa Solar", "", "", "Elsewhere", ""), (6, "Gamma Ridge Wint", "", "", "", "")],
+        "unit_id int, name string, cdr_name string, unit_code string, county string, fuel string",
+    )
+    resources = spark.createDataFrame(
+        [("ALPHA_U1", "Alpha", "", "GAS", "Bell", "N1"), ("GRW_1", "Plain A", "", "WIND", "", "GRW_RN"), ("OMG_1", "Plain B", "", "", "", ""), ("KAP_1", "Plain C", "", "SOLAR", "", None)],
+        "resource_name string, station_desc string, cdr_unit_name string, fuel_type string, county string, price_code string",
+    )
+    listed = spark.createDataFrame([("Gamma Ridge Wind", "GRW_RN"), ("Gamma Ridge Wind", "ZZZ"), (None, "GRW_RN"), ("Omega Storage", None)], "plantname string, nodename string")
+    registry = spark.createDataFrame([("QZ77", "other", None, None, "OMG_1", "matched"), ("", "Kappa Solar", "Hill", "", "KAP_1", "matched"), ("", "Omega Storage", "", "", "GRW_1", "unmatched")], "unit_code string, unit_name string, county string, fuel string, resource_name string, status string")
+    got = {r["unit_id"]: r for r in matching.match_model_units(model, resources, listed, registry).collect()}
+    assert {k: (r["resource_name"], r["method"]) for k, r in got.items()} == {
+        1: ("ALPHA_U1", "ercot_unitcode_exact"),
+        2: ("GRW_1", "yes_name_base_exact_price_exact"),
+        3: ("OMG_1", "sb_cdr_unit_code_key_exact"),
+        4: ("KAP_1", "sb_unit_name_exact"),
+        5: (None, None),
+        6: ("GRW_1", "yes_name_base_fuzzy_price_exact"),
+    }
+    assert got[5]["status"] == "unmatched" and got[2]["score"] >= 145 + 20 + 10 + 5 and got[4]["candidate_count"] == 1
+    first = {r["unit_id"]: r["resource_name"] for r in matching.match_model_units(model, resources).collect()}
+    assert first == {1: "ALPHA_U1", 2: None, 3: None, 4: None, 5: None, 6: None}
+
+
 def test_registry_units(spark):
     registry = spark.createDataFrame([(1, "Alpha 1", ["ALPHA_U1"], "GAS", 100.0), (2, "Gamma", ["GAMMA_X"], "WIND", 50.0), (3, "Gamma", ["GAMMA_Y"], "WIND", 20.0), (4, "Zzz", [], "SOLAR", 1.0)], "unit_id int, unit_name string, codes array<string>, fuel string, capacity double")
     resources = spark.createDataFrame([("ALPHA_U1", "GAS", 90.0), ("GAMMA_G1", "WIND", 49.0), ("GAMMA_G2", "WIND", 19.0)], "resource_name string, resource_type string, avg_base_point double")

@@ -53,6 +53,19 @@ def reference_frame(matches: DataFrame, simple: DataFrame, units: DataFrame, *,
     return made.join(units.withColumn("name_norm", names.clean(unit_code)).filter("name_norm <> ''"), "name_norm", "left")
 
 
+def technology_summary(matches: DataFrame, *, technology: str, status: str = "status", method: str = "method", node: str = "price_code", source: str = "price_node_source", exact: Sequence[str] = ("ercot_unitcode_exact", "ercot_unitcode_key_exact")) -> DataFrame:
+    """Rows, matches and price nodes by technology with their shares; the most frequent technology first, the total last."""
+    priced = _text(node) != ""
+    facts = {
+        "sced_matched": F.col(status).isin("matched", "ambiguous"), "sced_exact": F.col(method).isin(*exact), "sced_ambiguous": F.col(status) == "ambiguous", "sced_unmatched": F.col(status) == "unmatched",
+        "price_matched": priced, "price_from_rtlmp_bus": F.col(source) == "rtlmp_bus", "price_from_rtlmp": F.col(source) == "rtlmp", "price_blank": ~priced,
+    }
+    rows = matches.withColumn("__kind", F.when(names.clean(technology) != "", names.clean(technology)).otherwise("UNKNOWN"))
+    made = with_total(rows, "__kind", [F.count("*").alias("rows_total"), *[F.count_if(c).alias(f"rows_{n}") for n, c in facts.items()], F.grouping("__kind").alias("__last")])
+    made = made.withColumns({f"pct_{n}": F.round(F.try_divide(f"rows_{n}", "rows_total"), 4) for n in ("sced_matched", "sced_exact", "sced_ambiguous", "price_matched")})
+    return made.withColumnRenamed("__kind", "technology").orderBy("__last", F.desc("rows_total"), "technology").drop("__last")
+
+
 def resource_states(resources: DataFrame, matches: DataFrame, excused: DataFrame, *, name: str, plant: str, kind: str, matched: Sequence[str], matched_plant: str, excused_plant: str) -> dict[str, DataFrame]:
     """The state of every resource and the summary by kind.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from voltloom.functions import names
 from voltloom.functions.values import first_rule
 from voltloom.operators import linkage
-from voltloom.operators.frames import top_k
+from voltloom.operators.frames import first_by, top_k
 from voltloom.operators.linkage import Rule
 
 # What each way of meeting is worth, and from which similarity texts are close.
@@ -23,6 +23,20 @@ LISTED_NODE = {"desc_exact": (95, 70), "desc_fuzzy": (70, 50), "node_exact": (85
 FALLBACK_NODE = {"unmatched_desc_exact": (90, 70), "unmatched_desc_fuzzy": (75, 55)}
 NODE_CLOSE, PLANT_CLOSE, LATE_PLANT_CLOSE = 0.70, 0.88, 0.82
 FAMILY_ROWS = 20
+MODEL_RULES = [
+    Rule("ercot_unitcode_exact", 220, "m_code", "r_name"), Rule("ercot_unitcode_key_exact", 210, "m_key", "r_key"), Rule("ercot_unitcode_fuzzy", 165, "m_code", "r_name", 0.82, 5),
+    Rule("ercot_unitcode_fuzzy_late", 135, "m_code", "r_name", 0.72, 8), Rule("cdr_unit_name_exact", 185, "m_base", "r_cdr"), Rule("cdr_unit_name_fuzzy", 150, "m_base", "r_cdr", 0.84, 5),
+    Rule("name_base_exact_station_desc", 180, "m_base", "r_desc"), Rule("name_base_fuzzy_station_desc", 145, "m_base", "r_desc", 0.82, 5),
+    Rule("cdr_name_exact_station_desc", 150, "m_cdr", "r_desc"), Rule("cdr_name_fuzzy_station_desc", 125, "m_cdr", "r_desc", 0.86, 5),
+]
+LISTED_PLANT_RULES = [
+    Rule("yes_name_base_exact", 145, "m_base", "plant"), Rule("yes_name_base_fuzzy", 125, "m_base", "plant", 0.84, 5),
+    Rule("yes_cdr_name_exact", 135, "m_cdr", "plant"), Rule("yes_cdr_name_fuzzy", 115, "m_cdr", "plant", 0.84, 5),
+]
+REGISTRY_RULES = [
+    Rule("sb_cdr_unit_code_exact", 205, "m_code", "s_code"), Rule("sb_cdr_unit_code_key_exact", 198, "m_key", "s_key"),
+    Rule("sb_unit_name_exact", 185, "m_name", "s_name"), Rule("sb_unit_name_key_exact", 178, "m_name_key", "s_name_key"),
+]
 
 
 def _by_family(asked: DataFrame, nodes: DataFrame, text: str, stage: str, worth: dict[str, int], top: int) -> DataFrame:
@@ -110,32 +124,69 @@ def match_price_nodes(resources: DataFrame, listed: DataFrame, nodes: DataFrame,
     return linkage.spread_in_group(best, "station", ["rtlmp_name", "yes_nodename", "method"], tie="rtlmp_name")
 
 
-def match_model_units(model: DataFrame, resources: DataFrame) -> DataFrame:
+def match_model_units(model: DataFrame, resources: DataFrame, listed: DataFrame | None = None, registry_matches: DataFrame | None = None, *, listed_order: str = "nodename") -> DataFrame:
     """Production-model units (``unit_id, name, cdr_name, unit_code, county, fuel``) to resources.
 
     ``resources``: resource_name, station_desc, cdr_unit_name, fuel_type, county,
     price_code. Codes come first, then names of units and stations, exact and
     close, with bonuses for fuel, county, price node, similarity and unit hints.
+    Units without a match then go by way of ``listed`` plants (plantname,
+    nodename; of a plant's nodes the first in ``listed_order``) to the resources
+    of the plant's price node, and last by way of ``registry_matches``
+    (unit_code, unit_name, county, fuel, resource_name, status) to the resource
+    that the registry's unit has.
     """
+    key = ["unit_id"]
     parts = names.model_name_parts("name")
-    m = model.withColumn("__parts", parts).select("unit_id", names.clean("unit_code").alias("m_code"), names.key("unit_code").alias("m_key"), names.clean("cdr_name").alias("m_cdr"), F.col("__parts.base").alias("m_base"), F.col("__parts.unit_hint").alias("m_hint"), names.clean("name").alias("m_name"), names.fuel("fuel").alias("m_fuel"), names.clean("county").alias("m_county"))
+    m = model.withColumn("__parts", parts).select("unit_id", names.clean("unit_code").alias("m_code"), names.key("unit_code").alias("m_key"), names.clean("cdr_name").alias("m_cdr"), F.col("__parts.base").alias("m_base"), F.col("__parts.unit_hint").alias("m_hint"), names.clean("name").alias("m_name"), names.key("name").alias("m_name_key"), names.fuel("fuel").alias("m_fuel"), names.clean("county").alias("m_county"))
     r = resources.select("resource_name", names.clean("resource_name").alias("r_name"), names.key("resource_name").alias("r_key"), names.clean("station_desc").alias("r_desc"), names.clean("cdr_unit_name").alias("r_cdr"), names.fuel("fuel_type").alias("r_fuel"), names.clean("county").alias("r_county"), "price_code", names.unit_tokens("resource_name").alias("r_tokens"))
-    r = r.withColumn("r_group", F.count("*").over(W.partitionBy("r_desc")))
-    rules = [
-        Rule("ercot_unitcode_exact", 220, "m_code", "r_name"), Rule("ercot_unitcode_key_exact", 210, "m_key", "r_key"), Rule("ercot_unitcode_fuzzy", 165, "m_code", "r_name", 0.82, 5),
-        Rule("ercot_unitcode_fuzzy_late", 135, "m_code", "r_name", 0.72, 8), Rule("cdr_unit_name_exact", 185, "m_base", "r_cdr"), Rule("cdr_unit_name_fuzzy", 150, "m_base", "r_cdr", 0.84, 5),
-        Rule("name_base_exact_station_desc", 180, "m_base", "r_desc"), Rule("name_base_fuzzy_station_desc", 145, "m_base", "r_desc", 0.82, 5),
-        Rule("cdr_name_exact_station_desc", 150, "m_cdr", "r_desc"), Rule("cdr_name_fuzzy_station_desc", 125, "m_cdr", "r_desc", 0.86, 5),
-    ]
-    found = linkage.candidates(m, r, rules)
+    found = linkage.candidates(m, r.withColumn("r_group", F.count("*").over(W.partitionBy("r_desc"))), MODEL_RULES)
     # the late look at codes counts only where no other code rule found anything
     codes = F.max(F.when(F.col("method").startswith("ercot_unitcode") & ~F.col("method").endswith("late"), 1)).over(W.partitionBy("unit_id"))
     found = found.withColumn("__codes", codes).filter("method <> 'ercot_unitcode_fuzzy_late' or __codes is null").drop("__codes")
-    hint = F.when(~F.col("method").startswith("ercot_unitcode"), linkage.unit_hint_bonus("m_hint", "r_tokens", F.col("r_group"))).otherwise(0)
+    by_code = F.col("method").startswith("ercot_unitcode")
+    best = linkage.with_unmatched(model, _decided(found.withColumn("r_group", F.when(~by_code, F.col("r_group")))), key)
+    columns = ["resource_name", "price_code", "method", "score", "status", "candidate_count", "alternatives"]
+    if listed is not None:
+        best = linkage.fall_back(best, _decided(_by_listed_plant(m, r, listed, listed_order)), key, columns)
+    if registry_matches is not None:
+        best = linkage.fall_back(best, _decided(_by_registry(m, r, registry_matches)), key, columns)
+    return best
+
+
+def _decided(found: DataFrame) -> DataFrame:
+    """The best candidate of each model unit; a unit hint counts where ``r_group``, the size of the resource's group, is known."""
+    hint = F.when(F.col("r_group").isNotNull(), linkage.unit_hint_bonus("m_hint", "r_tokens", F.col("r_group"))).otherwise(0)
     bonus = F.when((F.col("m_fuel") != "") & (F.col("m_fuel") == F.col("r_fuel")), 10).otherwise(0) + F.when((F.col("m_county") != "") & (F.col("m_county") == F.col("r_county")), 12).otherwise(0) + F.when(F.coalesce("price_code", F.lit("")) != "", 5).otherwise(0)
     close = linkage.similarity_bonus("m_code", "r_name", 20) + linkage.similarity_bonus("m_cdr", "r_desc", 12) + linkage.similarity_bonus("m_name", "r_desc", 8) + linkage.similarity_bonus("m_base", "r_cdr", 14)
     scored = found.select("unit_id", "resource_name", "price_code", "method", (F.col("score") + hint + bonus + close).alias("score"))
-    return linkage.with_unmatched(model, linkage.decide(scored, ["unit_id"], "resource_name"), ["unit_id"])
+    return linkage.decide(scored, ["unit_id"], "resource_name")
+
+
+def _by_listed_plant(m: DataFrame, r: DataFrame, listed: DataFrame, order: str) -> DataFrame:
+    """Candidates through plants of the unit's names: the resources whose price code is the plant's node, or kin to it."""
+    plants = listed.select(names.clean("plantname").alias("plant"), F.col(order).alias("__order"), names.clean("nodename").alias("node"), names.key("nodename").alias("node_key"), names.family("nodename").alias("node_family"))
+    plants = first_by(plants.filter("plant <> ''"), ["plant"], ["__order", "node"]).drop("__order").filter("node <> ''")
+    met = linkage.candidates(m, plants, LISTED_PLANT_RULES)
+    own = F.when(F.col("method").startswith("yes_name_base"), F.col("m_base")).otherwise(F.col("m_cdr"))
+    met = met.filter(~(F.col("method").endswith("_fuzzy") & (F.col("plant") == own)))
+    made = None
+    for kind, (form, node, more) in {"price_exact": (names.clean, "node", 20), "price_key": (names.key, "node_key", 15), "price_family": (names.family, "node_family", 0)}.items():
+        coded = r.withColumn("__form", form("price_code")).filter("__form <> ''")
+        coded = coded.join(coded.groupBy("__form").agg(F.count("*").alias("r_group")), "__form")
+        part = met.join(coded, F.col(node) == F.col("__form")).drop("__form").withColumns({"method": F.concat_ws("_", "method", F.lit(kind)), "score": F.col("score") + more})
+        made = part if made is None else made.unionByName(part)
+    return made.dropDuplicates(["unit_id", "method", "resource_name"])
+
+
+def _by_registry(m: DataFrame, r: DataFrame, matches: DataFrame) -> DataFrame:
+    """Candidates through matched registry units of the same code, or of the same name and the same county or fuel."""
+    s = matches.filter((F.col("status") == "matched") & (names.clean("resource_name") != "")).select(names.clean("unit_code").alias("s_code"), names.key("unit_code").alias("s_key"), names.clean("unit_name").alias("s_name"), names.key("unit_name").alias("s_name_key"), names.clean("county").alias("s_county"), names.fuel("fuel").alias("s_fuel"), names.clean("resource_name").alias("s_node"))
+    met = linkage.candidates(m, s, REGISTRY_RULES)
+    aligned = ((F.col("m_county") != "") & (F.col("m_county") == F.col("s_county"))) | ((F.col("m_fuel") != "") & (F.col("m_fuel") == F.col("s_fuel")))
+    met = met.filter(F.col("method").startswith("sb_cdr_unit_code") | aligned)
+    made = met.join(r, F.col("s_node") == F.col("r_name")).withColumn("r_group", F.lit(None).cast("long"))
+    return made.dropDuplicates(["unit_id", "method", "resource_name"])
 
 
 def match_registry_units(registry: DataFrame, resources: DataFrame) -> DataFrame:
