@@ -270,3 +270,31 @@ def test_yearly_files_and_counts(spark, tmp_path):
     assert seen.get == {"rows": 2, "large": 1} and spark.read.parquet(str(tmp_path / "out")).count() == 2
     with pytest.raises(ValueError, match="missing columns"):
         tables.read_bundle(spark, {"a": str(tmp_path / "2023.csv")}, {"a": {"PRICE": []}})
+
+
+def test_files_of_other_column_order(spark, tmp_path):
+    from voltloom.sources import tables
+
+    (tmp_path / "a.csv").write_text("Name,MW\nx,1\n")
+    (tmp_path / "b.csv").write_bytes('MW,Other,Name\n2,"o, p",Café\n3\n'.encode("latin-1"))
+    (tmp_path / "c.csv").write_text("")
+    got = sorted(tuple(r) for r in tables.read_csv_any_encoding(spark, str(tmp_path / "*.csv")).fillna("none").collect())
+    assert got == [("Café", "2"), ("none", "3"), ("x", "1")]
+
+
+def test_wide_files_with_quotes_and_other_columns(spark, tmp_path):
+    from voltloom.sources import tables
+
+    (tmp_path / "agg_HSL_1.csv").write_text('"Resource Name","Resource Type",note,2024-01-01 00:00:00,2024-01-01 00:05:00\n"A, LLC",GAS,7,1.5,\nB,WIND,8,,x\n')
+    (tmp_path / "agg_HSL_2.csv").write_text("Resource Name,2024-01-02 00:00:00,Resource Type\nC,9,SOLAR\n")
+    got = {(r["resource_name"], r["resource_type"], str(r["ts"]), r["metric"], r["value"]) for r in tables.wide_to_long(spark, str(tmp_path / "agg_HSL*.csv")).collect()}
+    assert got == {("A, LLC", "GAS", "2024-01-01 00:00:00", "HSL", 1.5), ("C", "SOLAR", "2024-01-02 00:00:00", "HSL", 9.0)}
+
+
+def test_partitioned_write(spark, tmp_path):
+    from voltloom.sources import sinks
+
+    df = spark.range(1000).selectExpr("id", "if(id < 900, 'hot', cast(id as string)) as kind")
+    sinks.write(df, str(tmp_path / "t"), by=["kind"])
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == 1000 and back.filter("kind = 'hot'").count() == 900

@@ -75,7 +75,7 @@ def zipped_lines(spark: SparkSession, path: str, *, pattern: str = r"\.csv$", mi
     return rows.select("source", "line_no", "delimiter", "line")
 
 
-def _cells(line: str) -> F.Column:
+def csv_cells(line: str) -> F.Column:
     """The cells of a CSV line; quoted ones may hold the delimiter and doubled quotes, but no line break."""
     found = F.array().cast("array<string>")
     for mark in DELIMITERS:
@@ -91,9 +91,9 @@ def zipped_table(lines: DataFrame, columns: list[str]) -> DataFrame:
     Files may have other columns and another order; what a file lacks is null.
     File ordinals follow the paths.
     """
-    header = lines.filter("line_no = 0").select("source", F.transform(_cells("line"), lambda c: F.lower(F.trim(c))).alias("header"))
+    header = lines.filter("line_no = 0").select("source", F.transform(csv_cells("line"), lambda c: F.lower(F.trim(c))).alias("header"))
     files = header.withColumn("file_ord", F.rank().over(W.orderBy("source")) - 1)
-    rows = lines.filter("line_no > 0").withColumn("cells", _cells("line")).join(files, "source")
+    rows = lines.filter("line_no > 0").withColumn("cells", csv_cells("line")).join(files, "source")
 
     def cell(name: str) -> F.Column:
         at = F.array_position("header", F.lit(name.lower())).cast("int")

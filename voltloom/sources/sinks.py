@@ -11,9 +11,13 @@ from voltloom.operators.summaries import upsert
 
 
 def write(df: DataFrame, path: str, *, form: str = "parquet", by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """Write a table, one directory for each value of ``by``; CSV has a header."""
+    """Write a table, one directory for each value of ``by``; CSV has a header.
+
+    Rows of a value are brought together, but a value with many rows is split
+    over several tasks and files.
+    """
     if by:
-        df = df.repartition(*by)
+        df = df.hint("rebalance", *[F.col(c) for c in by])
     writer = df.write.mode(mode).partitionBy(*by) if by else df.write.mode(mode)
     writer.option("header", True).format(form).save(path)
 

@@ -7,6 +7,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from itertools import islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -16,8 +17,10 @@ from pyspark.sql import types as T
 
 from voltloom.functions.values import timestamp
 from voltloom.operators.frames import resolve_columns
-from voltloom.sources.archives import DELIMITERS, decode
+from voltloom.sources.archives import DELIMITERS, csv_cells, decode
 
+#: Rows of a parsed file that a task hands on at once.
+SLICE = 2_000
 #: Columns of price exports, which may lack their header (fixed values).
 PRICE_COLUMNS = "DATETIME DAYOFWEEK OBJECTID OBJECTNAME DATATYPE AGG_LEVEL MINVALUE MAXVALUE AVGVALUE TIMEZONE COUNTVALUE SUMVALUE STDDEVVALUE HOURENDING MARKETDAY PEAKTYPE MONTH YEAR".split()
 
@@ -39,19 +42,29 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], *, required: dict[s
 
 
 def read_csv_any_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV table in UTF-8, or in Latin-1 where its bytes are no UTF-8; every file of the path decides for itself."""
+    """A CSV table in UTF-8, or in Latin-1 where its bytes are no UTF-8; every file of the path decides for itself.
+
+    Columns are those of the first file by path; other files may have them in
+    another order, and what a file lacks is null.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = list(csv.reader(io.StringIO(decode(content.as_py()))))
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows)), pa.array(rows, pa.list_(pa.string())), pa.array(range(len(rows)), pa.int32())], names=["path", "cells", "line_no"])
+                reader = csv.reader(io.StringIO(decode(content.as_py())))
+                header = [c.lstrip("\ufeff").strip() for c in next(reader, [])]
+                yield batch_of(name.as_py(), header, [header])
+                while rows := list(islice(reader, SLICE)):
+                    yield batch_of(name.as_py(), header, rows)
+
+    def batch_of(name: str, header: list[str], rows: list[list[str]]) -> pa.RecordBatch:
+        cells = [list(zip(header, row, strict=False)) for row in rows]
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array([rows[0] is header] * len(rows)), pa.array(cells, pa.map_(pa.string(), pa.string()))], names=["path", "is_header", "cells"])
 
-    rows = files.mapInArrow(lines, "path string, cells array<string>, line_no int")
-    header = rows.filter("line_no = 0").orderBy("path").first()
-    names = [c.lstrip("﻿").strip() for c in header["cells"]] if header else []
-    return rows.filter("line_no > 0").select(*[F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(names)])
+    names = files.select("path").orderBy("path").limit(1).join(files, "path").mapInArrow(lines, "path string, is_header boolean, cells map<string,string>").filter("is_header").select(F.map_keys("cells").alias("names")).first()
+    rows = files.mapInArrow(lines, "path string, is_header boolean, cells map<string,string>").filter("not is_header")
+    return rows.select(*[F.try_element_at("cells", F.lit(n)).alias(n) for n in (names["names"] if names else [])])
 
 
 def read_price_exports(spark: SparkSession, path: str) -> DataFrame:
@@ -78,30 +91,19 @@ def metric_of(file_name: str | F.Column) -> F.Column:
 def wide_to_long(spark: SparkSession, path: str, ids: Sequence[str] = ("Resource Name", "Resource Type")) -> DataFrame:
     """Long rows of files with one column per timestamp, however many columns there are.
 
-    Lines are parsed in tasks; each cell with a value becomes a row ``resource_name,
-    resource_type, ts, metric, step, value``. Columns whose header is no timestamp
-    are left out.
+    Each cell with a value becomes a row ``resource_name, resource_type, ts,
+    metric, step, value``. A file's header is parsed once and meets its lines as
+    an array of timestamps; lines are split and exploded one at a time, in native
+    expressions. Columns whose header is no timestamp are left out.
     """
-    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_name")
-    first = spark.read.format("text").load(path).select("_metadata.file_path", "value").groupBy("file_path").agg(F.first("value").alias("header"))
-    header_like = F.lower(F.col("value")).startswith(ids[0].lower())
-    headers = lines.filter(header_like).select("file_path", F.col("value").alias("header")) if ids else first
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for line, file, header in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                names, row = next(csv.reader([header])), next(csv.reader([line]))
-                at = [names.index(i) for i in ids]
-                for k, (n, v) in enumerate(zip(names, row, strict=False)):
-                    if k not in at and v:
-                        for column, value in zip(out, (row[at[0]], row[at[1]], n, file, v), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["resource_name", "resource_type", "at", "file", "text"])
-
-    rows = lines.filter(~header_like).join(F.broadcast(headers), "file_path").select("value", "file_name", "header").mapInArrow(cells, "resource_name string, resource_type string, at string, file string, text string")
-    metric = metric_of("file")
-    rows = rows.select("resource_name", "resource_type", timestamp("at").alias("ts"), metric["metric"].alias("metric"), metric["step"].alias("step"), F.col("text").try_cast("double").alias("value"))
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_name").withColumn("delimiter", F.lit(","))
+    is_header = F.lower(F.regexp_replace("value", r'^\ufeff?"?', "")).startswith(ids[0].lower())
+    headers = lines.filter(is_header).select("file_path", F.transform(csv_cells("value"), lambda c: F.trim(F.regexp_replace(c, "^\ufeff", ""))).alias("header"))
+    headers = headers.select("file_path", F.transform("header", lambda c: timestamp(c)).alias("times"), *[F.array_position("header", F.lit(i)).cast("int").alias(f"at{k}") for k, i in enumerate(ids)])
+    rows = lines.filter(~is_header).withColumn("cells", csv_cells("value")).join(headers, "file_path")
+    name, kind = (F.try_element_at("cells", F.when(F.col(c) > 0, F.col(c))) for c in ("at0", "at1"))
+    rows = rows.select(name.alias("resource_name"), kind.alias("resource_type"), metric_of("file_name").alias("metric"), F.explode(F.arrays_zip("times", "cells")).alias("cell"))
+    rows = rows.select("resource_name", "resource_type", F.col("cell.times").alias("ts"), F.col("metric.metric").alias("metric"), F.col("metric.step").alias("step"), F.col("cell.cells").try_cast("double").alias("value"))
     return rows.filter("ts is not null and value is not null")
 
 
