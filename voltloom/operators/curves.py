@@ -13,6 +13,8 @@ from voltloom.operators.frames import domain, first_by
 
 UNIT = ["resource_type", "resource_name"]
 CELL = [*UNIT, "ts"]
+#: Ranges of price that share a running sum.
+PRICE_RANGES = 4_095
 
 
 def assemble(mw: DataFrame, price: DataFrame, hsl: DataFrame, bp: DataFrame | None = None) -> DataFrame:
@@ -107,11 +109,19 @@ def marginal_unit(curves: DataFrame, keys: Sequence[str] = ("resource_type",), *
     upto = W.partitionBy(*keys).orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
     steps = steps.withColumn("until", F.sum("step_mw").over(upto)).join(base, keys).filter(F.col("until") > F.col("total_bp") + tolerance)
     target = first_by(steps, keys, ["step"]).select(*keys, "step", "total_bp", (F.col("until") - F.col("step_mw")).alias("before_step"))
-    merit = W.partitionBy(*keys).orderBy("price", "resource_name", "ts").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = curves.join(target, [*keys, "step"]).filter("mw is not null and price is not null").withColumn("cumulative", F.col("before_step") + F.sum("mw").over(merit))
-    rows = rows.filter(F.col("cumulative") > F.col("total_bp") + tolerance)
-    found = first_by(rows, keys, ["cumulative", "price", "resource_name", "ts"])
+    rows = curves.join(target, [*keys, "step"]).filter("mw is not null and price is not null")
+    # a running sum in two levels, so that no task orders all rows of a type: sums of price ranges, then inside each
+    ends = rows.groupBy(*keys).agg(F.min("price").alias("__a"), F.max("price").alias("__b"))
+    spread = F.col("__b") - F.col("__a")
+    rows = rows.join(ends, keys).withColumn("__part", F.when(spread > 0, F.floor((F.col("price") - F.col("__a")) / spread * PRICE_RANGES)).otherwise(0).cast("int"))
+    ranges = rows.groupBy(*keys, "__part").agg(F.sum("mw").alias("__mw"))
+    below = F.sum("__mw").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.join(ranges.withColumn("__below", F.coalesce(below, F.lit(0))).drop("__mw"), [*keys, "__part"])
+    merit = W.partitionBy(*keys, "__part").orderBy("price", "resource_name", "ts").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("cumulative", F.col("before_step") + F.col("__below") + F.sum("mw").over(merit)).filter(F.col("cumulative") > F.col("total_bp") + tolerance)
     extra = [c for c in ("resource_name", "ts") if c not in keys]
+    kept = ["total_bp", "step", *extra, "price", "mw", "cumulative"]
+    found = rows.groupBy(*keys).agg(F.min_by(F.struct(*kept), F.struct("cumulative", "price", "resource_name", "ts")).alias("__s")).select(*keys, "__s.*")
     return found.select(*keys, "total_bp", "step", *extra, "price", "mw", (F.col("cumulative") - F.col("mw")).alias("cumulative_before"))
 
 
@@ -151,8 +161,9 @@ def strict_fraction(mw: DataFrame, hsl: DataFrame) -> DataFrame:
 
 def average_without_first(curves: DataFrame) -> DataFrame:
     """Mean MW by type, the lowest step left out."""
+    by_step = curves.groupBy("resource_type", "step").agg(F.sum("mw").alias("mw"), F.count("mw").alias("n"))
     lowest = F.min("step").over(W.partitionBy("resource_type"))
-    return curves.withColumn("__low", lowest).filter("step > __low").groupBy("resource_type").agg(F.avg("mw").alias("mw"))
+    return by_step.withColumn("__low", lowest).filter("step > __low").groupBy("resource_type").agg(F.try_divide(F.sum("mw"), F.sum("n")).alias("mw"))
 
 
 def price_against_mw(quantities: DataFrame, prices: DataFrame) -> DataFrame:
