@@ -746,3 +746,97 @@ def repeated_node_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("node"))
     units = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("resource_name"), F.col("c_acctbal").alias("avg_base_point"))
     return coverage.repeated_node_notes(rows, units, node="node").select("o_orderkey", "node_note")
+
+
+@query(f"""
+WITH r AS (SELECT upper(o_orderpriority) AS technology, {STATES} AS state, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'N' END AS node,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'rtlmp' ELSE 'rtlmp_bus' END AS source FROM orders),
+g AS (SELECT technology, grouping(technology) AS whole, count(*) AS rows_total, count(*) FILTER (state = 'matched') AS matched, count(*) FILTER (state = 'unmatched') AS unmatched,
+    count(*) FILTER (node <> '') AS priced, count(*) FILTER (source = 'rtlmp_bus') AS bus, count(*) FILTER (source = 'rtlmp') AS plain FROM r GROUP BY GROUPING SETS ((technology), ()))
+SELECT CASE WHEN whole = 1 THEN 'ALL' ELSE technology END AS technology, rows_total, matched AS rows_sced_matched, unmatched AS rows_sced_unmatched, priced AS rows_price_matched,
+    bus AS rows_price_from_rtlmp_bus, plain AS rows_price_from_rtlmp, rows_total - priced AS rows_price_blank, round(matched / rows_total, 4) AS pct_sced_matched, round(priced / rows_total, 4) AS pct_price_matched FROM g""")
+def technology_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderpriority", F.expr(STATES).alias("status"), F.lit(None).cast("string").alias("method"), F.when(key % 7 == 0, "").otherwise("N").alias("price_code"), F.when(key % 2 == 0, "rtlmp").otherwise("rtlmp_bus").alias("price_node_source")
+    )
+    made = coverage.technology_summary(rows, technology="o_orderpriority")
+    return made.drop("rows_sced_exact", "rows_sced_ambiguous", "pct_sced_exact", "pct_sced_ambiguous")
+
+
+@query(f"""{OFFERS}
+SELECT resource_type, resource_name, ts, step, round(3.7e-8 + mw, 6) AS mw, round(3.7e-8 + price, 6) AS price, round(3.7e-8 + hsl, 6) AS hsl, round(3.7e-8 + bp, 6) AS bp
+FROM offers WHERE resource_type IS NOT NULL AND resource_name IS NOT NULL AND ts IS NOT NULL""")
+def assembled_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = offers(spark, sf_dir)
+    steps = {m: rows.select(*curves.CELL, "step", F.col(m).alias("value")) for m in ("mw", "price")}
+    cells = {m: rows.select(*curves.CELL, F.col(m).alias("value")).distinct() for m in ("hsl", "bp")}
+    made = curves.assemble(steps["mw"], steps["price"], cells["hsl"], cells["bp"]).select(*curves.CELL, "step", "mw", "price", "hsl", "bp")
+    return rounded(made, "mw", "price", "hsl", "bp")
+
+
+@query("""
+SELECT o_orderpriority AS node, o_orderstatus AS node_type, (date_trunc('day', o_orderdate) + INTERVAL 1 HOUR * (o_orderkey % 24) + INTERVAL 15 MINUTE * (o_custkey % 4)) AS ts, o_totalprice AS price, o_orderkey % 2 = 0 AS repeated FROM orders""")
+def settlement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "orders").select(
+        F.date_format("o_orderdate", "MM/dd/yyyy").alias("Delivery Date"), (F.col("o_orderkey") % 24 + 1).cast("string").alias("Delivery Hour"), (F.col("o_custkey") % 4 + 1).cast("string").alias("Delivery Interval"),
+        F.concat(F.lit(" "), "o_orderpriority").alias("Settlement Point Name"), F.col("o_orderstatus").alias("Settlement Point Type"), F.col("o_totalprice").cast("string").alias("Settlement Point Price"),
+        F.when(F.col("o_orderkey") % 2 == 0, "Y").otherwise("N").alias("Repeated Hour Flag"),
+    )
+    return prices.settlement_rows(raw)
+
+
+HEAT = "WITH h AS (SELECT event_type AS node, date_trunc('hour', ts) AS hour, avg(value) AS price FROM events GROUP BY ALL), m AS (SELECT node, month(hour) AS month, hour(hour) + 1 AS h, avg(price) AS price FROM h GROUP BY ALL), g AS (SELECT node, month FROM (SELECT DISTINCT node FROM m), (SELECT unnest(range(1, 13)) AS month)) "
+
+
+@query(HEAT + "SELECT g.node, g.month::INT AS month, " + ", ".join(f"round(3.7e-8 + any_value(price) FILTER (h = {k}), 6) AS h{k}" for k in range(1, 25)) + " FROM g LEFT JOIN m ON m.node = g.node AND m.month = g.month GROUP BY 1, 2")
+def price_heatmap_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = prices.heatmap(prices.month_hour_means(events_as_prices(spark, sf_dir)))
+    return wide.select("node", "month", *[F.round(F.col(f"`{k}`") + NUDGE, 6).alias(f"h{k}") for k in range(1, 25)])
+
+
+@query("SELECT event_id, value FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL AND trim(event_type) NOT IN ('', 'error')")
+def required_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("event_type", F.when(F.col("event_type") == "error", "  ").otherwise(F.col("event_type")))
+    return frames.require(frames.require(rows, ["value"]), ["event_type"], blank=True).select("event_id", "value")
+
+
+@query("SELECT l_linenumber, l_orderkey, l_quantity, l_tax FROM lineitem")
+def resolved_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("Order  Key"), F.col("l_quantity").alias("L_Quantity"), F.col("l_tax").alias("the tax (share)"), F.col("l_linenumber").alias("LINE-NUMBER"))
+    found = frames.resolve_columns(rows, {"l_orderkey": ["order key"], "l_quantity": [], "l_linenumber": ["line number"], "l_tax": ["tax"]}, mode="substring")
+    return frames.reorder(found, ["l_linenumber"], after=("l_tax", "l_quantity"))
+
+
+@query("SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey")
+def checked_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", F.col("c_nationkey").alias("n_nationkey"))
+    made = frames.checked_join(table(spark, sf_dir, "orders"), people, ["o_custkey"])
+    return frames.checked_join(made, table(spark, sf_dir, "nation"), ["n_nationkey"]).select("o_orderkey", "c_name", "n_name")
+
+
+@query(f"""
+SELECT o_custkey::VARCHAR AS resource_name, o_orderstatus AS fuel_type, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END, o_orderkey::DOUBLE) AS capacity_mw,
+    CASE WHEN s = 'matched' THEN o_orderpriority ELSE '' END AS price_code, CASE WHEN s = 'matched' THEN 'listed' ELSE '' END AS price_node_source FROM (SELECT *, {STATES} AS s FROM orders)""")
+def simple_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("resource_name"), F.col("o_orderstatus").alias("fuel_type"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("capacity_mw"), F.col("o_orderkey").cast("double").alias("yes_capacity_mw"),
+        F.col("o_orderpriority").alias("rtlmp_name"), F.lit("listed").alias("price_node_source"), F.expr(STATES).alias("status"),
+    )
+    return coverage.simple_matches(rows)
+
+
+@query("""
+WITH u AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 3 = 0),
+d AS (SELECT c_mktsegment, c_nationkey, c_custkey IN (SELECT o_custkey FROM u) AS used FROM customer),
+p AS (SELECT c_nationkey, count(*) AS units FROM d GROUP BY 1),
+m AS (SELECT c_nationkey, count(*) AS met FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 30 = 0 GROUP BY 1),
+s AS (SELECT d.c_mktsegment, CASE WHEN used THEN 'used' WHEN d.c_nationkey % 5 = 0 THEN 'missing_pun' WHEN coalesce(met, 0) > 0 AND units > met THEN 'missing_extra_sced' ELSE 'missing' END AS state FROM d JOIN p USING (c_nationkey) LEFT JOIN m USING (c_nationkey)),
+t AS (SELECT CASE WHEN grouping(c_mktsegment) = 1 THEN 'ALL' ELSE c_mktsegment END AS kind, count(*) AS total, count(*) FILTER (state = 'used') AS used, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'missing_pun') AS missing_pun, count(*) FILTER (state = 'missing_extra_sced') AS missing_extra_sced FROM s GROUP BY GROUPING SETS ((c_mktsegment), ()))
+SELECT *, round(used / total, 4) AS pct_used, round(missing / total, 4) AS pct_missing, round(missing_pun / total, 4) AS pct_missing_pun, round(missing_extra_sced / total, 4) AS pct_missing_extra_sced FROM t""")
+def resource_state_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("name"), F.concat(F.lit("P"), "c_nationkey").alias("plant"), F.col("c_mktsegment").alias("kind"))
+    used = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.concat(F.lit("C"), "o_custkey").alias("name"), F.col("o_orderkey"))
+    plants = used.join(people.select("name", "plant"), "name").select(F.when(F.col("o_orderkey") % 30 == 0, F.col("name")).alias("first"), F.col("name").alias("second"), "plant")
+    excused = table(spark, sf_dir, "nation").filter("n_nationkey % 5 = 0").select(F.concat(F.lit("P"), "n_nationkey").alias("plant"))
+    return coverage.resource_states(people, plants, excused, name="name", plant="plant", kind="kind", matched=["first", "second"], matched_plant="plant", excused_plant="plant")["summary"]
