@@ -211,6 +211,7 @@ def duration_curve(df: DataFrame, value: str, ties: Sequence[str]) -> DataFrame:
 
 
 def reservoir(df: DataFrame, keys: Sequence[str], k: int, *, seed: int = 42, identity: Sequence[str] = ()) -> DataFrame:
-    """A uniform sample of ``k`` rows of each key: those of smallest seeded hash, so reruns agree."""
+    """A uniform sample of ``k`` rows of each key: those of smallest seeded MD5 of their ``identity``, so reruns agree."""
     parts = [F.col(f"`{c}`") for c in (identity or df.columns)]
-    return top_k(df, keys, [F.xxhash64(F.lit(seed), *parts), *parts], k, "__n").drop("__n")
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    return top_k(df, keys, [drawn, *parts], k, "__n").drop("__n")

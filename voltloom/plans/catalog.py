@@ -9,13 +9,19 @@ nodes, ``embeddings`` are clusters' curves, ``customer``, ``supplier`` and
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltloom.functions import names, values
 from voltloom.operators import clusters, coverage, curves, descriptive, frames, linkage, prices, summaries
+from voltloom.sources import archives, sinks, tables
+from voltloom.sources.folders import new_folder
+from voltloom.streaming.refresh import refresh_summaries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -391,9 +397,12 @@ def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.coverage_counts(offers(spark, sf_dir))
 
 
-@query()
+@query(OFFERS + """
+SELECT resource_type, step, resource_name, ts, round(3.7e-8 + price, 6) AS price FROM offers
+QUALIFY row_number() OVER (PARTITION BY resource_type, step ORDER BY md5(concat_ws('|', '42', resource_type, step, resource_name, ts::TIMESTAMP))) <= 100""")
 def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.reservoir(offers(spark, sf_dir).select("resource_type", "step", "resource_name", "ts", "price"), ["resource_type", "step"], 100)
+    rows = offers(spark, sf_dir).select("resource_type", "step", "resource_name", "ts", "price")
+    return rounded(frames.reservoir(rows, ["resource_type", "step"], 100, identity=["resource_type", "step", "resource_name", "ts"]), "price")
 
 
 # --- clusters ---
@@ -840,3 +849,66 @@ def resource_state_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     plants = used.join(people.select("name", "plant"), "name").select(F.when(F.col("o_orderkey") % 30 == 0, F.col("name")).alias("first"), F.col("name").alias("second"), "plant")
     excused = table(spark, sf_dir, "nation").filter("n_nationkey % 5 = 0").select(F.concat(F.lit("P"), "n_nationkey").alias("plant"))
     return coverage.resource_states(people, plants, excused, name="name", plant="plant", kind="kind", matched=["first", "second"], matched_plant="plant", excused_plant="plant")["summary"]
+
+
+# --- sources and sinks ---
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority || ', \"' || o_orderstatus || '\"' AS note FROM orders")
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "csv-scan")
+    note = F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"'))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("Order Key"), note.alias("Note"), F.col("o_totalprice").alias("Total"))
+    sinks.write(rows, path, form="csv", escape='"')
+    back = tables.read_csv(spark, path, required={"o_orderkey": ["order key"], "note": [], "o_totalprice": ["total"]}, escape='"')
+    return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_totalprice").cast("double").alias("o_totalprice"), "note")
+
+
+def _zips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An archive of one quoted CSV file inside an archive for each batch."""
+    for batch in batches:
+        lines = ["Order,Name,MW", *[f'{k},"{n}, ""{k}""",{v!r}' for k, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True)]]
+        inner, outer = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("part.CSV", "\n".join(lines) + "\n")
+            z.writestr("readme.txt", "not a table")
+        with zipfile.ZipFile(outer, "w") as z:
+            z.writestr("inner.zip", inner.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array([f"{batch.column(0)[0]}.zip"]), pa.array([outer.getvalue()], pa.binary())], names=["path", "content"])
+
+
+@query("""SELECT o_orderkey AS "order", o_orderpriority || ', "' || o_orderkey || '"' AS name, o_totalprice AS mw, NULL::VARCHAR AS lacking FROM orders""")
+def unzip_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").mapInArrow(_zips, "path string, content binary")
+    rows = archives.zipped_table(archives.archived_lines(files, min_depth=2, max_depth=2), ["order", "name", "mw", "lacking"])
+    return rows.select(F.col("order").cast("long").alias("order"), "name", F.col("mw").cast("double").alias("mw"), "lacking")
+
+
+@query("""
+SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice ELSE o_totalprice + 1 END AS v FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0""")
+def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "versioned-upsert")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    sinks.merge_and_save(rows.filter("k % 3 <> 0"), path, ["k"], "v")
+    sinks.merge_and_save(rows.filter("k % 2 = 0").withColumn("v", F.col("v") + 1), path, ["k"], "v")
+    return spark.read.parquet(f"{path}/v{sinks.latest(spark, path)}")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem")
+def partitioned_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "partitioned-sink")
+    sinks.write_bundle({"lines": table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")}, path)
+    sinks.write(spark.read.parquet(f"{path}/lines"), f"{path}/by-flag", by=["l_returnflag"])
+    return spark.read.parquet(f"{path}/by-flag")
+
+
+@query(SUMMARY)
+def streamed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "streamed-summary")
+    rows = series(spark, sf_dir)
+    rows.filter("event_id % 2 = 0").write.parquet(f"{path}/in/a")
+    rows.filter("event_id % 2 = 1").write.parquet(f"{path}/in/b")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1_000).parquet(f"{path}/in/*")
+    refresh_summaries(spark, stream, f"{path}/store", f"{path}/progress", ["value"]).awaitTermination()
+    stored = spark.read.parquet(f"{path}/store/v{sinks.latest(spark, f'{path}/store')}")
+    return rounded(summaries.finish_summary(stored, ["value"]), "value_avg", "value_min", "value_max")

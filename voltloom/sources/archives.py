@@ -71,6 +71,11 @@ def zipped_lines(spark: SparkSession, path: str, *, pattern: str = r"\.csv$", mi
     if limit is not None:
         first = files.select("path").orderBy("path").limit(limit)
         files = files.join(F.broadcast(first), "path", "left_semi")
+    return archived_lines(files, pattern=pattern, min_depth=min_depth, max_depth=max_depth)
+
+
+def archived_lines(files: DataFrame, *, pattern: str = r"\.csv$", min_depth: int = 1, max_depth: int = 8) -> DataFrame:
+    """The same of archives in a table ``path, content``."""
     rows = files.lateralJoin(Unzip(F.col("path").outer(), F.col("content").outer(), F.lit(pattern), F.lit(min_depth), F.lit(max_depth)))
     return rows.select("source", "line_no", "delimiter", "line")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voltloom.operators.summaries import upsert
 
 
-def write(df: DataFrame, path: str, *, form: str = "parquet", by: Sequence[str] = (), mode: str = "overwrite") -> None:
+def write(df: DataFrame, path: str, *, form: str = "parquet", by: Sequence[str] = (), mode: str = "overwrite", **options: str) -> None:
     """Write a table, one directory for each value of ``by``; CSV has a header.
 
     Rows of a value are brought together, but a value with many rows is split
@@ -19,7 +19,7 @@ def write(df: DataFrame, path: str, *, form: str = "parquet", by: Sequence[str]
     if by:
         df = df.hint("rebalance", *[F.col(c) for c in by])
     writer = df.write.mode(mode).partitionBy(*by) if by else df.write.mode(mode)
-    writer.option("header", True).format(form).save(path)
+    writer.option("header", True).options(**options).format(form).save(path)
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str, *, form: str = "parquet") -> None:

@@ -25,7 +25,7 @@ SLICE = 2_000
 PRICE_COLUMNS = "DATETIME DAYOFWEEK OBJECTID OBJECTNAME DATATYPE AGG_LEVEL MINVALUE MAXVALUE AVGVALUE TIMEZONE COUNTVALUE SUMVALUE STDDEVVALUE HOURENDING MARKETDAY PEAKTYPE MONTH YEAR".split()
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], *, required: dict[str, Sequence[str]] | None = None, schema: T.StructType | None = None, delimiter: str | None = None, encoding: str = "UTF-8", columns: int = 200_000) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Sequence[str], *, required: dict[str, Sequence[str]] | None = None, schema: T.StructType | None = None, delimiter: str | None = None, encoding: str = "UTF-8", columns: int = 200_000, **options: str) -> DataFrame:
     """A CSV table; text columns unless a schema is given, so that no pass infers types.
 
     ``required`` names columns with their aliases (see ``resolve_columns``).
@@ -36,7 +36,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], *, required: dict[s
         first = spark.read.text(paths[0]).head()
         line = first[0] if first else ""
         delimiter = next((d for d in DELIMITERS if d in line), ",")
-    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("maxColumns", columns)
+    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("maxColumns", columns).options(**options)
     df = (reader.schema(schema) if schema else reader).csv(paths)
     return resolve_columns(df, required) if required else df
 
