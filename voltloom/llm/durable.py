@@ -7,27 +7,14 @@ executor can reach, so losing executors costs nothing but the tasks they ran.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from voltloom.sources.folders import new_folder
+
 #: Uncompressed bytes of hashes do not shrink; zstd still helps ids and counts.
 _OPTIONS = {"compression": "zstd"}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session; a new temporary one only where none is named on a single machine (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="voltloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 class Workspace:
     """The tables of one operator call, under one folder of their own.
 
@@ -37,7 +24,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/voltloom/{name}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, name)
         self._n = 0
 
     def _path(self, name: str) -> tuple:
@@ -48,10 +35,6 @@ class Workspace:
         """Write ``df`` and return the written table."""
         self._n += 1
         name = f"{self.root}/{self._n:03d}-{label}"
-        if self._n == 1:
-            files, root = self._path(self.root)
-            files.mkdirs(root)
-            files.deleteOnExit(root)
         df.write.options(**_OPTIONS).parquet(name)
         back = self.spark.read.schema(df.schema).parquet(name)
         back._settled_at = name  # noqa: SLF001
