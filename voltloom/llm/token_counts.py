@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 _SHIFT = 17
 _POS = (1 << 32) - 1
-#: Entries of a worker's word memory before it is emptied (bounds memory, not results).
-MEMORY_WORDS = 1_000_000
+#: Entries of a worker's word memory before it is emptied, and characters of a word or part
+#: that is remembered; longer ones are counted each time (both bound memory, not results).
+MEMORY_WORDS, MEMORY_CHARS = 1_000_000, 64
 #: Characters outside these ranges send a text through the library's normaliser:
 #: ASCII white space and printables, Latin letters without U+0130, dashes, quotes, euro.
 PLAIN_ONLY = re.compile("[^\t\n\x0b\x0c\r -~\xa1-\xac\xae-įı-ɏ‐-‧‰-⁞€]")
@@ -125,13 +126,17 @@ class MergeCounter:
             if len(self.parts) >= MEMORY_WORDS:
                 self.parts.clear()
             letters = self.letters
-            got = self.parts[part] = self.merge(part if part.isascii() and part.isalnum() else "".join([letters[b] for b in part.encode()]))
+            got = self.merge(part if part.isascii() and part.isalnum() else "".join([letters[b] for b in part.encode()]))
+            if len(part) <= MEMORY_CHARS:
+                self.parts[part] = got
         return got
 
     def _word(self, word: str) -> int:
         if len(self.words) >= MEMORY_WORDS:
             self.words.clear()
-        got = self.words[word] = sum([self._part(p) for p in self.pattern.findall(word)])
+        got = sum([self._part(p) for p in self.pattern.findall(word)])
+        if len(word) <= MEMORY_CHARS:
+            self.words[word] = got
         return got
 
     def _slow(self, text: str) -> int:
