@@ -13,6 +13,19 @@ from voltloom.sources.folders import new_folder
 
 #: Uncompressed bytes of hashes do not shrink; zstd still helps ids and counts.
 _OPTIONS = {"compression": "zstd"}
+#: Rows of texts that a Python worker is sent at once at most.
+TEXT_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to workers in batches of ``TEXT_ROWS`` rows, which bounds what a task holds of them on both sides.
+
+    Sets the session's ``spark.sql.execution.arrow.maxRecordsPerBatch``, unless
+    it is smaller already.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
 
 
 class Workspace:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltloom.llm.components import connected_components
-from voltloom.llm.durable import Workspace
+from voltloom.llm.durable import Workspace, small_batches
 from voltloom.llm.shingles import distinct, mix, shingle_sequences, shingle_sets
 
 #: Threshold as a ratio of whole numbers: link when DEN * both >= NUM * either.
@@ -275,6 +275,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     are not read.
     """
     space = Workspace(docs.sparkSession, "ngram-join")
+    small_batches(docs.sparkSession)
     common = common_shingles(docs, text_col, space)
     known = space.settle(digest(docs, id_col, text_col, common, carry), "digest")
     # equal sets become one document, that of the smallest id

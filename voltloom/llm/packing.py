@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltloom.llm.durable import Workspace
+from voltloom.llm.durable import Workspace, small_batches
 from voltloom.llm.token_counts import PLAIN_ONLY, MergeCounter
 
 SEQUENCE = 2048
@@ -132,6 +132,7 @@ def pack_along_curve(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc
     """
     spark = docs.sparkSession
     space = Workspace(spark, "packing")
+    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u2").tobytes()
 

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltloom.llm.durable import small_batches
+
 _SHIFT = 17
 _POS = (1 << 32) - 1
 #: Entries of a worker's word memory before it is emptied, and characters of a word or part
@@ -182,6 +184,7 @@ def bpe_token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc
     repeated results, an empty table an empty one, and other columns of the
     input, whatever their names, are not read.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltloom.llm.durable import small_batches
+
 #: Labelled rows used for training at most (the documented bound of the sample).
 MAX_TRAINING = 8_000
 #: Words and beginnings kept for a category at most, and lengths of beginnings.
@@ -220,6 +222,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     without text, id or any label are left out; without any rows the chain finds
     nothing toxic.
     """
+    small_batches(docs.sparkSession)
     wanted = labels.select(F.col(id_col).alias("__id"), *[F.expr(e).cast("double").alias(f"__y{k}") for k, (_, e) in enumerate(chain)])
     wanted = wanted.filter(F.col("__id").isNotNull() & F.coalesce(*[F.col(f"__y{k}") for k in range(len(chain))]).isNotNull())
     wanted = wanted.groupBy("__id").agg(*[F.max(f"__y{k}").alias(f"__y{k}") for k in range(len(chain))])
@@ -299,6 +302,7 @@ def score_toxicity(docs: DataFrame, model: Chain, *, id_col: str = "doc_id", tex
     are scored like any other; an empty table gives an empty one; other columns
     are not read.
     """
+    small_batches(docs.sparkSession)
     names = [f"p_{n}" for n in model.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,6 +320,7 @@ def drop_toxic(docs: DataFrame, model: Chain, *, text_col: str = "text", thresho
     Null and empty texts stay; rows are judged one by one, so that repeated
     rows and null ids fare like any other; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
