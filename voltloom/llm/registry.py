@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.llm import embedding_dedup, html_text, language_model, mixing, nearest, ngram_join, packing, sharding, token_counts, toxicity
+from voltloom.llm import embedding_dedup, html_text, language_model, mixing, nearest, ngram_join, packing, ranking, sharding, token_counts, toxicity
 
 #: Shards of op1.
 SHARDS = 40
@@ -69,5 +69,9 @@ def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_by_product(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hypergeometric_shards, op2_classifier_chain, op3_projection_passes, op4_mix_to_targets, op5_maxent_scores, op6_line_block_text, op7_hilbert_packing, op8_token_group_join, op9_bpe_token_counts, op10_projection_forest)}
-ORACLE_SQL: dict[str, str] = {"op3_projection_passes": embedding_dedup.SQL, "op4_mix_to_targets": mixing.SQL, "op8_token_group_join": ngram_join.SQL}
+def op13_counting_sort_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_sale_lines(_table(spark, sf_dir, "sale_lines"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hypergeometric_shards, op2_classifier_chain, op3_projection_passes, op4_mix_to_targets, op5_maxent_scores, op6_line_block_text, op7_hilbert_packing, op8_token_group_join, op9_bpe_token_counts, op10_projection_forest, op13_counting_sort_places)}
+ORACLE_SQL: dict[str, str] = {"op3_projection_passes": embedding_dedup.SQL, "op4_mix_to_targets": mixing.SQL, "op8_token_group_join": ngram_join.SQL, "op13_counting_sort_places": ranking.SQL}
