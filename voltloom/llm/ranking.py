@@ -8,10 +8,11 @@ either. Column sums and their exclusive prefix sums allocate every pair's slots.
 
 A group of few lines in a slice sends its uncut lines as cells of one, so that
 they reach their slots with the counts. Of other groups only counts travel,
-combined before the shuffle; lines of their surviving pairs are scattered
-afterwards into buckets cut by ranges of the whole sort key. A second count
-matrix, of bucket pieces by pair, gives each piece its first slot. So neither a
-group nor a pair of any size meets in one task.
+combined before the shuffle, and their uncut lines wait; those of surviving
+pairs are scattered afterwards into buckets cut by ranges of the whole sort key.
+A second count matrix, of bucket pieces by pair, gives each piece its first
+slot. So neither a group nor a pair of any size meets in one task, and nothing
+is broadcast.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ from voltloom.llm.durable import Workspace
 SLICE_LINES = 1 << 19
 #: Lines of a group in a slice up to which they travel themselves.
 LIGHT = 32
+#: Parts into which the lines of a pair are dealt where they learn its slots.
+SALTS = 64
+#: What a row of the matrix is: a line that travels, a count of lines, a line that waits.
+_LINE, _COUNT, _WAITS = 0, 1, 2
 
 
 def _runs(columns: list[np.ndarray]) -> np.ndarray:
@@ -55,13 +60,15 @@ def _count_slice(table: pa.Table, group: list[str], pair: list[str], order: list
     group_of_cell = np.cumsum(starts_group)[cell_at] - 1
     kept = cell_at - group_at[group_of_cell] < places  # the group's lines before the cell
     small = group_n[group_of_cell] <= light
-    lines = by[np.repeat(kept & small, cell_n)]
+    lines, waiting = by[np.repeat(kept & small, cell_n)], by[np.repeat(kept & ~small, cell_n)]
     counts = by[cell_at[kept & ~small]]
-    picked = table.take(pa.array(np.concatenate([lines, counts])))
-    weight = np.concatenate([np.ones(len(lines), np.int64), cell_n[kept & ~small]])
-    whole = pa.array(np.arange(len(weight)) < len(lines))
-    cells = {c: picked[c] for c in group + pair} | {"weight": pa.array(weight, pa.int64()), "is_line": whole}
-    return pa.table(cells | {c: pa.compute.if_else(whole, picked[c], pa.scalar(None, pa.int64())) for c in order})
+    picked = table.take(pa.array(np.concatenate([lines, counts, waiting])))
+    kind = np.repeat([_LINE, _COUNT, _WAITS], [len(lines), len(counts), len(waiting)]).astype(np.int32)
+    weight = np.ones(len(kind), np.int64)
+    weight[kind == _COUNT] = cell_n[kept & ~small]
+    alone = pa.array(kind != _COUNT)
+    cells = {c: picked[c] for c in group + pair} | {"weight": pa.array(weight), "kind": pa.array(kind)}
+    return pa.table(cells | {c: pa.compute.if_else(alone, picked[c], pa.scalar(None, pa.int64())) for c in order})
 
 
 def top_places(lines: DataFrame, *, group: list[str], pair: list[str], order: list[str], places: int = 3, slice_lines: int = SLICE_LINES, light: int = LIGHT) -> DataFrame:
@@ -98,11 +105,11 @@ def top_places(lines: DataFrame, *, group: list[str], pair: list[str], order: li
         if n:
             yield from _count_slice(pa.Table.from_batches(held), g, p, k_names, places, light).to_batches()
 
-    schema = ", ".join([*[f"{c} long" for c in g + p], "weight long", "is_line boolean", *[f"{c} long" for c in k_names]])
+    schema = ", ".join([*[f"{c} long" for c in g + p], "weight long", "kind int", *[f"{c} long" for c in k_names]])
     # a second run might slice the table otherwise, so what this one says is kept
     matrix = space.settle(slim.mapInArrow(count, schema), "matrix")
-    sums = matrix.filter("not is_line").groupBy(*g, *p).agg(F.sum("weight").alias("weight"))
-    cells = matrix.filter("is_line").unionByName(sums.withColumn("is_line", F.lit(False)), allowMissingColumns=True)
+    sums = matrix.filter(F.col("kind") == _COUNT).groupBy(*g, *p).agg(F.sum("weight").alias("weight"))
+    cells = matrix.filter(F.col("kind") == _LINE).drop("kind").withColumn("is_line", F.lit(True)).unionByName(sums.withColumn("is_line", F.lit(False)), allowMissingColumns=True)
     in_pair = W.partitionBy(*g, *p)
     upto = W.partitionBy(*g).orderBy(*p)  # pairs up to this one, ties included
     by_key = [F.col(c).asc_nulls_last() for c in k_names]
@@ -111,14 +118,19 @@ def top_places(lines: DataFrame, *, group: list[str], pair: list[str], order: li
     slots = space.settle(cells.filter(F.col("place") <= places).drop("weight"), "slots")
     at_hand = slots.filter("whole").withColumn("pos", F.col("place") + F.col("rank") - 1)
 
-    counted = space.settle(slots.filter("not whole").select(*g, *p, "place", "tied").distinct(), "counted")
-    scattered = slim.join(counted, g + p).withColumn("row", F.monotonically_increasing_id())
+    counted = slots.filter("not whole").select(*g, *p, "place", "tied").distinct()
+    salted = counted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    waiting = matrix.filter(F.col("kind") == _WAITS).drop("kind", "weight").withColumn("row", F.monotonically_increasing_id())
+    scattered = waiting.withColumn("salt", F.col("row") % SALTS).join(salted.hint("merge"), [*g, *p, "salt"]).drop("salt")
+    # light lines of the same pairs, of slices where their groups are small
+    light = slots.filter("not whole and is_line").select(*g, *p, *k_names, F.lit(-1).cast("long").alias("row"), "place", "tied")
+    scattered = scattered.select(light.columns).union(light)
     pieces = space.settle(scattered.repartitionByRange(*g, *p, *by_key, "row").withColumn("piece", F.spark_partition_id()), "pieces")
     per_piece = pieces.groupBy(*g, *p, "piece").agg(F.count("*").alias("n"))
     before = in_pair.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     per_piece = per_piece.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n")
     in_piece = W.partitionBy(*g, *p, "piece").orderBy(*by_key)
-    sorted_pieces = pieces.join(per_piece, [*g, *p, "piece"]).withColumn("pos", F.col("place") + F.col("before") + F.row_number().over(in_piece) - 1)
+    sorted_pieces = pieces.join(per_piece.hint("merge"), [*g, *p, "piece"]).withColumn("pos", F.col("place") + F.col("before") + F.row_number().over(in_piece) - 1)
 
     result = [F.when(F.col(f"{k}f") == 1, F.col(k)).alias(c) for k, c in named] + [F.col(k).alias(c) for k, c in zip(k_names, order, strict=True)]
     result += [F.col("place"), F.col("pos").cast("long").alias("pos"), F.col("tied")]
