@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltloom.llm import embedding_dedup, html_text, language_model, mixing, nearest, ngram_join, packing, ranking, sharding, token_counts, toxicity
+from voltloom.llm import embedding_dedup, html_text, language_model, mixing, nearest, ngram_join, packing, ranking, sharding, spelling, suffix_dedup, token_counts, toxicity
 
 #: Shards of op1.
 SHARDS = 40
@@ -69,9 +69,19 @@ def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_by_product(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op11_wildcard_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_counting_sort_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank_sale_lines(_table(spark, sf_dir, "sale_lines"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hypergeometric_shards, op2_classifier_chain, op3_projection_passes, op4_mix_to_targets, op5_maxent_scores, op6_line_block_text, op7_hilbert_packing, op8_token_group_join, op9_bpe_token_counts, op10_projection_forest, op13_counting_sort_places)}
-ORACLE_SQL: dict[str, str] = {"op3_projection_passes": embedding_dedup.SQL, "op4_mix_to_targets": mixing.SQL, "op8_token_group_join": ngram_join.SQL, "op13_counting_sort_places": ranking.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hypergeometric_shards, op2_classifier_chain, op3_projection_passes, op4_mix_to_targets, op5_maxent_scores, op6_line_block_text, op7_hilbert_packing, op8_token_group_join, op9_bpe_token_counts, op10_projection_forest, op11_wildcard_spellings, op12_deep_shallow_dedup, op13_counting_sort_places)}
+ORACLE_SQL: dict[str, str] = {"op3_projection_passes": embedding_dedup.SQL, "op4_mix_to_targets": mixing.SQL, "op8_token_group_join": ngram_join.SQL, "op11_wildcard_spellings": spelling.SQL, "op12_deep_shallow_dedup": suffix_dedup.SQL, "op13_counting_sort_places": ranking.SQL}
