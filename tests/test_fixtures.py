@@ -126,9 +126,10 @@ def test_values(spark):
     assert (t["a"], t["b"], t["c"]) == (dt.datetime(2024, 1, 2, 3, 4), dt.datetime(2024, 1, 2, 3, 4, 5), None)
 
 
-def test_distinct_join(spark):
-    df = spark.createDataFrame(list(enumerate(["x", None, " ", "y", "x"])), "o int, v string")
-    assert df.agg(frames.distinct_join("v", "o")).first()[0] == "x | y"
+def test_distinct_texts(spark):
+    df = spark.createDataFrame([("a", *r) for r in enumerate(["x", None, " ", "y", "x", " z "])] + [("b", 1, None)] + [("c", k, "same") for k in range(5000)], "k string, o int, v string")
+    got = {limit: {r["k"]: r["t"] for r in frames.distinct_texts(df, ["k"], "v", "o", "t", limit=limit).collect()} for limit in (None, 2)}
+    assert got == {None: {"a": "x | y | z", "b": "", "c": "same"}, 2: {"a": "x | y", "b": "", "c": "same"}}
 
 
 def test_ambiguity(spark):
@@ -170,9 +171,14 @@ def test_group_spread_and_fallback(spark):
 
 
 def test_checked_join(spark):
-    left, right = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(1, 2), (1, 3)], "k int, v int")
-    with pytest.raises(ValueError, match="not unique"):
-        frames.checked_join(left, right, ["k"])
+    once, twice = spark.createDataFrame([(1, 0), (2, 0), (None, 0), (None, 1)], "k int, a int"), spark.createDataFrame([(1, 2), (1, 3), (3, 4)], "k int, v int")
+    for left, right, kind in ((once, twice, "many_to_one"), (twice, once, "one_to_many"), (once, twice, "one_to_one"), (twice, once, "one_to_one")):
+        met = frames.checked_join(left, right, ["k"], validate=kind)
+        with pytest.raises(Exception, match="not unique"):
+            met.select("v").collect()
+    assert frames.checked_join(twice, once, ["k"]).count() == 3
+    met = frames.checked_join(once, twice, ["k"], "full", validate="one_to_many", indicator="_merge")
+    assert sorted((r["k"] or 0, r["_merge"]) for r in met.collect()) == [(0, "left_only"), (0, "left_only"), (1, "both"), (1, "both"), (2, "left_only"), (3, "right_only")]
 
 
 def test_wide_matrix(spark):

@@ -54,6 +54,30 @@ def test_registry_units(spark):
     assert got == {1: ("ALPHA_U1", "matched"), 2: ("GAMMA_G1", "matched"), 3: ("GAMMA_G2", "matched"), 4: (None, "unmatched")}
 
 
+def test_plants_are_chosen_by_fuel_and_unit_codes(spark):
+    registry = spark.createDataFrame(
+        [(1, "Cedar Hills 1", ["CEDARHILLS_X1"], "GAS", 10.0), (2, "x", ["OAKRIDGE_Q7", "b"], "WIND", 10.0), (3, "y", ["OAKRIDGE_Q8"], "WIND", 10.0), (4, "z", ["PINE_1"], "SOLAR", 10.0)],
+        "unit_id int, unit_name string, codes array<string>, fuel string, capacity double",
+    )
+    resources = spark.createDataFrame(
+        [("CEDARHILLA_A1", "WIND", 1.0), ("CEDARHILLZ_B1", "GAS", 1.0), ("OAKRIDGEA_1", "WIND", 1.0), ("OAKRIDGE_Z", "GAS", 1.0), ("PINE_2", "SOLAR", 3.0)],
+        "resource_name string, resource_type string, avg_base_point double",
+    )
+    got = {r["unit_id"]: (r["resource_name"], r["method"], r["status"]) for r in matching.match_registry_units(registry, resources).collect()}
+    # the common fuel lifts the second closest plant
+    assert got[1][0] == "CEDARHILLZ_B1" and got[1][1].startswith("plant_descriptor_fuzzy:")
+    # the same descriptor wins over a close one with the fuel (180 over 155)
+    assert {got[2][0], got[3][0]} == {"OAKRIDGE_Z"} and got[2][1].startswith("plant_descriptor_exact:")
+    assert got[4][0] == "PINE_2"
+
+
+def test_unit_codes_choose_the_second_closest_plant(spark):
+    units = spark.createDataFrame([(1, "ALPHABETA", "GAS", "K1"), (2, "ALPHABETA", "GAS", "K2"), (3, "LONE", "", "")], "unit_id int, s_plant string, s_fuel string, s_code_key string")
+    resources = spark.createDataFrame([("ALPHABETA", "WIND", "N1"), ("ALPHABETB", "COAL", "K1"), ("ALPHABETB", "COAL", "K2"), ("ALPHABETC", "GAS", "K3"), ("", "GAS", "")], "r_plant string, r_fuel string, r_key string")
+    got = [tuple(r) for r in matching.choose_plants(units, resources).collect()]
+    assert got == [("ALPHABETA", "ALPHABETB", "plant_descriptor_fuzzy", 205)]
+
+
 def test_close_names_of_other_beginnings(spark):
     left = spark.createDataFrame([("CEDAR CREEK",), ("",), ("XLPHA STATION",)], "a string")
     right = spark.createDataFrame([("ALPHA STATION",), ("KEDAR CREEK",), ("BETA",), ("",), (None,)], "b string")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltloom.operators.frames import checked_join, distinct_join, first_by, shares
+from voltloom.operators.frames import checked_join, distinct_texts, first_by, shares
+from voltloom.operators.ordering import quantiles, running
 
 
 def rank_matches(matches: DataFrame, unit: str, score: str, ties: Sequence[str]) -> DataFrame:
@@ -19,7 +20,7 @@ def rank_matches(matches: DataFrame, unit: str, score: str, ties: Sequence[str])
 
 def primary_matches(units: DataFrame, ranked: DataFrame, unit: str, name: str) -> DataFrame:
     """Each unit with its best match, all its matches' names, and whether it has none, one or several."""
-    names = ranked.groupBy(unit).agg(distinct_join(name, "rank").alias("all_matches"), F.count("*").alias("match_count"))
+    names = distinct_texts(ranked, [unit], name, "rank", "all_matches").join(ranked.groupBy(unit).agg(F.count("*").alias("match_count")), unit)
     best = ranked.filter("rank = 1").select(unit, F.col(name).alias("primary_match"))
     made = checked_join(checked_join(units, best, [unit], validate="one_to_one"), names, [unit], validate="one_to_one")
     status = F.when(F.col("match_count").isNull(), "unmatched").when(F.col("match_count") == 1, "single_match").otherwise("multiple_matches")
@@ -28,12 +29,15 @@ def primary_matches(units: DataFrame, ranked: DataFrame, unit: str, name: str) -
 
 def population(units: DataFrame, cluster: str, measure: str | None = None) -> DataFrame:
     """Units by cluster and their share of all; with ``measure``, its statistics."""
-    parts: list[Column] = [F.count("*").alias("units")]
+    parts = [F.count("*").alias("units")]
     if measure:
-        quarter = F.percentile(measure, F.array(F.lit(0.25), F.lit(0.75)))
-        parts += [F.sum(measure).alias("sum"), F.avg(measure).alias("mean"), F.median(measure).alias("median"), F.stddev_samp(measure).alias("std"), F.min(measure).alias("min"), F.max(measure).alias("max"), quarter.alias("__q")]
+        parts += [F.sum(measure).alias("sum"), F.avg(measure).alias("mean"), F.stddev_samp(measure).alias("std"), F.min(measure).alias("min"), F.max(measure).alias("max")]
     made = shares(units.groupBy(cluster).agg(*parts), [], "units")
-    return made.withColumn("q1", F.col("__q")[0]).withColumn("q3", F.col("__q")[1]).drop("__q") if measure else made
+    if not measure:
+        return made
+    ranks = quantiles(units, [cluster], measure, (0.25, 0.5, 0.75), n="__n").withColumnRenamed(cluster, "__cluster")
+    met = made.join(ranks, F.col(cluster).eqNullSafe(F.col("__cluster")), "left")
+    return met.select(*made.columns, F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"))
 
 
 def attribute_distribution(units: DataFrame, cluster: str, attributes: Sequence[str]) -> DataFrame:
@@ -65,9 +69,9 @@ def dispersion(units: DataFrame, cluster: str, unit: str, vector: str) -> DataFr
     rows = points(units, cluster, unit, vector)
     centroid = rows.groupBy(cluster, "point").agg(F.avg("value").alias("centre"))
     whole = rows.groupBy("point").agg(F.avg("value").alias("all"))
-    far = rows.join(F.broadcast(centroid), [cluster, "point"]).groupBy(cluster, unit).agg(F.sqrt(F.avg(F.pow(F.col("value") - F.col("centre"), 2))).alias("distance"))
+    far = rows.join(centroid, [cluster, "point"]).groupBy(cluster, unit).agg(F.sqrt(F.avg(F.pow(F.col("value") - F.col("centre"), 2))).alias("distance"))
     inner = far.groupBy(cluster).agg(F.avg("distance").alias("mean_distance"), F.max("distance").alias("max_distance"), F.count("*").alias("units"))
-    outer = centroid.join(F.broadcast(whole), "point").groupBy(cluster).agg(F.sqrt(F.avg(F.pow(F.col("centre") - F.col("all"), 2))).alias("distinctiveness"))
+    outer = centroid.join(whole, "point").groupBy(cluster).agg(F.sqrt(F.avg(F.pow(F.col("centre") - F.col("all"), 2))).alias("distinctiveness"))
     return inner.join(outer, cluster)
 
 
@@ -83,10 +87,10 @@ def shape(units: DataFrame, cluster: str, unit: str, vector: str) -> DataFrame:
 def feature_statistics(units: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:
     """Mean, median, deviation, extremes and quartiles of each feature in each cluster, as long rows."""
     rows = units.select(cluster, *[F.col(f).cast("double").alias(f) for f in features]).unpivot([cluster], list(features), "feature", "value")
-    made = rows.groupBy(cluster, "feature").agg(
-        F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q")
-    )
-    return made.withColumn("q1", F.col("q")[0]).withColumn("q3", F.col("q")[1]).drop("q")
+    made = rows.groupBy(cluster, "feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    ranks = quantiles(rows, [cluster, "feature"], "value", (0.25, 0.5, 0.75)).withColumnsRenamed({cluster: "__cluster", "feature": "__feature"})
+    met = made.join(ranks, F.col(cluster).eqNullSafe(F.col("__cluster")) & (F.col("feature") == F.col("__feature")), "left")
+    return met.select(cluster, "feature", "mean", F.col("q")[1].alias("median"), "std", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"))
 
 
 def medoids(units: DataFrame, cluster: str, unit: str, vector: str) -> DataFrame:
@@ -98,11 +102,8 @@ def medoids(units: DataFrame, cluster: str, unit: str, vector: str) -> DataFrame
     pairs are formed. Ties go to the first unit.
     """
     rows = points(units.withColumn(vector, F.array_sort(F.col(vector))), cluster, unit, vector)
-    at = W.partitionBy(cluster, "point").orderBy("value", unit)
-    below = at.rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy(cluster, "point")
-    n, s = F.count("*").over(whole), F.sum("value").over(whole)
-    k, sk = F.row_number().over(at), F.sum("value").over(below)
+    rows = running(rows, [cluster, "point"], ["value", unit], {"k": F.lit(1).cast("long"), "sk": "value"}, totals={"k": "n", "sk": "s"})
+    n, s, k, sk = (F.col(c) for c in ("n", "s", "k", "sk"))
     away = F.col("value") * k - sk + (s - sk) - F.col("value") * (n - k)
     per_unit = rows.withColumn("away", away).groupBy(cluster, unit).agg(F.sum("away").alias("total"), F.count("*").alias("points"))
     best = first_by(per_unit.withColumn("total", F.round(F.col("total") / F.col("points"), 9)), [cluster], ["total", unit])

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from voltloom.functions.values import finite, hour_ending, hour_start, ratio, total, weighted_mean
 from voltloom.operators.frames import domain, first_by
+from voltloom.operators.ordering import quantiles, running
 
 UNIT = ["resource_type", "resource_name"]
 CELL = [*UNIT, "ts"]
-#: Ranges of price that share a running sum.
-PRICE_RANGES = 4_095
 
 
 def assemble(mw: DataFrame, price: DataFrame, hsl: DataFrame, bp: DataFrame | None = None) -> DataFrame:
@@ -110,15 +109,8 @@ def marginal_unit(curves: DataFrame, keys: Sequence[str] = ("resource_type",), *
     steps = steps.withColumn("until", F.sum("step_mw").over(upto)).join(base, keys).filter(F.col("until") > F.col("total_bp") + tolerance)
     target = first_by(steps, keys, ["step"]).select(*keys, "step", "total_bp", (F.col("until") - F.col("step_mw")).alias("before_step"))
     rows = curves.join(target, [*keys, "step"]).filter("mw is not null and price is not null")
-    # a running sum in two levels, so that no task orders all rows of a type: sums of price ranges, then inside each
-    ends = rows.groupBy(*keys).agg(F.min("price").alias("__a"), F.max("price").alias("__b"))
-    spread = F.col("__b") - F.col("__a")
-    rows = rows.join(ends, keys).withColumn("__part", F.when(spread > 0, F.floor((F.col("price") - F.col("__a")) / spread * PRICE_RANGES)).otherwise(0).cast("int"))
-    ranges = rows.groupBy(*keys, "__part").agg(F.sum("mw").alias("__mw"))
-    below = F.sum("__mw").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.join(ranges.withColumn("__below", F.coalesce(below, F.lit(0))).drop("__mw"), [*keys, "__part"])
-    merit = W.partitionBy(*keys, "__part").orderBy("price", "resource_name", "ts").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("cumulative", F.col("before_step") + F.col("__below") + F.sum("mw").over(merit)).filter(F.col("cumulative") > F.col("total_bp") + tolerance)
+    rows = running(rows, keys, ["price", "resource_name", "ts"], {"cumulative": "mw"})
+    rows = rows.withColumn("cumulative", F.col("before_step") + F.col("cumulative")).filter(F.col("cumulative") > F.col("total_bp") + tolerance)
     extra = [c for c in ("resource_name", "ts") if c not in keys]
     kept = ["total_bp", "step", *extra, "price", "mw", "cumulative"]
     found = rows.groupBy(*keys).agg(F.min_by(F.struct(*kept), F.struct("cumulative", "price", "resource_name", "ts")).alias("__s")).select(*keys, "__s.*")
@@ -134,7 +126,7 @@ def hourly_supply(curves: DataFrame) -> DataFrame:
 
 def price_quartiles(curves: DataFrame, *, least: int = 5) -> DataFrame:
     """Exact quartiles of price by step and type with enough values."""
-    made = curves.groupBy("resource_type", "step").agg(F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("price").alias("n"))
+    made = quantiles(curves, ["resource_type", "step"], "price", (0.25, 0.5, 0.75))
     return made.filter(F.col("n") >= least).select("resource_type", "step", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "n")
 
 
@@ -147,8 +139,9 @@ def normalised_levels(curves: DataFrame) -> DataFrame:
     top = F.greatest(F.max("mw").over(W.partitionBy(*CELL)), "hsl", "bp")
     rows = curves.withColumn("top", F.when(top > 0, top)).withColumns({f"n_{c}": ratio(c, "top") for c in ("mw", "hsl", "bp")})
     scale = rows.groupBy(*CELL).agg(F.max("top").alias("top")).groupBy(*UNIT).agg(F.avg("top").alias("top")).groupBy("resource_type").agg(F.sum("top").alias("scale"))
-    quarter = F.percentile("n_mw", F.array(F.lit(0.25), F.lit(0.75)))
-    made = rows.groupBy("resource_type", "step").agg(F.avg("n_mw").alias("mean"), quarter.alias("q"), F.avg("n_hsl").alias("hsl"), F.avg("n_bp").alias("bp")).join(F.broadcast(scale), "resource_type")
+    quarters = quantiles(rows, ["resource_type", "step"], "n_mw", (0.25, 0.75))
+    made = rows.groupBy("resource_type", "step").agg(F.avg("n_mw").alias("mean"), F.avg("n_hsl").alias("hsl"), F.avg("n_bp").alias("bp"))
+    made = made.join(quarters, ["resource_type", "step"], "left").join(scale, "resource_type")
     return made.select("resource_type", "step", *[(c * F.col("scale")).alias(n) for n, c in (("mean", F.col("mean")), ("q25", F.col("q")[0]), ("q75", F.col("q")[1]), ("hsl", F.col("hsl")), ("bp", F.col("bp")))])
 
 

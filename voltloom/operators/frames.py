@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltloom.functions.values import col, number
+from voltloom.operators.ordering import numbered, quantiles
 
 
 def resolve_columns(df: DataFrame, wanted: dict[str, Sequence[str]], *, mode: str = "exact") -> DataFrame:
@@ -101,7 +102,7 @@ def complete(df: DataFrame, domains: Sequence[DataFrame], fill: dict[str, object
     """Rows for every combination of the (small) domains, missing values filled."""
     grid = domains[0]
     for d in domains[1:]:
-        grid = grid.crossJoin(F.broadcast(d))
+        grid = grid.crossJoin(d)
     return grid.join(df, grid.columns, "left").fillna(fill)
 
 
@@ -139,14 +140,29 @@ def look_up(df: DataFrame, dimension: DataFrame, key: str, value: str, default:
     return df.join(dimension.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
-def checked_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", *, validate: str = "many_to_one") -> DataFrame:
-    """A join that raises where a side that must have unique keys has not; finding out is a job of its own."""
-    sides = {"one_to_one": (left, right), "many_to_one": (right,), "one_to_many": (left,)}[validate]
-    for side in sides:
-        twice = side.groupBy(*keys).count().filter("count > 1").head()
-        if twice is not None:
-            raise ValueError(f"keys are not unique ({validate}): {twice.asDict()}")
-    return left.join(right, list(keys), how)
+def unique_on(df: DataFrame, keys: Sequence[str], what: str = "keys") -> DataFrame:
+    """``df``, which fails when it is read if a key occurs twice; rows without a key (null) may repeat."""
+    known = F.lit(True)
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
+    error = F.raise_error(F.concat(F.lit(f"{what} are not unique: "), F.to_json(F.struct(*keys)))).cast("boolean")
+    return df.withColumn("__n", n).filter(F.when(known & (F.col("__n") > 1), error).otherwise(True)).drop("__n")
+
+
+def checked_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", *, validate: str = "many_to_one", indicator: str | None = None) -> DataFrame:
+    """A join that fails where a side that must have unique keys has not; the check runs inside the join.
+
+    ``indicator`` names a column that says where a row comes from: ``both``,
+    ``left_only`` or ``right_only``.
+    """
+    once = {"one_to_one": (True, True), "many_to_one": (False, True), "one_to_many": (True, False), "many_to_many": (False, False)}[validate]
+    left, right = (unique_on(df, keys, f"{side} keys ({validate})") if check else df for df, check, side in zip((left, right), once, ("left", "right"), strict=True))
+    if indicator is None:
+        return left.join(right, list(keys), how)
+    met = left.withColumn("__left", F.lit(True)).join(right.withColumn("__right", F.lit(True)), list(keys), how)
+    where = F.when(F.col("__left") & F.col("__right"), "both").when(F.col("__left"), "left_only").otherwise("right_only")
+    return met.withColumn(indicator, where).drop("__left", "__right")
 
 
 def outer_wide(df: DataFrame, ts: str, name: str, value: str, names: Sequence[str]) -> DataFrame:
@@ -162,12 +178,19 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None = No
     return df.unpivot(list(ids), values, name, value).filter(F.col(value).isNotNull())
 
 
-def distinct_join(value: str | Column, order: str | Column, separator: str = " | ", limit: int | None = None) -> Column:
-    """Aggregate: distinct non-blank texts in the order of their first row."""
-    text = F.trim(col(value).cast("string"))
-    rows = F.array_sort(F.collect_list(F.when(text != "", F.struct(col(order).alias("o"), text.alias("v")))))
-    texts = F.array_distinct(F.transform(rows, lambda r: r["v"]))
-    return F.array_join(F.slice(texts, 1, limit) if limit else texts, separator)
+def distinct_texts(df: DataFrame, keys: Sequence[str], value: str | Column, order: str | Column, out: str, *, separator: str = " | ", limit: int | None = None) -> DataFrame:
+    """For each key its distinct non-blank texts, joined in the order of their first row; the first ``limit`` of them.
+
+    A text is brought down to its first row before the shuffle, and with a limit
+    a key keeps that many texts at most, so that no group's rows are gathered.
+    Keys without a text have an empty one.
+    """
+    rows = df.select(*keys, F.trim(col(value).cast("string")).alias("__text"), col(order).alias("__order"))
+    rows = rows.withColumn("__text", F.nullif("__text", F.lit(""))).groupBy(*keys, "__text").agg(F.min("__order").alias("__order"))
+    if limit:
+        rows = top_k(rows, keys, [F.col("__text").isNull().cast("int"), F.col("__order"), F.col("__text")], limit, "__n")
+    listed = F.array_sort(F.collect_list(F.when(F.col("__text").isNotNull(), F.struct("__order", "__text"))))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda r: r["__text"]), separator).alias(out))
 
 
 def metric_table(df: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
@@ -181,12 +204,13 @@ def value_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Counts in equal bins whose width is the smaller of the Freedman-Diaconis and Sturges widths."""
-    quarter = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    stats = df.groupBy(*keys).agg(F.min(value).alias("__a"), F.max(value).alias("__b"), F.count(value).alias("__n"), quarter.alias("__q"))
+    stats = df.groupBy(*keys).agg(F.min(value).alias("__a"), F.max(value).alias("__b"))
+    quarters = quantiles(df, keys, value, (0.25, 0.75), "__q", "__n")
+    stats = stats.join(quarters, list(keys)) if keys else stats.crossJoin(F.broadcast(quarters))
     spread = F.col("__b") - F.col("__a")
     sturges, robust = spread / (F.log2("__n") + 1), 2 * (F.col("__q")[1] - F.col("__q")[0]) / F.cbrt("__n")
     stats = stats.withColumn("__bins", F.when(spread <= 0, 1).otherwise(F.ceil(spread / F.when(robust > 0, F.least(sturges, robust)).otherwise(sturges))).cast("int"))
-    rows = df.join(F.broadcast(stats), list(keys)) if keys else df.crossJoin(F.broadcast(stats))
+    rows = df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))
     position = F.when(spread <= 0, 1).otherwise(F.least(F.floor((F.col(value) - F.col("__a")) / spread * F.col("__bins")) + 1, F.col("__bins"))).cast("int")
     rows = rows.filter(F.col(value).isNotNull()).withColumn("bin", position)
     step = spread / F.col("__bins")
@@ -195,19 +219,8 @@ def histogram(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def duration_curve(df: DataFrame, value: str, ties: Sequence[str]) -> DataFrame:
-    """Rows ranked from the largest value down, without one task ranking all.
-
-    Ranges of the value are counted first; a row's rank is the count of the
-    ranges above it and its place in its own.
-    """
-    low_high = df.agg(F.min(value).alias("__a"), F.max(value).alias("__b"))
-    rows = df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(low_high))
-    spread = F.col("__b") - F.col("__a")
-    rows = rows.withColumn("__part", F.when(spread > 0, F.floor((F.col("__b") - F.col(value)) / spread * 4095)).otherwise(0).cast("int")).drop("__a", "__b")
-    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    inside = W.partitionBy("__part").orderBy(F.desc(value), *ties)
-    return rows.join(F.broadcast(before), "__part").withColumn("position", F.col("__before") + F.row_number().over(inside)).drop("__part", "__before")
+    """Rows ranked from the largest value down, without one task ranking all; rows without a value are left out."""
+    return numbered(df.filter(F.col(value).isNotNull()), [], [F.desc(value), *ties])
 
 
 def reservoir(df: DataFrame, keys: Sequence[str], k: int, *, seed: int = 42, identity: Sequence[str] = ()) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from voltloom.functions import names
 from voltloom.functions.similarity import gestalt, gestalt_ratio, token_set_ratio
 from voltloom.functions.values import band, first_rule
-from voltloom.operators.frames import complete, distinct_join, first_by, look_up, shares, top_k, with_total
+from voltloom.operators.frames import complete, distinct_texts, first_by, look_up, shares, top_k, with_total
+from voltloom.operators.ordering import numbered
+from voltloom.sources.folders import Workspace
 
 #: Alternatives that a decision lists at most (fixed value).
 ALTERNATIVES = 5
@@ -155,11 +157,10 @@ def decide(found: DataFrame, key: Sequence[str], name: str, *, score: str = "sco
     real = found.filter(F.col(name).isNotNull() & (F.col(name).cast("string") != ""))
     w = W.partitionBy(*key)
     ranked = real.withColumn("__n", F.row_number().over(w.orderBy(*order))).withColumn("__top", F.max(score).over(w))
-    facts = ranked.groupBy(*key).agg(
-        F.countDistinct(F.when(F.col(score) == F.col("__top"), F.col(name))).alias("__best"), F.countDistinct(name).alias("candidate_count"), distinct_join(name, "__n", "\n").alias("__names")
-    )
-    listed = F.slice(F.split("__names", "\n"), 2, ALTERNATIVES)
-    facts = facts.withColumns({"status": F.when(F.col("__best") > 1, "ambiguous").otherwise("matched"), "alternatives": F.array_join(listed, " | ")}).drop("__best", "__names")
+    facts = ranked.groupBy(*key).agg(F.countDistinct(F.when(F.col(score) == F.col("__top"), F.col(name))).alias("__best"), F.countDistinct(name).alias("candidate_count"))
+    # the first name is the best candidate's own; the next few are the alternatives
+    listed = distinct_texts(ranked, key, name, "__n", "__names", separator="\n", limit=ALTERNATIVES + 1)
+    facts = facts.join(listed, list(key)).withColumns({"status": F.when(F.col("__best") > 1, "ambiguous").otherwise("matched"), "alternatives": F.array_join(F.slice(F.split("__names", "\n"), 2, ALTERNATIVES), " | ")}).drop("__best", "__names")
     return ranked.filter("__n = 1").drop("__n", "__top").join(facts, list(key))
 
 
@@ -242,45 +243,69 @@ def map_units(records: DataFrame, units: DataFrame, *, manual: DataFrame, other:
     return {"tracker": tracker, "review": to_review, "coverage": shares(coverage, [], "records")}
 
 
-def unit_pair_score(left: dict, right: dict) -> int:
-    """Points of a pair of units: shared tokens 80, equal codes 120, equal fuels 15, similarity up to 20, capacity 10 or 5."""
-    points = 80 * bool(set(left["tokens"]) & set(right["tokens"])) + 120 * bool(left["code_key"] and left["code_key"] == right["name_key"])
-    points += 15 * bool(left["fuel"] and left["fuel"] == right["fuel"]) + int(20 * gestalt(left["code"], right["name"]))
-    if left["capacity"] and left["capacity"] > 0 and right["base"] is not None and right["base"] == right["base"]:
-        gap = abs(left["capacity"] - right["base"]) / left["capacity"]
-        points += 10 if gap <= 0.10 else 5 if gap <= 0.25 else 0
-    return points
+def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
+    """The pairs a greedy pass takes within each group: by descending score, then left, then right, each side once.
+
+    ``pairs`` holds a pair once; scores of zero and less and nulls take no part. Works in
+    rounds over all groups at once: where two are each other's best (in that
+    order), the pass takes them whatever else happens. Ties would make long
+    chains of rounds; so where a set of lefts has the very same rights on top,
+    and those rights the very same lefts, the pass pairs them off in order, and
+    all of them are taken in one round. A round drops what it has settled; every
+    round settles each group's first pair at least.
+    """
+    space = Workspace(pairs.sparkSession, "greedy")
+    names_ = [group, left, right, score]
+    open_ = space.settle(pairs.select(*names_).dropna().filter(F.col(score) > 0), "open")
+    taken = None
+    while True:
+
+        def on_top(side: str, other: str, prefix: str) -> DataFrame:
+            """Pairs of the best score of ``side``, with that side's first partner and a fingerprint of all."""
+            w = W.partitionBy(group, side)
+            best = open_.withColumn("__top", F.max(score).over(w)).filter(F.col(score) == F.col("__top")).drop("__top")
+            mark = F.sum(F.xxhash64(other).cast("decimal(38,0)")).over(w)
+            return best.withColumns({f"__{prefix}first": F.min(other).over(w), f"__{prefix}n": F.count("*").over(w), f"__{prefix}mark": mark})
+
+        both = on_top(left, right, "l").join(on_top(right, left, "r").drop(score), [group, left, right])
+        both = space.settle(both, "top")
+        mutual = both.filter((F.col("__lfirst") == F.col(right)) & (F.col("__rfirst") == F.col(left))).select(*names_)
+        block = [group, score, "__ln", "__lmark", "__rn", "__rmark"]
+        closed = both.groupBy(*block).agg(F.count("*").alias("__pairs")).filter((F.col("__pairs") == F.col("__ln") * F.col("__rn")) & (F.col("__pairs") > 1)).drop("__pairs")
+        whole = both.join(closed, block)
+        sides = [whole.select(*block, side).distinct().withColumn("__k", F.row_number().over(W.partitionBy(*block).orderBy(side))) for side in (left, right)]
+        paired = sides[0].join(sides[1], [*block, "__k"]).select(*names_)
+        fixed = space.settle(mutual.union(paired).distinct(), "fixed")
+        taken = fixed if taken is None else taken.union(fixed)
+        rest = open_.join(fixed.select(group, left), [group, left], "left_anti").join(fixed.select(group, right), [group, right], "left_anti")
+        before, open_ = open_, space.settle(rest, "open")
+        space.drop(before, both)
+        if open_.isEmpty():
+            return taken
 
 
 def assign_one_to_one(pairs: DataFrame, plant: str, left: str, right: str, score: str, base: str) -> DataFrame:
     """Assign units within each plant: best pairs first, each side once; what is left gets the largest base points.
 
-    ``pairs`` holds every (left, right) of a plant with its score and the right
-    side's base point. Where more left than right units remain, the largest base
-    point is used again for all of them. A plant is small, so one task sees it.
+    ``pairs`` holds every (left, right) of a plant once, with its score and the
+    right side's base point. Where more left than right units remain, the largest
+    base point is used again for all of them; else each takes the next largest
+    that is free. Ties go to the smaller left and right, ties of the base point
+    to the larger right, missing base points last. No plant meets in one task.
     """
-    kinds = dict(pairs.dtypes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, left, right], ascending=[False, True, True], kind="stable")
-        points = {(a, b): s for a, b, s in zip(rows[left], rows[right], rows[score], strict=True)}
-        done: dict = {}
-        taken: set = set()
-        for (a, b), s in points.items():
-            if s > 0 and a not in done and b not in taken:
-                done[a] = (b, "token", s)
-                taken.add(b)
-        rest = sorted(set(rows[left]) - set(done))
-        large = rows.drop_duplicates(right).sort_values([base, right], ascending=[False, False], na_position="last")[right].tolist()
-        free = [b for b in large if b not in taken]
-        again = len(rest) > len(free)
-        for k, a in enumerate(rest):
-            b = large[0] if again else free[k]
-            done[a] = (b, "highest_basepoint_reuse" if again else "highest_basepoint_unit", points[a, b])
-        plant_value = rows[plant].iloc[0]
-        return pd.DataFrame([(plant_value, a, b, m, s) for a, (b, m, s) in sorted(done.items())], columns=[plant, left, right, "method", "score"])
-
-    return pairs.groupBy(plant).applyInPandas(run, f"`{plant}` {kinds[plant]}, `{left}` {kinds[left]}, `{right}` {kinds[right]}, method string, score {kinds[score]}")
+    pairs = Workspace(pairs.sparkSession, "assignment").settle(pairs.select(plant, left, right, score, base), "pairs")
+    done = greedy_pairs(pairs, plant, left, right, score)
+    lefts, rights = pairs.select(plant, left).distinct(), pairs.groupBy(plant, right).agg(F.max(base).alias("__base"))
+    largest = [F.desc_nulls_last("__base"), F.desc(right)]
+    rest = numbered(lefts.join(done.select(plant, left), [plant, left], "left_anti"), [plant], [left], "__k")
+    free = numbered(rights.join(done.select(plant, right), [plant, right], "left_anti"), [plant], largest, "__k")
+    counts = rest.groupBy(plant).agg(F.count("*").alias("__rest")).join(free.groupBy(plant).agg(F.count("*").alias("__free")), plant, "left")
+    counts = counts.join(rights.groupBy(plant).agg(F.max(F.struct(F.col("__base").isNotNull(), "__base", right)).alias("__best")), plant)
+    again = F.col("__rest") > F.coalesce("__free", F.lit(0))
+    late = rest.join(counts, plant).join(free.select(plant, "__k", F.col(right).alias("__next")), [plant, "__k"], "left")
+    late = late.select(plant, left, F.when(again, F.col(f"__best.{right}")).otherwise(F.col("__next")).alias(right), F.when(again, "highest_basepoint_reuse").otherwise("highest_basepoint_unit").alias("method"))
+    late = late.join(pairs.select(plant, left, right, F.col(score).alias("score")), [plant, left, right])
+    return done.select(plant, left, right, F.lit("token").alias("method"), F.col(score).alias("score")).unionByName(late)
 
 
 def prefer_storage(matches: DataFrame, resources: DataFrame, *, plant: str, name: str, kind: str, score: str, base: str, old: str = "PWRSTR", new: str = "ESR") -> DataFrame:

@@ -15,6 +15,7 @@ from voltloom.functions.values import first_rule
 from voltloom.operators import linkage
 from voltloom.operators.frames import first_by, top_k
 from voltloom.operators.linkage import Rule
+from voltloom.sources.folders import Workspace
 
 # What each way of meeting is worth, and from which similarity texts are close.
 STATION_NODE = {"exact": 180, "key": 170, "substring": 150, "prefix": 145, "reverse_prefix": 140, "family": 135, "fuzzy": 125}
@@ -189,12 +190,35 @@ def _by_registry(m: DataFrame, r: DataFrame, matches: DataFrame) -> DataFrame:
     return made.dropDuplicates(["unit_id", "method", "resource_name"])
 
 
+def choose_plants(units: DataFrame, resources: DataFrame) -> DataFrame:
+    """``s_plant, r_plant, plant_method, plant_score``: the plant of resources that each group of units belongs to.
+
+    Candidates are the plant of the same descriptor (180 points) and the three
+    closest ones (145). A fuel that both groups have adds 10, and each unit whose
+    code is the name of one of the plant's resources 30. The best total wins;
+    ties go to the same descriptor, then to the closest. Group pairs are scored by
+    what their members share, so no unit meets every resource.
+    """
+    same = units.select("s_plant").distinct().join(resources.select("r_plant").distinct(), F.col("s_plant") == F.col("r_plant")).select("s_plant", "r_plant", F.lit("plant_descriptor_exact").alias("plant_method"), F.lit(180).alias("points"), F.lit(1.0).alias("ratio"))
+    close = linkage.close_matches(units, resources, "s_plant", "r_plant", least=0.88, top=3).filter("__a <> __b")
+    met = same.unionByName(close.select(F.col("__a").alias("s_plant"), F.col("__b").alias("r_plant"), F.lit("plant_descriptor_fuzzy").alias("plant_method"), F.lit(145).alias("points"), "ratio"))
+    ours, theirs = (df.select(plant, F.col(fuel).alias("fuel")).filter("fuel <> ''").distinct() for df, plant, fuel in ((units, "s_plant", "s_fuel"), (resources, "r_plant", "r_fuel")))
+    fuels = met.select("s_plant", "r_plant").join(ours, "s_plant").join(theirs, ["r_plant", "fuel"]).select("s_plant", "r_plant").distinct().withColumn("shared", F.lit(10))
+    named = units.filter("s_code_key <> ''").join(resources.select("r_plant", F.col("r_key").alias("s_code_key")).distinct(), "s_code_key").groupBy("s_plant", "r_plant").agg(F.countDistinct("unit_id").alias("named"))
+    pair = ["s_plant", "r_plant"]
+    scored = met.join(fuels, pair, "left").join(named, pair, "left").withColumn("plant_score", (F.col("points") + F.coalesce("shared", F.lit(0)) + 30 * F.coalesce("named", F.lit(0))).cast("int"))
+    best = top_k(scored, ["s_plant"], [F.desc("plant_score"), F.desc("points"), F.desc("ratio"), F.desc("r_plant")], 1, "__r")
+    return Workspace(units.sparkSession, "plants").settle(best.select(*pair, "plant_method", "plant_score"), "chosen")
+
+
 def match_registry_units(registry: DataFrame, resources: DataFrame) -> DataFrame:
     """Registry units (``unit_id, unit_name, codes, fuel, capacity``) to resources (``resource_name, resource_type, avg_base_point``).
 
-    Strong direct matches stand; other units are matched one to one within the
-    plant of the same (or closest) descriptor; what is left takes its best
-    candidate. ``codes`` is an array, the unit code first.
+    Strong direct matches stand; the other units of a plant descriptor together
+    choose a plant of resources (``choose_plants``) and are matched one to one
+    within it, by a method of the form ``plant_descriptor_exact:...`` or
+    ``plant_descriptor_fuzzy:...``; what is left takes its best candidate.
+    ``codes`` is an array, the unit code first.
     """
     code = F.coalesce(F.get("codes", F.lit(0)), F.lit(""))
     s = registry.select("unit_id", names.clean("unit_name").alias("s_name"), names.key("unit_name").alias("s_name_key"), names.clean(code).alias("s_code"), names.key(code).alias("s_code_key"), F.transform("codes", names.clean).alias("s_codes"), F.transform("codes", names.key).alias("s_keys"), F.transform("codes", names.family).alias("s_families"), names.fuel("fuel", names.RESOURCE_FUELS).alias("s_fuel"), F.col("capacity").cast("double").alias("s_capacity"), F.array_distinct(F.concat(names.unit_tokens("unit_name"), names.unit_tokens(code))).alias("s_tokens"), names.key(names.plant_and_unit(F.when(code != "", code).otherwise(F.col("unit_name")))["plant"]).alias("s_plant"))
@@ -207,18 +231,16 @@ def match_registry_units(registry: DataFrame, resources: DataFrame) -> DataFrame
     same_fuel = (F.col("s_fuel") != "") & (F.col("s_fuel") == F.col("r_fuel"))
     bonus = F.when(same_fuel, 12).otherwise(0) + F.when(shared, 15).otherwise(0) + linkage.relative_bonus("s_capacity", "r_base") + linkage.similarity_bonus("s_code", "r_name", 18) + linkage.similarity_bonus("s_name", "r_name", 10)
     found = linkage.candidates(s, r, rules).select("unit_id", "resource_name", "method", (F.col("score") + bonus).alias("score"))
-    best = linkage.decide(found, ["unit_id"], "resource_name")
+    best = Workspace(registry.sparkSession, "registry").settle(linkage.decide(found, ["unit_id"], "resource_name"), "best")
     strong = best.filter(F.col("method").endswith("_exact") | ((F.col("method") == "unit_name_strong_fuzzy") & (F.col("score") >= 205)))
-    # the plant of the same descriptor, or else the best of the closest three
-    same = s.select("unit_id", "s_plant").join(r.select("r_plant").distinct(), F.col("s_plant") == F.col("r_plant")).filter("s_plant <> ''").select("unit_id", "s_plant", "r_plant", F.lit(180).alias("plant_score"))
-    close = linkage.close_matches(s, r, "s_plant", "r_plant", least=0.88, top=3).filter("__a <> __b")
-    near = s.select("unit_id", "s_plant").join(close, F.col("s_plant") == F.col("__a")).select("unit_id", "s_plant", F.col("__b").alias("r_plant"), F.lit(145).alias("plant_score"))
-    plants = top_k(same.unionByName(near), ["unit_id"], [F.desc("plant_score"), F.asc("r_plant")], 1, "__r").drop("__r").join(strong.select("unit_id"), "unit_id", "left_anti")
-    pairs = plants.join(s.drop("s_plant"), "unit_id").join(r, "r_plant")
+    # units without a strong match look for a plant together, those of one descriptor as one group
+    asking = s.join(strong.select("unit_id"), "unit_id", "left_anti").filter("s_plant <> ''")
+    plants = choose_plants(asking, r)
+    pairs = asking.join(plants, "s_plant").join(r, "r_plant")
     points = F.when(shared, 80).otherwise(0) + F.when((F.col("s_code_key") != "") & (F.col("s_code_key") == F.col("r_key")), 120).otherwise(0) + F.when(same_fuel, 15).otherwise(0) + linkage.similarity_bonus("s_code", "r_name", 20) + linkage.relative_bonus("s_capacity", "r_base", ((0.10, 10), (0.25, 5)))
-    pairs = pairs.select(F.concat_ws("|", "s_plant", "r_plant").alias("plant"), "unit_id", "resource_name", points.alias("points"), F.col("r_base").alias("base"), "plant_score")
-    assigned = linkage.assign_one_to_one(pairs.drop("plant_score"), "plant", "unit_id", "resource_name", "points", "base").join(plants.select("unit_id", "plant_score"), "unit_id")
-    assigned = assigned.select("unit_id", "resource_name", F.concat(F.lit("plant:"), "method").alias("method"), (F.col("score") + F.col("plant_score")).alias("score"), F.lit("matched").alias("status"))
+    pairs = pairs.select(F.col("s_plant").alias("plant"), "unit_id", "resource_name", points.alias("points"), F.col("r_base").alias("base"))
+    assigned = linkage.assign_one_to_one(pairs, "plant", "unit_id", "resource_name", "points", "base").join(plants, F.col("plant") == F.col("s_plant"))
+    assigned = assigned.select("unit_id", "resource_name", F.concat_ws(":", "plant_method", F.when(F.col("method") == "token", "distinct_unit_token_match").otherwise(F.col("method"))).alias("method"), (F.col("score") + F.col("plant_score")).alias("score"), F.lit("matched").alias("status"))
     columns = ["unit_id", "resource_name", "method", "score", "status"]
     rest = best.join(strong.select("unit_id"), "unit_id", "left_anti").join(assigned.select("unit_id"), "unit_id", "left_anti")
     made = strong.select(*columns).unionByName(assigned.select(*columns)).unionByName(rest.select(*columns))

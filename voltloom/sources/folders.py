@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +28,34 @@ def new_folder(spark: SparkSession, label: str) -> str:
     files.mkdirs(path)
     files.deleteOnExit(path)
     return name
+
+
+class Workspace:
+    """The written tables of one operator call, under one folder of their own.
+
+    A table that later jobs read more than once is written and read back, which
+    cuts its lineage on storage that every executor reaches. Results are lazy, so
+    their tables must outlive the call; the folder goes when the application
+    ends, and tables that nothing reads any more with ``drop``.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = new_folder(spark, name)
+        self._n = 0
+
+    def settle(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` and return the written table."""
+        self._n += 1
+        name = f"{self.root}/{self._n:03d}-{label}"
+        # hashes do not shrink, but zstd still helps ids and counts
+        df.write.option("compression", "zstd").parquet(name)
+        back = self.spark.read.schema(df.schema).parquet(name)
+        back._settled_at = name  # noqa: SLF001
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete settled tables nothing reads any more."""
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(table._settled_at)  # noqa: SLF001
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
