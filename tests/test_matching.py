@@ -114,3 +114,37 @@ def test_what_matching_leaves_behind(spark):
     codes = coverage.reference_codes(model, listed, status="status", code="code", name="Name", listed_code="unit_code", listed_name="unit_name", order="row")
     assert {r["Name"]: r["reference_code"] for r in codes.collect()} == {"m1": "Zeta-9", "m2": "", "m3": "Zeta-9", "m4": "CODE4"}
     assert [r["k"] for r in coverage.total_first(spark.createDataFrame([("b",), ("ALL",), ("a",)], "k string"), "k").collect()] == ["ALL", "a", "b"]
+
+
+def test_bounds_lose_no_close_text():
+    import difflib
+    import random
+
+    r = random.Random(3)
+    words = ["ALPHA", "BETA", "CEDAR", "CREEK", "WIND", "SOLAR", "RIDGE", "UNIT", "NORTH", "É"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 4))) + str(r.randint(0, 99)) for _ in range(120)] + ["", "A", "AAAA", "AAB"]
+    mine = ["".join(c for c in t if r.random() > 0.15) for t in texts[:60]]
+    for least in (0.6, 0.82, 0.94):
+        want = {(x, y) for x in mine for y in texts if x and y and difflib.SequenceMatcher(None, y, x).ratio() >= least}
+        assert {(x, y) for x, y, _ in linkage.close_texts([m for m in mine if m], [t for t in texts if t], least)} == want
+        best = {(x, y) for x in mine if x for y in difflib.get_close_matches(x, [t for t in texts if t], n=3, cutoff=least)}
+        assert {(x, y) for x, y, _ in linkage.close_texts(sorted({m for m in mine if m}), sorted({t for t in texts if t}), least, 3)} == best
+
+
+def test_few_pairs_reach_the_ratio(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from voltloom.functions import names
+    from voltloom.plans import catalog
+
+    part = catalog.table(spark, "/root/testdata/sf0.01", "part").select(names.clean("p_name").alias("t")).distinct()
+    texts = sorted(r["t"] for r in part.collect())
+    asked = []
+    monkeypatch.setattr(linkage, "gestalt", lambda a, b: asked.append(1) or 0.0)
+    list(linkage.close_texts(texts[:300], texts, 0.82))
+    assert len(asked) < 0.1 * 300 * len(texts)
+    monkeypatch.undo()
+    # bands meet all lengths within reach of the cutoff
+    left, right = (spark.createDataFrame([("x" * n,) for n in range(1, 40)], f"{c} string") for c in "ab")
+    got = {(len(r["__a"]), len(r["__b"])) for r in linkage._close_in_blocks(left, right, "a", "b", 0.82).filter(F.col("ratio") >= 0.82).collect()}
+    assert got == {(a, b) for a in range(1, 40) for b in range(1, 40) if 2 * min(a, b) / (a + b) >= 0.82}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from heapq import nlargest
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,8 +22,8 @@ from voltloom.sources.folders import Workspace
 
 #: Alternatives that a decision lists at most (fixed value).
 ALTERNATIVES = 5
-#: Texts of a block where whole lists are compared.
-BLOCK = 512
+#: Texts of a block where whole lists are compared, and the factor of length that a band of blocks spans.
+BLOCK, BAND = 512, 1.2
 
 
 @dataclass(frozen=True)
@@ -49,32 +50,75 @@ def prefixes(text: str | Column, sizes: Sequence[int] = (3, 4, 5, 6)) -> Column:
     return F.filter(F.array(*[F.when(F.length(t) >= n, F.substring(t, 1, n)) for n in sizes]), lambda x: x.isNotNull())
 
 
-def _close_in_blocks(left: DataFrame, right: DataFrame, left_text: str, right_text: str, least: float) -> DataFrame:
-    """All pairs ``__a, __b, ratio`` at or above the cutoff; no pair is left out but by a bound on its ratio."""
+def _masks(text: str) -> dict[str, int]:
+    """For every character the places where it stands, as bits."""
+    found: dict[str, int] = {}
+    for i, c in enumerate(text):
+        found[c] = found.get(c, 0) | 1 << i
+    return found
+
+
+def common_length(masks: dict[str, int], size: int, other: str) -> int:
+    """Length of the longest common subsequence of ``other`` and the text of ``size`` characters that the masks stand for."""
+    full = (1 << size) - 1
+    open_ = full
+    for c in other:
+        hit = open_ & masks.get(c, 0)
+        open_ = (open_ + hit | open_ - hit) & full
+    return size - open_.bit_count()
 
-    def listed(df: DataFrame, text: str, out: str) -> DataFrame:
-        texts = df.select(F.col(text).alias("__t")).filter("__t <> ''").distinct()
-        return texts.groupBy(F.pmod(F.xxhash64("__t"), F.lit(max(1, -(-texts.count() // BLOCK))))).agg(F.collect_list("__t").alias(out)).select(out)
 
-    def letters(texts: list[str]) -> np.ndarray:
-        return np.array([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64) for t in texts], np.int32)
+def letter_counts(texts: Sequence[str]) -> np.ndarray:
+    return np.array([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64) for t in texts], np.int32).reshape(-1, 64)
+
+
+def close_texts(mine: Sequence[str], others: Sequence[str], least: float, top: int | None = None, *, left_first: bool = False) -> Iterator[tuple[str, str, float]]:
+    """Pairs of the two lists whose ratio reaches ``least``; with ``top``, the best of each own text.
+
+    Matching blocks hold no more than the letters both texts have, and no more
+    than their longest common subsequence: pairs that these bounds rule out never
+    reach the ratio, and no other pair is left out.
+    """
+    held, size = letter_counts(others), np.array(list(map(len, others)))
+    for x, own in zip(mine, letter_counts(mine), strict=True):
+        masks, found = _masks(x), []
+        for k in np.flatnonzero(np.minimum(own, held).sum(axis=1) * 2 >= least * (len(x) + size) - 1e-6).tolist():
+            y = others[k]
+            if common_length(masks, len(x), y) * 2 >= least * (len(x) + len(y)) - 1e-6:
+                ratio = gestalt(x, y) if left_first else gestalt(y, x)
+                if ratio >= least:
+                    found.append((ratio, y))
+        if top is not None:
+            found = nlargest(top, found)
+        yield from ((x, y, ratio) for ratio, y in found)
+
+
+def _close_in_blocks(left: DataFrame, right: DataFrame, left_text: str, right_text: str, least: float, top: int | None = None, *, left_first: bool = False) -> DataFrame:
+    """Pairs ``__a, __b, ratio`` at or above the cutoff; no pair is left out but by a bound on its ratio.
+
+    Texts lie in blocks by bands of their length. Matching blocks are no longer
+    than the shorter text, so that a block only meets bands within the cutoff's
+    reach. A task keeps the ``top`` of each text, ties going to the text that
+    sorts last.
+    """
+    step = math.log(BAND)
+    reach = math.log(least / (2 - least))  # of the shorter to the longer length
+
+    def banded(df: DataFrame, text: str, out: str) -> DataFrame:
+        texts = df.select(F.col(text).alias("__t")).filter("__t <> ''").distinct().withColumn("__band", F.floor(F.log(F.length("__t").cast("double")) / F.lit(step) + 1e-9).cast("int"))
+        blocks = F.ceil(F.count("*").over(W.partitionBy("__band")) / F.lit(float(BLOCK)))
+        return texts.withColumn("__block", F.pmod(F.xxhash64("__t"), blocks)).groupBy("__band", "__block").agg(F.collect_list("__t").alias(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                mine, others = a.as_py(), b.as_py()
-                held, size = letters(others), np.array(list(map(len, others)))
-                found = []
-                for x, own in zip(mine, letters(mine), strict=True):
-                    # matching blocks cannot hold more than the letters both have
-                    for k in np.flatnonzero(np.minimum(own, held).sum(axis=1) * 2 >= least * (len(x) + size) - 1e-6):
-                        ratio = gestalt(others[k], x)
-                        if ratio >= least:
-                            found.append((x, others[k], ratio))
-                columns = zip(*found, strict=True) if found else ([], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["__a", "__b", "ratio"])
-
-    pairs = listed(left, left_text, "a").crossJoin(listed(right, right_text, "b"))
+                found = list(zip(*close_texts(a.as_py(), b.as_py(), least, top, left_first=left_first), strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["__a", "__b", "ratio"])
+
+    low = F.floor(F.col("__band") + F.lit(reach / step) - 1e-6).cast("int")
+    high = F.ceil(F.col("__band") + 1 - F.lit(reach / step) + 1e-6).cast("int")
+    asking = banded(left, left_text, "a").select("a", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)).alias("__band"))
+    pairs = asking.join(banded(right, right_text, "b").select("b", "__band"), "__band").select("a", "b")
     return pairs.repartition(max(1, pairs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, "__a string, __b string, ratio double")
 
 
@@ -87,7 +131,7 @@ def close_matches(left: DataFrame, right: DataFrame, left_text: str, right_text:
     ties go to the text that sorts last.
     """
     if block is None:
-        return top_k(_close_in_blocks(left, right, left_text, right_text, least), ["__a"], [F.desc("ratio"), F.desc("__b")], top).select("__a", "__b", "ratio")
+        return top_k(_close_in_blocks(left, right, left_text, right_text, least, top), ["__a"], [F.desc("ratio"), F.desc("__b")], top).select("__a", "__b", "ratio")
 
     def keyed(df: DataFrame, text: str, key: str, out: str) -> DataFrame:
         many = dict(df.dtypes)[key].startswith("array")
@@ -230,12 +274,23 @@ def map_units(records: DataFrame, units: DataFrame, *, manual: DataFrame, other:
     by_number = asked.select("name", "__base", F.explode("__numbers").alias("__number")).join(numbered, ["__base", "__number"])
     by_number = by_number.groupBy("name").agg(F.countDistinct("code").alias("__n"), F.min("code").alias("match")).filter("__n = 1").drop("__n")
 
-    def closest(corpus: DataFrame) -> DataFrame:
-        pairs = asked.select("name", "__label").crossJoin(corpus.select("code", F.col("__label").alias("__other")))
-        return top_k(pairs.withColumn("similarity", token_set_ratio("__label", "__other")), ["name"], [F.desc("similarity"), F.asc("code")], 1)
-
-    vetoed = closest(other).filter(F.col("similarity") >= veto).select("name").union(asked.join(other.select("__label").distinct(), "__label").select("name")).distinct()
-    near = closest(units).join(vetoed, "name", "left_anti")
+    def closest(corpus: DataFrame, least: float) -> DataFrame:
+        """The most similar unit of each record from ``least`` on, ties by code.
+
+        Texts with a common word meet by that word. Others are as similar as their
+        sorted words are, and those close enough come from the length bands.
+        """
+        mine, theirs = (df.select(c, F.col("__label").alias(t), F.array_distinct(F.split(F.trim("__label"), r"\s+")).alias(f"{t}w")) for df, c, t in ((asked, "name", "__a"), (corpus, "code", "__b")))
+        shared = mine.withColumn("__w", F.explode("__aw")).join(theirs.withColumn("__w", F.explode("__bw")), "__w").filter("__w <> ''").select("name", "code", "__a", "__b").distinct()
+        shared = shared.select("name", "code", token_set_ratio("__a", "__b").alias("similarity"))
+        in_order = [df.select(c, F.array_join(F.array_sort(f"{t}w"), " ").alias(f"{t}s"), f"{t}w") for df, c, t in ((mine, "name", "__a"), (theirs, "code", "__b"))]
+        near = _close_in_blocks(in_order[0], in_order[1], "__as", "__bs", least / 100, left_first=True)
+        apart = near.join(in_order[0], F.col("__a") == F.col("__as")).join(in_order[1], F.col("__b") == F.col("__bs")).filter(~F.arrays_overlap("__aw", "__bw"))
+        met = shared.union(apart.select("name", "code", (F.col("ratio") * 100).alias("similarity"))).filter(F.col("similarity") >= least)
+        return met.groupBy("name").agg(F.min_by(F.struct("code", "similarity"), F.struct(-F.col("similarity"), F.col("code"))).alias("__s")).select("name", "__s.*")
+
+    vetoed = closest(other, veto).select("name").union(asked.join(other.select("__label").distinct(), "__label").select("name")).distinct()
+    near = closest(units, min(review, auto)).join(vetoed, "name", "left_anti")
     tracker = waterfall(records, "name", [("manual", manual), ("exact_code", exact), ("exact_alias", alias), ("plant_and_number", by_number), ("similar", near.filter(F.col("similarity") >= auto).select("name", F.col("code").alias("match")))])
     tracker = tracker.join(vetoed.withColumn("vetoed", F.lit(True)), "name", "left").withColumn("vetoed", F.coalesce("vetoed", F.lit(False)))
     to_review = tracker.filter("stage = 'no_match'").join(near.filter((F.col("similarity") >= review) & (F.col("similarity") < auto)).select("name", "code", "similarity"), "name")
