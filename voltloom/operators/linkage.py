@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from voltloom.functions import names
 from voltloom.functions.similarity import gestalt, gestalt_ratio, token_set_ratio
 from voltloom.functions.values import band, first_rule
-from voltloom.operators.frames import complete, distinct_texts, first_by, look_up, shares, top_k, with_total
+from voltloom.operators.frames import complete, distinct_texts, look_up, shares, top_k, with_total
 from voltloom.operators.ordering import numbered
 from voltloom.sources.folders import Workspace
 
@@ -365,7 +365,7 @@ def assign_one_to_one(pairs: DataFrame, plant: str, left: str, right: str, score
 
 def prefer_storage(matches: DataFrame, resources: DataFrame, *, plant: str, name: str, kind: str, score: str, base: str, old: str = "PWRSTR", new: str = "ESR") -> DataFrame:
     """Replace a match of the old storage type by the plant's best resource of the new one, the old kept as alternative."""
-    best = first_by(resources.filter(F.col(kind) == new), [plant], [F.desc_nulls_last(score), F.desc_nulls_last(base), F.desc(name)]).select(plant, F.col(name).alias("__new"))
+    best = top_k(resources.filter(F.col(kind) == new), [plant], [F.desc_nulls_last(score), F.desc_nulls_last(base), F.desc(name)], 1).select(plant, F.col(name).alias("__new"))
     made = matches.join(best, plant, "left")
     swap = (F.col(kind) == old) & F.col("__new").isNotNull()
     return made.withColumns({"alternative": F.when(swap, F.col(name)), name: F.when(swap, F.col("__new")).otherwise(F.col(name)), kind: F.when(swap, F.lit(new)).otherwise(F.col(kind))}).drop("__new")

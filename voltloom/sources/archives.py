@@ -28,8 +28,50 @@ def decode(data: bytes) -> str:
 
 
 def delimiter_of(header: str) -> str:
-    """The first delimiter that parts the header, or a comma."""
-    return next((d for d in DELIMITERS if len(header.split(d)) > 1), ",")
+    """The first delimiter that parts the header outside quotes, or a comma."""
+    bare = re.sub(r'"(?:[^"]|"")*"', "", header)
+    return next((d for d in DELIMITERS if d in bare), ",")
+
+
+def ends_quoted(line: str, mark: str, quoted: bool = False) -> bool:
+    """Whether a line ends inside a quoted cell; ``quoted`` says whether it begins in one."""
+    at = 0
+    while True:
+        if not quoted:
+            if line.startswith('"', at):
+                quoted, at = True, at + 1
+                continue
+            at = line.find(mark, at) + 1
+            if at == 0:
+                return False
+        else:
+            at = line.find('"', at) + 1
+            if at == 0:
+                return True
+            if line.startswith('"', at):  # a doubled quote is one of the cell's own
+                at += 1
+                continue
+            quoted = False
+            at = line.find(mark, at) + 1
+            if at == 0:
+                return False
+
+
+def records(text: str) -> Iterator[tuple[str, str]]:
+    """Delimiter and text of every record: lines ended by LF or CRLF, taken together while a quoted cell is open."""
+    mark, held = "", []
+    for line in text.split("\n"):
+        line = line.removesuffix("\r")
+        if not mark and not held:
+            mark = delimiter_of(line) if line.count('"') % 2 == 0 else ""
+        quoted = ends_quoted(line, mark or ",", bool(held)) if held or '"' in line else False
+        held.append(line)
+        if not quoted:
+            record, held = "\n".join(held), []
+            mark = mark or delimiter_of(record)
+            yield mark, record
+    if held:
+        yield mark or ",", "\n".join(held)
 
 
 def members(data: bytes, name: str, pattern: str, low: int, high: int, depth: int = 1) -> Iterator[tuple[str, bytes]]:
@@ -50,13 +92,11 @@ def members(data: bytes, name: str, pattern: str, low: int, high: int, depth: in
 
 @F.udtf(returnType=T.StructType([T.StructField(n, t) for n, t in (("source", T.StringType()), ("line_no", T.IntegerType()), ("delimiter", T.StringType()), ("line", T.StringType()))]))
 class Unzip:
-    """Lines of matching members of an archive, empty lines left out."""
+    """Records of matching members of an archive, empty lines left out."""
 
     def eval(self, path: str, content: bytes, pattern: str, low: int, high: int) -> Iterator[tuple]:
         for name, data in members(bytes(content), path, pattern, low, high):
-            lines = decode(data).splitlines()
-            mark = delimiter_of(lines[0]) if lines else ","
-            for k, line in enumerate(lines):
+            for k, (mark, line) in enumerate(records(decode(data))):
                 if line.strip():
                     yield name, k, mark, line
 
@@ -81,7 +121,7 @@ def archived_lines(files: DataFrame, *, pattern: str = r"\.csv$", min_depth: int
 
 
 def csv_cells(line: str) -> F.Column:
-    """The cells of a CSV line; quoted ones may hold the delimiter and doubled quotes, but no line break."""
+    """The cells of a CSV record; quoted ones may hold the delimiter, doubled quotes and line breaks."""
     found = F.array().cast("array<string>")
     for mark in DELIMITERS:
         cell = re.escape(mark) + r'("(?:[^"]|"")*"|[^' + re.escape(mark) + "]*)"

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from voltloom.operators.frames import look_up, reorder, require
 from voltloom.operators.summaries import upsert
+from voltloom.sources.tables import dialects, read_csv
 
 
 def write(df: DataFrame, path: str, *, form: str = "parquet", by: Sequence[str] = (), mode: str = "overwrite", **options: str) -> None:
@@ -58,3 +60,44 @@ def observed(df: DataFrame, name: str, **counts: str) -> tuple[DataFrame, Observ
     """The table, and counts of rows for which conditions hold, known once it has been written; no pass of its own."""
     seen = Observation(name)
     return df.observe(seen, F.count("*").alias("rows"), *[F.count_if(F.expr(c)).alias(n) for n, c in counts.items()]), seen
+
+
+def required(df: DataFrame, name: str, columns: Sequence[str], *, blank: bool = False) -> tuple[DataFrame, Observation]:
+    """``require``, with the counts of ``rows`` and of rows that lack each column (``lacks_<n>``), known once it has been written."""
+    lacking = {f"lacks_{n}": f"`{c}` is null" + (f" or trim(cast(`{c}` as string)) = ''" if blank else "") for n, c in enumerate(columns)}
+    seen, counts = observed(df, name, **lacking)
+    return require(seen, columns, blank=blank), counts
+
+
+def amend_files(lookup: DataFrame, path: str, key: str, value: str, *, after: str | None = None, suffix: str = "", delimiter: str | None = None) -> int:
+    """Insert a looked-up column into each CSV file of a path; one file comes out for each that goes in.
+
+    The column stands behind ``after`` (by default the key); rows without a match
+    have an empty cell. Each file keeps its name (with ``suffix`` before the
+    ending), delimiter and order of rows. All files are written before the first
+    is swapped in, by renaming; a run that fails leaves the old ones. Returns the
+    number of files.
+    """
+    spark = lookup.sparkSession
+    once = lookup.select(key, value).groupBy(key).agg(F.min(value).alias(value))
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    written = []
+    for dialect, files in dialects(spark, path, delimiter=delimiter).items():
+        for file in files:
+            rows = read_csv(spark, file, delimiter=dialect.delimiter).withColumn("__row", F.monotonically_increasing_id())
+            rows = rows.drop(value) if value in dialect.columns else rows
+            made = reorder(look_up(rows, once, key, value, None).orderBy("__row").drop("__row").select(*[c for c in dialect.columns if c != value], value), after=(value, after or key))
+            folder, _, name = file.rpartition("/")
+            stem, dot, ending = name.rpartition(".")
+            target = f"{folder}/{stem}{suffix}{dot}{ending}" if dot else f"{folder}/{name}{suffix}"
+            aside = f"{folder}/.{name}.amending"
+            made.coalesce(1).write.mode("overwrite").option("header", True).option("sep", dialect.delimiter).option("emptyValue", "").csv(aside)
+            written.append((aside, target))
+    for aside, target in written:
+        files = fs_path(aside).getFileSystem(conf)
+        part = next(s.getPath() for s in files.listStatus(fs_path(aside)) if s.getPath().getName().startswith("part-"))
+        files.delete(fs_path(target), False)
+        files.rename(part, fs_path(target))
+        files.delete(fs_path(aside), True)
+    return len(written)

@@ -7,7 +7,10 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from itertools import islice
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -17,7 +20,7 @@ from pyspark.sql import types as T
 
 from voltloom.functions.values import timestamp
 from voltloom.operators.frames import resolve_columns
-from voltloom.sources.archives import DELIMITERS, csv_cells, decode
+from voltloom.sources.archives import csv_cells, decode, delimiter_of, ends_quoted
 
 #: Rows of a parsed file that a task hands on at once.
 SLICE = 2_000
@@ -25,20 +28,138 @@ SLICE = 2_000
 PRICE_COLUMNS = "DATETIME DAYOFWEEK OBJECTID OBJECTNAME DATATYPE AGG_LEVEL MINVALUE MAXVALUE AVGVALUE TIMEZONE COUNTVALUE SUMVALUE STDDEVVALUE HOURENDING MARKETDAY PEAKTYPE MONTH YEAR".split()
 
 
+@dataclass(frozen=True)
+class Dialect:
+    """How a file is written: its delimiter and its columns in order."""
+
+    delimiter: str
+    columns: tuple[str, ...]
+
+
+def first_records(spark: SparkSession, path: str, n: int, *, delimiter: str | None = None, encoding: str = "UTF-8") -> tuple[str, list[list[str]]]:
+    """Delimiter and cells of a file's first ``n`` records; no more of the file is read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(conf).open(file)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, encoding))
+    mark, text, found = delimiter, "", []
+    try:
+        for line in iter(lines.readLine, None):
+            text = f"{text}\n{line}" if text else line
+            own = mark or delimiter_of(text)
+            if ends_quoted(text, own):
+                continue
+            if text.strip():
+                mark = own
+                found.append(next(csv.reader(io.StringIO(text, newline=""), delimiter=mark), []))
+                if len(found) == n:
+                    break
+            text = ""
+    finally:
+        lines.close()
+    return mark or ",", found
+
+
+def _named(header: Sequence[str]) -> tuple[str, ...]:
+    """Column names of a header: white space and byte order mark gone, repeats numbered."""
+    names: list[str] = []
+    for k, cell in enumerate(header):
+        name = base = cell.lstrip("\ufeff").strip() or f"column_{k}"
+        n = 0
+        while name in names:
+            n += 1
+            name = f"{base}.{n}"
+        names.append(name)
+    return tuple(names)
+
+
+def dialects(spark: SparkSession, path: str | Sequence[str], *, delimiter: str | None = None, encoding: str = "UTF-8", **options: str) -> dict[Dialect, list[str]]:
+    """The files of a path by their dialect, both in order of path; empty files are left out.
+
+    Looks at each file's header alone, many files at a time.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    files = sorted(spark.read.options(**{k: v for k, v in options.items() if k in ("pathGlobFilter", "recursiveFileLookup")}).text(paths).inputFiles())
+
+    def header(file: str) -> Dialect | None:
+        mark, rows = first_records(spark, file, 1, delimiter=delimiter, encoding=encoding)
+        return Dialect(mark, _named(rows[0])) if rows else None
+
+    found: dict[Dialect, list[str]] = {}
+    with ThreadPoolExecutor(32) as pool:
+        for file, dialect in zip(files, pool.map(header, files), strict=True):
+            if dialect is not None:
+                found.setdefault(dialect, []).append(file)
+    return found
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], *, required: dict[str, Sequence[str]] | None = None, schema: T.StructType | None = None, delimiter: str | None = None, encoding: str = "UTF-8", columns: int = 200_000, **options: str) -> DataFrame:
     """A CSV table; text columns unless a schema is given, so that no pass infers types.
 
-    ``required`` names columns with their aliases (see ``resolve_columns``).
-    Without a delimiter the first line tells it; the input is never changed.
+    Every file has its own header and delimiter. Files of one dialect are read
+    together, and the parts are united by name: columns are those of the schema,
+    or else of all files in the order of their first file; what a file lacks is
+    null. ``required`` names columns with their aliases (see
+    ``resolve_columns``), in each dialect. The input is never changed.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    if delimiter is None:
-        first = spark.read.text(paths[0]).head()
-        line = first[0] if first else ""
-        delimiter = next((d for d in DELIMITERS if d in line), ",")
-    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("maxColumns", columns).options(**options)
-    df = (reader.schema(schema) if schema else reader).csv(paths)
-    return resolve_columns(df, required) if required else df
+    kinds = {f.name: f.dataType for f in schema} if schema else {}
+    made = None
+    for dialect, files in dialects(spark, path, delimiter=delimiter, encoding=encoding, **options).items():
+        own = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in dialect.columns])
+        reader = spark.read.option("header", True).option("sep", dialect.delimiter).option("encoding", encoding).option("maxColumns", columns).options(**options)
+        part = reader.schema(own).csv(files)
+        part = resolve_columns(part, required) if required else part
+        made = part if made is None else made.unionByName(part, allowMissingColumns=True)
+    if made is None:
+        if schema is None:
+            raise ValueError(f"no file with a header in {path}")
+        return spark.createDataFrame([], schema)
+    if schema is None:
+        return made
+    return made.select(*[F.col(f"`{f.name}`") if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
+#: Types from the narrowest to the widest, with what their texts look like.
+_LATTICE = (("boolean", re.compile(r"(?i)true|false")), ("bigint", re.compile(r"[+-]?\d{1,18}")), ("double", re.compile(r"(?i)[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|[+-]?(?:inf|infinity)|nan")), ("string", re.compile(r"(?s).*")))
+
+
+def infer_types(spark: SparkSession, path: str | Sequence[str], *, window: int = 100, encoding: str = "UTF-8", **options: str) -> dict[str, str]:
+    """The type of every column from the first ``window`` rows of each file, widened until all of them fit.
+
+    Whole numbers fit doubles; any other mixture is text, and so is a column
+    without a value.
+    """
+    kinds: dict[str, str] = {}
+    rank = [name for name, _ in _LATTICE]
+    for dialect, files in dialects(spark, path, encoding=encoding, **options).items():
+        with ThreadPoolExecutor(32) as pool:
+            for _, rows in pool.map(lambda f: first_records(spark, f, window + 1, delimiter=dialect.delimiter, encoding=encoding), files):
+                for row in rows[1:]:
+                    for name, cell in zip(dialect.columns, row, strict=False):
+                        if not cell.strip():
+                            continue
+                        kind = next(n for n, look in _LATTICE if look.fullmatch(cell.strip()))
+                        held = kinds.get(name, kind)
+                        mixed = "string" if "boolean" in (kind, held) and kind != held else max(kind, held, key=rank.index)
+                        kinds[name] = mixed
+    return kinds
+
+
+def read_typed(spark: SparkSession, path: str | Sequence[str], *, window: int = 100, mismatched: str = "mismatched", encoding: str = "UTF-8", **options: str) -> DataFrame:
+    """A CSV table with types from a bounded window of each file.
+
+    ``mismatched`` names the columns of a row whose text does not fit the type
+    (their value is null), so that what lies beyond the window is reported.
+    """
+    kinds = infer_types(spark, path, window=window, encoding=encoding, **options)
+    df = read_csv(spark, path, encoding=encoding, **options)
+    typed = {c: kinds.get(c, "string") for c in df.columns}
+    text = {c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in df.columns}
+    cast = {c: F.col(f"`{c}`") if k == "string" else text[c].try_cast(k) for c, k in typed.items()}
+    odd = [F.when(text[c].isNotNull() & cast[c].isNull(), F.lit(c)) for c, k in typed.items() if k != "string"]
+    report = F.array_compact(F.array(*odd)) if odd else F.array().cast("array<string>")
+    return df.select(*[v.alias(c) for c, v in cast.items()], report.alias(mismatched))
 
 
 def read_csv_any_encoding(spark: SparkSession, path: str) -> DataFrame:
@@ -75,8 +196,15 @@ def read_price_exports(spark: SparkSession, path: str) -> DataFrame:
 
 def read_named(spark: SparkSession, path: str, pattern: str, out: str, kind: str = "int", **options: object) -> DataFrame:
     """Files of a directory with a value from their names (the pattern's first group); files without it are left out."""
-    df = spark.read.option("header", True).options(**options).csv(path).withColumn(out, F.regexp_extract("_metadata.file_name", pattern, 1))
-    return df.filter(F.col(out) != "").withColumn(out, F.col(out).cast(kind))
+    made = None
+    for dialect, files in dialects(spark, path).items():
+        names = [f for f in files if re.search(pattern, unquote(f.rsplit("/", 1)[-1]))]
+        if names:
+            part = read_csv(spark, names, delimiter=dialect.delimiter, **options).withColumn(out, F.regexp_extract("_metadata.file_name", pattern, 1).cast(kind))
+            made = part if made is None else made.unionByName(part, allowMissingColumns=True)
+    if made is None:
+        raise ValueError(f"no file of {path} matches {pattern}")
+    return made
 
 
 def metric_of(file_name: str | F.Column) -> F.Column:
