@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltloom.functions import names, values
-from voltloom.operators import clusters, coverage, curves, descriptive, frames, linkage, prices, summaries
+from voltloom.operators import clusters, coverage, curves, descriptive, frames, linkage, ordering, prices, summaries
 from voltloom.sources import archives, sinks, tables
 from voltloom.sources.folders import new_folder
 from voltloom.streaming.refresh import refresh_summaries
@@ -864,6 +864,62 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_totalprice").cast("double").alias("o_totalprice"), "note")
 
 
+@query("SELECT o_orderkey AS \"key\", o_totalprice AS total, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority || '; ' || o_orderstatus END AS note FROM orders")
+def csv_two_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "csv-layouts")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.concat_ws("; ", "o_orderpriority", "o_orderstatus").alias("note"), F.col("o_totalprice").alias("total"))
+    sinks.write(rows.filter("key % 2 = 1"), f"{path}/odd", form="csv", sep=";")
+    sinks.write(rows.filter("key % 2 = 0").select("total", "key"), f"{path}/even", form="csv")
+    return tables.read_typed(spark, [f"{path}/odd", f"{path}/even"]).select("key", "note", "total")
+
+
+@query("SELECT o_orderkey AS \"key\", o_totalprice AS total, c_mktsegment AS segment FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 = 0")
+def amended_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "amended")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("person"), F.col("o_totalprice").alias("total"))
+    sinks.write(rows.repartition(3, "key"), path, form="csv")
+    people = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("person"), F.col("c_mktsegment").alias("segment"))
+    sinks.amend_files(people, path, "person", "segment")
+    return tables.read_typed(spark, path).select("key", "total", "segment")
+
+
+@query("""
+WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS p FROM customer),
+s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_name) AS p FROM supplier)
+SELECT coalesce(c.p, s.p) AS position, c_custkey, s_suppkey FROM c FULL JOIN s ON c.p = s.p""")
+def positional_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people, firms = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    return ordering.side_by_side(people, firms, [F.desc("c_acctbal"), "c_custkey"], ["s_name"]).select("position", "c_custkey", "s_suppkey")
+
+
+@query("""
+SELECT coalesce(c_custkey, o_custkey) AS k, o_orderkey, c_name, CASE WHEN c_custkey IS NULL THEN 'right_only' WHEN o_custkey IS NULL THEN 'left_only' ELSE 'both' END AS _merge
+FROM (SELECT * FROM customer WHERE c_custkey % 5 <> 0) FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 7 = 0) ON c_custkey = o_custkey""")
+def indicator_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("k"), "c_name")
+    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("k"), "o_orderkey")
+    return frames.checked_join(people, orders, ["k"], "full", validate="one_to_many", indicator="_merge")
+
+
+@query("""
+SELECT vendor_id, count(amount) AS n, round(quantile_cont(amount, 0.1) + 3.7e-8, 6) AS low, round(quantile_cont(amount, 0.5) + 3.7e-8, 6) AS middle, round(quantile_cont(amount, 0.9) + 3.7e-8, 6) AS high
+FROM sale_lines WHERE isfinite(amount) GROUP BY vendor_id""")
+def vendor_amount_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "sale_lines").filter(values.finite("amount").isNotNull())
+    made = ordering.quantiles(lines, ["vendor_id"], "amount", (0.1, 0.5, 0.9))
+    return rounded(made.select("vendor_id", "n", F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high")), "low", "middle", "high")
+
+
+@query("""
+SELECT client_id, change_id, round(sum(coalesce(balance, 0)) OVER (PARTITION BY client_id ORDER BY valid_at, seq, change_id ROWS UNBOUNDED PRECEDING) + 3.7e-8, 4) AS upto,
+       row_number() OVER (PARTITION BY client_id ORDER BY valid_at, seq, change_id) AS place
+FROM client_changes WHERE valid_at IS NOT NULL AND seq IS NOT NULL""")
+def running_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = table(spark, sf_dir, "client_changes").filter("valid_at is not null and seq is not null").select("client_id", "change_id", "valid_at", "seq", F.col("balance").cast("double").alias("balance"))
+    made = ordering.running(changes, ["client_id"], ["valid_at", "seq", "change_id"], {"upto": "balance", "place": F.lit(1).cast("long")})
+    return rounded(made.select("client_id", "change_id", "upto", "place"), "upto", digits=4)
+
+
 def _zips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """An archive of one quoted CSV file inside an archive for each batch."""
     for batch in batches:
@@ -902,6 +958,22 @@ def partitioned_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/by-flag")
 
 
+def _broken_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An archive of a CSV file whose quoted cells hold line breaks, for each batch."""
+    for batch in batches:
+        lines = ["order|name", *[f'{k}|"{n}\n""{k}""|{n}"' for k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]]
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            z.writestr("part.csv", "\r\n".join(lines))
+        yield pa.RecordBatch.from_arrays([pa.array([f"{batch.column(0)[0]}.zip"]), pa.array([held.getvalue()], pa.binary())], names=["path", "content"])
+
+
+@query("""SELECT o_orderkey AS "order", o_orderpriority || chr(10) || '"' || o_orderkey || '"|' || o_orderpriority AS name FROM orders""")
+def unzip_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").mapInArrow(_broken_lines, "path string, content binary")
+    return archives.zipped_table(archives.archived_lines(files), ["order", "name"]).select(F.col("order").cast("long").alias("order"), "name")
+
+
 @query(SUMMARY)
 def streamed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "streamed-summary")
