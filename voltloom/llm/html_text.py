@@ -1,11 +1,13 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. A line weighs as much
-as its text outside links. Names of elements and attributes only lower or raise
-that: lines inside menus, footers, adverts and the like weigh nothing, lines
-that are outside the article of a page that marks one, or in a block of an
-ambiguous name, weigh by what is beyond a passage of ``DOUBT`` characters, and
-each line inside a marked article by ``RAISE`` characters more.
+Markup is stripped to lines, one for each block element. Elements that their
+tag, class, id or role names a menu, header, footer, sidebar, notice, advert,
+form or reader comments are left out, unless the page's article, or most of the
+page, stands inside them. Any other line weighs as much as its text outside
+links. Ambiguous names decide nothing: outside a marked article they lower a
+line's weight to the part ``DOUBT`` of it, as does standing outside the article
+of a page that marks one; each line inside a marked article weighs ``RAISE``
+characters more.
 
 Sums over a sliding window of lines rise steeply where running text begins (a
 surge point) and fall to nothing where it ends (a dive point); the text between
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame
 #: Lines in a window, and characters a window needs for a surge.
 WINDOW = 3
 SURGE = 80
-#: Characters of a line in doubt that count for nothing, and that a line inside a marked article counts for more.
-DOUBT, RAISE = 400, 27
+#: The part of its weight that a line in doubt keeps, and characters that a line inside a marked article counts for more.
+DOUBT, RAISE = 0.2, 27
 
 # Elements of HTML by their role.
 _DROPPED = "script|style|noscript|template|title|textarea|svg|iframe|object|select|button|canvas|audio|video|datalist"
@@ -89,10 +91,10 @@ def _named(tag: str, attributes: str) -> int:
 
 
 class _Region:
-    __slots__ = ("tag", "said", "length", "body", "closed")
+    __slots__ = ("tag", "said", "begin", "length", "body", "closed")
 
-    def __init__(self, tag: str, said: int):
-        self.tag, self.said, self.length, self.body, self.closed = tag, said, 0, tag in _BODY_TAGS, False
+    def __init__(self, tag: str, said: int, begin: int):
+        self.tag, self.said, self.begin, self.length, self.body, self.closed = tag, said, begin, 0, tag in _BODY_TAGS, False
 
 
 def lines_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
@@ -100,6 +102,7 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
     runs: list[tuple[str, tuple[_Region, ...], bool, int]] = []  # text, open regions that matter, in a link, container; "" ends a line
     stack: list[_Region] = []
     open_tags: list[tuple[str, _Region | None, int]] = []
+    n_open: dict[str, int] = {}
     marked: tuple[_Region, ...] = ()
     links, at, total, holders, inmost = 0, 0, 0, 0, 0
     for m in _MARKUP.finditer(page):
@@ -107,8 +110,6 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
             text = page[at : m.start()]
             runs.append((text, marked, links > 0, inmost))
             total += len(text)
-            for region in stack:
-                region.length += len(text)
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -121,10 +122,14 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if m["end"]:
             if tag == "a":
                 links = 0
-            for k in range(len(open_tags) - 1, -1, -1):
+            for k in range(len(open_tags) - 1, -1, -1) if n_open.get(tag) else ():
                 if open_tags[k][0] == tag:
                     gone = [r for _, r, _ in open_tags[k:] if r is not None]
+                    for t, _, _ in open_tags[k:]:
+                        n_open[t] -= 1
                     if gone:
+                        for r in gone:
+                            r.length = total - r.begin
                         for r in gone if tag not in ("body", "html") else ():
                             r.closed = True
                         stack = [r for r in stack if r not in gone]
@@ -140,13 +145,14 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
                 said = BOILER
             region = None
             if said or tag in _BODY_TAGS:
-                region = _Region(tag, said)
+                region = _Region(tag, said, total)
                 if tag in _BODY_TAGS and said != BOILER:
                     for r in stack:
-                        r.body = r.body or r.tag not in _BOILER_TAGS  # a wrapper of the article is no boilerplate, whatever its name
+                        r.body = r.body or r.tag == "form" or r.tag not in _BOILER_TAGS  # a wrapper of the article is no boilerplate, whatever its name
                 stack.append(region)
                 marked = tuple(stack)
             open_tags.append((tag, region, inmost))
+            n_open[tag] = n_open.get(tag, 0) + 1
             # inside a marked article all is one container
             if tag in _HOLDERS and (tag in _BODY_TAGS or not any(r.tag in _BODY_TAGS and r.said != BOILER for r in stack)):
                 holders += 1
@@ -154,6 +160,8 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
     if at < len(page):
         runs.append((page[at:], marked, links > 0, inmost))
         total += len(page) - at
+    for r in stack:
+        r.length = total - r.begin
     lines: list[tuple[str, int, int, bool, bool]] = []
     parts: list[str] = []
     weight, where, inside, doubt = 0, 0, False, False
@@ -163,7 +171,7 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
         for r in regions:
             if r.said and (r.closed or r.tag == "footer") and not (r.body and r.tag not in _BODY_TAGS):
                 # a named wrapper around most of the page is its body
-                if r.tag in _BOILER_TAGS or r.tag == "header" or r.length <= 0.6 * total:
+                if (r.tag in _BOILER_TAGS and r.tag != "form") or r.tag == "header" or r.length <= 0.6 * total:
                     said = max(said, r.said)
         return said
 
@@ -189,10 +197,10 @@ def main_text(page: str, *, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = lines_of(page)
     article = any(inside for *_, inside, _ in lines)  # the page says where its article is
 
-    def weigh(chars: int, inside: bool, doubt: bool) -> int:
-        if doubt or article and not inside:
-            return max(0, chars - DOUBT)
-        return chars + RAISE if inside else chars
+    def weigh(chars: int, inside: bool, doubt: bool) -> float:
+        if inside:
+            return chars + RAISE
+        return chars * DOUBT if doubt or article else chars
 
     weights = [weigh(w, inside, doubt) for _, w, _, inside, doubt in lines]
     where = [c for _, _, c, _, _ in lines]
@@ -212,15 +220,18 @@ def main_text(page: str, *, window: int = WINDOW, surge: int = SURGE) -> str:
             i = j
         else:
             i += 1
-    if not kept:
-        return "\n".join(line for (line, *_), w in zip(lines, weights, strict=True) if w)
-    held: dict[int, int] = {}
+    if not kept:  # nothing but short lines: those that nothing speaks against
+        return "\n".join(line for line, w, _, inside, doubt in lines if w and (inside or not doubt and not article))
+    held: dict[int, float] = {}
     for c, w in zip(where, weights, strict=True):
         held[c] = held.get(c, 0) + w
     taken = [False] * n
     homes = set()
     for a, b in kept:
-        home = max(set(where[a:b]), key=lambda c: (sum(w for k, w in zip(where[a:b], weights[a:b], strict=True) if k == c), -c))
+        here: dict[int, float] = {}
+        for k in range(a, b):
+            here[where[k]] = here.get(where[k], 0) + weights[k]
+        home = max(here, key=lambda c: (here[c], -c))
         # short lines of other containers at the ends are not of the passage
         while b - a > 1 and where[a] != home and held[where[a]] < surge:
             a += 1
