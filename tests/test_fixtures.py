@@ -254,14 +254,14 @@ def test_merge_and_save(spark, tmp_path):
 
 
 def test_streaming_refresh(spark, tmp_path):
-    from voltloom.streaming.refresh import refresh_summaries
+    from voltloom.streaming.refresh import refresh_summaries, summary_store
 
     schema = "resource_name string, resource_type string, ts timestamp_ntz, value double"
     for k in range(2):
         spark.createDataFrame([("A", "GAS", at(k), float(k + 1))], schema).write.mode("append").parquet(str(tmp_path / "in"))
         rows = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         refresh_summaries(spark, rows, str(tmp_path / "store"), str(tmp_path / "check"), ["value"]).awaitTermination()
-    r = spark.read.parquet(str(tmp_path / "store/v2")).first()
+    r = summary_store(spark, str(tmp_path / "store"), ["value"]).read().first()
     assert (r["row_count"], r["value_sum"]) == (2, 3.0)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from voltloom.operators import linkage
 from voltloom.sources import archives, config, sinks, tables
+from voltloom.sources.store import BatchStore, keep_values
 
 
 def save(folder, **files):
@@ -108,3 +109,35 @@ def test_storage_and_lifecycle(spark):
     assert got == {"p": ("N2", "ESR", "OLD"), "q": ("Q", "GAS", None), "r": ("R", "PWRSTR", None)}
     state = linkage.lifecycle([(F.col("name") == "OLD", "Cancelled"), (F.col("kind") == "PWRSTR", "Planned")])
     assert [r[0] for r in matches.select(state).collect()] == ["Cancelled", "Operating", "Planned"]
+
+
+def test_batches_are_written_once_and_merged_when_read(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store = BatchStore(spark, path, keep_values(["k"], "v"), compact_after=3)
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v double")
+    values = lambda s, v=None: {r["k"]: r["v"] for r in s.read(v).collect()}
+    with pytest.raises(ValueError, match="no batch"):
+        store.read()
+    first = store.append(rows(("a", 1.0), ("b", None), (None, 7.0)), 0)
+    size = sum(f.stat().st_size for f in (tmp_path / "store").rglob("*.parquet"))
+    second = store.append(rows(("a", 9.0), ("b", 2.0)), 1)
+    assert values(store) == {"a": 1.0, "b": 2.0, None: 7.0}
+    assert values(BatchStore(spark, path, keep_values(["k"], "v", "overwrite"))) == {"a": 9.0, "b": 2.0, None: 7.0}
+    # a batch writes its own rows only, and counts once
+    assert sum(f.stat().st_size for f in (tmp_path / "store").rglob("*.parquet")) < 2.5 * size
+    assert store.append(rows(("c", 5.0)), 1) == second and "c" not in values(store)
+    store.append(rows(("c", 5.0)), 0, source="other")
+    store.append(rows(("b", 3.0), ("d", 4.0)), 2)
+    assert values(store) == {"a": 1.0, "b": 2.0, None: 7.0, "c": 5.0, "d": 4.0}
+    assert store.manifest()["base"] and not store.manifest()["parts"]  # compacted by now
+    assert values(store, first) == {"a": 1.0, "b": None, None: 7.0}  # older versions stay readable
+    store.append(rows(("e", 6.0)), 3)
+    store.vacuum()
+    assert values(store) == {"a": 1.0, "b": 2.0, None: 7.0, "c": 5.0, "d": 4.0, "e": 6.0} and len(store.versions()) == 1
+
+
+def test_lost_rows_are_counted(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("", 2), (None, 3), ("b", None)], "n string, v int")
+    kept, counts = sinks.required(rows, "lost", ["n", "v"], blank=True)
+    sinks.write(kept, str(tmp_path / "out"))
+    assert counts.get == {"rows": 4, "lacks_0": 2, "lacks_1": 1} and spark.read.parquet(str(tmp_path / "out")).count() == 1

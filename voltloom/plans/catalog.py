@@ -21,7 +21,8 @@ from voltloom.functions import names, values
 from voltloom.operators import clusters, coverage, curves, descriptive, frames, linkage, ordering, prices, summaries
 from voltloom.sources import archives, sinks, tables
 from voltloom.sources.folders import new_folder
-from voltloom.streaming.refresh import refresh_summaries
+from voltloom.sources.store import BatchStore, keep_values
+from voltloom.streaming.refresh import refresh_summaries, summary_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -950,6 +951,16 @@ def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v{sinks.latest(spark, path)}")
 
 
+@query("SELECT k, arg_max(v, b) AS v FROM (SELECT o_custkey AS k, o_orderkey % 3 AS b, max(o_totalprice) AS v FROM orders GROUP BY ALL) GROUP BY k")
+def batch_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = BatchStore(spark, new_folder(spark, "batch-store"), keep_values(["k"], "v", "overwrite"), compact_after=2)
+    orders = table(spark, sf_dir, "orders")
+    for batch in (0, 1, 1, 2):  # the second one arrives twice
+        part = orders.filter(F.col("o_orderkey") % 3 == batch).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+        store.append(part, batch)
+    return store.read().select("k", "v")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem")
 def partitioned_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "partitioned-sink")
@@ -982,5 +993,5 @@ def streamed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.filter("event_id % 2 = 1").write.parquet(f"{path}/in/b")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1_000).parquet(f"{path}/in/*")
     refresh_summaries(spark, stream, f"{path}/store", f"{path}/progress", ["value"]).awaitTermination()
-    stored = spark.read.parquet(f"{path}/store/v{sinks.latest(spark, f'{path}/store')}")
+    stored = summary_store(spark, f"{path}/store", ["value"]).read()
     return rounded(summaries.finish_summary(stored, ["value"]), "value_avg", "value_min", "value_max")

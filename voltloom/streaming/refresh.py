@@ -5,26 +5,30 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voltloom.operators.summaries import KEYS, merge_summaries, partial_summary
-from voltloom.sources.sinks import latest
+from voltloom.sources.store import BATCH, BatchStore
+
+
+def summary_store(spark: SparkSession, path: str, metrics: Sequence[str], keys: Sequence[str] = KEYS, **options: int) -> BatchStore:
+    """A store of partial summaries, which add up when they are read."""
+
+    def merge(parts: DataFrame) -> DataFrame:
+        return merge_summaries(parts, metrics, keys).withColumn(BATCH, F.lit(0).cast("long"))
+
+    return BatchStore(spark, path, merge, **options)
 
 
 def refresh_summaries(spark: SparkSession, rows: DataFrame, store: str, checkpoint: str, metrics: Sequence[str], keys: Sequence[str] = KEYS, *, ts: str = "ts") -> StreamingQuery:
-    """Merge the summary of each batch of a stream into the stored one, until what is there has been read.
+    """Append the summary of each batch of a stream to the store, until what is there has been read.
 
-    A batch writes version ``batch + 1``; if it runs again after a failure, its
-    version is written again from the one before, so nothing counts twice.
+    A batch costs what it holds, not what is stored; one that runs again after a
+    failure counts once.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        part = partial_summary(batch, metrics, keys, ts)
-        before = latest(spark, store)
-        if before is not None and before > number:
-            before = number if number > 0 else None
-        if before is not None:
-            part = merge_summaries(spark.read.parquet(f"{store}/v{before}").unionByName(part), metrics, keys)
-        part.write.mode("overwrite").parquet(f"{store}/v{number + 1}")
+    def append(batch: DataFrame, number: int) -> None:
+        summary_store(spark, store, metrics, keys).append(partial_summary(batch, metrics, keys, ts), number)
 
-    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
