@@ -59,10 +59,14 @@ def mask_idle(curves: DataFrame) -> DataFrame:
 
 def _common(curves: DataFrame) -> DataFrame:
     """Rows whose resource and whose timestamp occur in all of the type's steps."""
-    steps = curves.groupBy("resource_type").agg(F.countDistinct("step").alias("__all"))
-    units = curves.groupBy(*UNIT).agg(F.countDistinct("step").alias("__n")).join(F.broadcast(steps), "resource_type").filter("__n = __all").select(*UNIT)
-    times = curves.groupBy("resource_type", "ts").agg(F.countDistinct("step").alias("__n")).join(F.broadcast(steps), "resource_type").filter("__n = __all").select("resource_type", "ts")
-    return curves.join(units, UNIT, "left_semi").join(times, ["resource_type", "ts"], "left_semi")
+    kind, name, ts, step = "resource_type", "resource_name", "ts", "step"
+    # one pass finds the steps of every resource and of every timestamp
+    seen = curves.groupingSets([[F.col(kind), F.col(name), F.col(step)], [F.col(kind), F.col(ts), F.col(step)]], kind, name, ts, step).agg(F.grouping(name).alias("__is_time")).filter(F.col(step).isNotNull())
+    counts = seen.groupBy(kind, "__is_time", name, ts).agg(F.count("*").alias("__n"))
+    steps = seen.filter("__is_time = 0").groupBy(kind).agg(F.countDistinct(step).alias("__all"))
+    full = counts.join(steps, kind).filter("__n = __all")
+    units, times = full.filter("__is_time = 0").select(*UNIT), full.filter("__is_time = 1").select(kind, ts)
+    return curves.join(units, UNIT, "left_semi").join(times, [kind, ts], "left_semi")
 
 
 def representative_quantities(curves: DataFrame, *, masked: bool = False) -> DataFrame:

@@ -229,11 +229,14 @@ def spread_in_group(decided: DataFrame, group: str, columns: Sequence[str], *, s
     holds for the row itself; rows of a blank group keep theirs.
     """
     best = W.partitionBy(group).orderBy(F.desc_nulls_last(score), F.asc("status"), F.asc(tie))
-    made = decided.withColumns({f"__{c}": F.first(c).over(best) for c in (*columns, score, "status")})
+    blank = F.coalesce(F.col(group), F.lit("")) == ""
+    # rows of a blank group share nothing, so they do not meet in a window
+    made = decided.filter(~blank).withColumns({f"__{c}": F.first(c).over(best) for c in (*columns, score, "status")})
+    made = made.unionByName(decided.filter(blank), allowMissingColumns=True)
     grouped = (F.coalesce(F.col(group), F.lit("")) != "") & (F.col("__status") != "unmatched")
     lower = grouped & (F.coalesce(F.col(score), F.lit(-1)) < F.col(f"__{score}"))
     made = made.withColumn("source", F.when(lower, "group").otherwise("own"))
-    status = F.when(lower | (grouped & (F.col(score) == F.col(f"__{score}"))), "matched").otherwise(F.col("status"))
+    status = F.when(F.coalesce(lower | (grouped & (F.col(score) == F.col(f"__{score}"))), F.lit(False)), "matched").otherwise(F.col("status"))
     made = made.withColumns({c: F.when(lower, F.col(f"__{c}")).otherwise(F.col(c)) for c in (*columns, score)}).withColumn("status", status)
     return made.drop(*[f"__{c}" for c in (*columns, score, "status")])
 
