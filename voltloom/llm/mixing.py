@@ -58,15 +58,16 @@ def mix_to_targets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     in ``keep``, a row for each input row. ``taken`` counts repeats: whole
     epochs, plus the documents whose key comes first, up to the source's budget
     (its target without the fraction); the document on the cut gives the words
-    that are left. The key is an MD5 of seed and id, so reruns agree at any
-    partitioning; among equal keys the smaller size comes first. A null or
+    that are left. The key is an MD5 of seed, id and text, so reruns agree at
+    any partitioning; rows of equal keys are equal and come in any order. A null or
     empty text has size 0 and gives 0; null sources form one source, last;
     repeated rows are rows of their own; an empty table gives an empty one.
     Input columns named like results are not read.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "mixing")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    # the text is part of the key, so that rows without an id, or of one id, do not share a range
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     # exactly the part of `docs` that the decision needs, its texts counted once
     rows = space.settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), key.alias("key"), *[F.col(c).alias(f"kept_{c}") for c in keep]), "sizes")
     ranges = 1 << max(0, (rows.count() // ROWS_PER_RANGE).bit_length())
@@ -123,7 +124,7 @@ def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+         md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 per_source AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
