@@ -333,11 +333,16 @@ def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, score: str
         whole = both.join(closed, block)
         sides = [whole.select(*block, side).distinct().withColumn("__k", F.row_number().over(W.partitionBy(*block).orderBy(side))) for side in (left, right)]
         paired = sides[0].join(sides[1], [*block, "__k"]).select(*names_)
-        fixed = space.settle(mutual.union(paired).distinct(), "fixed")
-        taken = fixed if taken is None else taken.union(fixed)
-        rest = open_.join(fixed.select(group, left), [group, left], "left_anti").join(fixed.select(group, right), [group, right], "left_anti")
-        before, open_ = open_, space.settle(rest, "open")
-        space.drop(before, both)
+        fixed = mutual.union(paired).distinct()
+        marked = open_.join(fixed.select(group, left, F.col(right).alias("__right")), [group, left], "left").join(fixed.select(group, right, F.col(left).alias("__left")), [group, right], "left")
+        mine = (F.col("__right") == F.col(right)) & (F.col("__left") == F.col(left))
+        # the pairs of the round, and those whose sides are both still free
+        state = marked.withColumn("__fixed", F.coalesce(mine, F.lit(False))).filter(F.col("__fixed") | (F.col("__right").isNull() & F.col("__left").isNull()))
+        state = space.settle(state.select(*names_, "__fixed"), "state")
+        done = state.filter("__fixed").select(*names_)
+        taken = done if taken is None else taken.union(done)
+        open_ = state.filter("not __fixed").select(*names_)
+        space.drop(both)
         if open_.isEmpty():
             return taken
 
