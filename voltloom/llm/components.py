@@ -20,6 +20,8 @@ def connected_components(links: DataFrame, space: Workspace) -> DataFrame:
     below the smallest of them, so the paths shrink to stars in a number of
     rounds about logarithmic in their length. Minima are combined before the
     shuffle, and each round is a written table; the driver sees two numbers of it.
+    Edges of a hub lie in one partition of a join that nothing but a combining
+    aggregate follows, so that the adaptive skew join splits it.
     """
     links = space.settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     before = None
