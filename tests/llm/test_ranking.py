@@ -38,10 +38,10 @@ def sales(n, seed, vendors=6, sales=40, quantities=(1, 5, 12, 37, None), discoun
     return rows + rows[: n // 10]
 
 
-@pytest.mark.parametrize(("slice_lines", "light"), [(1 << 19, 32), (70, 2), (70, 0), (1000, 1)])
-def test_places_against_sorting(spark, slice_lines, light):
+@pytest.mark.parametrize(("slice_lines", "light", "small_pair"), [(1 << 19, 32, 1024), (70, 2, 1024), (70, 2, 3), (70, 0, 0), (1000, 1, 1), (5, 32, 4)])
+def test_places_against_sorting(spark, slice_lines, light, small_pair):
     rows = [*sales(900, 1), NONE]
-    got = ranking.rank_sale_lines(spark.createDataFrame(rows, LINES).repartition(5), slice_lines=slice_lines, light=light)
+    got = ranking.rank_sale_lines(spark.createDataFrame(rows, LINES).repartition(5), slice_lines=slice_lines, light=light, small_pair=small_pair)
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
@@ -53,6 +53,30 @@ def test_one_pair_with_most_rows_in_pieces(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+def test_a_group_thin_in_every_slice(spark):
+    # no slice counts it: all its lines travel alone, and its pair is still cut into pieces
+    rows = [(i, 1, 3, 7, 45, 1.0, 0.0, "x", datetime(2024, 3, 1), "a", "b", "c") for i in range(3000)] + sales(300, 4)
+    got = ranking.rank_sale_lines(spark.createDataFrame(rows, LINES).repartition(6), slice_lines=20, light=32, small_pair=50)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
+def test_picked_before_the_shuffle(spark, capsys):
+    lines = spark.createDataFrame([(k % 5, k % 700, k) for k in range(2000)], "g long, p long, k long")
+    seen = []
+
+    class Seen(ranking.Workspace):
+        def settle(self, df, label):
+            df.explain()
+            seen.append((label, capsys.readouterr().out))
+            return super().settle(df, label)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ranking, "Workspace", Seen)
+        ranking.top_places(lines, group=["g"], pair=["p"], order=["k"]).count()
+    plan = dict(seen)["slots"]
+    assert "WindowGroupLimit" in plan and "Partial" in plan and not any("Broadcast" in text for _, text in seen)
+
+
 def test_fewer_places_and_empty_table(spark):
     rows = sales(200, 3)
     assert sorted(map(tuple, ranking.rank_sale_lines(spark.createDataFrame(rows, LINES), places=1).collect()), key=str) == brute(rows, 1)

@@ -6,13 +6,17 @@ slice the counts are cut where a group's lines before a pair reach the number
 of places asked for, since what comes later has no place in the whole table
 either. Column sums and their exclusive prefix sums allocate every pair's slots.
 
-A group of few lines in a slice sends its uncut lines as cells of one, so that
-they reach their slots with the counts. Of other groups only counts travel,
-combined before the shuffle, and their uncut lines wait; those of surviving
-pairs are scattered afterwards into buckets cut by ranges of the whole sort key.
-A second count matrix, of bucket pieces by pair, gives each piece its first
-slot. So neither a group nor a pair of any size meets in one task, and nothing
-is broadcast.
+A group of few lines in a slice sends its uncut lines as cells of one; of other
+groups counts travel and their uncut lines wait. All cells are summed by group
+and pair, combined before the shuffle, and only a group's first pairs, as many
+as places, can have a place: they are picked before and after the shuffle, so a
+group brings no more than that from each task. Lines then join their surviving
+pairs, those of heavy groups salted. A pair of few lines is numbered where it
+stands; lines of the others are scattered into buckets cut by ranges of the
+whole sort key, and a second count matrix, of bucket pieces by pair, gives each
+piece its first slot. So neither a group nor a pair of any size meets in one
+task, whether its lines crowd a slice or lie thinly over all of them, and
+nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ SLICE_LINES = 1 << 19
 LIGHT = 32
 #: Parts into which the lines of a pair are dealt where they learn its slots.
 SALTS = 64
+#: Lines of a pair up to which one task numbers them.
+SMALL_PAIR = 1 << 10
 #: What a row of the matrix is: a line that travels, a count of lines, a line that waits.
 _LINE, _COUNT, _WAITS = 0, 1, 2
 
@@ -71,7 +77,7 @@ def _count_slice(table: pa.Table, group: list[str], pair: list[str], order: list
     return pa.table(cells | {c: pa.compute.if_else(alone, picked[c], pa.scalar(None, pa.int64())) for c in order})
 
 
-def top_places(lines: DataFrame, *, group: list[str], pair: list[str], order: list[str], places: int = 3, slice_lines: int = SLICE_LINES, light: int = LIGHT) -> DataFrame:
+def top_places(lines: DataFrame, *, group: list[str], pair: list[str], order: list[str], places: int = 3, slice_lines: int = SLICE_LINES, light: int = LIGHT, small_pair: int = SMALL_PAIR) -> DataFrame:
     """The lines with a place of at most ``places`` within their group.
 
     All columns named are integral. Pairs rank in ascending order of the
@@ -108,24 +114,24 @@ def top_places(lines: DataFrame, *, group: list[str], pair: list[str], order: li
     schema = ", ".join([*[f"{c} long" for c in g + p], "weight long", "kind int", *[f"{c} long" for c in k_names]])
     # a second run might slice the table otherwise, so what this one says is kept
     matrix = space.settle(slim.mapInArrow(count, schema), "matrix")
-    sums = matrix.filter(F.col("kind") == _COUNT).groupBy(*g, *p).agg(F.sum("weight").alias("weight"))
-    cells = matrix.filter(F.col("kind") == _LINE).drop("kind").withColumn("is_line", F.lit(True)).unionByName(sums.withColumn("is_line", F.lit(False)), allowMissingColumns=True)
-    in_pair = W.partitionBy(*g, *p)
-    upto = W.partitionBy(*g).orderBy(*p)  # pairs up to this one, ties included
+    sums = matrix.filter(F.col("kind") != _WAITS).groupBy(*g, *p).agg(F.sum("weight").alias("tied"), F.max(F.col("kind") == _COUNT).alias("heavy"))
+    in_group, in_pair = W.partitionBy(*g).orderBy(*p), W.partitionBy(*g, *p)
     by_key = [F.col(c).asc_nulls_last() for c in k_names]
-    cells = cells.withColumn("tied", F.sum("weight").over(in_pair)).withColumn("place", F.sum("weight").over(upto) - F.col("tied") + 1)
-    cells = cells.withColumn("whole", F.min("is_line").over(in_pair)).withColumn("rank", F.row_number().over(in_pair.orderBy(*by_key)).cast("long"))
-    slots = space.settle(cells.filter(F.col("place") <= places).drop("weight"), "slots")
-    at_hand = slots.filter("whole").withColumn("pos", F.col("place") + F.col("rank") - 1)
-
-    counted = slots.filter("not whole").select(*g, *p, "place", "tied").distinct()
-    salted = counted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    waiting = matrix.filter(F.col("kind") == _WAITS).drop("kind", "weight").withColumn("row", F.monotonically_increasing_id())
-    scattered = waiting.withColumn("salt", F.col("row") % SALTS).join(salted.hint("merge"), [*g, *p, "salt"]).drop("salt")
-    # light lines of the same pairs, of slices where their groups are small
-    light = slots.filter("not whole and is_line").select(*g, *p, *k_names, F.lit(-1).cast("long").alias("row"), "place", "tied")
-    scattered = scattered.select(light.columns).union(light)
-    pieces = space.settle(scattered.repartitionByRange(*g, *p, *by_key, "row").withColumn("piece", F.spark_partition_id()), "pieces")
+    # every pair has a line, so only the first ones can have a place
+    firsts = sums.withColumn("nth", F.row_number().over(in_group)).filter(F.col("nth") <= places).drop("nth")
+    place = F.coalesce(F.sum("tied").over(in_group.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")) + 1
+    slots = space.settle(firsts.withColumn("place", place).filter(F.col("place") <= places), "slots")
+
+    alone = matrix.filter(F.col("kind") != _COUNT).drop("weight").withColumn("row", F.monotonically_increasing_id())
+    salted = slots.filter("heavy").drop("heavy").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    waiting = alone.filter(F.col("kind") == _WAITS).withColumn("salt", F.col("row") % SALTS).join(salted.hint("merge"), [*g, *p, "salt"]).drop("salt", "kind")
+    sent = alone.filter(F.col("kind") == _LINE).drop("kind").join(slots.drop("heavy").hint("merge"), [*g, *p])
+    # written before it is grouped by pair, so that a skewed part of these joins can be split
+    placed = space.settle(waiting.unionByName(sent), "placed")
+    small = placed.filter(F.col("tied") <= small_pair)
+    at_hand = small.withColumn("pos", F.col("place") + F.row_number().over(in_pair.orderBy(*by_key)) - 1)
+    scattered = placed.filter(F.col("tied") > small_pair).repartitionByRange(*g, *p, *by_key, "row")
+    pieces = space.settle(scattered.withColumn("piece", F.spark_partition_id()), "pieces")
     per_piece = pieces.groupBy(*g, *p, "piece").agg(F.count("*").alias("n"))
     before = in_pair.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     per_piece = per_piece.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n")
