@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltloom.functions import names, values
-from voltloom.operators import clusters, coverage, curves, descriptive, frames, linkage, ordering, prices, summaries
+from voltloom.operators import clusters, coverage, curves, descriptive, frames, linkage, matching, ordering, prices, summaries
 from voltloom.sources import archives, sinks, tables
 from voltloom.sources.folders import new_folder
 from voltloom.sources.store import BatchStore, keep_values
@@ -995,3 +995,38 @@ def streamed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     refresh_summaries(spark, stream, f"{path}/store", f"{path}/progress", ["value"]).awaitTermination()
     stored = summary_store(spark, f"{path}/store", ["value"]).read()
     return rounded(summaries.finish_summary(stored, ["value"]), "value_avg", "value_min", "value_max")
+
+
+def _clients(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Clients of all other sources, and those of the leading one, which they are to be found in."""
+    clients = table(spark, sf_dir, "clients").withColumn("handle", F.substring_index("email", "@", 1))
+    leading = F.coalesce(F.col("source") == "crm", F.lit(False))
+    return clients.filter(~leading), clients.filter(leading)
+
+
+@query()
+def linked_model_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    others, leading = _clients(spark, sf_dir)
+    model = others.groupBy(F.col("client_id").alias("unit_id")).agg(F.max(F.struct("name", F.col("name").alias("cdr_name"), F.col("handle").alias("unit_code"), F.col("city").alias("county"), F.col("segment").alias("fuel"))).alias("u")).select("unit_id", "u.*")
+    resources = leading.select(F.col("handle").alias("resource_name"), F.col("name").alias("station_desc"), F.col("name").alias("cdr_unit_name"), F.col("segment").alias("fuel_type"), F.col("city").alias("county"), F.when(F.col("balance") >= 0, "P").alias("price_code"))
+    return matching.match_model_units(model, resources).select("unit_id", "resource_name", "score", "status", "candidate_count")
+
+
+def mapping_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Records, units, units of another kind and a list by hand for ``map_units``; a client's nation is the number of its unit."""
+    others, leading = _clients(spark, sf_dir)
+    vendors = table(spark, sf_dir, "vendors")
+    named = others.select(F.concat_ws(" U", "name", "nation_id").alias("name"), "segment", "master_id")
+    by_hand = named.filter((F.col("segment") == "public") & F.col("master_id").isNotNull())
+    return {
+        "records": named.select("name").filter("name <> ''").distinct(),
+        "units": leading.select(F.col("client_id").cast("string").alias("code"), F.concat_ws(" Unit ", "name", "nation_id").alias("label")),
+        "other": vendors.select(F.col("vendor_id").cast("string").alias("code"), F.concat_ws(" Unit ", "name", "nation_id").alias("label")),
+        "manual": by_hand.groupBy("name").agg(F.min("master_id").cast("string").alias("match")),
+    }
+
+
+@query()
+def mapped_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = mapping_inputs(spark, sf_dir)
+    return linkage.map_units(given["records"], given["units"], manual=given["manual"], other=given["other"])["tracker"].select("name", "match", "stage", "vetoed")
