@@ -5,12 +5,13 @@ candidates, bonuses, stages and choices are worked out anew.
 """
 
 import difflib
+import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from voltloom.functions import names
+from voltloom.functions import names, similarity
 from voltloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -76,6 +77,18 @@ def token_set(a, b):
     return 100.0 * max(ratio(forms[x], forms[y]) for x, y in ((0, 1), (0, 2), (1, 2)))
 
 
+def test_bound_of_word_sets_loses_nothing():
+    r = random.Random(5)
+    words = ["ALPHA", "BETA", "CEDAR", "CREEK", "WIND", "U1", "U12", "U2", "RIDGE", "A" * 90, "É"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 5))) for _ in range(90)]
+    for least in (0, 50, 70, 88, 90, 100):
+        for a in texts:
+            for b in texts:
+                whole = similarity.token_set(a, b)
+                assert whole == pytest.approx(token_set(a, b))
+                assert whole < least or similarity.token_set(a, b, least) == whole
+
+
 def test_mapped_units_against_all_pairs(spark):
     given = catalog.mapping_inputs(spark, SF)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +15,12 @@ def gestalt(left: str | None, right: str | None) -> float:
     return SequenceMatcher(None, left, right).ratio() if left and right else 0.0
 
 
-def token_set(left: str | None, right: str | None) -> float:
-    """Best ratio, 0 to 100, among the shared words and each side's shared words with its own."""
+def token_set(left: str | None, right: str | None, least: float = 0.0) -> float:
+    """Best ratio, 0 to 100, among the shared words and each side's shared words with its own.
+
+    What cannot reach ``least`` is 0: the shared words are the beginning of both
+    sides, and the sides have no more in common than their letters.
+    """
     a, b = set((left or "").split()), set((right or "").split())
     if not a or not b:
         return 0.0
@@ -23,6 +28,9 @@ def token_set(left: str | None, right: str | None) -> float:
     one, two = (" ".join(filter(None, [both, " ".join(sorted(s))])) for s in (a - b, b - a))
     if both and (one == both or two == both):
         return 100.0
+    letters = sum(min(one.count(c), two.count(c)) for c in set(one))
+    if 200.0 * max(letters / (len(one) + len(two)), len(both) / (len(both) + min(len(one), len(two)))) < least - 1e-9:
+        return 0.0
     return 100.0 * max(gestalt(x, y) for x, y in ((both, one), (both, two), (one, two)))
 
 
@@ -36,6 +44,11 @@ def gestalt_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return _pairs(gestalt, left, right)
 
 
-@F.pandas_udf(T.DoubleType())
-def token_set_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _pairs(token_set, left, right)
+def token_set_ratio(left: str | Column, right: str | Column, least: float = 0.0) -> Column:
+    """``token_set`` of two columns; what cannot reach ``least`` may be 0."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        return _pairs(lambda x, y: token_set(x, y, least), left, right)
+
+    return ratio(left, right)

@@ -285,7 +285,7 @@ def map_units(records: DataFrame, units: DataFrame, *, manual: DataFrame, other:
         """
         mine, theirs = (df.select(c, F.col("__label").alias(t), F.array_distinct(F.split(F.trim("__label"), r"\s+")).alias(f"{t}w")) for df, c, t in ((asked, "name", "__a"), (corpus, "code", "__b")))
         shared = mine.withColumn("__w", F.explode("__aw")).join(theirs.withColumn("__w", F.explode("__bw")), "__w").filter("__w <> ''").select("name", "code", "__a", "__b").distinct()
-        shared = shared.select("name", "code", token_set_ratio("__a", "__b").alias("similarity"))
+        shared = shared.select("name", "code", token_set_ratio("__a", "__b", least).alias("similarity"))
         in_order = [df.select(c, F.array_join(F.array_sort(f"{t}w"), " ").alias(f"{t}s"), f"{t}w") for df, c, t in ((mine, "name", "__a"), (theirs, "code", "__b"))]
         near = _close_in_blocks(in_order[0], in_order[1], "__as", "__bs", least / 100, left_first=True)
         apart = near.join(in_order[0], F.col("__a") == F.col("__as")).join(in_order[1], F.col("__b") == F.col("__bs")).filter(~F.arrays_overlap("__aw", "__bw"))
