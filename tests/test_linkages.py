@@ -119,3 +119,87 @@ def test_mapped_units_against_all_pairs(spark):
     got = {r["name"]: tuple(r)[1:] for r in catalog.QUERIES["mapped_units"](spark, SF).collect()}
     assert got == want
     assert {"manual", "exact_alias", "similar", "no_match"} <= {w[1] for w in want.values()}
+
+
+def near(capacity, base, steps):
+    if capacity is None or base is None or capacity <= 0:
+        return 0
+    return next((points for most, points in steps if abs(capacity - base) / capacity <= most), 0)
+
+
+def test_registry_units_against_all_pairs(spark):
+    registry, resources = catalog.registry_inputs(spark, SF)
+    first = F.coalesce(F.get("codes", F.lit(0)), F.lit(""))
+    s = registry.select(
+        "unit_id", names.clean("unit_name").alias("name"), names.key("unit_name").alias("name_key"), names.clean(first).alias("code"), names.key(first).alias("code_key"), F.transform("codes", names.clean).alias("codes"), F.transform("codes", names.key).alias("keys"),
+        F.transform("codes", names.family).alias("families"), names.fuel("fuel", names.RESOURCE_FUELS).alias("fuel"), F.col("capacity").cast("double").alias("capacity"), F.concat(names.unit_tokens("unit_name"), names.unit_tokens(first)).alias("tokens"),
+        names.key(names.plant_and_unit(F.when(first != "", first).otherwise(F.col("unit_name")))["plant"]).alias("plant"),
+    )
+    r = resources.select(
+        F.col("resource_name").alias("raw"), names.clean("resource_name").alias("name"), names.key("resource_name").alias("key"), names.family("resource_name").alias("family"), names.fuel("resource_type", names.RESOURCE_FUELS).alias("fuel"),
+        F.col("avg_base_point").cast("double").alias("base"), names.unit_tokens("resource_name").alias("tokens"), names.key(names.plant_and_unit("resource_name")["plant"]).alias("plant"),
+    )
+    s, r = ([x.asDict() for x in df.collect()] for df in (s, r))
+    texts = sorted({x["name"] for x in r} - {""})
+
+    def close(text, least, top):
+        return set(difflib.get_close_matches(text, texts, n=top, cutoff=least)) if text else set()
+
+    best, strong = {}, set()
+    for u in s:
+        sets = [("code_exact", 230, "name", set(u["codes"])), ("code_key_exact", 220, "key", set(u["keys"])), ("unit_name_key_exact", 205, "key", {u["name_key"]}), ("resource_family", 120, "family", set(u["families"]))]
+        sets += [("cdr_unit_code_fuzzy", 165, "name", close(u["code"], 0.82, 5)), ("unit_name_fuzzy", 135, "name", close(u["name"], 0.82, 5)), ("unit_name_strong_fuzzy", 190, "name", close(u["name"], 0.94, 3))]
+        found = []
+        for method, points, column, wanted in sets:
+            for x in r:
+                if x[column] and x[column] in wanted:
+                    bonus = (12 if u["fuel"] and u["fuel"] == x["fuel"] else 0) + (15 if set(u["tokens"]) & set(x["tokens"]) else 0) + near(u["capacity"], x["base"], ((0.10, 8), (0.25, 4)))
+                    found.append((points + bonus + int(18 * ratio(u["code"], x["name"])) + int(10 * ratio(u["name"], x["name"])), x["raw"], method))
+        if found:
+            score, name, method = max(found)
+            best[u["unit_id"]] = (name, method, score, "ambiguous" if len({n for p, n, _ in found if p == score}) > 1 else "matched")
+            if method.endswith("_exact") or (method == "unit_name_strong_fuzzy" and score >= 205):
+                strong.add(u["unit_id"])
+    groups, plants = defaultdict(list), defaultdict(list)
+    for u in s:
+        if u["unit_id"] not in strong and u["plant"]:
+            groups[u["plant"]].append(u)
+    for x in r:
+        plants[x["plant"]].append(x)
+    assigned = {}
+    for plant, units in groups.items():
+        options = [(180, 1.0, plant, "exact")] if plant in plants else []
+        options += [(145, ratio(p, plant), p, "fuzzy") for p in difflib.get_close_matches(plant, sorted(set(plants) - {""}), n=3, cutoff=0.88) if p != plant]
+        ranked = []
+        for points, likeness, p, kind in options:
+            fuels = ({u["fuel"] for u in units} & {x["fuel"] for x in plants[p]}) - {""}
+            coded = sum(bool(u["code_key"]) and u["code_key"] in {x["key"] for x in plants[p]} for u in units)
+            ranked.append((points + (10 if fuels else 0) + 30 * coded, points, likeness, p, kind))
+        if not ranked:
+            continue
+        total, _, _, p, kind = max(ranked)
+        score = {}
+        for u in units:
+            for x in plants[p]:
+                points = (80 if set(u["tokens"]) & set(x["tokens"]) else 0) + (120 if u["code_key"] and u["code_key"] == x["key"] else 0) + (15 if u["fuel"] and u["fuel"] == x["fuel"] else 0)
+                score[u["unit_id"], x["raw"]] = points + int(20 * ratio(u["code"], x["name"])) + near(u["capacity"], x["base"], ((0.10, 10), (0.25, 5)))
+        taken, done = set(), {}
+        for (unit, name), points in sorted(score.items(), key=lambda kv: (-kv[1], kv[0])):
+            if points > 0 and unit not in done and name not in taken:
+                done[unit] = (name, "distinct_unit_token_match")
+                taken.add(name)
+        rest = sorted({u["unit_id"] for u in units} - set(done))
+        largest = [x["raw"] for x in sorted(plants[p], key=lambda x: (x["base"] is not None, x["base"] or 0, x["raw"]), reverse=True)]
+        free = [n for n in largest if n not in taken]
+        for k, unit in enumerate(rest):
+            done[unit] = (largest[0], "highest_basepoint_reuse") if len(rest) > len(free) else (free[k], "highest_basepoint_unit")
+        for unit, (name, method) in done.items():
+            assigned[unit] = (name, f"plant_descriptor_{kind}:{method}", score[unit, name] + total, "matched")
+    want = {}
+    for u in s:
+        k = u["unit_id"]
+        want[k] = best[k] if k in strong else assigned.get(k) or best.get(k) or (None, None, None, "unmatched")
+    got = {x["unit_id"]: tuple(x)[1:] for x in catalog.QUERIES["linked_registry_units"](spark, SF).collect()}
+    assert got == want
+    methods = {str(w[1]).split(":")[0] for w in want.values()}
+    assert {"code_exact", "plant_descriptor_exact", "None"} <= methods, methods

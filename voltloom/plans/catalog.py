@@ -1030,3 +1030,16 @@ def mapping_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def mapped_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = mapping_inputs(spark, sf_dir)
     return linkage.map_units(given["records"], given["units"], manual=given["manual"], other=given["other"])["tracker"].select("name", "match", "stage", "vetoed")
+
+
+def registry_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Registry units and resources for ``match_registry_units``: family names are plants, and nations the numbers of their units."""
+    others, leading = (df.withColumn("code", F.concat_ws("_U", F.substring_index("name", " ", -1), "nation_id")) for df in _clients(spark, sf_dir))
+    registry = others.groupBy(F.col("client_id").alias("unit_id")).agg(F.max(F.struct(F.col("name").alias("unit_name"), F.array("code", "handle").alias("codes"), F.col("segment").alias("fuel"), F.col("balance").alias("capacity"))).alias("u")).select("unit_id", "u.*")
+    resources = leading.filter("code <> ''").groupBy(F.col("code").alias("resource_name")).agg(F.max(F.struct(F.col("segment").alias("resource_type"), F.col("balance").alias("avg_base_point"))).alias("r")).select("resource_name", "r.*")
+    return registry, resources
+
+
+@query()
+def linked_registry_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match_registry_units(*registry_inputs(spark, sf_dir)).select("unit_id", "resource_name", "method", "score", "status")
