@@ -141,6 +141,9 @@ def match_model_units(model: DataFrame, resources: DataFrame, listed: DataFrame
     parts = names.model_name_parts("name")
     m = model.withColumn("__parts", parts).select("unit_id", names.clean("unit_code").alias("m_code"), names.key("unit_code").alias("m_key"), names.clean("cdr_name").alias("m_cdr"), F.col("__parts.base").alias("m_base"), F.col("__parts.unit_hint").alias("m_hint"), names.clean("name").alias("m_name"), names.key("name").alias("m_name_key"), names.fuel("fuel").alias("m_fuel"), names.clean("county").alias("m_county"))
     r = resources.select("resource_name", names.clean("resource_name").alias("r_name"), names.key("resource_name").alias("r_key"), names.clean("station_desc").alias("r_desc"), names.clean("cdr_unit_name").alias("r_cdr"), names.fuel("fuel_type").alias("r_fuel"), names.clean("county").alias("r_county"), "price_code", names.unit_tokens("resource_name").alias("r_tokens"))
+    # the forms of names are worked out once, not in each rule
+    space = Workspace(model.sparkSession, "model-units")
+    m, r = space.settle(m, "units"), space.settle(r, "resources")
     found = linkage.candidates(m, r.withColumn("r_group", F.count("*").over(W.partitionBy("r_desc"))), MODEL_RULES)
     # the late look at codes counts only where no other code rule found anything
     codes = F.max(F.when(F.col("method").startswith("ercot_unitcode") & ~F.col("method").endswith("late"), 1)).over(W.partitionBy("unit_id"))
@@ -157,11 +160,14 @@ def match_model_units(model: DataFrame, resources: DataFrame, listed: DataFrame
 
 def _decided(found: DataFrame) -> DataFrame:
     """The best candidate of each model unit; a unit hint counts where ``r_group``, the size of the resource's group, is known."""
+    spark = found.sparkSession
+    # a set number of tasks shares the comparison of texts, and its result is read several times
+    found = found.repartition(max(1, 4 * spark.sparkContext.defaultParallelism))
     hint = F.when(F.col("r_group").isNotNull(), linkage.unit_hint_bonus("m_hint", "r_tokens", F.col("r_group"))).otherwise(0)
     bonus = F.when((F.col("m_fuel") != "") & (F.col("m_fuel") == F.col("r_fuel")), 10).otherwise(0) + F.when((F.col("m_county") != "") & (F.col("m_county") == F.col("r_county")), 12).otherwise(0) + F.when(F.coalesce("price_code", F.lit("")) != "", 5).otherwise(0)
     close = linkage.similarity_bonus("m_code", "r_name", 20) + linkage.similarity_bonus("m_cdr", "r_desc", 12) + linkage.similarity_bonus("m_name", "r_desc", 8) + linkage.similarity_bonus("m_base", "r_cdr", 14)
     scored = found.select("unit_id", "resource_name", "price_code", "method", (F.col("score") + hint + bonus + close).alias("score"))
-    return linkage.decide(scored, ["unit_id"], "resource_name")
+    return linkage.decide(Workspace(spark, "scored").settle(scored, "scored"), ["unit_id"], "resource_name")
 
 
 def _by_listed_plant(m: DataFrame, r: DataFrame, listed: DataFrame, order: str) -> DataFrame:
@@ -223,6 +229,9 @@ def match_registry_units(registry: DataFrame, resources: DataFrame) -> DataFrame
     code = F.coalesce(F.get("codes", F.lit(0)), F.lit(""))
     s = registry.select("unit_id", names.clean("unit_name").alias("s_name"), names.key("unit_name").alias("s_name_key"), names.clean(code).alias("s_code"), names.key(code).alias("s_code_key"), F.transform("codes", names.clean).alias("s_codes"), F.transform("codes", names.key).alias("s_keys"), F.transform("codes", names.family).alias("s_families"), names.fuel("fuel", names.RESOURCE_FUELS).alias("s_fuel"), F.col("capacity").cast("double").alias("s_capacity"), F.array_distinct(F.concat(names.unit_tokens("unit_name"), names.unit_tokens(code))).alias("s_tokens"), names.key(names.plant_and_unit(F.when(code != "", code).otherwise(F.col("unit_name")))["plant"]).alias("s_plant"))
     r = resources.select("resource_name", names.clean("resource_name").alias("r_name"), names.key("resource_name").alias("r_key"), names.family("resource_name").alias("r_family"), names.fuel("resource_type", names.RESOURCE_FUELS).alias("r_fuel"), F.col("avg_base_point").cast("double").alias("r_base"), names.unit_tokens("resource_name").alias("r_tokens"), names.key(names.plant_and_unit("resource_name")["plant"]).alias("r_plant"))
+    space = Workspace(registry.sparkSession, "registry")
+    s, r = space.settle(s, "units"), space.settle(r, "resources")
+    tasks = max(1, 4 * registry.sparkSession.sparkContext.defaultParallelism)
     rules = [
         Rule("code_exact", 230, "s_codes", "r_name"), Rule("code_key_exact", 220, "s_keys", "r_key"), Rule("unit_name_key_exact", 205, "s_name_key", "r_key"), Rule("resource_family", 120, "s_families", "r_family"),
         Rule("cdr_unit_code_fuzzy", 165, "s_code", "r_name", 0.82, 5), Rule("unit_name_fuzzy", 135, "s_name", "r_name", 0.82, 5), Rule("unit_name_strong_fuzzy", 190, "s_name", "r_name", 0.94, 3),
@@ -230,13 +239,13 @@ def match_registry_units(registry: DataFrame, resources: DataFrame) -> DataFrame
     shared = F.arrays_overlap("s_tokens", "r_tokens")
     same_fuel = (F.col("s_fuel") != "") & (F.col("s_fuel") == F.col("r_fuel"))
     bonus = F.when(same_fuel, 12).otherwise(0) + F.when(shared, 15).otherwise(0) + linkage.relative_bonus("s_capacity", "r_base") + linkage.similarity_bonus("s_code", "r_name", 18) + linkage.similarity_bonus("s_name", "r_name", 10)
-    found = linkage.candidates(s, r, rules).select("unit_id", "resource_name", "method", (F.col("score") + bonus).alias("score"))
-    best = Workspace(registry.sparkSession, "registry").settle(linkage.decide(found, ["unit_id"], "resource_name"), "best")
+    found = space.settle(linkage.candidates(s, r, rules).repartition(tasks).select("unit_id", "resource_name", "method", (F.col("score") + bonus).alias("score")), "scored")
+    best = space.settle(linkage.decide(found, ["unit_id"], "resource_name"), "best")
     strong = best.filter(F.col("method").endswith("_exact") | ((F.col("method") == "unit_name_strong_fuzzy") & (F.col("score") >= 205)))
     # units without a strong match look for a plant together, those of one descriptor as one group
     asking = s.join(strong.select("unit_id"), "unit_id", "left_anti").filter("s_plant <> ''")
     plants = choose_plants(asking, r)
-    pairs = asking.join(plants, "s_plant").join(r, "r_plant")
+    pairs = asking.join(plants, "s_plant").join(r, "r_plant").repartition(tasks)
     points = F.when(shared, 80).otherwise(0) + F.when((F.col("s_code_key") != "") & (F.col("s_code_key") == F.col("r_key")), 120).otherwise(0) + F.when(same_fuel, 15).otherwise(0) + linkage.similarity_bonus("s_code", "r_name", 20) + linkage.relative_bonus("s_capacity", "r_base", ((0.10, 10), (0.25, 5)))
     pairs = pairs.select(F.col("s_plant").alias("plant"), "unit_id", "resource_name", points.alias("points"), F.col("r_base").alias("base"))
     assigned = linkage.assign_one_to_one(pairs, "plant", "unit_id", "resource_name", "points", "base").join(plants, F.col("plant") == F.col("s_plant"))
