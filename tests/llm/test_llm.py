@@ -415,6 +415,53 @@ def test_model_is_not_shrunk():
     assert rows.shape == (3, language_model.CLASSES**2) and language_model.ending_class(b"word") < language_model.CLASSES
 
 
+def test_words_within_a_class_follow_the_words_before(spark):
+    """Pairs of words that are no classes of their own and share one ending: only features within the class tell the pairs apart."""
+    lm, rng = language_model, random.Random(5)
+    fill = [f"f{k}" for k in range(lm.OWN)]
+    first, second = [f"a{k}xx" for k in range(8)], [f"b{k}xx" for k in range(8)]
+    docs = []
+    for k in range(900):
+        i = rng.randrange(8)
+        docs.append((k, " ".join([*rng.choices(fill, k=12), first[i], second[i], *rng.choices(fill, k=12)])))
+    held = [k for k in range(900, 9000) if zlib.crc32(str(k).encode()) % 7 == 2][:64]
+    pairs = {k: divmod(j, 8) for j, k in enumerate(held)}
+    docs += [(k, f"f0 f1 {first[i]} {second[j]} f0") for k, (i, j) in pairs.items()]
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    for i in range(8):
+        seen = next(got[k] for k, p in pairs.items() if p == (i, i))
+        assert all(seen > got[k] + 0.3 for k, p in pairs.items() if p[0] == i != p[1])
+
+
+def test_partings_within_classes(spark):
+    """Leaves of every class sum to one whatever the weights and the words before; without weights a word has its share; blocks do not matter."""
+    lm, rng = language_model, np.random.default_rng(4)
+    own = np.zeros(lm.FREQUENT, np.uint8)
+    own[:300] = np.concatenate([np.arange(1, lm.OWN + 1), rng.integers(1 + lm.OWN, 1 + lm.OWN + 5, 300 - lm.OWN)])
+    weight, rest = np.where(own > 0, rng.integers(2, 10**9, lm.FREQUENT), 0), rng.integers(1, 99, lm.CLASSES).astype(float)
+    tree = lm.word_tree(own, weight, rest)
+    weights = rng.normal(0, 2, 1 << lm.WORD_BITS).astype(np.float32)
+    for c in range(1 + lm.OWN, 1 + lm.OWN + 6):
+        words = np.flatnonzero(own == c)
+        classes = np.array([x for _ in range(len(words) + 1) for x in (0, 0, 120, c)], np.uint8)
+        codes = np.array([x for w in (0, *words) for x in (0, 0, 0, w)], np.uint16)
+        share = np.append(rest[c], weight[words]) / (rest[c] + weight[words].sum())
+        for used in (weights, weights * 0):
+            p = np.ones(len(words) + 1)
+            for i, begins, rows, at, side in lm.word_partings(classes, codes, tree):
+                odds = lm.word_odds(used, tree[4], rows, at).astype(float)
+                p[i // 4] *= np.multiply.reduceat(1 / (1 + np.exp(odds * (1 - 2.0 * side))), begins)
+            assert p.sum() == pytest.approx(1, abs=1e-4)
+            assert used.any() or p == pytest.approx(share, rel=1e-4)
+    texts = [(bytearray(rng.integers(1, lm.CLASSES, n).astype(np.uint8).tobytes() + b"\0"),) for n in rng.integers(0, 40, 60)]
+    coded = [(c, bytearray(np.array([rng.choice(np.flatnonzero(own == x)) if x and (own == x).any() and rng.random() < 0.9 else 0 for x in c], np.uint16).tobytes())) for (c,) in texts]
+    frame = spark.createDataFrame(coded, "classes binary, codes binary")
+    whole = lm.fit_words(frame.repartition(1), tree)
+    assert np.isfinite(whole).all() and np.abs(whole).max() > 0.1
+    assert np.allclose(whole, lm.fit_words(frame.repartition(5), tree), atol=1e-3)
+    assert not lm.fit_words(frame.limit(0), tree).any()
+
+
 def test_histories_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     cells = spark.createDataFrame([(int(c), int(n)) for c, n in zip(rng.integers(0, language_model.CLASSES**3, 300), rng.integers(1, 9, 300), strict=True)], "cell long, n long")
