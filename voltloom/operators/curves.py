@@ -17,9 +17,16 @@ CELL = [*UNIT, "ts"]
 
 
 def assemble(mw: DataFrame, price: DataFrame, hsl: DataFrame, bp: DataFrame | None = None) -> DataFrame:
-    """Join metric tables (each ``CELL`` and ``value``, steps where they have them) to curve rows; null keys meet nothing."""
-    made = mw.withColumnRenamed("value", "mw").join(price.withColumnRenamed("value", "price"), [*CELL, "step"]).join(hsl.withColumnRenamed("value", "hsl"), CELL)
-    return made if bp is None else made.join(bp.withColumnRenamed("value", "bp"), CELL, "left")
+    """Join metric tables (each ``CELL`` and ``value``, steps where they have them) to curve rows; null keys meet nothing.
+
+    Cells meet before they meet steps. Each join looks its right side up, a
+    shuffled partition at a time, so that neither side is sorted.
+    """
+    cells = hsl.withColumnRenamed("value", "hsl")
+    if bp is not None:
+        cells = cells.join(bp.withColumnRenamed("value", "bp").hint("shuffle_hash"), CELL, "left")
+    made = mw.withColumnRenamed("value", "mw").join(price.withColumnRenamed("value", "price").hint("shuffle_hash"), [*CELL, "step"])
+    return made.join(cells.hint("shuffle_hash"), CELL)
 
 
 def offer_profile(curves: DataFrame, by: Sequence[str] = ("month", "hour", "step", "resource_type")) -> DataFrame:
