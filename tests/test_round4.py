@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voltloom.functions import similarity
-from voltloom.operators import linkage
+from voltloom.operators import linkage, matching
 
 PARTS = ["AN", "EL", "JO", "STR", "M", "BER", "LOKE", "É", "5", "U19"]
 
@@ -60,3 +60,25 @@ def test_search_by_leaves_and_by_rows_agree(monkeypatch):
     marked, counts = linkage.marks(texts, telling), linkage.letter_counts(texts)
     apart = np.abs(counts[:, None] - counts[None]).sum(axis=2)
     assert (np.bitwise_count(marked[:, None] ^ marked) <= apart).all()
+
+
+def seen_by_rules(monkeypatch):
+    """What each call of ``candidates`` is asked: the number of left rows and the methods."""
+    asked, whole = [], linkage.candidates
+    monkeypatch.setattr(linkage, "candidates", lambda left, right, rules: asked.append((left.count(), {q.method for q in rules})) or whole(left, right, rules))
+    return asked
+
+
+def test_model_units_that_are_alike_are_looked_up_once(spark, monkeypatch):
+    """Copies of a unit get the same answer from one look, and the late look at codes is for those without a code."""
+    asked = seen_by_rules(monkeypatch)
+    model = spark.createDataFrame([*[(k, "ALPHA RIDGE", "ALPHA RIDGE", "AR_U1", "X", "WIND") for k in (1, 2, 3)], (4, "BETA", "BETA", "QQQ_WWWW", "X", "GAS"), (5, "NONE", "NONE", "", "", "")], "unit_id int, name string, cdr_name string, unit_code string, county string, fuel string")
+    resources = spark.createDataFrame([("AR_U1", "ALPHA RIDGE", "ALPHA RIDGE", "WIND", "X", "P"), ("QQQ_WXYW", "BETB", "BETB", "GAS", "X", None)], "resource_name string, station_desc string, cdr_unit_name string, fuel_type string, county string, price_code string")
+    got = {row["unit_id"]: (row["resource_name"], row["score"], row["method"]) for row in matching.match_model_units(model, resources).collect()}
+    assert got[1] == got[2] == got[3] and got[1][0] == "AR_U1" and got[4][0] == "QQQ_WXYW" and got[4][2] == "ercot_unitcode_fuzzy_late" and got[5][0] is None
+    assert [n for n, _ in asked] == [3, 2] and asked[1][1] == {"ercot_unitcode_fuzzy_late"}
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0), (3, "a", None), (4, "a", None), (5, "b", 1.0), (5, "a", 1.0), (None, "a", 1.0)], "k int, t string, v double")
+    alone, members = linkage.stand_ins(rows, "k")
+    assert sorted(tuple(x) for x in members.collect() if x["k"]) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)]
+    assert sorted(tuple(x)[:2] for x in alone.collect()) == [(1, "a"), (3, "a"), (5, "a"), (5, "b")]
+    assert linkage._twins(rows.withColumns({"u": F.col("t"), "w": F.lit("a")}), ["t", "u", "w"]) == {"t": "t", "u": "t", "w": "w"}

@@ -24,9 +24,10 @@ LISTED_NODE = {"desc_exact": (95, 70), "desc_fuzzy": (70, 50), "node_exact": (85
 FALLBACK_NODE = {"unmatched_desc_exact": (90, 70), "unmatched_desc_fuzzy": (75, 55)}
 NODE_CLOSE, PLANT_CLOSE, LATE_PLANT_CLOSE = 0.70, 0.88, 0.82
 FAMILY_ROWS = 20
+LATE_RULE = Rule("ercot_unitcode_fuzzy_late", 135, "m_code", "r_name", 0.72, 8)
 MODEL_RULES = [
     Rule("ercot_unitcode_exact", 220, "m_code", "r_name"), Rule("ercot_unitcode_key_exact", 210, "m_key", "r_key"), Rule("ercot_unitcode_fuzzy", 165, "m_code", "r_name", 0.82, 5),
-    Rule("ercot_unitcode_fuzzy_late", 135, "m_code", "r_name", 0.72, 8), Rule("cdr_unit_name_exact", 185, "m_base", "r_cdr"), Rule("cdr_unit_name_fuzzy", 150, "m_base", "r_cdr", 0.84, 5),
+    LATE_RULE, Rule("cdr_unit_name_exact", 185, "m_base", "r_cdr"), Rule("cdr_unit_name_fuzzy", 150, "m_base", "r_cdr", 0.84, 5),
     Rule("name_base_exact_station_desc", 180, "m_base", "r_desc"), Rule("name_base_fuzzy_station_desc", 145, "m_base", "r_desc", 0.82, 5),
     Rule("cdr_name_exact_station_desc", 150, "m_cdr", "r_desc"), Rule("cdr_name_fuzzy_station_desc", 125, "m_cdr", "r_desc", 0.86, 5),
 ]
@@ -144,17 +145,24 @@ def match_model_units(model: DataFrame, resources: DataFrame, listed: DataFrame
     # the forms of names are worked out once, not in each rule
     space = Workspace(model.sparkSession, "model-units")
     m, r = space.settle(m, "units"), space.settle(r, "resources")
-    found = linkage.candidates(m, r.withColumn("r_group", F.count("*").over(W.partitionBy("r_desc"))), MODEL_RULES)
+    # units that differ in nothing but their name here are looked up once
+    m, members = (space.settle(df, part) for df, part in zip(linkage.stand_ins(m, "unit_id"), ("asking", "members"), strict=True))
+    grouped = space.settle(r.withColumn("r_group", F.count("*").over(W.partitionBy("r_desc"))), "grouped")
+    found = linkage.candidates(m, grouped, [q for q in MODEL_RULES if q is not LATE_RULE])
     # the late look at codes counts only where no other code rule found anything
-    codes = F.max(F.when(F.col("method").startswith("ercot_unitcode") & ~F.col("method").endswith("late"), 1)).over(W.partitionBy("unit_id"))
-    found = found.withColumn("__codes", codes).filter("method <> 'ercot_unitcode_fuzzy_late' or __codes is null").drop("__codes")
+    coded = space.settle(found.filter(F.col("method").startswith("ercot_unitcode")).select("unit_id").distinct(), "coded")
+    found = found.unionByName(linkage.candidates(m.join(coded, "unit_id", "left_anti"), grouped, [LATE_RULE]))
     by_code = F.col("method").startswith("ercot_unitcode")
-    best = linkage.with_unmatched(model, _decided(found.withColumn("r_group", F.when(~by_code, F.col("r_group")))), key)
+
+    def decided(found: DataFrame) -> DataFrame:
+        return members.join(_decided(found).withColumnRenamed("unit_id", "__first"), "__first").drop("__first")
+
+    best = linkage.with_unmatched(model, decided(found.withColumn("r_group", F.when(~by_code, F.col("r_group")))), key)
     columns = ["resource_name", "price_code", "method", "score", "status", "candidate_count", "alternatives"]
     if listed is not None:
-        best = linkage.fall_back(best, _decided(_by_listed_plant(m, r, listed, listed_order)), key, columns)
+        best = linkage.fall_back(best, decided(_by_listed_plant(m, r, listed, listed_order)), key, columns)
     if registry_matches is not None:
-        best = linkage.fall_back(best, _decided(_by_registry(m, r, registry_matches)), key, columns)
+        best = linkage.fall_back(best, decided(_by_registry(m, r, registry_matches)), key, columns)
     return best
 
 
@@ -165,7 +173,7 @@ def _decided(found: DataFrame) -> DataFrame:
     found = found.repartition(max(1, 4 * spark.sparkContext.defaultParallelism))
     hint = F.when(F.col("r_group").isNotNull(), linkage.unit_hint_bonus("m_hint", "r_tokens", F.col("r_group"))).otherwise(0)
     bonus = F.when((F.col("m_fuel") != "") & (F.col("m_fuel") == F.col("r_fuel")), 10).otherwise(0) + F.when((F.col("m_county") != "") & (F.col("m_county") == F.col("r_county")), 12).otherwise(0) + F.when(F.coalesce("price_code", F.lit("")) != "", 5).otherwise(0)
-    close = linkage.similarity_bonus("m_code", "r_name", 20) + linkage.similarity_bonus("m_cdr", "r_desc", 12) + linkage.similarity_bonus("m_name", "r_desc", 8) + linkage.similarity_bonus("m_base", "r_cdr", 14)
+    close = linkage.similarity_bonuses(("m_code", "r_name", 20), ("m_cdr", "r_desc", 12), ("m_name", "r_desc", 8), ("m_base", "r_cdr", 14))
     scored = found.select("unit_id", "resource_name", "price_code", "method", (F.col("score") + hint + bonus + close).alias("score"))
     return linkage.decide(Workspace(spark, "scored").settle(scored, "scored"), ["unit_id"], "resource_name")
 
