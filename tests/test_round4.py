@@ -82,3 +82,12 @@ def test_model_units_that_are_alike_are_looked_up_once(spark, monkeypatch):
     assert sorted(tuple(x) for x in members.collect() if x["k"]) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)]
     assert sorted(tuple(x)[:2] for x in alone.collect()) == [(1, "a"), (3, "a"), (5, "a"), (5, "b")]
     assert linkage._twins(rows.withColumns({"u": F.col("t"), "w": F.lit("a")}), ["t", "u", "w"]) == {"t": "t", "u": "t", "w": "w"}
+
+
+def test_registry_units_that_are_alike_are_looked_up_once(spark, monkeypatch):
+    asked = seen_by_rules(monkeypatch)
+    registry = spark.createDataFrame([*[(k, "ALPHA U1", ["ALP_U1", "x"], "WIND", 5.0) for k in (1, 2, 3)], (4, "BETA", ["", "BET_U2"], "GAS", None)], "unit_id int, unit_name string, codes array<string>, fuel string, capacity double")
+    resources = spark.createDataFrame([("ALP_U1", "WIND", 5.0), ("BET_U2", "GAS", 1.0)], "resource_name string, resource_type string, avg_base_point double")
+    got = {row["unit_id"]: tuple(row)[1:] for row in matching.match_registry_units(registry, resources).collect()}
+    assert got[1] == got[2] == got[3] and got[1][:2] == ("ALP_U1", "code_exact") and got[4][:2] == ("BET_U2", "code_exact")
+    assert [n for n, _ in asked] == [2]

@@ -246,9 +246,11 @@ def match_registry_units(registry: DataFrame, resources: DataFrame) -> DataFrame
     ]
     shared = F.arrays_overlap("s_tokens", "r_tokens")
     same_fuel = (F.col("s_fuel") != "") & (F.col("s_fuel") == F.col("r_fuel"))
-    bonus = F.when(same_fuel, 12).otherwise(0) + F.when(shared, 15).otherwise(0) + linkage.relative_bonus("s_capacity", "r_base") + linkage.similarity_bonus("s_code", "r_name", 18) + linkage.similarity_bonus("s_name", "r_name", 10)
-    found = space.settle(linkage.candidates(s, r, rules).repartition(tasks).select("unit_id", "resource_name", "method", (F.col("score") + bonus).alias("score")), "scored")
-    best = space.settle(linkage.decide(found, ["unit_id"], "resource_name"), "best")
+    bonus = F.when(same_fuel, 12).otherwise(0) + F.when(shared, 15).otherwise(0) + linkage.relative_bonus("s_capacity", "r_base") + linkage.similarity_bonuses(("s_code", "r_name", 18), ("s_name", "r_name", 10))
+    # units that differ in nothing but their name here are looked up once
+    alone, members = (space.settle(df, part) for df, part in zip(linkage.stand_ins(s, "unit_id"), ("asking", "members"), strict=True))
+    found = space.settle(linkage.candidates(alone, r, rules).repartition(tasks).select("unit_id", "resource_name", "method", (F.col("score") + bonus).alias("score")), "scored")
+    best = space.settle(members.join(linkage.decide(found, ["unit_id"], "resource_name").withColumnRenamed("unit_id", "__first"), "__first").drop("__first"), "best")
     strong = best.filter(F.col("method").endswith("_exact") | ((F.col("method") == "unit_name_strong_fuzzy") & (F.col("score") >= 205)))
     # units without a strong match look for a plant together, those of one descriptor as one group
     asking = s.join(strong.select("unit_id"), "unit_id", "left_anti").filter("s_plant <> ''")
